@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollspark.functions.determinism import hash_block, order_hash
 
+SHORT_HEAD = 10_000
+
 
 def _hashed(rows: DataFrame, key: str | Sequence[str], seed) -> tuple[DataFrame, list[str]]:
     keys = [key] if isinstance(key, str) else list(key)
@@ -45,6 +47,7 @@ def hash_ordinal(
     numbered = placed.withColumn(out, F.row_number().over(inside) - 1 + F.col("_shift"))
     if upto is not None:
         numbered = numbered.filter(F.col(out) < upto)
+    numbered = numbered.withColumn(out, F.col(out).cast("long"))
     return numbered.drop("_hash", "_block", "_shift")
 
 
@@ -70,5 +73,13 @@ def hash_ordinal_within(
 
 
 def seeded_head(rows: DataFrame, n: int, key: str | Sequence[str], seed, out: str = "position") -> DataFrame:
-    """A8. First ``n`` rows of the seeded shuffle, with their position."""
-    return hash_ordinal(rows, key, seed, out, upto=n)
+    """A8. First ``n`` rows of the seeded shuffle, with their position.
+
+    A short head is a top-n per task and a merge; a long one goes by blocks.
+    """
+    if n > SHORT_HEAD:
+        return hash_ordinal(rows, key, seed, out, upto=n)
+    hashed, order = _hashed(rows, key, seed)
+    head = hashed.orderBy(*order).limit(max(n, 0))
+    # One window over at most SHORT_HEAD rows.
+    return head.withColumn(out, F.row_number().over(Window.orderBy(*order)) - 1).drop("_hash", "_block")

@@ -36,11 +36,13 @@ def first_demonstration(
     return correct.groupBy(*prompt_keys).agg(F.min_by("text", order).alias("demo"))
 
 
-def attach_tests(
-    completions: DataFrame, problems: DataFrame, keys: Sequence[str], spread_by: Sequence[str] = ()
-) -> DataFrame:
-    """J1. Each completion with the test of its problem."""
-    return skew_join(completions, problems.select(*keys, "test"), keys, "inner", spread_by)
+def attach_tests(completions: DataFrame, problems: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """J1. Each completion with the test of its problem.
+
+    A plain join, here and in J3 and J6: Spark broadcasts a small table and
+    adaptive execution splits the partitions of a hot key.
+    """
+    return completions.join(problems.select(*keys, "test"), list(keys))
 
 
 def attach_demo(
@@ -50,11 +52,9 @@ def attach_demo(
     return skew_join(failed, demos, keys, "left", spread_by)
 
 
-def attach_prompt(
-    failed: DataFrame, problems: DataFrame, keys: Sequence[str], spread_by: Sequence[str] = ()
-) -> DataFrame:
+def attach_prompt(failed: DataFrame, problems: DataFrame, keys: Sequence[str]) -> DataFrame:
     """J3. Each failed completion with its raw prompt."""
-    return skew_join(failed, problems.select(*keys, "prompt"), keys, "inner", spread_by)
+    return failed.join(problems.select(*keys, "prompt"), list(keys))
 
 
 def policy_branch(completions: DataFrame) -> DataFrame:
@@ -78,11 +78,9 @@ def failure_feedback(
     return with_demo.withColumn("sdpo_feedback", feedback).drop("demo")
 
 
-def teacher_prompts(
-    feedback: DataFrame, problems: DataFrame, problem_keys: Sequence[str], spread_by: Sequence[str] = ()
-) -> DataFrame:
+def teacher_prompts(feedback: DataFrame, problems: DataFrame, problem_keys: Sequence[str]) -> DataFrame:
     """J3, E6. The teacher's prompt of every row of the distillation branch."""
-    asked = attach_prompt(distill_branch(feedback), problems, problem_keys, spread_by)
+    asked = attach_prompt(distill_branch(feedback), problems, problem_keys)
     return asked.withColumn("teacher_prompt", teacher_prompt(F.col("sdpo_feedback"), F.col("prompt")))
 
 
@@ -161,11 +159,9 @@ def mean_round(metrics: DataFrame, step_keys: Sequence[str], values: Sequence[st
     return metrics.groupBy(*step_keys).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def attach_metrics(
-    samples: DataFrame, metrics: DataFrame, step_keys: Sequence[str], spread_by: Sequence[str] = ()
-) -> DataFrame:
+def attach_metrics(samples: DataFrame, metrics: DataFrame, step_keys: Sequence[str]) -> DataFrame:
     """J6. Each sample with the metrics of its step."""
-    return skew_join(samples, metrics, step_keys, "inner", spread_by)
+    return samples.join(metrics, list(step_keys))
 
 
 def compare_tables(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A key is split once it holds more than 1/SPLITS of all rows, so at most SPLITS
-# keys can be split: that is the size bound of the broadcast list of heavy keys.
+# Only keys with more than SPLIT_ROWS rows are worth splitting, and of these the
+# SPLITS largest: every other key has at most 1/SPLITS of all rows. SPLITS is
+# also the size bound of the broadcast list of heavy keys.
 SPLITS = 2048
-# Below this many rows a key is never worth splitting.
 SPLIT_ROWS = 100_000
 
 BLOCK_BITS = 20
@@ -31,19 +31,9 @@ def _equi_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
-def heavy_keys(counts: DataFrame, total: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Keys above the split limit with the number of pieces to cut each into.
-
-    ``counts`` holds one row per key with its row count in ``_n``; ``total`` is a
-    one-row, one-column count. Other columns of ``counts`` are kept.
-    """
-    limit = F.greatest(total.scalar() / F.lit(float(SPLITS)), F.lit(float(split_rows)))
-    return (
-        counts.withColumn("_limit", limit)
-        .filter(F.col("_n") > F.col("_limit"))
-        .withColumn("_pieces", F.ceil(F.col("_n") / F.col("_limit")).cast("int"))
-        .drop("_limit")
-    )
+def heavy_keys(counts: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """The largest keys of a table with one row per key and its row count in ``_n``."""
+    return counts.filter(F.col("_n") > split_rows).orderBy(F.desc("_n"), *keys).limit(SPLITS)
 
 
 def skew_join(
@@ -55,18 +45,19 @@ def skew_join(
     counts: DataFrame | None = None,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
-    """N:1 join of ``rows`` to ``lookup``, unique on ``keys``.
+    """N:1 join of ``rows`` to a computed ``lookup``, unique on ``keys``.
 
-    Rows of a heavy key are spread over pieces by a hash of ``spread_by`` (the
-    row key; all columns if not given) and its one lookup row is copied to each
-    piece. Only the list of heavy keys is broadcast, bounded by ``SPLITS`` rows.
-    Nothing is dropped: every other key joins as usual in piece 0.
+    Adaptive execution splits skewed joins of plain tables by itself, but not
+    when one side comes straight out of an aggregate or a window. Here rows of a
+    heavy key are spread over pieces of about ``split_rows`` by a hash of
+    ``spread_by`` (the row key; all columns if not given), and its one lookup
+    row is copied to each piece. Every other key joins as usual in piece 0.
     """
     keys = list(keys)
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = heavy_keys(counts, rows.agg(F.count(F.lit(1))), keys, split_rows)
-    pieces = F.broadcast(heavy.select(*keys, "_pieces"))
+    heavy = heavy_keys(counts, keys, split_rows)
+    pieces = F.broadcast(heavy.select(*keys, F.ceil(F.col("_n") / split_rows).cast("int").alias("_pieces")))
     spread = F.xxhash64(*[F.col(c) for c in (spread_by or rows.columns)])
     salted = (
         _equi_join(rows, pieces, keys, "left")
@@ -92,23 +83,24 @@ def with_group_stats(
 
     Aggregate and join back instead of a window: the aggregate combines before
     its shuffle, while a window would put a whole group into one task. Rows of
-    heavy groups, at most ``SPLITS`` of them, get their values from a broadcast
-    and pass the shuffle join scattered by a salt that matches nothing.
+    heavy groups get their values from a broadcast and pass the shuffle join
+    scattered by a salt that matches nothing. Both uses of the statistics read
+    one exchange.
     """
     keys = list(keys)
     stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), *[column.alias(name) for name, column in aggregates.items()]
     )
-    heavy = heavy_keys(stats, rows.agg(F.count(F.lit(1))), keys, split_rows)
-    known = F.broadcast(heavy.select(*keys, "_pieces", *[F.col(n).alias(f"_h_{n}") for n in aggregates]))
+    heavy = heavy_keys(stats, keys, split_rows)
+    known = F.broadcast(heavy.select(*keys, F.col("_n").alias("_h_n"), *[F.col(n).alias(f"_h_{n}") for n in aggregates]))
     scatter = 1 + F.pmod(F.xxhash64(*[F.col(c) for c in (spread_by or rows.columns)]), F.lit(SPLITS))
     tagged = _equi_join(rows, known, keys, "left").withColumn(
-        "_salt", F.when(F.col("_pieces").isNotNull(), scatter).otherwise(0).cast("int")
+        "_salt", F.when(F.col("_h_n").isNotNull(), scatter).otherwise(0).cast("int")
     )
-    joined = _equi_join(tagged, stats.drop("_n").withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left")
+    joined = _equi_join(tagged, stats.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left")
     for name in aggregates:
         joined = joined.withColumn(name, F.coalesce(F.col(name), F.col(f"_h_{name}")))
-    return joined.drop("_pieces", "_salt", *[f"_h_{n}" for n in aggregates])
+    return joined.drop("_n", "_h_n", "_salt", *[f"_h_{n}" for n in aggregates])
 
 
 def running_sum(

@@ -90,10 +90,10 @@ def a4(spark, sf_dir):
 POOL_SQL = V.with_views(
     "pool",
     body=f"""
-  SELECT d.draw_no, p.* EXCLUDE (at)
-  FROM (SELECT range AS draw_no, floor({uniform_sql("range")} * (SELECT count(*) FROM pool))::BIGINT AS at
+  SELECT d.draw_no, p.* EXCLUDE (place)
+  FROM (SELECT range AS draw_no, floor({uniform_sql("range")} * (SELECT count(*) FROM pool))::BIGINT AS place
         FROM range((SELECT count(*) FROM documents))) d
-  JOIN (SELECT *, row_number() OVER (ORDER BY {by_hash("problem_id")}) - 1 AS at FROM pool) p ON p.at = d.at""",
+  JOIN (SELECT *, row_number() OVER (ORDER BY {by_hash("problem_id")}) - 1 AS place FROM pool) p ON p.place = d.place""",
 )
 
 
@@ -173,10 +173,10 @@ def epoch_sql(rank: int) -> str:
   copies AS (SELECT doc_id, epoch, batches FROM documents, size,
              (SELECT unnest(range(0, (4000 + batches - 1) // batches)) AS epoch FROM size)),
   ordered AS (SELECT *, row_number() OVER (PARTITION BY epoch
-                ORDER BY md5('{seed}:' || epoch || ':' || doc_id), doc_id) - 1 AS at FROM copies)
-  SELECT doc_id, epoch::INTEGER AS epoch, ((epoch * batches + at // 2) // 4)::INTEGER AS step,
-         ((epoch * batches + at // 2) % 4)::INTEGER AS acc, at // 2 AS batch_no, (at % 2)::INTEGER AS batch_idx
-  FROM ordered WHERE epoch * batches + at // 2 < 4000"""
+                ORDER BY md5('{seed}:' || epoch || ':' || doc_id), doc_id) - 1 AS place FROM copies)
+  SELECT doc_id, epoch::INTEGER AS epoch, ((epoch * batches + place // 2) // 4)::INTEGER AS step,
+         ((epoch * batches + place // 2) % 4)::INTEGER AS acc, place // 2 AS batch_no, (place % 2)::INTEGER AS batch_idx
+  FROM ordered WHERE epoch * batches + place // 2 < 4000"""
 
 
 def _schedule(spark, sf_dir, rank):

@@ -339,9 +339,7 @@ def g10_policy(spark, sf_dir):
     ),
 )
 def j1(spark, sf_dir):
-    joined = L.attach_tests(
-        V.completions(spark, sf_dir), V.prompts(spark, sf_dir), ["prompt_index"], ["seq"]
-    )
+    joined = L.attach_tests(V.completions(spark, sf_dir), V.prompts(spark, sf_dir), ["prompt_index"])
     return joined.select("seq", "text", "test")
 
 
@@ -374,7 +372,7 @@ TEACHER_SQL = f"""
 
 def _teacher(spark, sf_dir) -> DataFrame:
     told = L.failure_feedback(V.completions(spark, sf_dir), GROUP, "seq", ["seq"])
-    return L.teacher_prompts(told, V.prompts(spark, sf_dir), ["prompt_index"], ["seq"])
+    return L.teacher_prompts(told, V.prompts(spark, sf_dir), ["prompt_index"])
 
 
 @query(
@@ -388,4 +386,4 @@ def e6(spark, sf_dir):
 @query("j3_attach_prompt", V.with_views("completions", "prompts", body=f"SELECT seq, prompt FROM ({TEACHER_SQL})"))
 def j3(spark, sf_dir):
     failed = L.distill_branch(V.completions(spark, sf_dir), "feedback")
-    return L.attach_prompt(failed, V.prompts(spark, sf_dir), ["prompt_index"], ["seq"]).select("seq", "prompt")
+    return L.attach_prompt(failed, V.prompts(spark, sf_dir), ["prompt_index"]).select("seq", "prompt")

@@ -84,7 +84,7 @@ def verifiable(spark, sf_dir) -> DataFrame:
        FROM part""",
 )
 def e3(spark, sf_dir):
-    judged = verify_completions(verifiable(spark, sf_dir), ["p_partkey"])
+    judged = verify_completions(verifiable(spark, sf_dir))
     fb = F.col("feedback")
     outcome = (
         F.when(fb == X.PASS_TEXT, "passed")
@@ -222,7 +222,7 @@ def g5_mean(spark, sf_dir):
 def _sample_rows(spark, sf_dir) -> DataFrame:
     """Log rows: the first two prompts of each step with the metrics of the step."""
     chosen = L.collect_samples(V.completions(spark, sf_dir), ["step"], "prompt_index", "seq", 2)
-    asked = L.attach_prompt(chosen, V.prompts(spark, sf_dir), ["prompt_index"], ["seq"])
+    asked = L.attach_prompt(chosen, V.prompts(spark, sf_dir), ["prompt_index"])
     samples = asked.select(
         "step",
         "prompt_index",

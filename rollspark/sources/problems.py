@@ -82,8 +82,8 @@ def weighted_mix(first: DataFrame, second: DataFrame, n: int, seed: int) -> Data
     quota = max(1, int(n * FIRST_SHARE))
     taken = F.least(first.agg(F.count(F.lit(1))).scalar(), F.lit(quota))
     rest = F.greatest(F.lit(n) - taken, F.lit(0))
-    head = hash_ordinal(first, PROBLEM_KEY, seed, "_at", upto=quota).drop("_at")
-    tail = hash_ordinal(second, PROBLEM_KEY, seed, "_at", upto=rest).drop("_at")
+    head = seeded_head(first, quota, PROBLEM_KEY, seed, "_at").drop("_at")
+    tail = seeded_head(second, n, PROBLEM_KEY, seed, "_at").filter(F.col("_at") < rest).drop("_at")
     return seeded_head(head.unionByName(tail), n, PROBLEM_KEY, seed)
 
 
