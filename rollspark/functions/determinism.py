@@ -29,3 +29,8 @@ def uniform(seed, *keys: Column) -> Column:
 def hash_block(digest: Column) -> Column:
     """Leading digits of an order hash as a number below ``BLOCKS``; keeps the hash order."""
     return F.conv(F.substring(digest, 1, BLOCK_DIGITS), 16, 10).cast("int")
+
+
+def int_div(a: Column, b) -> Column:
+    """Whole quotient of two non-negative integers, exact at any size."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))

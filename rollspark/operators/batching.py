@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollspark.config import DEFAULTS, RolloutConfig
-from rollspark.functions.determinism import uniform
+from rollspark.functions.determinism import int_div, uniform
 from rollspark.functions.tokens import loss_mask
 from rollspark.operators.ordering import hash_ordinal, hash_ordinal_within
 from rollspark.operators.skew import with_group_stats
@@ -19,7 +19,7 @@ def micro_batches(problems: DataFrame, batch_size: int, seed, key="problem_id")
     at = F.col("_at")
     return (
         hash_ordinal(problems, key, seed, "_at")
-        .withColumn("batch_no", F.floor(at / batch_size).cast("long"))
+        .withColumn("batch_no", int_div(at, batch_size))
         .withColumn("batch_idx", F.pmod(at, F.lit(batch_size)).cast("int"))
         .drop("_at")
     )
@@ -39,18 +39,18 @@ def epoch_schedule(
     One output row per use of a problem. Each rank draws on its own, with its own seed.
     """
     draws = steps * accumulation
-    batches = F.ceil(problems.agg(F.count(F.lit(1))).scalar() / F.lit(batch_size)).cast("long")
-    epochs = F.when(batches > 0, F.ceil(F.lit(draws) / batches)).otherwise(0).cast("int")
+    batches = int_div(problems.agg(F.count(F.lit(1))).scalar() + (batch_size - 1), batch_size)
+    epochs = F.when(batches > 0, int_div(F.lit(draws - 1) + batches, batches)).otherwise(0).cast("int")
     copies = problems.withColumn("_batches", batches).withColumn(
         "epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(0), epochs - 1)))
     )
     shuffle_seed = F.concat_ws(":", F.lit(seed + rank), F.col("epoch"))
     ordered = hash_ordinal_within(copies, ["epoch"], key, shuffle_seed, "_at")
-    batch_no = F.floor(F.col("_at") / batch_size).cast("long")
+    batch_no = int_div(F.col("_at"), batch_size)
     return (
         ordered.withColumn("_draw", F.col("epoch") * F.col("_batches") + batch_no)
         .filter(F.col("_draw") < draws)
-        .withColumn("step", F.floor(F.col("_draw") / accumulation).cast("int"))
+        .withColumn("step", int_div(F.col("_draw"), accumulation).cast("int"))
         .withColumn("acc", F.pmod(F.col("_draw"), F.lit(accumulation)).cast("int"))
         .withColumn("batch_no", batch_no)
         .withColumn("batch_idx", F.pmod(F.col("_at"), F.lit(batch_size)).cast("int"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollspark.functions.determinism import hash_block, order_hash
+from rollspark.operators.skew import sum_over_blocks
 
 SHORT_HEAD = 10_000
 
@@ -54,22 +55,10 @@ def hash_ordinal(
 def hash_ordinal_within(
     rows: DataFrame, within: Sequence[str], key: str | Sequence[str], seed, out: str = "ordinal"
 ) -> DataFrame:
-    """As ``hash_ordinal``, numbered anew for each value of ``within``.
-
-    The shift table has up to ``BLOCKS`` rows per value, so it is joined, not broadcast.
-    """
-    within = list(within)
+    """As ``hash_ordinal``, numbered anew for each value of ``within``."""
     hashed, order = _hashed(rows, key, seed)
-    counts = hashed.groupBy(*within, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(*within, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*within, "_block").orderBy(*order)
-    numbered = hashed.withColumn("_local", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(shifts, [*within, "_block"])
-        .withColumn(out, F.col("_local") + F.col("_shift"))
-        .drop("_hash", "_block", "_shift", "_local")
-    )
+    numbered = sum_over_blocks(hashed.withColumn("_value", F.lit(1).cast("long")), within, order, out)
+    return numbered.withColumn(out, F.col(out) - 1).drop("_hash")
 
 
 def seeded_head(rows: DataFrame, n: int, key: str | Sequence[str], seed, out: str = "position") -> DataFrame:

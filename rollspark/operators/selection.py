@@ -127,7 +127,7 @@ def trailing_mean(
     """
     size = 1 << block_bits
     numbered = group_ordinal(rows, run_keys, order, "_at", block_bits)
-    home = F.floor(F.col("_at") / size).cast("long")
+    home = F.shiftright("_at", block_bits)
     near_end = F.pmod(F.col("_at"), F.lit(size)) > size - width
     blocks = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))
     copied = numbered.withColumn("_block", F.explode(blocks))

@@ -103,6 +103,28 @@ def with_group_stats(
     return joined.drop("_n", "_h_n", "_salt", *[f"_h_{n}" for n in aggregates])
 
 
+def sum_over_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Running sum of ``_value`` within ``keys``, over rows cut into ordered pieces by ``_block``.
+
+    The total of a group's earlier blocks enters each block as one more row in
+    front of it, so that a single shuffle by group and block does. Uses up
+    ``_value`` and ``_block``.
+    """
+    keys = list(keys)
+    totals = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        totals.withColumn("_value", F.sum("_total").over(earlier))
+        .filter(F.col("_value").isNotNull())
+        .select(*keys, "_block", "_value", F.lit(0).alias("_row"))
+    )
+    both = rows.withColumn("_row", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    inside = (
+        Window.partitionBy(*keys, "_block").orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return both.withColumn(out, F.sum("_value").over(inside)).filter(F.col("_row") == 1).drop("_value", "_block", "_row")
+
+
 def running_sum(
     rows: DataFrame,
     keys: Sequence[str],
@@ -115,21 +137,14 @@ def running_sum(
 
     ``order`` is an arrival number in [0, 2**40), unique within its group; others
     raise. Each group is cut into blocks of 2**block_bits consecutive numbers, so
-    that no window holds more rows than that, and block totals carry the sums
-    over: at most 2**(40 - block_bits) of them per group.
+    that no window holds more rows than that; there are at most
+    2**(40 - block_bits) block totals per group.
     """
-    keys = list(keys)
     checked = F.when(
         (F.col(order) >= 0) & (F.col(order) < F.lit(1 << ORDER_BITS)), F.col(order).cast("long")
     ).otherwise(F.raise_error(F.lit(f"{order} must lie in [0, 2**{ORDER_BITS})")))
     blocked = rows.withColumn("_value", value).withColumn("_block", F.shiftright(checked, block_bits))
-    totals = blocked.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = blocked.withColumn("_local", F.sum("_value").over(inside))
-    joined = _equi_join(local, carried, [*keys, "_block"], "inner")
-    return joined.withColumn(out, F.col("_local") + F.col("_carried")).drop("_value", "_block", "_local", "_carried")
+    return sum_over_blocks(blocked, keys, [order], out)
 
 
 def group_ordinal(

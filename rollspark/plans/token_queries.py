@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rollspark.functions import tokens as T
 from rollspark.functions import vocab
-from rollspark.functions.determinism import uniform
+from rollspark.functions.determinism import int_div, uniform
 from rollspark.operators import scoring as S
 from rollspark.operators.selection import compare_tables
 from rollspark.plans import views as V
@@ -136,10 +136,10 @@ def d7(spark, sf_dir):
 def d8(spark, sf_dir):
     logits = V.logit_rows(spark, sf_dir)
     tokens = V.table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / 16).cast("int").alias("seq_id"),
+        int_div(F.col("vec_id"), 16).cast("int").alias("seq_id"),
         F.pmod("vec_id", F.lit(16)).cast("int").alias("pos"),
         F.pmod(F.col("vec_id") * 7, F.size("embedding")).cast("long").alias("id"),
-        F.pmod(F.floor(F.col("vec_id") / 16), F.lit(5)).cast("int").alias("prompt_len"),
+        F.pmod(int_div(F.col("vec_id"), 16), F.lit(5)).cast("int").alias("prompt_len"),
     )
     return S.taken_logprobs(tokens, logits).select("seq_id", "pos", "id", V.r6("lp").alias("lp"))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rollspark.functions.determinism import int_div
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -135,7 +137,7 @@ SQL["rollouts"] = """
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollouts with step, prompt number within the step and verifier feedback."""
     return rollouts(spark, sf_dir).select(
-        F.floor(F.col("doc_id") / 100).cast("int").alias("step"),
+        int_div(F.col("doc_id"), 100).cast("int").alias("step"),
         F.substring("source", 4, 9).cast("int").alias("prompt_index"),
         F.col("doc_id").alias("seq"),
         "text",
@@ -259,7 +261,7 @@ def id_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("int"))
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("seq_id"),
-        F.floor(F.col("vec_id") / 8).cast("int").alias("batch_no"),
+        int_div(F.col("vec_id"), 8).cast("int").alias("batch_no"),
         F.slice(ids, F.lit(1), 10 + F.col("label") * 5).alias("ids"),
         (F.col("label") * 2).alias("prompt_len"),
     )
@@ -302,8 +304,8 @@ SQL["array_rows"] = """
 def logit_rows(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     """Embeddings as score vectors of 16-token sequences; ``shift`` takes a later vector instead."""
     at = F.col("vec_id") - shift
-    return table(spark, sf_dir, "embeddings").select(
-        F.floor(at / 16).cast("int").alias("seq_id"),
+    return table(spark, sf_dir, "embeddings").filter(at >= 0).select(
+        int_div(at, 16).cast("int").alias("seq_id"),
         F.pmod(at, F.lit(16)).cast("int").alias("pos"),
         F.when(F.col("label") >= 3, 1).otherwise(0).alias("mask"),
         F.col("embedding").alias("logits"),
