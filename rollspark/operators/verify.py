@@ -27,6 +27,8 @@ from rollspark.session import fresh_dir
 
 MEMORY_BYTES = 1 << 30
 FILE_BYTES = 1 << 24
+# A script may take the whole time limit; smaller tasks lose less when one is lost.
+SCRIPTS_PER_TASK = 500
 
 _RESULT = pa.schema([("script_key", pa.string()), ("reward", pa.float64()), ("feedback", pa.string())])
 
@@ -94,30 +96,30 @@ def _runner(seconds: float):
 def verify_completions(
     completions: DataFrame,
     seconds: float = DEFAULTS.verify_seconds,
-    tasks: int | None = None,
+    scripts_per_task: int = SCRIPTS_PER_TASK,
 ) -> DataFrame:
     """Add reward and feedback to completions (text, test).
 
-    Equal (code, test) pairs run once, wherever they come from. Scripts are
-    spread over ``tasks`` by hash, several per core, since their run times
-    differ more than their sizes. Verdicts are written to the shared folder
-    before they are joined, so a lost executor does not run code again that
-    was already judged and all readers see one verdict.
+    Equal (code, test) pairs run once, wherever they come from. Scripts and then
+    verdicts are written to the shared folder: the number of tasks follows the
+    number of scripts, a lost executor does not run code again that was already
+    judged, and all readers see one verdict.
     """
     spark = completions.sparkSession
-    tasks = tasks or max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     coded = completions.withColumn("_code", extract_code(F.col("text"))).withColumn(
         "script_key", F.sha2(F.concat_ws("\0", "_code", "test"), 256)
     )
-    scripts = (
-        coded.groupBy("script_key", "_code", "test")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .repartition(tasks, "script_key")
-        .withColumn("mark", F.uuid())
-        .select("script_key", "mark", build_script(F.col("_code"), F.col("test"), F.col("mark")).alias("script"))
-    )
-    path = fresh_dir(spark, "verdicts")
-    scripts.mapInArrow(_runner(seconds), "script_key string, reward double, feedback string").write.parquet(path)
-    verdicts = spark.read.schema("script_key string, reward double, feedback string").parquet(path)
+    pairs = coded.groupBy("script_key", F.col("_code").alias("code"), "test").agg(F.count(F.lit(1)).alias("n"))
+    scripts_path, verdicts_path = fresh_dir(spark, "scripts"), fresh_dir(spark, "verdicts")
+    pairs.write.parquet(scripts_path)
+
+    scripts = spark.read.parquet(scripts_path)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-scripts.count() // scripts_per_task))
+    marked = scripts.repartition(tasks, "script_key").withColumn("mark", F.uuid())
+    script = build_script(F.col("code"), F.col("test"), F.col("mark")).alias("script")
+    schema = "script_key string, reward double, feedback string"
+    marked.select("script_key", "mark", script).mapInArrow(_runner(seconds), schema).write.parquet(verdicts_path)
+
     # Both sides are tables, so adaptive execution splits a script that very many completions share.
+    verdicts = spark.read.schema(schema).parquet(verdicts_path)
     return coded.drop("_code").join(verdicts, "script_key").drop("script_key")
