@@ -92,15 +92,15 @@ def with_group_stats(
         F.count(F.lit(1)).alias("_n"), *[column.alias(name) for name, column in aggregates.items()]
     )
     heavy = heavy_keys(stats, keys, split_rows)
-    known = F.broadcast(heavy.select(*keys, F.col("_n").alias("_h_n"), *[F.col(n).alias(f"_h_{n}") for n in aggregates]))
+    known = F.broadcast(heavy.select(*keys, F.col("_n").alias("_heavy"), *[F.col(n).alias(f"_h_{n}") for n in aggregates]))
     scatter = 1 + F.pmod(F.xxhash64(*[F.col(c) for c in (spread_by or rows.columns)]), F.lit(SPLITS))
     tagged = _equi_join(rows, known, keys, "left").withColumn(
-        "_salt", F.when(F.col("_h_n").isNotNull(), scatter).otherwise(0).cast("int")
+        "_salt", F.when(F.col("_heavy").isNotNull(), scatter).otherwise(0).cast("int")
     )
     joined = _equi_join(tagged, stats.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left")
     for name in aggregates:
         joined = joined.withColumn(name, F.coalesce(F.col(name), F.col(f"_h_{name}")))
-    return joined.drop("_n", "_h_n", "_salt", *[f"_h_{n}" for n in aggregates])
+    return joined.drop("_n", "_heavy", "_salt", *[f"_h_{n}" for n in aggregates])
 
 
 def sum_over_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:

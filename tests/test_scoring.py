@@ -1,0 +1,162 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rollspark.functions.vocab import distill_terms  # noqa: F401
+from rollspark.operators import scoring as S
+
+ROOT3 = math.sqrt(3)
+
+
+def advantages(spark, rewards):
+    df = spark.createDataFrame([(i, g, r) for i, (g, r) in enumerate(rewards)], "id int, g int, reward double")
+    return [r["advantage"] for r in S.group_advantage(df, ["g"], spread_by=["id"]).orderBy("id").collect()]
+
+
+def test_one_pass_in_four(spark):
+    got = advantages(spark, [(0, 1.0), (0, 0.0), (0, 0.0), (0, 0.0)])
+    assert got == pytest.approx([ROOT3, -1 / ROOT3, -1 / ROOT3, -1 / ROOT3], abs=1e-6)
+
+
+def test_groups_without_signal(spark):
+    assert advantages(spark, [(0, 1.0), (1, 1.0), (1, 1.0), (2, 0.0), (2, 0.0)]) == [0.0] * 5
+
+
+def test_advantages_of_a_group_sum_to_zero(spark):
+    rng = random.Random(2)
+    rewards = [(rng.randrange(30), float(rng.random() < 0.4)) for _ in range(500)]
+    totals = {}
+    for (g, _), a in zip(rewards, advantages(spark, rewards)):
+        totals[g] = totals.get(g, 0) + a
+    assert all(abs(t) < 1e-6 for t in totals.values())
+
+
+def test_global_advantage(spark):
+    df = spark.createDataFrame([(1.0,), (0.0,), (0.0,), (0.0,)], "reward double")
+    got = sorted(r["advantage"] for r in S.global_advantage(df).collect())
+    assert got == pytest.approx([-1 / ROOT3] * 3 + [ROOT3], abs=1e-6)
+    same = spark.createDataFrame([(1.0,), (1.0,)], "reward double")
+    assert [r["advantage"] for r in S.global_advantage(same).collect()] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize(
+    "rho,advantage,expected",
+    [(2.0, 1.0, 1.28), (2.0, -1.0, -2.0), (0.5, 1.0, 0.5), (0.5, -1.0, -0.8), (1.1, 1.0, 1.1), (1.1, 0.0, 0.0)],
+)
+def test_surrogate(one, rho, advantage, expected):
+    value = one("r double, a double", rho, advantage)
+    assert value(S.clipped_surrogate(F.col("r"), F.col("a"))) == pytest.approx(expected)
+
+
+def test_sequence_logprob_as_rows_and_arrays(spark, one):
+    lp, mask = [-1.0, -2.0, -4.0], [0.0, 1.0, 0.5]
+    rows = spark.createDataFrame([(0, v, m) for v, m in zip(lp, mask)] + [(1, -1.0, 0.0)], "s int, lp double, mask double")
+    got = {r["s"]: r["seq_lp"] for r in S.sequence_logprobs(rows, ["s"], ["lp"]).collect()}
+    assert got == {0: pytest.approx(-4.0 / 1.5), 1: 0.0}
+    value = one("lp array<double>, m array<double>", lp, mask)
+    assert value(S.sequence_logprob(F.col("lp"), F.col("m"))) == pytest.approx(-4.0 / 1.5)
+
+
+def loss(spark, rows):
+    df = spark.createDataFrame(rows, "step int, seq_lp double, seq_lp_old double, mask_total double, advantage double")
+    return {r["step"]: r["grpo_loss"] for r in S.policy_loss(df, ["step"]).collect()}
+
+
+def test_policy_loss(spark):
+    got = loss(
+        spark,
+        [
+            (0, 0.0, 0.0, 3.0, 1.0), (0, 0.0, 0.0, 3.0, -1.0),  # terms cancel
+            (1, 0.0, 0.0, 3.0, 1.0),  # a single row
+            (2, math.log(2), 0.0, 2.0, 1.0), (2, 0.0, 0.0, 0.0, -1.0),  # the empty one counts as one token
+        ],
+    )
+    assert got == {0: 0.0, 1: 0.0, 2: pytest.approx(-1.28 * 2 / 3)}
+
+
+def pairs(spark, rows):
+    schema = "step int, pos int, mask int, logits array<double>, teacher_logits array<double>"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_distill_loss_ignores_prompt_tokens(spark):
+    flat, peak = [0.0] * 4, [0.0, 5.0, 0.0, 0.0]
+    plain = [(0, 0, 0, flat, flat), (0, 1, 0, flat, flat), (0, 2, 1, flat, peak)]
+    loud = [(1, p, 0, [50.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 50.0]) for p in (0, 1)] + [(1, 2, 1, flat, peak)]
+    empty = [(2, 0, 0, flat, peak), (2, 1, 0, flat, peak)]
+    got = {r["step"]: r["sdpo_loss"] for r in S.distill_loss(pairs(spark, plain + loud + empty), ["step"]).collect()}
+    assert got[0] == got[1] > 0
+    assert got[2] == 0.0
+    t = [math.exp(v) / (3 + math.exp(5)) for v in peak]
+    kl = sum(p * (math.log(p) - math.log(0.25)) for p in t)
+    weight = 1 - 0.01 * -sum(p * math.log(p) for p in t) / math.log(4)
+    assert got[0] == pytest.approx(kl * weight)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5])
+def test_chunk_means_combine_to_the_mean(spark, chunk):
+    rng = random.Random(chunk)
+    vectors = [[rng.random() for _ in range(5)] for _ in range(22)]
+    rows = [(0, i, int(i % 3 > 0), vectors[i], vectors[i + 1]) for i in range(20)]
+    rows += [(1, i, 0, vectors[i], vectors[i]) for i in range(3)]
+    whole = {r["step"]: r["sdpo_loss"] for r in S.distill_loss(pairs(spark, rows), ["step"]).collect()}
+    by_chunk = pairs(spark, rows).withColumn("chunk", F.floor(F.col("pos") / chunk))
+    means = S.distill_loss(by_chunk, ["step", "chunk"]).withColumnRenamed("sdpo_loss", "mean")
+    sizes = by_chunk.groupBy("step", "chunk").agg(F.sum("mask").alias("n"))
+    got = S.combine_means(means.join(sizes, ["step", "chunk"]), ["step"]).collect()
+    assert {r["step"]: r["sdpo_loss"] for r in got} == {k: pytest.approx(v) for k, v in whole.items()}
+
+
+def test_response_total(spark):
+    df = spark.createDataFrame([(0, 5, 2), (0, 3, 0), (0, 2, 9), (1, 1, 1)], "step int, n int, pl int")
+    got = S.response_total(df, ["step"], F.col("n"), F.col("pl")).collect()
+    assert {r["step"]: r["response_tokens"] for r in got} == {0: 5, 1: 1}
+
+
+def test_metrics_and_total(spark):
+    comps = spark.createDataFrame([(0, 1.0), (0, 0.0), (1, 0.0)], "step int, reward double")
+    policy = spark.createDataFrame([(0, 0.5)], "step int, grpo_loss double")
+    distill = spark.createDataFrame([(1, 0.25)], "step int, sdpo_loss double")
+    depth = spark.createDataFrame([(0, 3, 2, 0.9), (1, 1, 1, 1.0)], "step int, T int, T_bwd int, rho double")
+    losses = S.total_loss(policy, distill, ["step"])
+    rows = S.stability(S.step_metrics(comps, losses, depth, ["step"])).orderBy("step").collect()
+    assert [(r["loss"], r["grpo_loss"], r["sdpo_loss"]) for r in rows] == [(0.5, 0.5, 0.0), (0.25, 0.0, 0.25)]
+    assert [(r["reward_mean"], r["n_correct"], r["n_failed"]) for r in rows] == [(0.5, 1, 1), (0.0, 0, 1)]
+    assert [r["stable"] for r in rows] == [True, False]
+
+
+def test_taken_logprobs(spark):
+    tokens = spark.createDataFrame(
+        [(0, 0, 1, 1), (0, 1, 0, 1), (0, 2, 1, 1), (1, 0, 0, 0), (1, 1, 1, 0)],
+        "seq_id int, pos int, id int, prompt_len int",
+    )
+    logits = spark.createDataFrame([(s, p, [0.0, float(p)]) for s in (0, 1) for p in range(2)], "seq_id int, pos int, logits array<double>")
+    got = {(r["seq_id"], r["pos"]): r["lp"] for r in S.taken_logprobs(tokens, logits).collect()}
+    half = math.log(0.5)
+    assert got == {
+        (0, 0): 0.0,
+        (0, 1): pytest.approx(half),
+        (0, 2): pytest.approx(1 - math.log(1 + math.e)),
+        (1, 0): 0.0,
+        (1, 1): pytest.approx(half),
+    }
+
+
+def test_bucketed_vectors_join_without_a_shuffle(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(64).select(
+            F.col("id").alias("seq_id"), F.lit(0).alias("pos"), F.array(F.rand(1), F.rand(2)).alias("logits")
+        )
+        for name in ("student_vectors", "teacher_vectors"):
+            S.write_by_sequence(rows, name, 4)
+        paired = S.pair_logits(spark.table("student_vectors"), spark.table("teacher_vectors"))
+        assert paired.count() == 64
+        assert "Exchange" not in paired._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for name in ("student_vectors", "teacher_vectors"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
