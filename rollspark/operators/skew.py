@@ -17,18 +17,12 @@ BLOCK_BITS = 20
 ORDER_BITS = 40
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], tag: str) -> tuple[DataFrame, Column]:
-    """Rename the right keys and build a null-safe equality condition."""
-    renamed = reduce(lambda df, k: df.withColumnRenamed(k, f"{tag}{k}"), keys, right)
-    tests = [left[k].eqNullSafe(renamed[f"{tag}{k}"]) for k in keys]
-    return renamed, reduce(lambda a, b: a & b, tests)
-
-
 def _equi_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on equal keys, null matching null, keeping the left key columns."""
-    renamed, condition = _same_keys(left, right, keys, "_r_")
-    joined = left.join(renamed, condition, how)
-    return joined.drop(*[f"_r_{k}" for k in keys])
+    others = [c for c in right.columns if c not in keys]
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *others)
+    matches = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, matches, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def heavy_keys(counts: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -59,17 +53,11 @@ def skew_join(
     heavy = heavy_keys(counts, keys, split_rows)
     pieces = F.broadcast(heavy.select(*keys, F.ceil(F.col("_n") / split_rows).cast("int").alias("_pieces")))
     spread = F.xxhash64(*[F.col(c) for c in (spread_by or rows.columns)])
-    salted = (
-        _equi_join(rows, pieces, keys, "left")
-        .withColumn("_salt", F.when(F.col("_pieces").isNotNull(), F.pmod(spread, F.col("_pieces"))).otherwise(0).cast("int"))
-        .drop("_pieces")
-    )
-    copies = (
-        _equi_join(lookup, pieces, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)))
-        .drop("_pieces")
-    )
-    return _equi_join(salted, copies, [*keys, "_salt"], how).drop("_salt")
+    salt = F.when(F.col("_pieces").isNotNull(), F.pmod(spread, F.col("_pieces"))).otherwise(0).cast("int")
+    salted = _equi_join(rows, pieces, keys, "left").select(*rows.columns, salt.alias("_salt"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))
+    copied = _equi_join(lookup, pieces, keys, "left").select(*lookup.columns, copies.alias("_salt"))
+    return _equi_join(salted, copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def with_group_stats(
@@ -94,13 +82,10 @@ def with_group_stats(
     heavy = heavy_keys(stats, keys, split_rows)
     known = F.broadcast(heavy.select(*keys, F.col("_n").alias("_heavy"), *[F.col(n).alias(f"_h_{n}") for n in aggregates]))
     scatter = 1 + F.pmod(F.xxhash64(*[F.col(c) for c in (spread_by or rows.columns)]), F.lit(SPLITS))
-    tagged = _equi_join(rows, known, keys, "left").withColumn(
-        "_salt", F.when(F.col("_heavy").isNotNull(), scatter).otherwise(0).cast("int")
-    )
+    salt = F.when(F.col("_heavy").isNotNull(), scatter).otherwise(0).cast("int")
+    tagged = _equi_join(rows, known, keys, "left").withColumn("_salt", salt)
     joined = _equi_join(tagged, stats.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left")
-    for name in aggregates:
-        joined = joined.withColumn(name, F.coalesce(F.col(name), F.col(f"_h_{name}")))
-    return joined.drop("_n", "_heavy", "_salt", *[f"_h_{n}" for n in aggregates])
+    return joined.select(*rows.columns, *[F.coalesce(n, f"_h_{n}").alias(n) for n in aggregates])
 
 
 def sum_over_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
