@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+PIECE = 1 << 21
+
 
 class Ragged:
     """The non-empty rows of a list column.
@@ -16,11 +18,9 @@ class Ragged:
     rows hold no elements and are left out.
     """
 
-    def __init__(self, column: pa.Array, dtype=None):
+    def __init__(self, column: pa.Array):
         self.column = column
-        flat = column.flatten()
-        values = flat.to_numpy(zero_copy_only=False)
-        self.values = values if dtype is None else values.astype(dtype)
+        self.values = column.flatten().to_numpy(zero_copy_only=False)
         sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         self.length = len(column)
         self.rows = np.flatnonzero(sizes)
@@ -28,14 +28,21 @@ class Ragged:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def matrices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(row numbers, matrix) per distinct row size; usually a single one."""
+        """(row numbers, matrix) of rows of equal size, in pieces of at most ``PIECE`` elements or one row.
+
+        Small pieces keep the copies made while working on them small.
+        """
         for size in np.unique(self.sizes):
             chosen = np.flatnonzero(self.sizes == size)
-            if len(chosen) == len(self.sizes):
-                yield self.rows, self.values.reshape(-1, size)
-            else:
-                index = self.starts[chosen][:, None] + np.arange(size)
-                yield self.rows[chosen], self.values[index]
+            step = max(1, PIECE // int(size))
+            for first in range(0, len(chosen), step):
+                part = chosen[first : first + step]
+                if len(chosen) == len(self.sizes):
+                    start = self.starts[part[0]]
+                    matrix = self.values[start : start + len(part) * size].reshape(-1, size)
+                else:
+                    matrix = self.values[self.starts[part][:, None] + np.arange(size)]
+                yield self.rows[part], matrix.astype(np.float64)
 
 
 def list_array(values: np.ndarray, like: Ragged) -> pa.Array:

@@ -29,10 +29,6 @@ def _log_softmax(matrix: np.ndarray) -> np.ndarray:
     return shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
 
 
-def _doubles(column: pa.Array) -> Ragged:
-    return Ragged(column, np.float64)
-
-
 def _nullable(values: np.ndarray, known: np.ndarray) -> pa.Array:
     return pa.array(values, mask=~known)
 
@@ -48,21 +44,21 @@ def _flat(rows: Ragged, pieces: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array
 @arrow_udf(T.ArrayType(T.DoubleType()))
 def log_softmax(logits: pa.Array) -> pa.Array:
     """F10. Log-probabilities of all items."""
-    rows = _doubles(logits)
+    rows = Ragged(logits)
     return _flat(rows, [(chosen, _log_softmax(m)) for chosen, m in rows.matrices()])
 
 
 @arrow_udf(T.ArrayType(T.DoubleType()))
 def softmax(logits: pa.Array) -> pa.Array:
     """F10. Probabilities of all items."""
-    rows = _doubles(logits)
+    rows = Ragged(logits)
     return _flat(rows, [(chosen, np.exp(_log_softmax(m))) for chosen, m in rows.matrices()])
 
 
 @arrow_udf(T.DoubleType())
 def item_logprob(logits: pa.Array, item: pa.Array) -> pa.Array:
     """D8, G7. Log-softmax of the scores at one item; null when the item is not in range."""
-    rows = _doubles(logits)
+    rows = Ragged(logits)
     items = item.fill_null(-1).to_numpy(zero_copy_only=False)
     values, known = np.zeros(rows.length), np.zeros(rows.length, dtype=bool)
     for chosen, matrix in rows.matrices():
@@ -76,7 +72,7 @@ def item_logprob(logits: pa.Array, item: pa.Array) -> pa.Array:
 
 def _paired(left: pa.Array, right: pa.Array):
     """Matrix pairs of the rows whose two vectors have the same size."""
-    a, b = _doubles(left), _doubles(right)
+    a, b = Ragged(left), Ragged(right)
     sizes = [np.zeros(r.length, dtype=np.int64) for r in (a, b)]
     for size, r in zip(sizes, (a, b)):
         size[r.rows] = r.sizes
@@ -155,7 +151,7 @@ def top_k_items(logits: Column, temperature: float, k: int) -> Column:
 
     @arrow_udf("array<struct<item:int,prob:double,logprob:double>>")
     def kept_items(scores: pa.Array) -> pa.Array:
-        rows = _doubles(scores)
+        rows = Ragged(scores)
         sizes = np.zeros(rows.length, dtype=np.int32)
         found = []
         for chosen, matrix in rows.matrices():
@@ -186,7 +182,7 @@ def draw_item(logits: Column, u: Column, temperature: float, k: int) -> Column:
 
     @arrow_udf("struct<item:int,logprob:double>")
     def drawn(scores: pa.Array, point: pa.Array) -> pa.Array:
-        rows = _doubles(scores)
+        rows = Ragged(scores)
         points = point.to_numpy(zero_copy_only=False)
         item, raw = np.zeros(rows.length, dtype=np.int32), np.zeros(rows.length)
         known = np.zeros(rows.length, dtype=bool)

@@ -173,6 +173,24 @@ def distill_loss(
     )
 
 
+def step_distill_loss(
+    student: DataFrame,
+    teacher: DataFrame,
+    step_keys: Sequence[str],
+    weight: float = DEFAULTS.entropy_weight,
+    direction: str = "teacher_student",
+) -> DataFrame:
+    """J5, F14. Distillation loss of two score tables, joining active positions only.
+
+    Vectors of masked positions are filtered out in the scan instead of being
+    shuffled; steps that have no others come back with 0.
+    """
+    active = pair_logits(student.filter(F.col("mask") > 0), teacher)
+    losses = distill_loss(active, step_keys, weight, direction)
+    steps = student.select(*step_keys).distinct()
+    return steps.join(losses, list(step_keys), "left").fillna(0.0, ["sdpo_loss"])
+
+
 def combine_means(chunks: DataFrame, step_keys: Sequence[str], mean: str = "mean", n: str = "n") -> DataFrame:
     """F15. Token-weighted mean of chunk means; 0 when all chunks are empty."""
     total = F.sum(F.col(n))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollspark.functions.text import build_feedback, teacher_prompt
-from rollspark.operators.skew import group_ordinal, skew_join
+from rollspark.operators.skew import BLOCK_BITS, group_ordinal, skew_join
 
 # Spark cuts a row_number filter down before its shuffle up to this many rows per key.
 WINDOW_LIMIT = 1000
@@ -118,7 +118,7 @@ def trailing_mean(
     value: str,
     out: str = "trailing_mean",
     width: int = 10,
-    block_bits: int = 20,
+    block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """G3. Mean of the last ``width`` values of a run up to each row.
 
@@ -126,6 +126,8 @@ def trailing_mean(
     of a block are copied to the next one, where they only serve as history.
     """
     size = 1 << block_bits
+    if size < width:
+        raise ValueError("a block must hold at least one window")
     numbered = group_ordinal(rows, run_keys, order, "_at", block_bits)
     home = F.shiftright("_at", block_bits)
     near_end = F.pmod(F.col("_at"), F.lit(size)) > size - width

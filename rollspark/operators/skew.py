@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SPLITS = 2048
 SPLIT_ROWS = 100_000
 
-BLOCK_BITS = 20
+BLOCK_BITS = 18
 ORDER_BITS = 40
 
 

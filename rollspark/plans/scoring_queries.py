@@ -251,8 +251,8 @@ def _total(spark, sf_dir) -> DataFrame:
     policy = S.policy_loss(
         S.group_advantage(_array_means(spark, sf_dir), ["group_id"], spread_by=["seq_id"]), ["step"]
     )
-    pairs = S.pair_logits(V.logit_rows(spark, sf_dir), V.logit_rows(spark, sf_dir, shift=1))
-    distill = S.distill_loss(pairs.withColumn("step", F.pmod("seq_id", F.lit(4))), ["step"])
+    student = V.logit_rows(spark, sf_dir).withColumn("step", F.pmod("seq_id", F.lit(4)))
+    distill = S.step_distill_loss(student, V.logit_rows(spark, sf_dir, shift=1), ["step"])
     return S.total_loss(policy, distill, ["step"])
 
 

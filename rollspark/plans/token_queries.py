@@ -227,7 +227,8 @@ DISTILL_SQL = """
     V.with_views("distill_rows", body=f"SELECT seq_id, round(sdpo_loss, 6) + 0.0 AS sdpo_loss FROM ({DISTILL_SQL})"),
 )
 def f14(spark, sf_dir):
-    loss = S.distill_loss(_pairs(spark, sf_dir), ["seq_id"])
+    student, teacher = V.logit_rows(spark, sf_dir), V.logit_rows(spark, sf_dir, shift=1)
+    loss = S.step_distill_loss(student, teacher, ["seq_id"])
     return loss.select("seq_id", V.r6("sdpo_loss").alias("sdpo_loss"))
 
 

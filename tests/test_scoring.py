@@ -95,6 +95,20 @@ def test_distill_loss_ignores_prompt_tokens(spark):
     assert got[0] == pytest.approx(kl * weight)
 
 
+def test_step_distill_loss_keeps_steps_without_active_positions(spark):
+    vectors = [[0.0, 1.0], [2.0, 0.0], [1.0, 1.0]]
+    rows = [(0, s, p, int(s == 0 and p > 0), vectors[p], vectors[p - 1]) for s in (0, 1) for p in range(3)]
+    df = spark.createDataFrame(
+        [(s, *r) for s, r in zip([0, 0, 0, 1, 1, 1], [r[1:] for r in rows])],
+        "step int, seq_id int, pos int, mask int, logits array<double>, teacher_logits array<double>",
+    )
+    whole = {r["step"]: r["sdpo_loss"] for r in S.distill_loss(df, ["step"]).collect()}
+    teacher = df.select("seq_id", "pos", F.col("teacher_logits").alias("logits"))
+    got = S.step_distill_loss(df.drop("teacher_logits"), teacher, ["step"]).collect()
+    assert {r["step"]: r["sdpo_loss"] for r in got} == {k: pytest.approx(v) for k, v in whole.items()}
+    assert whole[0] > 0 == whole[1]
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 5])
 def test_chunk_means_combine_to_the_mean(spark, chunk):
     rng = random.Random(chunk)

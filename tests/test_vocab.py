@@ -2,9 +2,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rollspark.functions import ragged
 from rollspark.functions import vocab as V
 from rollspark.functions.determinism import uniform
 
@@ -19,6 +21,15 @@ def log_softmax(x):
     return [v - lse for v in x]
 
 
+@pytest.mark.parametrize("piece", [1, 7, 15, 1 << 21])
+def test_pieces_cover_all_rows(monkeypatch, piece):
+    monkeypatch.setattr(ragged, "PIECE", piece)
+    for rows in (ROWS, [r for r in ROWS if len(r) == 7]):
+        column = ragged.Ragged(pa.array([None, *rows, []], pa.list_(pa.float32())))
+        got = {int(i): list(m[j]) for chosen, m in column.matrices() for j, i in enumerate(chosen)}
+        assert got == {i + 1: list(np.float32(r)) for i, r in enumerate(rows)}
+
+
 @pytest.fixture(scope="module")
 def scores(spark):
     rows = [(i, x, ROWS[-1 - i] if len(ROWS[-1 - i]) == len(x) else x[::-1]) for i, x in enumerate(ROWS)]
