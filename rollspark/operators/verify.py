@@ -106,10 +106,13 @@ def verify_completions(
     judged, and all readers see one verdict.
     """
     spark = completions.sparkSession
-    coded = completions.withColumn("_code", extract_code(F.col("text"))).withColumn(
-        "script_key", F.sha2(F.concat_ws("\0", "_code", "test"), 256)
+    code, test = F.coalesce(extract_code(F.col("text")), F.lit("")), F.coalesce("test", F.lit(""))
+    # The length keeps apart pairs that only differ in where the code ends.
+    script_key = F.sha2(F.concat(F.length("_code"), F.lit(":"), F.col("_code"), test), 256)
+    coded = completions.withColumn("_code", code).withColumn("script_key", script_key)
+    pairs = coded.groupBy("script_key", F.col("_code").alias("code"), test.alias("test")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    pairs = coded.groupBy("script_key", F.col("_code").alias("code"), "test").agg(F.count(F.lit(1)).alias("n"))
     scripts_path, verdicts_path = fresh_dir(spark, "scripts"), fresh_dir(spark, "verdicts")
     pairs.write.parquet(scripts_path)
 

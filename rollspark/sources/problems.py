@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rollspark.config import DEFAULTS, RolloutConfig
 from rollspark.functions.determinism import uniform
 from rollspark.operators.ordering import hash_ordinal, seeded_head
+from rollspark.operators.skew import SPLIT_ROWS
 from rollspark.schemas import FUNCTION_ROW, MBPP_ROW, PROBLEM
 
 # Defaults for missing keys and the marks looked for in tests.
@@ -90,14 +91,21 @@ def weighted_mix(first: DataFrame, second: DataFrame, n: int, seed: int) -> Data
 def sample_pool(pool: DataFrame, n: int, seed: int = 42, key="problem_id") -> DataFrame:
     """A5. ``n`` draws from the pool with replacement, one row per ``draw_no``.
 
-    Draws meet the pool on its ordinal. They are even over the pool; one so
-    small that each row is drawn very often is broadcast by Spark on its size.
+    Draws meet the pool on its ordinal. They are even over the pool; where that
+    makes too many per pool row, each row is copied into pieces, and the draws
+    are dealt out over them.
     """
     size = pool.agg(F.count(F.lit(1))).scalar()
-    numbered = hash_ordinal(pool, key, seed, "_pick")
-    draws = pool.sparkSession.range(n).select(F.col("id").alias("draw_no"))
-    picked = draws.withColumn("_pick", F.floor(uniform(seed, F.col("draw_no")) * size).cast("long"))
-    return picked.join(numbered, "_pick").drop("_pick")
+    pieces = F.coalesce(F.ceil(F.lit(n) / F.nullif(size * SPLIT_ROWS, F.lit(0))), F.lit(1)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))
+    numbered = hash_ordinal(pool, key, seed, "_pick").withColumn("_piece", copies)
+    draw_no = F.col("id")
+    draws = pool.sparkSession.range(n).select(
+        draw_no.alias("draw_no"),
+        F.floor(uniform(seed, draw_no) * size).cast("long").alias("_pick"),
+        F.pmod(F.xxhash64(draw_no), F.greatest(pieces, F.lit(1))).cast("int").alias("_piece"),
+    )
+    return draws.join(numbered, ["_pick", "_piece"]).drop("_pick", "_piece")
 
 
 def read_rows(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -75,6 +75,13 @@ def test_pool_sample(spark, n):
         assert len({r["problem_id"] for r in got}) > 45
 
 
+def test_pool_sample_in_pieces(spark, monkeypatch):
+    pool = plain(spark, 3, "pool")
+    whole = sorted(map(tuple, P.sample_pool(pool, 400).collect()))
+    monkeypatch.setattr(P, "SPLIT_ROWS", 20)
+    assert sorted(map(tuple, P.sample_pool(pool, 400).collect())) == whole
+
+
 def test_pool_sample_of_nothing(spark):
     assert P.sample_pool(plain(spark, 0, "pool"), 5).count() == 0
 

@@ -14,6 +14,10 @@ CASES = [
     ("busy", "while True:\n    pass", "assert True", 0.0),
     ("environment", "import os", "assert not os.environ.get('HOME')", 1.0),
     ("memory", "x = bytearray(1 << 32)", "assert True", 0.0),
+    ("null test", "x = 2", None, 1.0),
+    ("null text", None, "assert True", 1.0),
+    ("code ends late", "x = 1\ny = 2", "assert y == 2", 1.0),
+    ("code ends early", "x = 1", "\ny = 2assert y == 2", 0.0),
     ("nul", "x = '\0'", "assert True", 0.0),
 ]
 
