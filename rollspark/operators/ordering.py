@@ -71,4 +71,5 @@ def seeded_head(rows: DataFrame, n: int, key: str | Sequence[str], seed, out: st
     hashed, order = _hashed(rows, key, seed)
     head = hashed.orderBy(*order).limit(max(n, 0))
     # One window over at most SHORT_HEAD rows.
-    return head.withColumn(out, F.row_number().over(Window.orderBy(*order)) - 1).drop("_hash", "_block")
+    position = (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
+    return head.withColumn(out, position).drop("_hash", "_block")

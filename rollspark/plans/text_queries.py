@@ -340,7 +340,7 @@ def k2(spark, sf_dir):
 
 @query(
     "k3_step_metrics_stream",
-    """SELECT user_id AS run_id, day(ts) AS step, count(*) FILTER (event_type = 'purchase') AS n_correct,
+    """SELECT user_id AS run_id, day(ts)::INTEGER AS step, count(*) FILTER (event_type = 'purchase') AS n_correct,
               count(*) FILTER (event_type <> 'purchase') AS n_failed,
               round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END), 6) AS reward_mean
        FROM events GROUP BY ALL""",

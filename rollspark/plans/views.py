@@ -358,7 +358,7 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["metric_rows"] = """
-  SELECT user_id AS run_id, event_id::INTEGER AS step, day(ts) AS day, (1 + event_id % 8)::INTEGER AS T,
+  SELECT user_id AS run_id, event_id::INTEGER AS step, day(ts)::INTEGER AS day, (1 + event_id % 8)::INTEGER AS T,
          value / 100 AS loss, value / 300 AS grpo_loss, value / 150 AS sdpo_loss, value / 500 AS reward_mean,
          value / 250 AS rho, (event_id % 5)::INTEGER AS n_correct, (4 - event_id % 5)::INTEGER AS n_failed,
          value AS seconds
