@@ -17,12 +17,15 @@ BLOCK_BITS = 18
 ORDER_BITS = 40
 
 
-def _equi_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on equal keys, null matching null, keeping the left key columns."""
-    others = [c for c in right.columns if c not in keys]
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *others)
-    matches = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, matches, how).drop(*[f"_r_{k}" for k in keys])
+def _equi_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, salt: Sequence[str] = ()
+) -> DataFrame:
+    """Join on equal keys, null matching null, and on a salt that is never null. Keeps the left key columns."""
+    shared = [*keys, *salt]
+    others = [c for c in right.columns if c not in shared]
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in shared], *others)
+    matches = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(k) == F.col(f"_r_{k}") for k in salt]
+    return left.join(renamed, reduce(lambda a, b: a & b, matches), how).drop(*[f"_r_{k}" for k in shared])
 
 
 def heavy_keys(counts: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -57,7 +60,7 @@ def skew_join(
     salted = _equi_join(rows, pieces, keys, "left").select(*rows.columns, salt.alias("_salt"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))
     copied = _equi_join(lookup, pieces, keys, "left").select(*lookup.columns, copies.alias("_salt"))
-    return _equi_join(salted, copied, [*keys, "_salt"], how).drop("_salt")
+    return _equi_join(salted, copied, keys, how, ["_salt"]).drop("_salt")
 
 
 def with_group_stats(
@@ -84,7 +87,10 @@ def with_group_stats(
     scatter = 1 + F.pmod(F.xxhash64(*[F.col(c) for c in (spread_by or rows.columns)]), F.lit(SPLITS))
     salt = F.when(F.col("_heavy").isNotNull(), scatter).otherwise(0).cast("int")
     tagged = _equi_join(rows, known, keys, "left").withColumn("_salt", salt)
-    joined = _equi_join(tagged, stats.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left")
+    # Always 0, but read from the count: a literal would be folded out of the join
+    # keys, and without the count the two statistics would not share an exchange.
+    unsalted = stats.withColumn("_salt", F.least("_n", F.lit(0)).cast("int"))
+    joined = _equi_join(tagged, unsalted, keys, "left", ["_salt"])
     return joined.select(*rows.columns, *[F.coalesce(n, f"_h_{n}").alias(n) for n in aggregates])
 
 

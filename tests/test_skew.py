@@ -53,17 +53,44 @@ def test_join(spark, rows, split_rows, how):
         assert r["text"] == expected
 
 
-def test_heavy_rows_are_spread(rows):
-    """No hash partition of the join holds the hot key as a whole."""
-    lookup = rows.groupBy("k").agg(F.max("v").alias("top"))
+@pytest.fixture
+def plain_shuffles(spark):
+    """No broadcast joins and no adaptive help, so that partitions are what the plan makes of them."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def largest_partition(df):
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+def test_heavy_rows_are_spread(rows, plain_shuffles):
+    """No partition of the join holds the hot key, with its 1,200 rows, as a whole."""
     counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
-    heavy = skew.heavy_keys(counts, ["k"], 100).collect()
-    assert [r["k"] for r in heavy] == [None]
-    joined = skew.skew_join(rows, lookup, ["k"], "inner", ["id"], split_rows=100)
-    plan = joined._jdf.queryExecution().optimizedPlan().toString()
-    assert "xxhash64" in plan
-    salts = rows.filter("k is null").select(F.pmod(F.xxhash64("id"), F.lit(12)).alias("s")).groupBy("s").count()
-    assert salts.agg(F.max("count")).first()[0] < 200
+    assert [r["k"] for r in skew.heavy_keys(counts, ["k"], 100).collect()] == [None]
+    lookup = rows.groupBy("k").agg(F.max("v").alias("top"))
+    assert largest_partition(skew.skew_join(rows, lookup, ["k"], "inner", ["id"])) > 1100
+    assert largest_partition(skew.skew_join(rows, lookup, ["k"], "inner", ["id"], split_rows=100)) < 500
+    stats = {"m": F.avg("v")}
+    assert largest_partition(skew.with_group_stats(rows, ["k"], stats, ["id"])) > 1100
+    assert largest_partition(skew.with_group_stats(rows, ["k"], stats, ["id"], split_rows=100)) < 500
+    assert largest_partition(skew.group_ordinal(rows, ["k"], "seq", "at", block_bits=12)) < 500
+
+
+def test_statistics_share_one_exchange(rows, spark):
+    joined = skew.with_group_stats(rows, ["k"], {"m": F.avg("v"), "s": F.stddev_pop("v")}, ["id"], split_rows=100)
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
 
 
 @pytest.mark.parametrize("bits", [0, 4, 9, 20])
