@@ -78,3 +78,8 @@ def mask_positions(mask: pa.Array) -> pa.Array:
 def is_unpadded(mask: Column) -> Column:
     """D7. True if the mask covers every position of the row."""
     return F.aggregate(mask, F.lit(0.0), lambda total, m: total + m) == F.size(mask)
+
+
+def require_unpadded(ids: Column, mask: Column) -> Column:
+    """D7. The ids, or an error if the row is padded."""
+    return F.when(is_unpadded(mask), ids).otherwise(F.raise_error(F.lit("rows must not be padded")))

@@ -59,3 +59,10 @@ def progress_line(total_steps: int, seconds: Column) -> Column:
         F.lit(" | ρ(A)="), fixed(F.col("rho"), 4),
         F.lit(" | "), fixed(seconds, 1), F.lit("s"),
     )
+
+
+def stability_line() -> Column:
+    """F19. One line per evaluated step."""
+    # Label and signs.
+    sign = F.when(F.col("rho") < 1.0, F.lit(" ✓")).otherwise(F.lit(" ✗ UNSTABLE"))
+    return F.concat(F.lit("  [eval] ρ(A)="), fixed(F.col("rho"), 6), sign)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rollspark.operators import reports
 from rollspark.operators import scoring as S
 from rollspark.operators import selection as L
 from rollspark.operators.batching import sample_depth
@@ -307,6 +308,19 @@ def f19(spark, sf_dir):
     return S.stability(V.metric_rows(spark, sf_dir)).select("run_id", "step", "rho", "stable")
 
 
+@query(
+    "f19_stability_line",
+    V.with_views(
+        "metric_rows",
+        body="""SELECT run_id, step, printf('  [eval] ρ(A)=%.6f', rho) || CASE WHEN rho < 1 THEN ' ✓' ELSE ' ✗ UNSTABLE' END
+                       AS line FROM metric_rows WHERE step % 50 = 0 AND step > 0""",
+    ),
+)
+def f19_line(spark, sf_dir):
+    due = V.metric_rows(spark, sf_dir).filter(L.periodic_due(F.col("step"), 50))
+    return due.select("run_id", "step", reports.stability_line().alias("line"))
+
+
 FEEDBACK_SQL = """
   SELECT c.*, 'Your code:' || chr(10) || '```python' || chr(10) || c.text || chr(10) || '```' || chr(10) || chr(10)
          || 'Error: ' || c.feedback || chr(10) || chr(10) || CASE WHEN d.demo IS NULL

@@ -4,7 +4,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rollspark.functions.vocab import distill_terms  # noqa: F401
 from rollspark.operators import scoring as S
 
 ROOT3 = math.sqrt(3)
@@ -146,7 +145,8 @@ def test_taken_logprobs(spark):
         [(0, 0, 1, 1), (0, 1, 0, 1), (0, 2, 1, 1), (1, 0, 0, 0), (1, 1, 1, 0)],
         "seq_id int, pos int, id int, prompt_len int",
     )
-    logits = spark.createDataFrame([(s, p, [0.0, float(p)]) for s in (0, 1) for p in range(2)], "seq_id int, pos int, logits array<double>")
+    vectors = [(s, p, [0.0, float(p)]) for s in (0, 1) for p in range(2)]
+    logits = spark.createDataFrame(vectors, "seq_id int, pos int, logits array<double>")
     got = {(r["seq_id"], r["pos"]): r["lp"] for r in S.taken_logprobs(tokens, logits).collect()}
     half = math.log(0.5)
     assert got == {

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from rollspark.operators.scoring import group_advantage
 from rollspark.schemas import SAMPLE_LOG
@@ -51,7 +50,8 @@ def test_step_metrics_add_up_over_batches(spark, tmp_path, arriving):
     for part in range(0, 60, 20):
         put(rows[part : part + 20])
         jobs.run_step_metrics(stream(), ["step"], out, checkpoint)
-    got = {r["step"]: (r["reward_mean"], r["n_correct"], r["n_failed"]) for r in jobs.read_step_metrics(spark, ["step"], out).collect()}
+    metrics = jobs.read_step_metrics(spark, ["step"], out).collect()
+    got = {r["step"]: (r["reward_mean"], r["n_correct"], r["n_failed"]) for r in metrics}
     for step in range(3):
         rewards = [r[3] for r in rows if r[1] == step]
         assert got[step] == (pytest.approx(sum(rewards) / len(rewards)), sum(rewards), len(rewards) - sum(rewards))
@@ -99,7 +99,11 @@ def test_streamed_advantages_equal_the_batch(spark, tmp_path, arriving):
 
 def test_stream_verdicts_equal_the_batch(spark, tmp_path):
     schema = "text string, stdout string, stderr string, timed_out boolean, launch_error string"
-    rows = [("```python\nx\n```", "__ALL_PASSED__", "", False, None), ("y", " oops ", "", False, None), ("z", "", "", True, None)]
+    rows = [
+        ("```python\nx\n```", "__ALL_PASSED__", "", False, None),
+        ("y", " oops ", "", False, None),
+        ("z", "", "", True, None),
+    ]
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     batch = jobs.judge_stream(spark.read.parquet(str(tmp_path / "in")))
     stream = jobs.judge_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))

@@ -70,3 +70,11 @@ def test_positions_and_padding(spark):
     got = df.select("i", T.mask_positions("mask").alias("p"), T.is_unpadded(F.col("mask")).alias("whole")).collect()
     assert [r["p"] for r in sorted(got)] == [[0, 1, 2], [0, 0, 0, 1], [], None, [0, 0, 1], [0]]
     assert [r["whole"] for r in sorted(got)] == [True, False, True, None, False, False]
+
+
+def test_padded_rows_can_be_refused(spark):
+    df = spark.createDataFrame([([1, 2], [1, 1]), ([3], [0])], "ids array<int>, mask array<int>")
+    checked = df.select(T.require_unpadded(F.col("ids"), F.col("mask")).alias("ids"))
+    assert checked.filter(F.size("mask") == 2).first()["ids"] == [1, 2]
+    with pytest.raises(Exception, match="must not be padded"):
+        checked.collect()
