@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollspark.llm import bpe, langid
+from rollspark.llm import bpe, langid, quality, simhash
 from rollspark.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,19 @@ def query(name: str):
 
 
 
+@query("op4_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = quality.train(docs, load(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    scored = quality.score(docs.select("doc_id", "text"), model, out="score")
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query("op5_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
@@ -36,6 +49,13 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_simhash")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Digests of the token ids of each document and of the text they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
