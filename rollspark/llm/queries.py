@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollspark.llm import bpe, langid, quality, simhash
+from rollspark.llm import bpe, decontam, langid, quality, sharding, simhash
 from rollspark.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,41 @@ def query(name: str):
 
 
 
+@query("op1_sharding")
+def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = sharding.shard(load(spark, sf_dir, "documents"), shards=40)
+    text = F.coalesce(F.col("record.text"), F.lit(""))
+    return written.select(
+        F.col("record.doc_id").alias("doc_id"),
+        (F.octet_length(text) + sharding.ROW_BYTES).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op3_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+SQL["op3_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+       FROM d WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+       FROM b WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS shingles FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, shingles, count(*) / shingles AS containment
+FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, shingles HAVING count(*) >= shingles * 0.8 - 1e-9
+"""
+
+
 @query("op4_quality")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
