@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollspark.llm import bpe, decontam, langid, quality, sharding, simhash
+from rollspark.llm import bpe, decontam, langid, lm, quality, sharding, simhash
 from rollspark.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,14 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_lm_scoring")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 5) == 1).alias("held_out"))
+    model, vocabulary = lm.train(docs, ~F.col("held_out"))
+    scored = lm.score(docs, model, vocabulary)
+    return scored.select("record.doc_id", "record.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op3_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
