@@ -16,20 +16,23 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from rollspark.llm.common import share
+
 # Fixed value: how byte-level BPE cuts a text before it merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 CACHED_WORDS = 400_000  # words remembered per Python worker; on overflow the memory starts anew
-CACHED_PAIRS = 2_000_000
+CACHED_PAIRS = 300_000
 GROUP = 400_000  # letters of consecutive texts that are encoded together
+DECODED = 500_000  # ids that are decoded together
 
 
 def byte_letters() -> dict[str, int]:
@@ -68,13 +71,22 @@ class Vocabulary:
             self.merge[halves] = rank
             if self.halves[made] == (-1, -1):
                 self.rank[made], self.halves[made] = rank, halves
-        self.made = [len(t) == 1 for t in self.bytes]  # tokens that encode to themselves
+        self.made = [len(t) == 1 for t in self.bytes]  # tokens that encode to themselves; others never occur
         for made in sorted((t for t in range(size) if self.rank[t] >= 0), key=self.rank.__getitem__):
             left, right = self.halves[made]
             self.made[made] = self.made[left] and self.made[right] and self._apart(left, right, self.rank[made])
-        for i in self.special.values():
-            self.made[i] = False
-        self.apart = lru_cache(CACHED_PAIRS)(lambda left, right: self._apart(left, right, len(self.merge)))
+        self.usable = {token: i for token, i in self.ids.items() if self.made[i]}
+        self.known: dict[tuple[int, int], bool] = {}  # pairs whose boundary has been looked at
+
+    def apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the boundary of two tokens."""
+        pair = left, right
+        answer = self.known.get(pair)
+        if answer is None:
+            if len(self.known) >= CACHED_PAIRS:
+                self.known.clear()
+            answer = self.known[pair] = self._apart(left, right, len(self.merge))
+        return answer
 
     def _apart(self, left: int, right: int, before: int) -> bool:
         """Whether no merge of a rank below ``before`` crosses the boundary of two tokens.
@@ -99,7 +111,7 @@ class Vocabulary:
         Sorted words are a trie laid out depth first: what a word shares with the
         one before it are nodes already there, and their states stay.
         """
-        ids, made, apart, longest, width = self.ids, self.made, self.apart, self.longest, self.bytes
+        token_of, apart, longest, width = self.usable.get, self.apart, self.longest, self.bytes
         state: list[int] = [-1]  # last token at each node of the current path, the root first
         before = b""
         for word in sorted(words):
@@ -110,11 +122,11 @@ class Vocabulary:
             first = shared - len(width[state[shared]]) if shared else 0  # where the last token of the prefix begins
             for end in range(shared + 1, len(word) + 1):
                 # There is one right token. It mostly begins where the one before did, or is short.
-                token = ids.get(word[first:end])
-                if token is None or not made[token] or (first and not apart(state[first], token)):
+                token = token_of(word[first:end])
+                if token is None or (first and not apart(state[first], token)):
                     for first in range(end - 1, max(-1, end - longest - 1), -1):
-                        token = ids.get(word[first:end])
-                        if token is not None and made[token] and (not first or apart(state[first], token)):
+                        token = token_of(word[first:end])
+                        if token is not None and (not first or apart(state[first], token)):
                             break
                     else:
                         raise ValueError("the vocabulary lacks a single byte")
@@ -131,10 +143,10 @@ class Vocabulary:
 class Encoder:
     """Encodes texts with a memory of words: their tokens on end in ``tokens``, word n from ``begins[n]`` on."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
         self.pieces = regex.compile(PIECES).findall
-        special = self.vocabulary.special
+        special = vocabulary.special
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self._forget()
 
@@ -144,7 +156,7 @@ class Encoder:
 
     def _words(self, text: str) -> list[str]:
         """Pieces of a text in order; strings of special tokens are pieces of their own."""
-        if self.special is None or not self.special.search(text):
+        if not any(token in text for token in self.vocabulary.special):
             return self.pieces(text)
         out, at = [], 0
         for m in self.special.finditer(text):
@@ -195,14 +207,39 @@ def in_groups(texts: list[str], size: int = GROUP) -> Iterator[list[str]]:
         yield group
 
 
+class Decoder:
+    """Spells ids: bytes of all tokens on end, token n from ``begins[n]`` on. Ids out of range spell nothing."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        spelled = [*vocabulary.bytes, b""]
+        self.nothing = len(spelled) - 1
+        self.letters = np.frombuffer(b"".join(spelled), np.uint8)
+        self.lengths = np.array([len(t) for t in spelled])
+        self.begins = np.cumsum(self.lengths) - self.lengths
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """Texts of rows of ids, row n from ``offsets[n]`` on; bytes that are no UTF-8 become U+FFFD."""
+        ids = np.where((ids >= 0) & (ids < self.nothing), ids, self.nothing)
+        lengths = self.lengths[ids]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        letters = self.letters[np.repeat(self.begins[ids] - total[:-1], lengths) + np.arange(total[-1])]
+        ends = total[offsets]
+        spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+        try:
+            return spelled.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([b.decode("utf-8", "replace") for b in spelled.to_pylist()], pa.string())
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """9. Adds the token ids of each whole text as an array. ``path``: vocabulary file that every executor has."""
+    """9. Adds the token ids of each whole text as an array. ``path``: vocabulary file, read by the driver alone."""
     if out in docs.columns:
         raise ValueError(f"there is a column {out} already")
+    shared = share(docs.sparkSession, Vocabulary(path))
 
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(path)
+        encoder = Encoder(shared())
         for batch in batches:
             done = [encoder.encode(g) for g in in_groups([t or "" for t in batch.to_pylist()])]
             ids = np.concatenate([np.zeros(0, np.int32), *[x for x, _ in done]])
@@ -213,15 +250,21 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """9. Adds the text of an array of token ids; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
+    """9. Adds the text of an array of token ids; bytes that are no UTF-8 become U+FFFD, unknown and null ids nothing."""
     if out in rows.columns:
         raise ValueError(f"there is a column {out} already")
+    shared = share(rows.sparkSession, Decoder(Vocabulary(path)))
 
     @F.arrow_udf("string")
     def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        spelled = dict(enumerate(Vocabulary(path).bytes))
+        decoder = shared()
         for batch in batches:
-            texts = [b"".join([spelled.get(i, b"") for i in row.as_py() or []]).decode("utf-8", "replace") for row in batch]
-            yield pa.array(texts, pa.string())
+            flat = batch.flatten().fill_null(-1).to_numpy()
+            counts = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
+            offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            cuts = np.searchsorted(offsets, np.arange(0, offsets[-1] + DECODED, DECODED))
+            cuts = np.unique(np.concatenate([[0], np.minimum(cuts, len(counts)), [len(counts)]]))
+            parts = [decoder.decode(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return rows.withColumn(out, text_of(ids))
