@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollspark.llm import bpe, decontam, langid, lm, quality, sharding, simhash
+from rollspark.llm import bpe, decontam, langid, lm, quality, sharding, simhash, sketch
 from rollspark.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,17 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 @query("op9_bpe")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(load(spark, sf_dir, "documents"))
+
+
+@query("op10_fingerprints")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = sketch.versions(load(spark, sf_dir, "documents"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.md5("sketch").alias("fingerprint"),
+        F.md5("edited_sketch").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
