@@ -18,9 +18,27 @@ from rollspark.functions.ragged import Ragged, list_array
 
 def soft_cap(logits: Column, cap: float | None) -> Column:
     """F20. Squash scores into (-cap, cap); no cap leaves them alone."""
-    if cap is None:
-        return logits
-    return F.transform(logits, lambda x: F.lit(float(cap)) * F.tanh(x / F.lit(float(cap))))
+    return logits if cap is None else _capped(float(cap))(logits)
+
+
+def _capped(cap: float):
+    @arrow_udf(T.ArrayType(T.DoubleType()))
+    def capped(scores: pa.Array) -> pa.Array:
+        rows = Ragged(scores)
+        return list_array(cap * np.tanh(rows.values / cap), rows)
+
+    return capped
+
+
+def soft_capped_log_softmax(logits: Column, cap: float) -> Column:
+    """F20, F10. Log-probabilities of capped scores, with one crossing to Python."""
+
+    @arrow_udf(T.ArrayType(T.DoubleType()))
+    def both(scores: pa.Array) -> pa.Array:
+        rows = Ragged(scores)
+        return _flat(rows, [(chosen, _log_softmax(cap * np.tanh(m / cap))) for chosen, m in rows.matrices()])
+
+    return both(logits)
 
 
 def _log_softmax(matrix: np.ndarray) -> np.ndarray:
@@ -146,15 +164,20 @@ def top_k_items(logits: Column, temperature: float, k: int) -> Column:
     """G6, G7. Array of the kept items with sampling probability and raw log-probability.
 
     Items below the k-th largest score are dropped, ties with it stay; k <= 0 keeps all.
-    The raw log-probability ignores temperature and top-k.
+    The raw log-probability ignores temperature and top-k. A vector with NaN has
+    no order, so it gives null.
     """
 
     @arrow_udf("array<struct<item:int,prob:double,logprob:double>>")
     def kept_items(scores: pa.Array) -> pa.Array:
         rows = Ragged(scores)
         sizes = np.zeros(rows.length, dtype=np.int32)
+        unordered = np.zeros(rows.length, dtype=bool)
         found = []
         for chosen, matrix in rows.matrices():
+            broken = np.isnan(matrix).any(axis=1)
+            unordered[chosen[broken]] = True
+            chosen, matrix = chosen[~broken], matrix[~broken]
             kept, raw = _kept(matrix, temperature, k), _log_softmax(matrix)
             at, item = np.nonzero(kept > -np.inf)
             sizes[chosen] = np.bincount(at, minlength=len(chosen))
@@ -168,7 +191,7 @@ def top_k_items(logits: Column, temperature: float, k: int) -> Column:
             names=["item", "prob", "logprob"],
         )
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), fields)
+        return pa.ListArray.from_arrays(pa.array(offsets), fields, mask=pa.array(unordered))
 
     return kept_items(logits)
 
@@ -177,7 +200,7 @@ def draw_item(logits: Column, u: Column, temperature: float, k: int) -> Column:
     """G8. Struct of the drawn item and its raw log-probability, for a uniform ``u``.
 
     Items are lined up by number; the first whose running probability exceeds
-    ``u`` is drawn, the last kept one if rounding leaves none.
+    ``u`` is drawn, the last kept one if rounding leaves none. Null for a vector with NaN.
     """
 
     @arrow_udf("struct<item:int,logprob:double>")
@@ -187,6 +210,10 @@ def draw_item(logits: Column, u: Column, temperature: float, k: int) -> Column:
         item, raw = np.zeros(rows.length, dtype=np.int32), np.zeros(rows.length)
         known = np.zeros(rows.length, dtype=bool)
         for chosen, matrix in rows.matrices():
+            whole = ~np.isnan(matrix).any(axis=1)
+            chosen, matrix = chosen[whole], matrix[whole]
+            if not len(chosen):
+                continue
             kept = _kept(matrix, temperature, k)
             above = np.cumsum(np.exp(kept), axis=1) > points[chosen][:, None]
             last = matrix.shape[1] - 1 - np.argmax(kept[:, ::-1] > -np.inf, axis=1)
@@ -194,7 +221,8 @@ def draw_item(logits: Column, u: Column, temperature: float, k: int) -> Column:
             item[chosen] = picked
             raw[chosen] = _log_softmax(matrix)[np.arange(len(chosen)), picked]
             known[chosen] = True
-        return pa.StructArray.from_arrays([_nullable(item, known), _nullable(raw, known)], names=["item", "logprob"])
+        fields = [_nullable(item, known), _nullable(raw, known)]
+        return pa.StructArray.from_arrays(fields, names=["item", "logprob"], mask=pa.array(~known))
 
     return drawn(logits, u)
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollspark.config import DEFAULTS, RolloutConfig
 from rollspark.functions.determinism import int_div, uniform
 from rollspark.functions.tokens import loss_mask
 from rollspark.operators.ordering import hash_ordinal, hash_ordinal_within
@@ -45,7 +45,10 @@ def epoch_schedule(
         "epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(0), epochs - 1)))
     )
     shuffle_seed = F.concat_ws(":", F.lit(seed + rank), F.col("epoch"))
-    ordered = hash_ordinal_within(copies, ["epoch"], key, shuffle_seed, "_at")
+    # Only the last epoch may be cut short; the rows of it that are left are known before they are shuffled.
+    last = F.when(epochs > 0, epochs - 1)
+    kept = (F.lit(draws) - last * batches) * batch_size
+    ordered = hash_ordinal_within(copies, ["epoch"], key, shuffle_seed, "_at", cut=(F.col("epoch") == last, kept))
     batch_no = int_div(F.col("_at"), batch_size)
     return (
         ordered.withColumn("_draw", F.col("epoch") * F.col("_batches") + batch_no)
@@ -90,20 +93,30 @@ def pad_batch(
     )
 
 
-def depth_thresholds(config: RolloutConfig = DEFAULTS) -> list[float]:
-    """P(Poisson <= k) for k below the largest depth."""
-    mean, total, bounds = config.depth_mean, 0.0, []
-    for k in range(config.max_depth):
-        total += math.exp(-mean) * mean**k / math.factorial(k)
-        bounds.append(total)
-    return bounds
+@dataclass(frozen=True)
+class DepthLaw:
+    """Poisson law of the number of loops, its bounds, and the share of loops that is trained."""
 
+    # The defaults.
+    expected: float = 2.0
+    least: int = 1
+    most: int = 8
+    trained: float = 0.5
 
-def sample_depth(*keys: Column, config: RolloutConfig = DEFAULTS) -> tuple[Column, Column]:
+    def thresholds(self) -> list[float]:
+        """P(Poisson <= k) for k below the largest depth."""
+        total, bounds = 0.0, []
+        for k in range(self.most):
+            total += math.exp(-self.expected) * self.expected**k / math.factorial(k)
+            bounds.append(total)
+        return bounds
+
+
+def sample_depth(*keys: Column, law: DepthLaw = DepthLaw(), seed: int = 42) -> tuple[Column, Column]:
     """G9. Clamped Poisson depth drawn per key, and how many of its loops are trained."""
-    u = uniform(config.seed, *keys)
-    depth = F.lit(config.max_depth)
-    for k, bound in reversed(list(enumerate(depth_thresholds(config)))):
-        depth = F.when(u < bound, F.lit(max(config.min_depth, k))).otherwise(depth)
-    backward = F.greatest(F.lit(1), F.ceil(depth * F.lit(config.backward_ratio)).cast("int"))
+    u = uniform(seed, *keys)
+    depth = F.lit(law.most)
+    for k, bound in reversed(list(enumerate(law.thresholds()))):
+        depth = F.when(u < bound, F.lit(max(law.least, k))).otherwise(depth)
+    backward = F.greatest(F.lit(1), F.ceil(depth * F.lit(law.trained)).cast("int"))
     return depth.cast("int"), backward

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollspark.functions.determinism import hash_block, order_hash
-from rollspark.operators.skew import sum_over_blocks
+from rollspark.operators.skew import equi_join, sum_over_blocks
 
 SHORT_HEAD = 10_000
 
@@ -29,17 +29,23 @@ def hash_ordinal(
     seed,
     out: str = "ordinal",
     upto: Column | int | None = None,
+    only: Column | int | None = None,
 ) -> DataFrame:
     """0-based position of each row in the seeded order of its unique ``key``.
 
-    With ``upto`` only the first that many rows are returned, and rows of later
-    blocks are gone before anything is shuffled.
+    With ``upto`` only the first that many rows are returned, with ``only`` the
+    row at that one position; rows of other blocks are gone before anything is
+    shuffled.
     """
     hashed, order = _hashed(rows, key, seed)
     counts = hashed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     # One window over at most BLOCKS rows.
     earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    shifts = counts.select("_block", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    if only is not None:
+        only = only if isinstance(only, Column) else F.lit(only)
+        shifts = shifts.filter((F.col("_shift") <= only) & (only < F.col("_shift") + F.col("_n")))
+    shifts = shifts.drop("_n")
     if upto is not None:
         upto = upto if isinstance(upto, Column) else F.lit(upto)
         shifts = shifts.filter(F.col("_shift") < upto)
@@ -48,15 +54,35 @@ def hash_ordinal(
     numbered = placed.withColumn(out, F.row_number().over(inside) - 1 + F.col("_shift"))
     if upto is not None:
         numbered = numbered.filter(F.col(out) < upto)
+    if only is not None:
+        numbered = numbered.filter(F.col(out) == only)
     numbered = numbered.withColumn(out, F.col(out).cast("long"))
     return numbered.drop("_hash", "_block", "_shift")
 
 
 def hash_ordinal_within(
-    rows: DataFrame, within: Sequence[str], key: str | Sequence[str], seed, out: str = "ordinal"
+    rows: DataFrame,
+    within: Sequence[str],
+    key: str | Sequence[str],
+    seed,
+    out: str = "ordinal",
+    cut: tuple[Column, Column] | None = None,
 ) -> DataFrame:
-    """As ``hash_ordinal``, numbered anew for each value of ``within``."""
+    """As ``hash_ordinal``, numbered anew for each value of ``within``.
+
+    ``cut`` is a condition that holds for one of these values, and how many of
+    its first rows are wanted: blocks behind them are gone before the shuffle. A
+    few more rows may come back, those of the block in which the last one lies.
+    """
     hashed, order = _hashed(rows, key, seed)
+    if cut is not None:
+        where, wanted = cut
+        counts = hashed.filter(where).groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+        # One window over at most BLOCKS rows.
+        earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        begins = counts.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+        last = begins.filter(F.col("_shift") < wanted).agg(F.max("_block")).scalar()
+        hashed = hashed.filter(F.when(where, F.col("_block") <= last).otherwise(F.lit(True)))
     numbered = sum_over_blocks(hashed.withColumn("_value", F.lit(1).cast("long")), within, order, out)
     return numbered.withColumn(out, F.col(out) - 1).drop("_hash")
 
@@ -64,12 +90,15 @@ def hash_ordinal_within(
 def seeded_head(rows: DataFrame, n: int, key: str | Sequence[str], seed, out: str = "position") -> DataFrame:
     """A8. First ``n`` rows of the seeded shuffle, with their position.
 
-    A short head is a top-n per task and a merge; a long one goes by blocks.
+    A short head is a top-n of hashes and keys per task and a merge, and the
+    rows are looked up by key, so that whole rows never meet in one task; a
+    long one goes by blocks. Both give the same rows.
     """
     if n > SHORT_HEAD:
         return hash_ordinal(rows, key, seed, out, upto=n)
     hashed, order = _hashed(rows, key, seed)
-    head = hashed.orderBy(*order).limit(max(n, 0))
-    # One window over at most SHORT_HEAD rows.
+    head = hashed.select(*order).orderBy(*order).limit(max(n, 0))
+    # One window over at most SHORT_HEAD rows of hash and key.
     position = (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
-    return head.withColumn(out, position).drop("_hash", "_block")
+    placed = head.select(*order[1:], position.alias(out))
+    return equi_join(rows, F.broadcast(placed), order[1:], "inner")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollspark.config import DEFAULTS
 from rollspark.functions.vocab import distill_terms, entropy_weight, item_logprob
 from rollspark.operators.skew import with_group_stats
 
@@ -14,6 +13,11 @@ from rollspark.operators.skew import with_group_stats
 SIGMA_FLOOR = 1e-8
 POSITION = ("seq_id", "pos")
 
+# How far the ratio may fall below and rise above 1, and how much an uncertain teacher counts less.
+CLIP_LOW = 0.2
+CLIP_HIGH = 0.28
+ENTROPY_WEIGHT = 0.01
+
 
 def standardized(reward: Column, mean: Column, sigma: Column) -> Column:
     return F.when(sigma >= SIGMA_FLOOR, (reward - mean) / (sigma + SIGMA_FLOOR)).otherwise(0.0)
@@ -69,6 +73,7 @@ def taken_logprobs(tokens: DataFrame, logits: DataFrame) -> DataFrame:
     scored = F.col("pos") >= F.greatest("prompt_len", F.lit(1))
     wanted = tokens.filter(scored).withColumn("_at", F.col("pos") - 1)
     vectors = logits.select("seq_id", F.col("pos").alias("_at"), "logits")
+    vectors = vectors.join(wanted.select("seq_id", "_at"), ["seq_id", "_at"], "left_semi")
     reduced = (
         wanted.join(vectors, ["seq_id", "_at"], "left")
         .withColumn("lp", item_logprob("logits", "id"))
@@ -111,40 +116,43 @@ def importance_ratio(seq_lp: Column, seq_lp_old: Column) -> Column:
     return F.exp(seq_lp - seq_lp_old)
 
 
-def clip_ratio(rho: Column, low: float = DEFAULTS.clip_low, high: float = DEFAULTS.clip_high) -> Column:
-    """F7. Clip to [1 - low, 1 + high]."""
-    return F.least(F.greatest(rho, F.lit(1.0 - low)), F.lit(1.0 + high))
+def clip_ratio(rho: Column, low: float = CLIP_LOW, high: float = CLIP_HIGH) -> Column:
+    """F7. Clip to [1 - low, 1 + high]; NaN stays NaN."""
+    # Spark takes NaN for the largest number, so the bounds would make a normal ratio of it.
+    return F.when(F.isnan(rho), rho).otherwise(F.least(F.greatest(rho, F.lit(1.0 - low)), F.lit(1.0 + high)))
 
 
 def clipped_surrogate(
-    rho: Column, advantage: Column, low: float = DEFAULTS.clip_low, high: float = DEFAULTS.clip_high
+    rho: Column, advantage: Column, low: float = CLIP_LOW, high: float = CLIP_HIGH
 ) -> Column:
-    """F8."""
-    return F.least(rho * advantage, clip_ratio(rho, low, high) * advantage)
+    """F8. NaN in the ratio or the advantage stays NaN."""
+    plain = rho * advantage
+    return F.when(F.isnan(plain), plain).otherwise(F.least(plain, clip_ratio(rho, low, high) * advantage))
 
 
 def policy_loss(
     rows: DataFrame,
     step_keys: Sequence[str],
-    low: float = DEFAULTS.clip_low,
-    high: float = DEFAULTS.clip_high,
+    low: float = CLIP_LOW,
+    high: float = CLIP_HIGH,
 ) -> DataFrame:
     """F9. Token-weighted clipped surrogate per step, negated.
 
     ``rows`` has one row per sequence: seq_lp, seq_lp_old, mask_total, advantage.
     Sequences without advantage still count in the denominator, empty ones as
-    one token; a step of fewer than two sequences has loss 0.
+    one token; a step of fewer than two sequences has loss 0. A NaN among the
+    surrogates makes the step's loss NaN; ``nan_sequences`` counts them.
     """
     rho = importance_ratio(F.col("seq_lp"), F.col("seq_lp_old"))
     surrogate = clipped_surrogate(rho, F.col("advantage"), low, high)
     total = F.sum(surrogate * F.col("mask_total"))
     tokens = F.greatest(F.sum(F.greatest("mask_total", F.lit(1.0))), F.lit(1.0))
     loss = F.when(F.count(F.lit(1)) < 2, F.lit(0.0)).otherwise(-total / tokens)
-    return rows.groupBy(*step_keys).agg(loss.alias("grpo_loss"))
+    return rows.groupBy(*step_keys).agg(loss.alias("grpo_loss"), F.count_if(F.isnan(surrogate)).alias("nan_sequences"))
 
 
 def distill_positions(
-    pairs: DataFrame, weight: float = DEFAULTS.entropy_weight, direction: str = "teacher_student"
+    pairs: DataFrame, weight: float = ENTROPY_WEIGHT, direction: str = "teacher_student"
 ) -> DataFrame:
     """F11-F13 per position: kl, entropy, weight; null where masked out. Vectors are dropped."""
     active = F.col("mask") > 0
@@ -163,7 +171,7 @@ def distill_positions(
 def distill_loss(
     pairs: DataFrame,
     step_keys: Sequence[str],
-    weight: float = DEFAULTS.entropy_weight,
+    weight: float = ENTROPY_WEIGHT,
     direction: str = "teacher_student",
 ) -> DataFrame:
     """F14. Mean of KL times weight over the active tokens of a step; 0 without any."""
@@ -177,18 +185,22 @@ def step_distill_loss(
     student: DataFrame,
     teacher: DataFrame,
     step_keys: Sequence[str],
-    weight: float = DEFAULTS.entropy_weight,
+    weight: float = ENTROPY_WEIGHT,
     direction: str = "teacher_student",
 ) -> DataFrame:
     """J5, F14. Distillation loss of two score tables, joining active positions only.
 
-    Vectors of masked positions are filtered out in the scan instead of being
-    shuffled; steps that have no others come back with 0.
+    Vectors of masked positions are filtered out on both sides before they
+    could be shuffled: the teacher meets the narrow list of active positions,
+    which Spark broadcasts or turns into a Bloom filter. Steps that have no
+    active position come back with 0.
     """
-    active = pair_logits(student.filter(F.col("mask") > 0), teacher)
+    wanted = student.filter(F.col("mask") > 0)
+    active = pair_logits(wanted, teacher.join(wanted.select(*POSITION), list(POSITION), "left_semi"))
     losses = distill_loss(active, step_keys, weight, direction)
     steps = student.select(*step_keys).distinct()
-    return steps.join(losses, list(step_keys), "left").fillna(0.0, ["sdpo_loss"])
+    # Only what is missing becomes 0: fillna would also turn NaN into 0.
+    return steps.join(losses, list(step_keys), "left").withColumn("sdpo_loss", F.coalesce("sdpo_loss", F.lit(0.0)))
 
 
 def combine_means(chunks: DataFrame, step_keys: Sequence[str], mean: str = "mean", n: str = "n") -> DataFrame:

@@ -7,10 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollspark.functions.text import build_feedback, teacher_prompt
-from rollspark.operators.skew import BLOCK_BITS, group_ordinal, skew_join
+from rollspark.operators.skew import BLOCK_BITS, equi_join, group_ordinal, skew_join
 
-# Spark cuts a row_number filter down before its shuffle up to this many rows per key.
-WINDOW_LIMIT = 1000
 EARLY_STEPS = 5  # fixed value: the first steps are always reported
 
 
@@ -31,9 +29,15 @@ def demonstration_counts(completions: DataFrame, prompt_keys: Sequence[str]) ->
 def first_demonstration(
     completions: DataFrame, prompt_keys: Sequence[str], order: str = "completion_idx"
 ) -> DataFrame:
-    """F2. The first correct completion of each prompt that has one."""
+    """F2. The first correct completion of each prompt that has one.
+
+    The least number per prompt is a hash aggregate without texts; the one text
+    of each prompt is looked up by it. ``order`` is unique within a prompt.
+    """
     correct = completions.filter(F.col("reward") > 0)
-    return correct.groupBy(*prompt_keys).agg(F.min_by("text", order).alias("demo"))
+    least = correct.groupBy(*prompt_keys).agg(F.min(order).alias(order))
+    texts = correct.select(*prompt_keys, order, F.col("text").alias("demo"))
+    return equi_join(texts, least, [*prompt_keys, order], "inner").select(*prompt_keys, "demo")
 
 
 def attach_tests(completions: DataFrame, problems: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -57,13 +61,8 @@ def attach_prompt(failed: DataFrame, problems: DataFrame, keys: Sequence[str]) -
     return failed.join(problems.select(*keys, "prompt"), list(keys))
 
 
-def policy_branch(completions: DataFrame) -> DataFrame:
-    """G10. All completions go to the policy branch."""
-    return completions
-
-
 def distill_branch(completions: DataFrame, feedback: str = "sdpo_feedback") -> DataFrame:
-    """G10. Failed completions with feedback go to the distillation branch."""
+    """G10. Failed completions with feedback go to the distillation branch; the policy branch takes all completions."""
     return completions.filter((F.col("reward") <= 0) & (F.coalesce(feedback, F.lit("")) != ""))
 
 
@@ -92,23 +91,42 @@ def first_groups(
     n: int,
     spread_by: Sequence[str] = (),
 ) -> DataFrame:
-    """G2, J7. All rows of the first ``n`` prompts of each step, by first appearance."""
+    """G2, J7. All rows of the first ``n`` prompts of each step, by first appearance, then by prompt keys."""
+    keys = [*step_keys, *prompt_keys]
+    chosen = chosen_groups(rows, step_keys, prompt_keys, order, n)
+    return skew_join(rows, chosen, keys, "inner", spread_by or [*keys, order])
+
+
+def chosen_groups(
+    rows: DataFrame, step_keys: Sequence[str], prompt_keys: Sequence[str], order: str, n: int
+) -> DataFrame:
+    """G2. The keys of the first ``n`` prompts of each step: one rule for any ``n`` and any order column."""
     keys = [*step_keys, *prompt_keys]
     firsts = rows.groupBy(*keys).agg(F.min(order).alias("_first"))
-    if n <= WINDOW_LIMIT:
-        rank = F.row_number().over(Window.partitionBy(*step_keys).orderBy("_first", *prompt_keys))
-        chosen = firsts.withColumn("_rank", rank).filter(F.col("_rank") <= max(n, 0))
-    else:
-        chosen = group_ordinal(firsts, step_keys, "_first", "_rank").filter(F.col("_rank") < n)
-    return skew_join(rows, chosen.select(*keys), keys, "inner", spread_by or [*keys, order])
+    ranked = group_ordinal(firsts, step_keys, "_first", "_rank", ties=prompt_keys)
+    return ranked.filter(F.col("_rank") < n).select(*keys)
 
 
 def collect_samples(
     completions: DataFrame, step_keys: Sequence[str], prompt_key: str, order: str, n: int
 ) -> DataFrame:
-    """G1, G2. Rows of the chosen prompts, numbered within their prompt."""
-    chosen = first_groups(completions, step_keys, [prompt_key], order, n)
-    return group_ordinal(chosen, [*step_keys, prompt_key], order, "completion_index")
+    """G1, G2. Rows of the chosen prompts, numbered within their prompt.
+
+    Chosen and numbered on keys and order alone; the texts of these few rows are
+    looked up last. ``order`` is unique within a prompt.
+    """
+    keys = [*step_keys, prompt_key]
+    narrow = completions.select(*keys, order)
+    chosen = equi_join(narrow, chosen_groups(narrow, step_keys, [prompt_key], order, n), keys, "left_semi")
+    numbered = group_ordinal(chosen, keys, order, "completion_index")
+    return equi_join(completions, numbered, [*keys, order], "inner")
+
+
+def due_samples(
+    completions: DataFrame, step: str, prompt_key: str, order: str, n: int, every: int
+) -> DataFrame:
+    """G4, G1, G2. Samples of the steps at which samples are due; others are gone before anything moves."""
+    return collect_samples(completions.filter(progress_due(F.col(step), every)), [step], prompt_key, order, n)
 
 
 def trailing_mean(

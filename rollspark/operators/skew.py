@@ -7,17 +7,18 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Only keys with more than SPLIT_ROWS rows are worth splitting, and of these the
-# SPLITS largest: every other key has at most 1/SPLITS of all rows. SPLITS is
-# also the size bound of the broadcast list of heavy keys.
-SPLITS = 2048
+# Only keys with more than SPLIT_ROWS rows are worth splitting. Of these the SPLITS
+# largest are, so that no other key has more than 1/SPLITS of all rows; the number
+# bounds the broadcast list of heavy keys. Both are parameters below: with ``splits``
+# at 2**20 the list is some tens of MB and a key left whole has a millionth of the rows.
+SPLITS = 1 << 16
 SPLIT_ROWS = 100_000
 
 BLOCK_BITS = 18
-ORDER_BITS = 40
+LONG_BITS = 64
 
 
-def _equi_join(
+def equi_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, salt: Sequence[str] = ()
 ) -> DataFrame:
     """Join on equal keys, null matching null, and on a salt that is never null. Keeps the left key columns."""
@@ -25,12 +26,14 @@ def _equi_join(
     others = [c for c in right.columns if c not in shared]
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in shared], *others)
     matches = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(k) == F.col(f"_r_{k}") for k in salt]
-    return left.join(renamed, reduce(lambda a, b: a & b, matches), how).drop(*[f"_r_{k}" for k in shared])
+    return left.join(renamed, reduce(lambda a, b: a & b, matches), how).drop(*[f"_r_{k}" for k in shared])  # no-op in a semi join
 
 
-def heavy_keys(counts: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
+def heavy_keys(
+    counts: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS, splits: int = SPLITS
+) -> DataFrame:
     """The largest keys of a table with one row per key and its row count in ``_n``."""
-    return counts.filter(F.col("_n") > split_rows).orderBy(F.desc("_n"), *keys).limit(SPLITS)
+    return counts.filter(F.col("_n") > split_rows).orderBy(F.desc("_n"), *keys).limit(splits)
 
 
 def skew_join(
@@ -41,6 +44,7 @@ def skew_join(
     spread_by: Sequence[str] = (),
     counts: DataFrame | None = None,
     split_rows: int = SPLIT_ROWS,
+    splits: int = SPLITS,
 ) -> DataFrame:
     """N:1 join of ``rows`` to a computed ``lookup``, unique on ``keys``.
 
@@ -53,14 +57,14 @@ def skew_join(
     keys = list(keys)
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = heavy_keys(counts, keys, split_rows)
+    heavy = heavy_keys(counts, keys, split_rows, splits)
     pieces = F.broadcast(heavy.select(*keys, F.ceil(F.col("_n") / split_rows).cast("int").alias("_pieces")))
     spread = F.xxhash64(*[F.col(c) for c in (spread_by or rows.columns)])
     salt = F.when(F.col("_pieces").isNotNull(), F.pmod(spread, F.col("_pieces"))).otherwise(0).cast("int")
-    salted = _equi_join(rows, pieces, keys, "left").select(*rows.columns, salt.alias("_salt"))
+    salted = equi_join(rows, pieces, keys, "left").select(*rows.columns, salt.alias("_salt"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))
-    copied = _equi_join(lookup, pieces, keys, "left").select(*lookup.columns, copies.alias("_salt"))
-    return _equi_join(salted, copied, keys, how, ["_salt"]).drop("_salt")
+    copied = equi_join(lookup, pieces, keys, "left").select(*lookup.columns, copies.alias("_salt"))
+    return equi_join(salted, copied, keys, how, ["_salt"]).drop("_salt")
 
 
 def with_group_stats(
@@ -69,46 +73,61 @@ def with_group_stats(
     aggregates: dict[str, Column],
     spread_by: Sequence[str] = (),
     split_rows: int = SPLIT_ROWS,
+    splits: int = SPLITS,
 ) -> DataFrame:
     """Attach aggregates (fixed-size values) of each row's group to the row.
 
     Aggregate and join back instead of a window: the aggregate combines before
     its shuffle, while a window would put a whole group into one task. Rows of
     heavy groups get their values from a broadcast and pass the shuffle join
-    scattered by a salt that matches nothing. Both uses of the statistics read
+    scattered by a salt that matches nothing, over pieces of about
+    ``split_rows``. Both uses of the statistics read
     one exchange.
     """
     keys = list(keys)
     stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), *[column.alias(name) for name, column in aggregates.items()]
     )
-    heavy = heavy_keys(stats, keys, split_rows)
+    heavy = heavy_keys(stats, keys, split_rows, splits)
     known = F.broadcast(heavy.select(*keys, F.col("_n").alias("_heavy"), *[F.col(n).alias(f"_h_{n}") for n in aggregates]))
-    scatter = 1 + F.pmod(F.xxhash64(*[F.col(c) for c in (spread_by or rows.columns)]), F.lit(SPLITS))
-    salt = F.when(F.col("_heavy").isNotNull(), scatter).otherwise(0).cast("int")
-    tagged = _equi_join(rows, known, keys, "left").withColumn("_salt", salt)
+    spread = F.xxhash64(*[F.col(c) for c in (spread_by or rows.columns)])
+    scatter = 1 + F.pmod(spread, F.ceil(F.col("_heavy") / split_rows))
+    salt = F.when(F.col("_heavy").isNotNull(), scatter).otherwise(0).cast("long")
+    tagged = equi_join(rows, known, keys, "left").withColumn("_salt", salt)
     # Always 0, but read from the count: a literal would be folded out of the join
     # keys, and without the count the two statistics would not share an exchange.
-    unsalted = stats.withColumn("_salt", F.least("_n", F.lit(0)).cast("int"))
-    joined = _equi_join(tagged, unsalted, keys, "left", ["_salt"])
+    unsalted = stats.withColumn("_salt", F.least("_n", F.lit(0)).cast("long"))
+    joined = equi_join(tagged, unsalted, keys, "left", ["_salt"])
     return joined.select(*rows.columns, *[F.coalesce(n, f"_h_{n}").alias(n) for n in aggregates])
 
 
-def sum_over_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+def sum_over_blocks(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, block_bits: int = 0
+) -> DataFrame:
     """Running sum of ``_value`` within ``keys``, over rows cut into ordered pieces by ``_block``.
 
     The total of a group's earlier blocks enters each block as one more row in
-    front of it, so that a single shuffle by group and block does. Uses up
-    ``_value`` and ``_block``.
+    front of it, so that a single shuffle by group and block does. With
+    ``block_bits``, the bits that block numbers may have, the totals of many
+    blocks are summed in blocks themselves, so that no window ever holds more
+    than 2**BLOCK_BITS of them. Uses up ``_value`` and ``_block``.
     """
     keys = list(keys)
     totals = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        totals.withColumn("_value", F.sum("_total").over(earlier))
-        .filter(F.col("_value").isNotNull())
-        .select(*keys, "_block", "_value", F.lit(0).alias("_row"))
-    )
+    if block_bits > BLOCK_BITS:
+        above = totals.select(
+            *keys,
+            F.col("_block").alias("_number"),
+            "_total",
+            F.col("_total").alias("_value"),
+            F.shiftright("_block", BLOCK_BITS).alias("_block"),
+        )
+        summed = sum_over_blocks(above, keys, ["_number"], "_sum", block_bits - BLOCK_BITS)
+        before = summed.select(*keys, F.col("_number").alias("_block"), (F.col("_sum") - F.col("_total")).alias("_value"))
+    else:
+        earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(*keys, "_block", F.sum("_total").over(earlier).alias("_value"))
+    carried = before.filter(F.col("_value").isNotNull()).withColumn("_row", F.lit(0))
     both = rows.withColumn("_row", F.lit(1)).unionByName(carried, allowMissingColumns=True)
     inside = (
         Window.partitionBy(*keys, "_block").orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, 0)
@@ -116,6 +135,18 @@ def sum_over_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     return both.withColumn(out, F.sum("_value").over(inside)).filter(F.col("_row") == 1).drop("_value", "_block", "_row")
 
 
+def arrival_number(rows: DataFrame, order: str) -> Column:
+    """The order column as a long: whole numbers as they are, timestamps in microseconds, dates in days."""
+    kind = rows.schema[order].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(order).cast("timestamp"))
+    if kind == "date":
+        return F.unix_date(order).cast("long")
+    if kind in ("byte", "short", "integer", "long"):
+        return F.col(order).cast("long")
+    raise TypeError(f"{order} must be a whole number, a timestamp or a date, not {kind}")
+
+
 def running_sum(
     rows: DataFrame,
     keys: Sequence[str],
@@ -123,24 +154,28 @@ def running_sum(
     value: Column,
     out: str,
     block_bits: int = BLOCK_BITS,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Inclusive running sum of ``value`` within ``keys`` in the order of ``order``.
 
-    ``order`` is an arrival number in [0, 2**40), unique within its group; others
-    raise. Each group is cut into blocks of 2**block_bits consecutive numbers, so
-    that no window holds more rows than that; there are at most
-    2**(40 - block_bits) block totals per group.
+    ``order`` is a whole number of any size and sign, a timestamp or a date, not
+    null and unique within its group; ``ties`` name columns that order equals.
+    Each group is cut into blocks of 2**block_bits consecutive numbers, and their
+    totals into blocks again, so that no window holds more rows than that.
     """
-    checked = F.when(
-        (F.col(order) >= 0) & (F.col(order) < F.lit(1 << ORDER_BITS)), F.col(order).cast("long")
-    ).otherwise(F.raise_error(F.lit(f"{order} must lie in [0, 2**{ORDER_BITS})")))
-    blocked = rows.withColumn("_value", value).withColumn("_block", F.shiftright(checked, block_bits))
-    return sum_over_blocks(blocked, keys, [order], out)
+    number = F.coalesce(arrival_number(rows, order), F.raise_error(F.lit(f"{order} must not be null")).cast("long"))
+    blocked = rows.withColumn("_value", value).withColumn("_block", F.shiftright(number, block_bits))
+    return sum_over_blocks(blocked, keys, [order, *ties], out, LONG_BITS - block_bits)
 
 
 def group_ordinal(
-    rows: DataFrame, keys: Sequence[str], order: str, out: str, block_bits: int = BLOCK_BITS
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    out: str,
+    block_bits: int = BLOCK_BITS,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """G1. 0-based position of each row within its group, in arrival order."""
-    counted = running_sum(rows, keys, order, F.lit(1).cast("long"), out, block_bits)
+    counted = running_sum(rows, keys, order, F.lit(1).cast("long"), out, block_bits, ties)
     return counted.withColumn(out, F.col(out) - 1)

@@ -2,14 +2,15 @@
 
 The only operator that leaves Spark expressions for work on single rows, and
 opt-in: it executes the code it is given. Each distinct script runs once, with
-an empty environment, in its own folder and process group, under limits on
-time, memory and file size. The pass mark is random per run, so that printing
+an empty environment, in its own folder and process group, under a limit on
+time, and on memory and file size if they are given. The pass mark is random per run, so that printing
 a known text earns nothing; this is a hurdle, not a sandbox. Run it on
 executors that hold nothing worth stealing.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import resource
 import signal
@@ -21,41 +22,73 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rollspark.config import DEFAULTS
 from rollspark.functions.text import FEEDBACK_CHARS, PASS_TEXT, TIMEOUT_TEXT, build_script, extract_code
 from rollspark.session import fresh_dir
 
-MEMORY_BYTES = 1 << 30
-FILE_BYTES = 1 << 24
-# A script may take the whole time limit; smaller tasks lose less when one is lost.
-SCRIPTS_PER_TASK = 500
+SECONDS = 10.0  # fixed value: time limit of a script
+# A script may take its whole time limit; a task may take so long if all of its scripts do,
+# and a round has so many tasks, so that the scheduler's list stays short.
+TASK_SECONDS = 600.0
+ROUND_TASKS = 50_000
+CHUNK = 1 << 16
 
 _RESULT = pa.schema([("script_key", pa.string()), ("reward", pa.float64()), ("feedback", pa.string())])
 
 
-def _limits(seconds: float) -> None:
-    cpu = int(seconds) + 1
-    resource.setrlimit(resource.RLIMIT_CPU, (cpu, cpu))
-    resource.setrlimit(resource.RLIMIT_AS, (MEMORY_BYTES, MEMORY_BYTES))
-    resource.setrlimit(resource.RLIMIT_FSIZE, (FILE_BYTES, FILE_BYTES))
-    resource.setrlimit(resource.RLIMIT_CORE, (0, 0))
+def _limits(seconds: float, memory_bytes: int | None, file_bytes: int | None) -> None:
+    limits = {resource.RLIMIT_CPU: int(seconds) + 1, resource.RLIMIT_CORE: 0}
+    limits |= {resource.RLIMIT_AS: memory_bytes} if memory_bytes is not None else {}
+    limits |= {resource.RLIMIT_FSIZE: file_bytes} if file_bytes is not None else {}
+    for kind, most in limits.items():
+        resource.setrlimit(kind, (most, most))
 
 
-def judge_script(script: str, mark: str, seconds: float) -> tuple[float, str]:
+def _read(streams, mark: str) -> tuple[bool, str]:
+    """Whether the mark stands in what the streams hold on end, and the beginning of that without blanks around it.
+
+    Read as text is: UTF-8 or an error, all line ends as newlines. Output of any
+    length is looked through, but not held.
+    """
+    found, tail, head, more = False, "", "", False
+    for stream in streams:
+        stream.seek(0)
+        text = io.TextIOWrapper(stream, encoding="utf-8")
+        while chunk := text.read(CHUNK):
+            found = found or mark in tail + chunk
+            tail = (tail + chunk)[-len(mark) :]
+            if len(head) < FEEDBACK_CHARS:
+                head = (head + chunk).lstrip()
+                more = len(head) > 2 * CHUNK
+                head = head[: 2 * CHUNK]
+            else:
+                more = more or bool(chunk.strip())
+        text.detach()
+    return found, (head if more else head.rstrip())[:FEEDBACK_CHARS]
+
+
+def judge_script(
+    script: str, mark: str, seconds: float, memory_bytes: int | None = None, file_bytes: int | None = None
+) -> tuple[float, str]:
     """(reward, feedback) of one script that prints ``mark`` when its tests pass."""
     with tempfile.TemporaryDirectory(ignore_cleanup_errors=True) as home, tempfile.TemporaryFile() as out, (
         tempfile.TemporaryFile()
     ) as err:
+        # As a file, for a script may be longer than an argument; not in its own working folder.
+        path = os.path.join(home, "script.py")
+        work = os.path.join(home, "work")
         try:
+            os.mkdir(work)
+            with open(path, "w", encoding="utf-8", newline="") as file:
+                file.write(script)
             process = subprocess.Popen(
-                [sys.executable, "-I", "-c", script],
+                [sys.executable, "-I", path],
                 stdin=subprocess.DEVNULL,
                 stdout=out,
                 stderr=err,
-                cwd=home,
+                cwd=work,
                 env={},
                 start_new_session=True,
-                preexec_fn=lambda: _limits(seconds),
+                preexec_fn=lambda: _limits(seconds, memory_bytes, file_bytes),
             )
         except (OSError, ValueError, subprocess.SubprocessError) as problem:
             return 0.0, str(problem)[:FEEDBACK_CHARS]
@@ -73,19 +106,18 @@ def judge_script(script: str, mark: str, seconds: float) -> tuple[float, str]:
             process.wait()
         if timed_out:
             return 0.0, TIMEOUT_TEXT
-        texts = []
-        for stream in (out, err):
-            stream.seek(0)
-            texts.append(stream.read().decode("utf-8", "replace"))
-        output = "".join(texts)
-        return (1.0, PASS_TEXT) if mark in output else (0.0, output.strip()[:FEEDBACK_CHARS])
+        try:
+            passed, shown = _read((out, err), mark)
+        except UnicodeDecodeError as problem:
+            return 0.0, str(problem)[:FEEDBACK_CHARS]
+        return (1.0, PASS_TEXT) if passed else (0.0, shown)
 
 
-def _runner(seconds: float):
+def _runner(seconds: float, memory_bytes: int | None, file_bytes: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             verdicts = [
-                (row["script_key"], *judge_script(row["script"], row["mark"], seconds)) for row in batch.to_pylist()
+                (row["script_key"], *judge_script(row["script"], row["mark"], seconds, memory_bytes, file_bytes)) for row in batch.to_pylist()
             ]
             columns = list(zip(*verdicts)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RESULT)], schema=_RESULT)
@@ -95,11 +127,18 @@ def _runner(seconds: float):
 
 def verify_completions(
     completions: DataFrame,
-    seconds: float = DEFAULTS.verify_seconds,
-    scripts_per_task: int = SCRIPTS_PER_TASK,
+    seconds: float = SECONDS,
+    task_seconds: float = TASK_SECONDS,
+    memory_bytes: int | None = None,
+    file_bytes: int | None = None,
 ) -> DataFrame:
     """Add reward and feedback to completions (text, test).
 
+    ``memory_bytes`` and ``file_bytes`` limit what each script may use; without
+    them a script has what its executor has. Output that is no UTF-8 earns 0.
+    A task gets as many scripts as take ``task_seconds`` if all use up their
+    time, and tasks run in rounds of ROUND_TASKS.
+
     Equal (code, test) pairs run once, wherever they come from. Scripts and then
     verdicts are written to the shared folder: the number of tasks follows the
     number of scripts, a lost executor does not run code again that was already
@@ -117,11 +156,15 @@ def verify_completions(
     pairs.write.parquet(scripts_path)
 
     scripts = spark.read.parquet(scripts_path)
-    tasks = max(spark.sparkContext.defaultParallelism, -(-scripts.count() // scripts_per_task))
-    marked = scripts.repartition(tasks, "script_key").withColumn("mark", F.uuid())
+    tasks = max(spark.sparkContext.defaultParallelism, -(-scripts.count() // max(1, int(task_seconds / seconds))))
+    rounds = -(-tasks // ROUND_TASKS)
     script = build_script(F.col("code"), F.col("test"), F.col("mark")).alias("script")
     schema = "script_key string, reward double, feedback string"
-    marked.select("script_key", "mark", script).mapInArrow(_runner(seconds), schema).write.parquet(verdicts_path)
+    run = _runner(seconds, memory_bytes, file_bytes)
+    for turn in range(rounds):
+        part = scripts.filter(F.pmod(F.xxhash64("script_key"), F.lit(rounds)) == turn)
+        marked = part.repartition(-(-tasks // rounds), "script_key").withColumn("mark", F.uuid())
+        marked.select("script_key", "mark", script).mapInArrow(run, schema).write.mode("append").parquet(verdicts_path)
 
     # Both sides are tables, so adaptive execution splits a script that very many completions share.
     verdicts = spark.read.schema(schema).parquet(verdicts_path)

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
-from rollspark.config import DEFAULTS
 from rollspark.operators import batching
 from rollspark.operators.ordering import seeded_head
 from rollspark.plans import views as V
@@ -121,8 +118,8 @@ def a6(spark, sf_dir):
 
 @query("a6_dispatch_fallback", POOL_SQL)
 def a6_fallback(spark, sf_dir):
-    config = replace(DEFAULTS, max_prompts=V.table(spark, sf_dir, "documents").count())
-    return P.load_problems(spark, "misspelled", {"builtin": _pool(spark, sf_dir)}, config, on_error="fallback")
+    n = V.table(spark, sf_dir, "documents").count()
+    return P.load_problems(spark, "misspelled", {"builtin": _pool(spark, sf_dir)}, n, on_error="fallback")
 
 
 @query(
@@ -163,7 +160,7 @@ def a10(spark, sf_dir):
 )
 def c1(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return batching.micro_batches(docs, DEFAULTS.micro_batch_size, 42, "doc_id")
+    return batching.micro_batches(docs, 2, 42, "doc_id")
 
 
 def epoch_sql(rank: int) -> str:
@@ -181,10 +178,7 @@ def epoch_sql(rank: int) -> str:
 
 def _schedule(spark, sf_dir, rank):
     docs = V.table(spark, sf_dir, "documents").select("doc_id")
-    c = DEFAULTS
-    return batching.epoch_schedule(
-        docs, c.micro_batch_size, c.total_steps, c.accumulation, c.seed, rank=rank, key="doc_id"
-    )
+    return batching.epoch_schedule(docs, batch_size=2, steps=1000, accumulation=4, seed=42, rank=rank, key="doc_id")
 
 
 @query("c2_epoch_schedule", epoch_sql(0))
@@ -203,7 +197,7 @@ def c2_rank(spark, sf_dir):
 )
 def c3(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return batching.fan_out(docs, DEFAULTS.group_size)
+    return batching.fan_out(docs, 4)
 
 
 @query(
@@ -227,11 +221,9 @@ def c4(spark, sf_dir):
 
 
 def depth_case(u: str) -> str:
-    cases = " ".join(
-        f"WHEN {u} < {bound!r} THEN {max(DEFAULTS.min_depth, k)}"
-        for k, bound in enumerate(batching.depth_thresholds())
-    )
-    return f"(CASE {cases} ELSE {DEFAULTS.max_depth} END)::INTEGER"
+    law = batching.DepthLaw()
+    cases = " ".join(f"WHEN {u} < {bound!r} THEN {max(law.least, k)}" for k, bound in enumerate(law.thresholds()))
+    return f"(CASE {cases} ELSE {law.most} END)::INTEGER"
 
 
 DEPTH_SQL = f"""

@@ -8,6 +8,7 @@ from rollspark.operators import reports
 from rollspark.operators import scoring as S
 from rollspark.operators import selection as L
 from rollspark.operators.batching import sample_depth
+from rollspark.operators.step import step_losses, step_metrics
 from rollspark.plans import views as V
 from rollspark.plans.ingest_queries import DEPTH_SQL
 from rollspark.plans.registry import query
@@ -210,12 +211,18 @@ def f8(spark, sf_dir):
         "sequences",
         "token_rows",
         body=f"""SELECT step, CASE WHEN count(*) < 2 THEN 0.0 ELSE
-           round(-sum(surrogate * mask_total) / greatest(sum(greatest(mask_total, 1)), 1), 6) + 0.0 END AS grpo_loss
-  FROM ({CLIPPED_SQL}) GROUP BY step""",
+           round(-sum(CASE WHEN broken THEN 'NaN'::DOUBLE ELSE surrogate END * mask_total)
+                 / greatest(sum(greatest(mask_total, 1)), 1), 6) + 0.0 END AS grpo_loss,
+           count(*) FILTER (broken) AS nan_sequences
+  FROM (SELECT *, step = '5-LOW' AND seq_id % 100 = 1 AS broken FROM ({CLIPPED_SQL})) GROUP BY step""",
     ),
 )
 def f9(spark, sf_dir):
-    return S.policy_loss(_scored_sequences(spark, sf_dir), ["step"]).select("step", V.r6("grpo_loss").alias("grpo_loss"))
+    # Some sequences of one step have a broken log-prob.
+    broken = (F.col("step") == "5-LOW") & (F.pmod("seq_id", F.lit(100)) == 1)
+    rows = _scored_sequences(spark, sf_dir)
+    rows = rows.withColumn("seq_lp", F.when(broken, F.lit(float("nan"))).otherwise(F.col("seq_lp")))
+    return S.policy_loss(rows, ["step"]).withColumn("grpo_loss", V.r6("grpo_loss"))
 
 
 @query(
@@ -248,13 +255,12 @@ TOTAL_SQL = f"""
   FROM ({ARRAY_LOSS_SQL}) FULL JOIN ({STEP_DISTILL_SQL}) USING (step)"""
 
 
-def _total(spark, sf_dir) -> DataFrame:
-    policy = S.policy_loss(
-        S.group_advantage(_array_means(spark, sf_dir), ["group_id"], spread_by=["seq_id"]), ["step"]
-    )
+def _step_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Completions, token rows, student and teacher scores."""
+    rows = V.array_rows(spark, sf_dir)
+    tokens = rows.select("seq_id", F.inline(F.arrays_zip("lp", "lp_old", "mask")))
     student = V.logit_rows(spark, sf_dir).withColumn("step", F.pmod("seq_id", F.lit(4)))
-    distill = S.step_distill_loss(student, V.logit_rows(spark, sf_dir, shift=1), ["step"])
-    return S.total_loss(policy, distill, ["step"])
+    return rows, tokens, student, V.logit_rows(spark, sf_dir, shift=1)
 
 
 LOSSES = ("loss", "grpo_loss", "sdpo_loss")
@@ -266,7 +272,8 @@ ROUNDED_LOSSES = ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in LOSSES)
     V.with_views("array_rows", "distill_rows", body=f"SELECT step, {ROUNDED_LOSSES} FROM ({TOTAL_SQL})"),
 )
 def f18(spark, sf_dir):
-    return _total(spark, sf_dir).select("step", *[V.r6(n).alias(n) for n in LOSSES])
+    losses = step_losses(*_step_tables(spark, sf_dir), ["step"], ["group_id"])
+    return losses.select("step", *[V.r6(n).alias(n) for n in LOSSES])
 
 
 @query(
@@ -290,7 +297,7 @@ def f17_full(spark, sf_dir):
         F.col("event_id").cast("int").alias("step"), V.r6(F.col("value") / 250).alias("rho")
     )
     depths = depths.withColumn("T", depth).withColumn("T_bwd", backward)
-    metrics = S.step_metrics(V.array_rows(spark, sf_dir), _total(spark, sf_dir), depths, ["step"])
+    metrics = step_metrics(*_step_tables(spark, sf_dir), depths, ["step"], ["group_id"])
     return metrics.select(
         "step",
         "T",
@@ -334,16 +341,16 @@ FEEDBACK_SQL = """
 GROUP = ["step", "prompt_index"]
 
 
-@query("g10_distill_branch", V.with_views("completions", body="SELECT seq, text FROM completions WHERE reward <= 0"))
-def g10(spark, sf_dir):
-    return L.distill_branch(V.completions(spark, sf_dir), "feedback").select("seq", "text")
-
-
 @query(
-    "g10_policy_branch", V.with_views("completions", body="SELECT seq, reward FROM completions")
+    "g10_distill_branch",
+    V.with_views("completions", body="SELECT seq, text FROM completions WHERE reward <= 0 AND seq % 5 > 1"),
 )
-def g10_policy(spark, sf_dir):
-    return L.policy_branch(V.completions(spark, sf_dir)).select("seq", "reward")
+def g10(spark, sf_dir):
+    # Some failed completions have no feedback, others an empty one.
+    turn = F.pmod("seq", F.lit(5))
+    feedback = F.when(turn == 0, F.lit(None).cast("string")).when(turn == 1, "").otherwise(F.col("feedback"))
+    rows = V.completions(spark, sf_dir).withColumn("feedback", feedback)
+    return L.distill_branch(rows, "feedback").select("seq", "text")
 
 
 @query(

@@ -9,6 +9,7 @@ from rollspark.operators import reports
 from rollspark.operators import selection as L
 from rollspark.operators.batching import sample_depth
 from rollspark.operators.skew import group_ordinal
+from rollspark.operators.step import step_samples
 from rollspark.operators.verify import verify_completions
 from rollspark.plans import views as V
 from rollspark.plans.ingest_queries import depth_case, uniform_sql
@@ -219,23 +220,11 @@ def g5_mean(spark, sf_dir):
 # -- logs and reports --------------------------------------------------------
 
 
-def _sample_rows(spark, sf_dir) -> DataFrame:
-    """Log rows: the first two prompts of each step with the metrics of the step."""
-    chosen = L.collect_samples(V.completions(spark, sf_dir), ["step"], "prompt_index", "seq", 2)
-    asked = L.attach_prompt(chosen, V.prompts(spark, sf_dir), ["prompt_index"])
-    samples = asked.select(
-        "step",
-        "prompt_index",
-        "completion_index",
-        "prompt",
-        X.render_prompt(F.col("prompt")).alias("model_prompt"),
-        F.col("text").alias("completion"),
-        "reward",
-        "feedback",
-    )
+def _sample_rows(spark, sf_dir, every: int | None = None) -> DataFrame:
+    """Log rows: the first two prompts of each step (or each due step) with the metrics of the step."""
     depth, _ = sample_depth(F.col("step"))
     metrics = V.metric_rows(spark, sf_dir).drop("run_id", "day", "seconds", "T", "rho").withColumn("T", depth)
-    return samplelog.to_log_rows(L.attach_metrics(samples, metrics, ["step"]))
+    return step_samples(V.completions(spark, sf_dir), V.prompts(spark, sf_dir), metrics, 2, every=every)
 
 
 # The spectral radius is left out above, so that the log shows a null.
@@ -264,10 +253,14 @@ def j6(spark, sf_dir):
     return _rounded(_sample_rows(spark, sf_dir))
 
 
-@query("b1_sample_log", LOG_SQL)
+@query(
+    "b1_sample_log",
+    V.with_views(*LOG_VIEWS, body=f"SELECT {LOG_COLUMNS} FROM ({SAMPLE_SQL}) WHERE step % 4 = 0 OR step < 5"),
+)
 def b1(spark, sf_dir):
+    """The log of the steps at which samples are due."""
     path = fresh_dir(spark, "samples")
-    samplelog.append_log(_sample_rows(spark, sf_dir), path)
+    samplelog.append_log(_sample_rows(spark, sf_dir, every=4), path)
     return _rounded(samplelog.read_log(spark, path))
 
 
@@ -298,8 +291,13 @@ def a7(spark, sf_dir):
     ),
 )
 def b2(spark, sf_dir):
-    rows = _sample_rows(spark, sf_dir)
-    return rows.select("step", "prompt_index", "completion_index", reports.sample_report().alias("report"))
+    path = fresh_dir(spark, "reports")
+    reports.write_reports(_sample_rows(spark, sf_dir).withColumn("report", reports.sample_report()), "report", path)
+    number = lambda name: F.regexp_extract("report", rf"^\n\[sample [^\n]*?\b{name}=(\d+)", 1).cast("int")
+    return reports.read_reports(spark, path, "report").select(
+        number("step").alias("step"), number("prompt").alias("prompt_index"),
+        number("completion").cast("long").alias("completion_index"), "report",
+    )
 
 
 @query(
@@ -314,7 +312,11 @@ def b2(spark, sf_dir):
 )
 def b3(spark, sf_dir):
     due = V.metric_rows(spark, sf_dir).filter(L.progress_due(F.col("step"), 10))
-    return due.select("step", reports.progress_line(1000, F.col("seconds")).alias("line"))
+    path = fresh_dir(spark, "progress")
+    lines = due.select(reports.progress_line(1000, F.col("seconds")).alias("line"))
+    reports.write_reports(lines, "line", path, "\n")
+    step = F.regexp_extract("line", r"^step +(\d+)/", 1).cast("int").alias("step")
+    return reports.read_reports(spark, path, "line", "\n").select(step, "line")
 
 
 # -- streams -----------------------------------------------------------------
@@ -323,20 +325,25 @@ def b3(spark, sf_dir):
 @query("k1_follow_log", LOG_SQL)
 def k1(spark, sf_dir):
     log, out = fresh_dir(spark, "samples"), fresh_dir(spark, "followed")
-    samplelog.append_log(_sample_rows(spark, sf_dir), log)
-    jobs.drain(jobs.follow_log(spark, log), out, fresh_dir(spark, "checkpoint"))
+    rows = _sample_rows(spark, sf_dir)
+    for part in range(3):  # three appends, one file in a micro-batch
+        samplelog.append_log(rows.filter(F.pmod("step", F.lit(3)) == part).coalesce(1), log)
+    jobs.drain(jobs.follow_log(spark, log, files=1), out, fresh_dir(spark, "checkpoint"))
     return _rounded(spark.read.schema(SAMPLE_LOG).parquet(out))
 
 
-def _stream(spark, sf_dir, name: str) -> DataFrame:
-    schema = V.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+def _arriving(rows: DataFrame, by, files: int = 3) -> DataFrame:
+    """The rows as a stream of one file per micro-batch, dealt by ``by`` modulo ``files``."""
+    path = fresh_dir(rows.sparkSession, "arriving")
+    for part in range(files):
+        rows.filter(F.pmod(by, F.lit(files)) == part).coalesce(1).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("k2_judge_stream", V.with_views("fenced", body=f"SELECT doc_id, code, reward, feedback FROM ({VERDICT_SQL})"))
 def k2(spark, sf_dir):
     out = fresh_dir(spark, "judged")
-    arriving = V.as_fenced(_stream(spark, sf_dir, "documents"))
+    arriving = V.as_fenced(_arriving(V.table(spark, sf_dir, "documents"), F.col("doc_id")))
     jobs.drain(jobs.judge_stream(arriving), out, fresh_dir(spark, "checkpoint"))
     return spark.read.parquet(out).select("doc_id", "code", "reward", "feedback")
 
@@ -350,29 +357,40 @@ def k2(spark, sf_dir):
 )
 def k3(spark, sf_dir):
     out, keys = fresh_dir(spark, "metrics"), ["run_id", "step"]
-    samples = _stream(spark, sf_dir, "events").select(
+    samples = _arriving(V.table(spark, sf_dir, "events"), F.col("event_id"), 5).select(
         F.col("user_id").alias("run_id"),
         F.dayofmonth("ts").alias("step"),
         F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("reward"),
     )
-    jobs.run_step_metrics(samples, keys, out, fresh_dir(spark, "checkpoint"))
+    jobs.run_step_metrics(samples, keys, out, fresh_dir(spark, "checkpoint"), merge_every=2)
     return jobs.read_step_metrics(spark, keys, out).withColumn("reward_mean", V.r6("reward_mean"))
 
 
+@query(
+    "k2_verify_stream",
+    """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM part""",
+)
+def k2_verify(spark, sf_dir):
+    out = fresh_dir(spark, "verified")
+    arriving = _arriving(verifiable(spark, sf_dir), F.col("p_partkey"), 2)
+    jobs.run_verification(arriving, out, fresh_dir(spark, "checkpoint"))
+    return spark.read.parquet(out).select("p_partkey", "reward")
+
+
 @query(
     "k4_group_advantage_stream",
     V.with_views(
         "rollouts",
-        body=f"""SELECT doc_id, lang, source, reward,
-                        round({advantage_sql("PARTITION BY lang, source")}, 6) + 0.0 AS advantage FROM rollouts""",
+        body=f"""SELECT doc_id, doc_id // 4 AS prompt, reward,
+                        round({advantage_sql("PARTITION BY doc_id // 4")}, 6) + 0.0 AS advantage FROM rollouts""",
     ),
 )
 def k4(spark, sf_dir):
-    labels = V.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("reward"))
-    arriving = _stream(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(labels, "doc_id")
+    """Groups of up to four, whose rows come in three micro-batches; groups that stay short are flushed."""
+    rows = V.rollouts(spark, sf_dir).select("doc_id", F.expr("doc_id div 4").alias("prompt"), "reward")
     out = fresh_dir(spark, "advantages")
     jobs.run_group_advantages(
-        arriving, ["lang", "source"], 4, "doc_id", 1000, out, fresh_dir(spark, "checkpoint"), ["doc_id"]
+        _arriving(rows, F.col("doc_id")), ["prompt"], 4, "doc_id", 1 << 40, out, fresh_dir(spark, "checkpoint"), ["doc_id"]
     )
     emitted = jobs.read_group_advantages(spark, out, flush=True)
-    return emitted.select("doc_id", "lang", "source", "reward", V.r6("advantage").alias("advantage"))
+    return emitted.select("doc_id", "prompt", "reward", V.r6("advantage").alias("advantage"))

@@ -53,7 +53,7 @@ def d3(spark, sf_dir):
 @query(
     "d4_align_logprobs",
     f"""SELECT seq_id, n_kept, round(total, 6) + 0.0 AS total
-  FROM (SELECT seq_id, least(len(ids) - prompt_len, len(x)) AS n_kept,
+  FROM (SELECT seq_id, greatest(least(len(ids) - prompt_len, len(x)), 0) AS n_kept,
                coalesce(list_sum(x[1:greatest(len(ids) - prompt_len, 0)]), 0) AS total
         FROM ({EOS_SQL}) c
         JOIN (SELECT vec_id, list_transform(embedding, lambda v: -abs(v::DOUBLE)) AS x FROM embeddings) e
@@ -224,10 +224,19 @@ DISTILL_SQL = """
 
 @query(
     "f14_distill_loss",
-    V.with_views("distill_rows", body=f"SELECT seq_id, round(sdpo_loss, 6) + 0.0 AS sdpo_loss FROM ({DISTILL_SQL})"),
+    V.with_views(
+        "distill_rows",
+        body=f"""SELECT seq_id, CASE WHEN seq_id % 7 = 3 AND active > 0 THEN 'NaN'::DOUBLE
+                               ELSE round(sdpo_loss, 6) + 0.0 END AS sdpo_loss
+                 FROM ({DISTILL_SQL}) JOIN (SELECT seq_id, sum(mask) AS active FROM distill_rows GROUP BY seq_id)
+                 USING (seq_id)""",
+    ),
 )
 def f14(spark, sf_dir):
+    # The student's scores of some sequences are broken.
     student, teacher = V.logit_rows(spark, sf_dir), V.logit_rows(spark, sf_dir, shift=1)
+    broken = F.when(F.pmod("seq_id", F.lit(7)) == 3, F.transform("logits", lambda x: x + F.lit(float("nan")).cast("float")))
+    student = student.withColumn("logits", F.coalesce(broken, F.col("logits")))
     loss = S.step_distill_loss(student, teacher, ["seq_id"])
     return loss.select("seq_id", V.r6("sdpo_loss").alias("sdpo_loss"))
 

@@ -7,20 +7,13 @@ expressions for the checks; they are written on their own, not generated.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from rollspark.functions.determinism import int_div
 
 
-_schemas: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; its footer is only read for the schema the first time."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    """One of the given tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def with_views(*views: str, body: str) -> str:
@@ -265,21 +258,23 @@ SQL["sequences"] = """
 
 
 def id_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids from embeddings, in rows of different length."""
-    ids = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("int"))
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("seq_id"),
-        int_div(F.col("vec_id"), 8).cast("int").alias("batch_no"),
-        F.slice(ids, F.lit(1), 10 + F.col("label") * 5).alias("ids"),
-        (F.col("label") * 2).alias("prompt_len"),
+    """Token ids of whole documents, one per word: of uneven length, 1 to some thousands."""
+    words = F.filter(F.split("text", "[ \\n\\t\\r\\f]+", -1), lambda w: w != "")
+    ids = F.transform(words, lambda w: F.pmod(F.length(w) * 31 + F.ascii(w), F.lit(97)))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq_id"),
+        int_div(F.col("doc_id"), 8).cast("int").alias("batch_no"),
+        ids.alias("ids"),
+        F.pmod("doc_id", F.lit(40)).cast("int").alias("prompt_len"),
     )
 
 
 SQL["id_rows"] = """
-  SELECT vec_id AS seq_id, (vec_id // 8)::INTEGER AS batch_no,
-         list_transform(embedding, lambda x: floor(abs(x::DOUBLE) * 100)::INTEGER)[1:10 + label * 5] AS ids,
-         label * 2 AS prompt_len
-  FROM embeddings"""
+  SELECT doc_id AS seq_id, (doc_id // 8)::INTEGER AS batch_no,
+         list_transform(list_filter(regexp_split_to_array(text, '[ \\n\\t\\r\\f]+'), lambda w: w <> ''),
+                        lambda w: ((length(w) * 31 + ord(w)) % 97)::INTEGER) AS ids,
+         (doc_id % 40)::INTEGER AS prompt_len
+  FROM documents"""
 
 
 def array_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,11 @@ from collections.abc import Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rollspark.config import DEFAULTS, RolloutConfig
 from rollspark.functions.determinism import uniform
 from rollspark.operators.ordering import hash_ordinal, seeded_head
 from rollspark.operators.skew import SPLIT_ROWS
 from rollspark.schemas import FUNCTION_ROW, MBPP_ROW, PROBLEM
+from rollspark.sources.samplelog import read_lines
 
 # Defaults for missing keys and the marks looked for in tests.
 DEFAULT_ENTRY = "solution"
@@ -19,6 +19,7 @@ DEFAULT_TEST = ""
 ASSERT_MARK = "assert "
 CHECK_MARK = "def check("
 FIRST_SHARE = 0.8
+PROBLEMS = 500
 
 PROBLEM_KEY = ("source", "problem_id")
 
@@ -108,12 +109,18 @@ def sample_pool(pool: DataFrame, n: int, seed: int = 42, key="problem_id") -> Da
     return draws.join(numbered, ["_pick", "_piece"]).drop("_pick", "_piece")
 
 
-def read_rows(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Raw source rows from parquet or JSON lines."""
+def read_rows(spark: SparkSession, path: str, schema, broken: str = "fail", null_defaults: bool = True) -> DataFrame:
+    """Raw source rows from parquet or JSON lines.
+
+    ``broken`` says what becomes of lines that are no JSON, as in ``read_lines``.
+    A key missing from a JSON object reads as null, like one that is null there;
+    both get the defaults unless ``null_defaults`` is off, when both stay null.
+    """
     if path.rstrip("/").endswith((".json", ".jsonl")):
-        # A key missing from a JSON object reads as null, hence the defaults here.
-        rows = spark.read.schema(schema).json(path)
-        return rows.fillna({"test": DEFAULT_TEST, "entry_point": DEFAULT_ENTRY}) if "test" in rows.columns else rows
+        rows = read_lines(spark.read, schema, path, broken)
+        if null_defaults and "test" in rows.columns:
+            rows = rows.fillna({"test": DEFAULT_TEST, "entry_point": DEFAULT_ENTRY})
+        return rows
     return spark.read.parquet(path)
 
 
@@ -126,18 +133,17 @@ def load_problems(
     spark: SparkSession,
     name: str,
     sources: Mapping[str, DataFrame | str],
-    config: RolloutConfig = DEFAULTS,
+    n: int = PROBLEMS,
+    seed: int = 42,
     on_error: str = "raise",
 ) -> DataFrame:
-    """A6. Named problem set, shuffled and cut to ``max_prompts``.
+    """A6. Named problem set, shuffled and cut to ``n`` problems.
 
     ``sources`` maps mbpp, humaneval, bigcodebench to raw rows or paths and
     builtin to a normalised pool. An unknown name or an unreadable source raises;
     ``on_error="fallback"`` samples the builtin pool instead. Reads are lazy, so
     the fallback covers what shows while the plan is built, not bad rows.
     """
-    n, seed = config.max_prompts, config.seed
-
     def builtin() -> DataFrame:
         return sample_pool(_source(spark, sources, "builtin", PROBLEM), n)
 
@@ -178,7 +184,7 @@ def problem_at(problems: DataFrame, position: int | Column, seed: int, key="prob
     size = problems.agg(F.count(F.lit(1))).scalar()
     position = position if isinstance(position, Column) else F.lit(position)
     wanted = F.when(position < 0, position + size).otherwise(position)
-    return hash_ordinal(problems, key, seed, "position", upto=wanted + 1).filter(F.col("position") == wanted)
+    return hash_ordinal(problems, key, seed, "position", only=wanted)
 
 
 def reshuffle(problems: DataFrame, seed: int, salt: int | str, key="problem_id") -> DataFrame:

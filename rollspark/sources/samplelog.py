@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rollspark.schemas import METRIC_FIELDS, SAMPLE_FIELDS, SAMPLE_LOG
 
+BROKEN = "broken_line"
+
+
+def read_lines(reader, schema: T.StructType, path: str, broken: str = "fail") -> DataFrame:
+    """JSON lines from a batch or stream reader.
+
+    A line that is no JSON object, as the torn last line of a log that is still
+    written: ``fail`` raises when it is read, ``skip`` leaves it out, ``keep`` gives
+    a row of nulls with the line in the column ``broken_line``, null in all others.
+    """
+    modes = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "keep": "PERMISSIVE"}
+    if broken not in modes:
+        raise ValueError(f"unknown treatment of broken lines {broken!r}")
+    if broken == "keep":
+        schema = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    return reader.schema(schema).option("mode", modes[broken]).option("columnNameOfCorruptRecord", BROKEN).json(path)
+
 
 def to_log_rows(rows: DataFrame) -> DataFrame:
     """Log columns in log order; a metric the table lacks becomes null, sample columns must exist."""
@@ -18,11 +35,11 @@ def to_log_rows(rows: DataFrame) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str | None) -> None:
-    """B1. Append to the log folder, one object per line with explicit nulls; no path, no log."""
-    if path:
+    """B1. Append to the log folder, one object per line with explicit nulls; no path or no rows, no log."""
+    if path and not rows.isEmpty():
         to_log_rows(rows).write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
+def read_log(spark: SparkSession, path: str, broken: str = "fail") -> DataFrame:
     """A7. The log with its fixed schema."""
-    return spark.read.schema(SAMPLE_LOG).json(path)
+    return read_lines(spark.read, SAMPLE_LOG, path, broken)

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rollspark.functions.text import extract_code, verdict
 from rollspark.operators.scoring import standardized
 from rollspark.operators.skew import with_group_stats
+from rollspark.operators.verify import SECONDS, verify_completions
 from rollspark.schemas import SAMPLE_LOG
+from rollspark.sources.samplelog import read_lines
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -40,9 +42,10 @@ def _drain_batches(stream: DataFrame, step, checkpoint: str) -> None:
     )
 
 
-def follow_log(spark: SparkSession, path: str) -> DataFrame:
-    """K1. The sample log as a stream: each new file once."""
-    return spark.readStream.schema(SAMPLE_LOG).json(path)
+def follow_log(spark: SparkSession, path: str, broken: str = "fail", files: int | None = None) -> DataFrame:
+    """K1. The sample log as a stream: each new file once, at most ``files`` in a micro-batch."""
+    reader = spark.readStream if files is None else spark.readStream.option("maxFilesPerTrigger", files)
+    return read_lines(reader, SAMPLE_LOG, path, broken)
 
 
 def judge_stream(completions: DataFrame) -> DataFrame:
@@ -53,11 +56,27 @@ def judge_stream(completions: DataFrame) -> DataFrame:
     )
 
 
-def run_step_metrics(samples: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> None:
+def run_verification(completions: DataFrame, path: str, checkpoint: str, seconds: float = SECONDS) -> None:
+    """K2. Run arriving completions (text, test) against their tests; one table of verdicts per micro-batch."""
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        verify_completions(batch, seconds).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    _drain_batches(completions, judge, checkpoint)
+
+
+COUNTS = ("n", "reward_sum", "n_correct", "n_failed")
+
+
+def run_step_metrics(
+    samples: DataFrame, keys: Sequence[str], path: str, checkpoint: str, merge_every: int = 32
+) -> None:
     """K3. Fold arriving samples into partial step metrics, one small table per micro-batch.
 
     Counts and sums of different micro-batches add up, so there is no state to
-    keep and a step may go on receiving samples forever.
+    keep and a step may go on receiving samples forever. Every ``merge_every``
+    micro-batches the partials so far are merged into one table, so that a
+    reader opens fewer than ``merge_every`` tables and the merged one.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
@@ -67,15 +86,28 @@ def run_step_metrics(samples: DataFrame, keys: Sequence[str], path: str, checkpo
             F.count_if(F.col("reward") > 0).alias("n_correct"),
             F.count_if(F.col("reward") <= 0).alias("n_failed"),
         )
-        partial.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        partial.write.mode("overwrite").parquet(f"{path}/kind=partial/batch_id={batch_id}")
+        if batch_id % merge_every == merge_every - 1:
+            so_far = _partials(batch.sparkSession, path, batch_id)
+            merged = so_far.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
+            merged.write.mode("overwrite").parquet(f"{path}/kind=merged/batch_id={batch_id}")
 
     _drain_batches(samples, fold, checkpoint)
 
 
+def _partials(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest merged table and the partials after it; with ``before`` only tables merged earlier count."""
+    rows = spark.read.parquet(path)
+    merged = F.col("kind") == "merged"
+    usable = merged if before is None else merged & (F.col("batch_id") < before)
+    # A scalar over folder names: no file is read for it.
+    last = F.coalesce(rows.filter(usable).agg(F.max("batch_id")).scalar(), F.lit(-1))
+    return rows.filter((usable & (F.col("batch_id") == last)) | (~merged & (F.col("batch_id") > last)))
+
+
 def read_step_metrics(spark: SparkSession, keys: Sequence[str], path: str) -> DataFrame:
     """K3. Step metrics over everything folded so far."""
-    partials = spark.read.parquet(path)
-    return partials.groupBy(*keys).agg(
+    return _partials(spark, path).groupBy(*keys).agg(
         (F.sum("reward_sum") / F.sum("n")).alias("reward_mean"),
         F.sum("n_correct").alias("n_correct"),
         F.sum("n_failed").alias("n_failed"),
@@ -97,14 +129,17 @@ def run_group_advantages(
     Each micro-batch joins the rows left waiting by the one before. Groups still
     incomplete ``patience`` after their last arrival, measured against the
     newest one of the micro-batch, are emitted as they are. The waiting rows are
-    a table, not operator state, so a group of any size stays distributed.
+    a table, not operator state, so a group of any size stays distributed. A row
+    that comes after its group was emitted begins the group anew: it waits for
+    ``group_size`` rows of its own and is scored among those.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         rows = batch
         if batch_id > 0:
             before = batch.sparkSession.read.parquet(f"{path}/batch_id={batch_id - 1}")
-            rows = batch.unionByName(before.filter(~F.col("done")).select(*batch.columns))
+            # A folder of its own: emitted rows are not read again.
+            rows = batch.unionByName(before.filter(F.col("done").cast("string") == "false").select(*batch.columns))
         reward = F.col("reward")
         newest = rows.agg(F.max(arrival)).scalar()
         stats = {
@@ -117,9 +152,10 @@ def run_group_advantages(
             with_group_stats(rows, keys, stats, row_keys)
             .withColumn("advantage", standardized(reward, F.col("_mean"), F.col("_sigma")))
             .withColumn("done", (F.col("_count") >= group_size) | (F.col("_last") + patience < newest))
+            .withColumn("done", F.col("done").cast("string"))
             .drop(*stats)
         )
-        scored.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        scored.write.mode("overwrite").partitionBy("done").parquet(f"{path}/batch_id={batch_id}")
 
     _drain_batches(completions, advance, checkpoint)
 
@@ -127,7 +163,7 @@ def run_group_advantages(
 def read_group_advantages(spark: SparkSession, path: str, flush: bool = False) -> DataFrame:
     """K4. All emitted rows; with ``flush`` also those the last micro-batch left waiting, as they are."""
     rows = spark.read.parquet(path)
-    wanted = F.col("done")
+    wanted = F.col("done").cast("string") == "true"
     if flush:
         last = rows.agg(F.max("batch_id")).scalar()
         wanted = wanted | (F.col("batch_id") == last)

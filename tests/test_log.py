@@ -73,5 +73,37 @@ def test_progress_line(spark):
 def test_fixed_rounds_like_python(spark):
     values = [0.00145, 0.0625, 2.5, 1e20, -0.00005, 0.125]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = {r["v"]: r["t"] for r in df.select("v", reports.fixed(F.col("v"), 4).alias("t")).collect()}
+    got = {r["v"]: r["t"] for r in df.select("v", reports.fixed(v=(F.col("v"), 4))["v"].alias("t")).collect()}
     assert got == {v: f"{v:.4f}" for v in values}
+
+
+def test_broken_lines(spark, rows, tmp_path):
+    path = tmp_path / "log"
+    samplelog.append_log(rows, str(path))
+    (path / "torn.json").write_text('{"step": 8, "prompt": "p"}\n{"step": 9, "pro')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        samplelog.read_log(spark, str(path)).collect()
+    assert sorted(r["step"] for r in samplelog.read_log(spark, str(path), "skip").collect()) == [7, 8]
+    kept = samplelog.read_log(spark, str(path), "keep").collect()
+    assert [r["broken_line"] for r in kept if r["broken_line"]] == ['{"step": 9, "pro']
+    assert len(kept) == 3
+
+
+def test_nothing_is_written_without_samples(rows, tmp_path):
+    samplelog.append_log(rows.filter("false"), str(tmp_path / "log"))
+    assert not (tmp_path / "log").exists()
+
+
+def test_report_of_missing_parts(spark, rows, tmp_path):
+    bare = samplelog.to_log_rows(rows).withColumns({c: F.lit(None).cast("string") for c in ("feedback", "prompt", "completion")})
+    bare = bare.withColumn("T", F.lit(None).cast("int"))
+    report = bare.select(reports.sample_report().alias("r")).first()["r"]
+    assert " T= prompt=0 " in report and "--- VERIFIER FEEDBACK ---\n\n--- END SAMPLE ---" in report
+
+
+def test_reports_are_read_back(spark, rows, tmp_path):
+    told = samplelog.to_log_rows(rows).withColumn("report", reports.sample_report())
+    path = str(tmp_path / "reports")
+    for _ in range(2):
+        reports.write_reports(told, "report", path)
+    assert [r["report"] for r in reports.read_reports(spark, path, "report").collect()] == [told.first()["report"]] * 2

@@ -1,9 +1,7 @@
-from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from rollspark.config import DEFAULTS
 from rollspark.sources import problems as P
 
 MBPP = "problem_id string, prompt string, code string, test_list array<string>"
@@ -87,7 +85,6 @@ def test_pool_sample_of_nothing(spark):
 
 
 def test_dispatch(spark, tmp_path):
-    config = replace(DEFAULTS, max_prompts=3)
     functions = spark.createDataFrame([(str(i), "p", "def check(c): pass", "f") for i in range(5)], FUNCTION)
     functions.write.parquet(str(tmp_path / "functions"))
     (tmp_path / "functions.jsonl").write_text('{"problem_id": "1", "prompt": "p"}\n')
@@ -96,7 +93,7 @@ def test_dispatch(spark, tmp_path):
     sources = {"humaneval": str(tmp_path / "functions"), "mbpp": mbpp, "bigcodebench": functions, "builtin": pool}
 
     def load(name, sources=sources, **kwargs):
-        return P.load_problems(spark, name, sources, config, **kwargs)
+        return P.load_problems(spark, name, sources, 3, **kwargs)
 
     assert {r["source"] for r in load("humaneval").collect()} == {"humaneval"}
     assert [r["problem_id"] for r in load("mbpp").collect()] == ["m"]
@@ -123,3 +120,21 @@ def test_size_position_and_reshuffle(spark):
     assert P.problem_at(rows, 3, "42:1").first()["problem_id"] == order[3]
     assert P.problem_at(rows, -1, "42:1").first()["problem_id"] == order[-1]
     assert P.problem_at(rows, 20, "42:1").count() == 0
+
+
+def test_one_position_keeps_one_block(spark):
+    rows = plain(spark, 500, "s")
+    plan = P.problem_at(rows, 7, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=" in plan and P.problem_at(rows, 7, 3).count() == 1
+
+
+def test_broken_lines_of_a_source(spark, tmp_path):
+    path = tmp_path / "rows.jsonl"
+    path.write_text('{"problem_id": "1", "prompt": "p", "test": null}\n{"problem_id": "2", "pro')
+    schema = FUNCTION if not isinstance(FUNCTION, str) else spark.createDataFrame([], FUNCTION).schema
+    with pytest.raises(Exception, match="(?i)malformed"):
+        P.read_rows(spark, str(path), schema).collect()
+    assert [r["test"] for r in P.read_rows(spark, str(path), schema, "skip").collect()] == [""]
+    assert [r["test"] for r in P.read_rows(spark, str(path), schema, "skip", null_defaults=False).collect()] == [None]
+    kept = P.read_rows(spark, str(path), schema, "keep").collect()
+    assert [r["broken_line"] is None for r in kept] == [True, False]

@@ -174,3 +174,36 @@ def test_bucketed_vectors_join_without_a_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         for name in ("student_vectors", "teacher_vectors"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+NAN = float("nan")
+
+
+@pytest.mark.parametrize("rho,advantage", [(NAN, 1.0), (NAN, -1.0), (NAN, 0.0), (1.1, NAN)])
+def test_nan_stays_nan(one, rho, advantage):
+    value = one("r double, a double", rho, advantage)
+    assert math.isnan(value(S.clipped_surrogate(F.col("r"), F.col("a"))))
+    assert math.isnan(value(S.clip_ratio(F.col("r")))) == math.isnan(rho)
+
+
+def test_policy_loss_of_nan(spark):
+    rows = [(0, NAN, 0.0, 2.0, 1.0), (0, 0.0, 0.0, 2.0, -1.0), (1, 0.0, 0.0, 2.0, 1.0), (1, 0.0, 0.0, 2.0, -1.0)]
+    df = spark.createDataFrame(rows, "step int, seq_lp double, seq_lp_old double, mask_total double, advantage double")
+    got = {r["step"]: r for r in S.policy_loss(df, ["step"]).collect()}
+    assert math.isnan(got[0]["grpo_loss"]) and got[0]["nan_sequences"] == 1
+    assert got[1]["grpo_loss"] == 0.0 and got[1]["nan_sequences"] == 0
+
+
+def test_distill_loss_of_nan(spark):
+    schema = "step int, seq_id int, pos int, mask int, logits array<double>"
+    student = spark.createDataFrame([(0, 0, 0, 1, [NAN, 1.0]), (1, 1, 0, 1, [0.0, 1.0]), (2, 2, 0, 0, [0.0, 1.0])], schema)
+    teacher = student.select("seq_id", "pos", F.array(F.lit(0.5), F.lit(0.1)).alias("logits"))
+    got = {r["step"]: r["sdpo_loss"] for r in S.step_distill_loss(student, teacher, ["step"]).collect()}
+    assert math.isnan(got[0]) and got[1] > 0 and got[2] == 0.0
+
+
+def test_teacher_vectors_of_masked_positions_are_pruned(spark):
+    schema = "step int, seq_id int, pos int, mask int, logits array<double>"
+    student = spark.createDataFrame([(0, 0, 0, 1, [0.0, 1.0])], schema)
+    plan = S.step_distill_loss(student, student.drop("step", "mask"), ["step"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan

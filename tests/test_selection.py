@@ -44,21 +44,47 @@ def test_feedback_and_teacher_prompts(spark, completions):
 
 
 def test_branches(completions):
-    assert L.policy_branch(completions).count() == 6
     assert sorted(r["text"] for r in L.distill_branch(completions, "feedback").collect()) == ["a", "f"]
 
 
 @pytest.mark.parametrize("n,expected", [(0, []), (1, [10, 12, 13, 15]), (2, [10, 11, 12, 13, 15]), (9, list(range(10, 16)))])
-def test_first_groups(completions, monkeypatch, n, expected):
-    for limit in (1000, -1):  # by window limit, then by ordinal
-        monkeypatch.setattr(L, "WINDOW_LIMIT", limit)
-        got = L.first_groups(completions, ["step"], ["prompt"], "seq", n)
-        assert sorted(r["seq"] for r in got.collect()) == expected
-
-
-def test_window_limit_reaches_the_map_side(completions):
-    plan = L.first_groups(completions, ["step"], ["prompt"], "seq", 2)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_first_groups(completions, n, expected):
+    got = L.first_groups(completions, ["step"], ["prompt"], "seq", n)
+    assert sorted(r["seq"] for r in got.collect()) == expected
+
+
+@pytest.mark.parametrize("n", [1000, 1001])
+def test_first_groups_follow_one_rule(spark, n):
+    # Negative orders, and prompts that appear at the same time: the smaller key comes first.
+    rows = spark.range(3000).select(F.lit(0).alias("step"), "id", (F.col("id") % 1500 - 700).alias("seq"), F.col("id").alias("prompt"))
+    got = L.first_groups(rows, ["step"], ["prompt"], "seq", n)
+    expected = sorted(range(3000), key=lambda i: (i % 1500 - 700, i))[:n]
+    assert sorted(r["prompt"] for r in got.collect()) == sorted(expected)
+
+
+def test_samples_are_chosen_without_texts(spark, completions, tmp_path):
+    completions.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = L.collect_samples(stored, ["step"], "prompt", "seq", 1)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line]
+        assert sum("text" in s.split("ReadSchema")[1] for s in scans) == 1  # the last lookup
+        assert df.count() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_first_demonstration_sorts_no_texts(completions):
+    plan = L.first_demonstration(completions, ["step", "prompt"], "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_samples_of_due_steps(completions):
+    got = L.due_samples(completions.withColumn("step", F.col("step") * 7), "step", "prompt", "seq", 1, 10)
+    assert {r["step"] for r in got.collect()} == {0}
 
 
 def test_samples_are_numbered(completions):

@@ -107,11 +107,29 @@ def test_running_sum_and_ordinal(rows, bits):
             assert (by_id[r["id"]]["at"], by_id[r["id"]]["total"]) == (at, total)
 
 
-def test_order_outside_its_range_is_an_error(spark):
-    for bad in (-1, 1 << 40):
-        df = spark.createDataFrame([(1, bad)], "k int, seq long")
-        with pytest.raises(Exception, match="must lie in"):
-            skew.group_ordinal(df, ["k"], "seq", "at").collect()
+@pytest.mark.parametrize("bits", [3, 18])
+def test_order_may_be_any_whole_number_or_time(spark, bits):
+    numbers = [-(1 << 63), -(1 << 40), -1, 0, 5, 1 << 40, 1_760_000_000_000_000, (1 << 63) - 1]
+    df = spark.createDataFrame([(1, n) for n in numbers], "k int, seq long")
+    got = {r["seq"]: r["at"] for r in skew.group_ordinal(df, ["k"], "seq", "at", bits).collect()}
+    assert got == {n: i for i, n in enumerate(numbers)}
+    times = df.filter("seq between 0 and 1760000000000000").withColumn("t", F.timestamp_micros("seq"))
+    got = {r["seq"]: r["at"] for r in skew.group_ordinal(times, ["k"], "t", "at", bits).collect()}
+    assert got == {0: 0, 5: 1, 1 << 40: 2, 1_760_000_000_000_000: 3}
+
+
+def test_order_of_another_kind_is_an_error(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        skew.group_ordinal(spark.createDataFrame([(1, "a")], "k int, seq string"), ["k"], "seq", "at")
+    with pytest.raises(Exception, match="must not be null"):
+        skew.group_ordinal(spark.createDataFrame([(1, None)], "k int, seq long"), ["k"], "seq", "at").collect()
+
+
+def test_scatter_follows_the_size_of_the_group(spark):
+    rows = spark.range(1000).select("id", F.lit(1).alias("k"))
+    joined = skew.with_group_stats(rows, ["k"], {"n": F.count(F.lit(1))}, ["id"], split_rows=100)
+    assert "/ 100" in joined._jdf.queryExecution().optimizedPlan().toString().replace(".0", "")
+    assert {r["n"] for r in joined.collect()} == {1000}
 
 
 def test_plain_join_of_a_hot_key_is_split_by_adaptive_execution(spark):

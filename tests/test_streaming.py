@@ -112,3 +112,24 @@ def test_stream_verdicts_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select("code", "reward", "feedback").collect())) == sorted(
         map(tuple, batch.select("code", "reward", "feedback").collect())
     ) == [("x", 1.0, "All tests passed."), ("y", 0.0, "oops"), ("z", 0.0, "Timed out.")]
+
+
+def test_partials_are_merged(spark, tmp_path, arriving):
+    put, stream = arriving
+    out, checkpoint = tmp_path / "out", str(tmp_path / "checkpoint")
+    for part in range(5):
+        put([(part, 0, 0, float(part % 2), 0.0)])
+    jobs.run_step_metrics(stream(), ["step"], str(out), checkpoint, merge_every=2)
+    assert sorted(p.name for p in (out / "kind=merged").iterdir()) == ["batch_id=1", "batch_id=3"]
+    row = jobs.read_step_metrics(spark, ["step"], str(out)).first()
+    assert (row["n_correct"], row["n_failed"], row["reward_mean"]) == (2, 3, pytest.approx(0.4))
+
+
+def test_a_row_after_its_group_begins_it_anew(spark, tmp_path, arriving):
+    put, stream = arriving
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for rows in ([(0, 0, 0, 1.0, 1.0), (1, 0, 0, 0.0, 2.0)], [(2, 0, 0, 1.0, 3.0)], [(3, 0, 0, 0.0, 4.0)]):
+        put(rows)
+    jobs.run_group_advantages(stream(), ["step", "prompt"], 2, "arrived", 100, out, checkpoint, ["id"])
+    got = {r["id"]: r["advantage"] for r in jobs.read_group_advantages(spark, out).collect()}
+    assert got[2] == pytest.approx(1.0, abs=1e-6) and got[3] == pytest.approx(-1.0, abs=1e-6)

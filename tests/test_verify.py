@@ -13,7 +13,11 @@ CASES = [
     ("slow", "import time\ntime.sleep(30)", "assert True", 0.0),
     ("busy", "while True:\n    pass", "assert True", 0.0),
     ("environment", "import os", "assert not os.environ.get('HOME')", 1.0),
-    ("memory", "x = bytearray(1 << 32)", "assert True", 0.0),
+    ("long output", "print('x' * (1 << 25))", "assert True", 1.0),
+    ("much memory", "x = bytearray(1200 << 20)", "assert True", 1.0),
+    ("long script", "x = '" + "y" * 200_000 + "'", "assert len(x) == 200000", 1.0),
+    ("no text", "import sys\nsys.stdout.buffer.write(b'\\xff')", "assert True", 0.0),
+    ("line ends", "print('a\\r\\nb\\rc')", "assert False", 0.0),
     ("null test", "x = 2", None, 1.0),
     ("null text", None, "assert True", 1.0),
     ("code ends late", "x = 1\ny = 2", "assert y == 2", 1.0),
@@ -23,9 +27,9 @@ CASES = [
 
 
 def test_verdicts(spark):
-    rows = [(i, name, text, test) for i, (name, text, test, _) in enumerate(CASES * 3)]
+    rows = [(i, name, text, test) for i, (name, text, test, _) in enumerate(CASES * 2)]
     df = spark.createDataFrame(rows, "id int, name string, text string, test string")
-    judged = verify_completions(df, seconds=2.0)
+    judged = verify_completions(df, seconds=5.0)
     assert judged.columns == ["id", "name", "text", "test", "reward", "feedback"]
     got = judged.collect()
     assert len(got) == len(rows)
@@ -37,7 +41,16 @@ def test_verdicts(spark):
     assert "SyntaxError" in feedback["syntax"] and "boom" in feedback["top level"]
     assert feedback["slow"] == feedback["busy"] == "Timed out."
     assert feedback["exit"] == ""
-    assert "MemoryError" in feedback["memory"] and "null byte" in feedback["nul"]
+    assert "null byte" in feedback["nul"]
+    assert "can't decode" in feedback["no text"]
+    assert feedback["line ends"].startswith("a\nb\nc\n")
+
+
+def test_limits_are_parameters():
+    script = "x = bytearray(1 << 32)\nprint('done')"
+    reward, feedback = judge_script(script, "done", 5.0, memory_bytes=1 << 30)
+    assert reward == 0.0 and "MemoryError" in feedback
+    assert judge_script("print('x' * (1 << 22))\nprint('done')", "done", 5.0, file_bytes=1 << 20)[0] == 0.0
 
 
 def test_children_do_not_outlive_the_script(tmp_path):

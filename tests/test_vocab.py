@@ -148,3 +148,19 @@ def test_compare_scores(spark):
     assert first["same_top"] and not first["has_nan"]
     assert (first["low"], first["high"]) == (1.0, 3.0)
     assert second["has_nan"]
+
+
+def test_vectors_with_nan_have_no_order(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, [1.0, nan, 2.0]), (1, [1.0, 0.0, 2.0])], "i int, x array<double>")
+    rows = df.select("i", V.top_k_items(F.col("x"), 1.0, 2).alias("kept"), V.draw_item(F.col("x"), F.lit(0.5), 1.0, 2).alias("d"))
+    got = {r["i"]: r for r in rows.collect()}
+    assert got[0]["kept"] is None and got[0]["d"] is None
+    assert [k["item"] for k in got[1]["kept"]] == [0, 2] and got[1]["d"]["item"] == 2
+
+
+def test_capped_log_softmax(spark):
+    df = spark.createDataFrame([([1.0, -3.0, 2.0],), ([],), (None,)], "x array<double>")
+    both = df.select(V.soft_capped_log_softmax(F.col("x"), 2.0).alias("a"), V.log_softmax(V.soft_cap(F.col("x"), 2.0)).alias("b"))
+    for r in both.collect():
+        assert r["a"] == r["b"] or r["a"] == pytest.approx(r["b"])
