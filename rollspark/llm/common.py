@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -55,6 +56,12 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, count: str) -> DataFram
     return hot.unionByName(cold)
 
 
+def slices(batch: pa.Array, rows: int = 1024) -> Iterator[list]:
+    """Values of an Arrow batch, some rows at a time: long texts are not all held twice."""
+    for begin in range(0, len(batch), rows):
+        yield batch.slice(begin, rows).to_pylist()
+
+
 def share(spark: SparkSession, model: object) -> Callable[[], object]:
     """Broadcast of a model of bounded size; call the result in a task to get it. Its class travels with it."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(model))

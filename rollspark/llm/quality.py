@@ -9,7 +9,7 @@ What a passage shows to the encoder: shares of bytes and of hashed byte pairs, h
 often a word follows itself, the share of distinct words, and its length. Nothing
 but the text enters a score. Null and empty texts are one empty passage and get
 the model's score for it. Repeated rows score alike. Without labelled rows every
-score is 0.5.
+score is 0.5. A column with the name of the new one is replaced.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollspark.llm.common import share, unused
+from rollspark.llm.common import share, slices, unused
 
 WORDS = 64
 PAIRS = 256
 FEATURES = 256 + PAIRS + 4
 CODE = 16
 GATE = 8
-GROUP = 1 << 20  # bytes of consecutive texts that are encoded at once
+GROUP = 1 << 19  # bytes of consecutive texts that are encoded at once
 THRESHOLD = 0.3
 
 SPACE = np.zeros(256, bool)
@@ -75,6 +75,19 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return features, first
 
 
+def in_groups(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """Consecutive texts in bytes, about GROUP of them together."""
+    group, held = [], 0
+    for text in texts:
+        group.append((text or "").encode())
+        held += len(group[-1])
+        if held >= GROUP:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -111,29 +124,27 @@ class AttentionModel:
         """Probability of label 1 for each whole text."""
         if not self.fitted:
             return np.full(len(texts), 0.5)
-        out = np.zeros(len(texts))
-        encoded = [(t or "").encode() for t in texts]
-        begin = 0
-        while begin < len(texts):
-            end, held = begin, 0
-            while end < len(texts) and (end == begin or held + len(encoded[end]) <= GROUP):
-                held += len(encoded[end])
-                end += 1
-            features, first = passages(encoded[begin:end])
+        out = [np.zeros(0)]
+        for group in in_groups(texts):
+            features, first = passages(group)
             code, attention, _, _ = self.codes(features)
             z, _ = self.pooled(code, attention, first)
-            out[begin:end] = sigmoid((z @ self.weights["score"] + self.weights["score_0"]).astype(np.float64))
-            begin = end
-        return out
+            out.append(sigmoid((z @ self.weights["score"] + self.weights["score_0"]).astype(np.float64)))
+        return np.concatenate(out)
 
     def fit(self, texts: list[str | None], labels: np.ndarray, epochs: int = 150, rate: float = 0.01, decay: float = 1e-3) -> None:
         """Adam on the mean log loss of all documents; gradients of all weights from the document labels alone."""
         if not len(texts):
             return
-        features, first = passages([(t or "").encode() for t in texts])
-        self.mean = features.mean(axis=0)
-        self.scale = features.std(axis=0) + 0.05  # rare bytes must not count for more than they show
-        x = (features - self.mean) / self.scale
+        parts = [passages(group) for group in in_groups(texts)]
+        before = np.cumsum([0, *[len(f) for f, _ in parts]])
+        first = np.concatenate([f + b for (_, f), b in zip(parts, before)])
+        x = np.concatenate([f for f, _ in parts])
+        del parts
+        self.mean = x.mean(axis=0)
+        self.scale = x.std(axis=0) + 0.05  # rare bytes must not count for more than they show
+        x -= self.mean
+        x /= self.scale
         owner = np.repeat(np.arange(len(first)), np.diff([*first, len(x)]))
         y = labels.astype(np.float32)
         w = self.weights
@@ -187,15 +198,13 @@ def train(
 
 def score(docs: DataFrame, model: AttentionModel, text: str = "text", out: str = "quality_score") -> DataFrame:
     """4. Adds the probability of good quality of each whole text."""
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out} already")
     shared = share(docs.sparkSession, model)
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = shared()
         for batch in batches:
-            yield pa.array(fitted.probability(batch.to_pylist()), pa.float64())
+            yield pa.array(np.concatenate([np.zeros(0), *[fitted.probability(texts) for texts in slices(batch)]]), pa.float64())
 
     return docs.withColumn(out, scored(text))
 
