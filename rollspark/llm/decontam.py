@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollspark.llm.common import store
+from rollspark.llm.common import store, unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -109,5 +109,6 @@ def contaminated(
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """3. Rows of documents that hold no item."""
-    held = contaminated(docs, benchmark, key, text).select(F.col(key).alias("_held")).distinct()
-    return docs.join(held, F.col(key).eqNullSafe(F.col("_held")), "left_anti")
+    name = unused(docs, "_held")
+    held = contaminated(docs, benchmark, key, text).select(F.col(key).alias(name)).distinct()
+    return docs.join(held, F.col(key).eqNullSafe(F.col(name)), "left_anti")

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rollspark.llm.common import attach, store, unused
+from rollspark.llm.common import attach, slices, store, unused
 
 DISTANCE = 3
 SHINGLE = 3
@@ -73,13 +73,12 @@ def fingerprint_of(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", width: int = SHINGLE) -> DataFrame:
     """8. Adds the fingerprint of each whole text as a long, its 64 bits in order."""
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out} already")
 
     @F.arrow_udf("long")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(fingerprint_of(batch.to_pylist(), width).view(np.int64), pa.int64())
+            found = [fingerprint_of(texts, width) for texts in slices(batch)]
+            yield pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64), pa.int64())
 
     return docs.withColumn(out, prints(text))
 
@@ -213,8 +212,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     Rows with a null key stay only if their whole group has none, and then one of them.
     """
     groups = near_duplicates(docs, key, text, width)
-    first = groups.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_first")).agg(F.count(F.lit(1)).alias("_n"))
-    named = docs.join(first.select("_first"), F.col(key) == F.col("_first"), "left_semi")
+    name = unused(docs, "_first")
+    first = groups.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias(name)).agg(F.count(F.lit(1)).alias("_n"))
+    named = docs.join(first.select(name), F.col(key) == F.col(name), "left_semi")
     nameless = docs.filter(F.col(key).isNull())
     if not first.filter("_n > 1").limit(1).count() and not nameless.limit(1).count():
         return named
@@ -223,8 +223,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     placed = fingerprints(named.unionByName(nameless), text, print_, width)
     placed = store(placed.withColumn(place, F.struct(F.xxhash64(text), F.monotonically_increasing_id())), "repeated")
     of_key = placed.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_of")).agg(F.min(place).alias("_chosen"))
-    roots = groups.filter(F.col("component_id").isNull()).select("fingerprint", "group").distinct()
-    alone = placed.filter(F.col(key).isNull()).join(roots, F.col(print_) == F.col("fingerprint"))
-    of_group = alone.groupBy(F.col("group").alias("_of")).agg(F.min(place).alias("_chosen"))
-    chosen = of_key.select("_chosen").union(of_group.select("_chosen"))
-    return placed.join(chosen, F.col(place) == F.col("_chosen"), "left_semi").select(*docs.columns)
+    roots = groups.filter(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_of"), F.col("group").alias("_root")).distinct()
+    alone = placed.filter(F.col(key).isNull()).select(F.col(print_).alias("_of"), F.col(place).alias("_chosen"))
+    of_group = alone.join(roots, "_of").groupBy("_root").agg(F.min("_chosen").alias("_chosen"))
+    chosen = of_key.select("_chosen").union(of_group.select("_chosen")).withColumnRenamed("_chosen", place + "_")
+    return placed.join(chosen, F.col(place) == F.col(place + "_"), "left_semi").select(*docs.columns)
