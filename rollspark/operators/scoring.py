@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollspark.functions.vocab import distill_terms, entropy_weight, item_logprob
-from rollspark.operators.skew import with_group_stats
+from rollspark.operators.skew import pair_up, with_group_stats
 
 # Smallest spread that counts, and the term that keeps the quotient finite.
 SIGMA_FLOOR = 1e-8
@@ -45,17 +45,25 @@ def global_advantage(rows: DataFrame, reward: str = "reward") -> DataFrame:
     )
 
 
-def pair_policies(current: DataFrame, old: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
-    """J4. Log-probs of both policies by position; ``lp`` of the old policy becomes ``lp_old``."""
-    return current.join(old.select(*keys, F.col("lp").alias("lp_old")), list(keys))
+def pair_policies(
+    current: DataFrame, old: DataFrame, keys: Sequence[str] = POSITION, strict: bool = False
+) -> DataFrame:
+    """J4. Log-probs of both policies by position; ``lp`` of the old policy becomes ``lp_old``.
+
+    Positions the old policy lacks are left out, or raise if ``strict``.
+    """
+    return pair_up(current, old.select(*keys, F.col("lp").alias("lp_old")), keys, strict)
 
 
-def pair_logits(student: DataFrame, teacher: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
+def pair_logits(
+    student: DataFrame, teacher: DataFrame, keys: Sequence[str] = POSITION, strict: bool = False
+) -> DataFrame:
     """J5. Score vectors of student and teacher by position.
 
-    Both sides are wide: tables written with ``write_by_sequence`` join without a shuffle.
+    Both sides are wide: tables written with ``write_by_sequence`` join without a shuffle. Positions the teacher
+    lacks are left out, or raise if ``strict``.
     """
-    return student.join(teacher.select(*keys, F.col("logits").alias("teacher_logits")), list(keys))
+    return pair_up(student, teacher.select(*keys, F.col("logits").alias("teacher_logits")), keys, strict)
 
 
 def write_by_sequence(rows: DataFrame, table: str, buckets: int) -> None:
@@ -63,20 +71,23 @@ def write_by_sequence(rows: DataFrame, table: str, buckets: int) -> None:
     rows.write.bucketBy(buckets, *POSITION).sortBy(*POSITION).mode("overwrite").saveAsTable(table)
 
 
-def taken_logprobs(tokens: DataFrame, logits: DataFrame) -> DataFrame:
+def taken_logprobs(tokens: DataFrame, logits: DataFrame, strict: bool = False) -> DataFrame:
     """D8. Log-prob of each response token under the scores of the position before it.
 
     ``tokens`` has (seq_id, pos, id, prompt_len), ``logits`` has (seq_id, pos,
     logits). Tokens without a loss position get 0. Only tokens that need scores
-    enter the join, and the vector is reduced to one number right after it.
+    enter the join, and the vector is reduced to one number right after it. A
+    token whose vector is missing, or has no such item, gets null, or raises if ``strict``.
     """
     scored = F.col("pos") >= F.greatest("prompt_len", F.lit(1))
+    missing = F.raise_error(F.lit("a token has no score")) if strict else F.lit(None)
+    missing = missing.cast("double")
     wanted = tokens.filter(scored).withColumn("_at", F.col("pos") - 1)
     vectors = logits.select("seq_id", F.col("pos").alias("_at"), "logits")
     vectors = vectors.join(wanted.select("seq_id", "_at"), ["seq_id", "_at"], "left_semi")
     reduced = (
         wanted.join(vectors, ["seq_id", "_at"], "left")
-        .withColumn("lp", item_logprob("logits", "id"))
+        .withColumn("lp", F.coalesce(item_logprob("logits", "id"), missing))
         .select("seq_id", "pos", "id", "prompt_len", "lp")
     )
     rest = tokens.filter(~scored).select("seq_id", "pos", "id", "prompt_len", F.lit(0.0).alias("lp"))

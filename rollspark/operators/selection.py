@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollspark.functions.text import build_feedback, teacher_prompt
-from rollspark.operators.skew import BLOCK_BITS, equi_join, group_ordinal, skew_join
+from rollspark.operators.skew import BLOCK_BITS, equi_join, group_ordinal, pair_up, skew_join
 
 EARLY_STEPS = 5  # fixed value: the first steps are always reported
 
@@ -40,13 +40,13 @@ def first_demonstration(
     return equi_join(texts, least, [*prompt_keys, order], "inner").select(*prompt_keys, "demo")
 
 
-def attach_tests(completions: DataFrame, problems: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """J1. Each completion with the test of its problem.
+def attach_tests(completions: DataFrame, problems: DataFrame, keys: Sequence[str], strict: bool = False) -> DataFrame:
+    """J1. Each completion with the test of its problem; those of unknown problems are left out, or raise if ``strict``.
 
     A plain join, here and in J3 and J6: Spark broadcasts a small table and
     adaptive execution splits the partitions of a hot key.
     """
-    return completions.join(problems.select(*keys, "test"), list(keys))
+    return pair_up(completions, problems.select(*keys, "test"), keys, strict)
 
 
 def attach_demo(
@@ -56,9 +56,9 @@ def attach_demo(
     return skew_join(failed, demos, keys, "left", spread_by)
 
 
-def attach_prompt(failed: DataFrame, problems: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """J3. Each failed completion with its raw prompt."""
-    return failed.join(problems.select(*keys, "prompt"), list(keys))
+def attach_prompt(failed: DataFrame, problems: DataFrame, keys: Sequence[str], strict: bool = False) -> DataFrame:
+    """J3. Each failed completion with its raw prompt; those of unknown problems are left out, or raise if ``strict``."""
+    return pair_up(failed, problems.select(*keys, "prompt"), keys, strict)
 
 
 def distill_branch(completions: DataFrame, feedback: str = "sdpo_feedback") -> DataFrame:

@@ -29,6 +29,16 @@ def equi_join(
     return left.join(renamed, reduce(lambda a, b: a & b, matches), how).drop(*[f"_r_{k}" for k in shared])  # no-op in a semi join
 
 
+def pair_up(left: DataFrame, right: DataFrame, keys: Sequence[str], strict: bool = False) -> DataFrame:
+    """Inner join on equal keys; ``strict`` raises when a row of ``left`` has no partner instead of leaving it out."""
+    if not strict:
+        return left.join(right, list(keys))
+    joined = left.join(right.withColumn("_partner", F.lit(True)), list(keys), "left")
+    found = F.coalesce("_partner", F.raise_error(F.lit(f"a row has no partner by {', '.join(keys)}")).cast("boolean"))
+    # A filter on the check, so that it is computed whatever columns are read.
+    return joined.filter(found).drop("_partner")
+
+
 def heavy_keys(
     counts: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS, splits: int = SPLITS
 ) -> DataFrame:

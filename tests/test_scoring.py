@@ -207,3 +207,23 @@ def test_teacher_vectors_of_masked_positions_are_pruned(spark):
     student = spark.createDataFrame([(0, 0, 0, 1, [0.0, 1.0])], schema)
     plan = S.step_distill_loss(student, student.drop("step", "mask"), ["step"])._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_missing_partners(spark):
+    from rollspark.operators.selection import attach_tests
+
+    current = spark.createDataFrame([(0, 0, -1.0), (0, 1, -2.0)], "seq_id int, pos int, lp double")
+    old = current.filter("pos = 0")
+    assert S.pair_policies(current, old).count() == 1
+    assert S.pair_policies(old, current, strict=True).count() == 1
+    with pytest.raises(Exception, match="no partner"):
+        S.pair_policies(current, old, strict=True).collect()
+    problems = spark.createDataFrame([(0, "t")], "pos int, test string")
+    with pytest.raises(Exception, match="no partner"):
+        attach_tests(current, problems, ["pos"], strict=True).collect()
+    tokens = spark.createDataFrame([(0, 1, 0, 0), (0, 2, 9, 0)], "seq_id int, pos int, id int, prompt_len int")
+    logits = spark.createDataFrame([(0, 0, [0.0, 1.0])], "seq_id int, pos int, logits array<double>")
+    got = {r["pos"]: r["lp"] for r in S.taken_logprobs(tokens, logits).collect()}
+    assert got[1] == pytest.approx(-math.log(1 + math.e)) and got[2] is None
+    with pytest.raises(Exception, match="no score"):
+        S.taken_logprobs(tokens, logits, strict=True).collect()
