@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollspark.functions.text import build_feedback, teacher_prompt
-from rollspark.operators.skew import BLOCK_BITS, equi_join, group_ordinal, pair_up, skew_join
+from rollspark.operators.skew import BLOCK_BITS, arrival_number, equi_join, group_ordinal, pair_up, skew_join
+from rollspark.session import shared_dir
 
+WINDOW_LIMIT = 1000
 EARLY_STEPS = 5  # fixed value: the first steps are always reported
 
 
@@ -100,10 +102,19 @@ def first_groups(
 def chosen_groups(
     rows: DataFrame, step_keys: Sequence[str], prompt_keys: Sequence[str], order: str, n: int
 ) -> DataFrame:
-    """G2. The keys of the first ``n`` prompts of each step: one rule for any ``n`` and any order column."""
+    """G2. The keys of the first ``n`` prompts of each step: one rule for any ``n`` and any order column.
+
+    Spark cuts a row number filter of up to WINDOW_LIMIT down before its shuffle;
+    more are numbered in blocks. Both rank by first appearance, then by prompt keys.
+    """
     keys = [*step_keys, *prompt_keys]
     firsts = rows.groupBy(*keys).agg(F.min(order).alias("_first"))
-    ranked = group_ordinal(firsts, step_keys, "_first", "_rank", ties=prompt_keys)
+    if n <= WINDOW_LIMIT:
+        arrival_number(rows, order)  # the same columns are accepted
+        rank = F.row_number().over(Window.partitionBy(*step_keys).orderBy("_first", *prompt_keys)) - 1
+        ranked = firsts.withColumn("_rank", rank)
+    else:
+        ranked = group_ordinal(firsts, step_keys, "_first", "_rank", ties=prompt_keys)
     return ranked.filter(F.col("_rank") < n).select(*keys)
 
 
@@ -113,11 +124,13 @@ def collect_samples(
     """G1, G2. Rows of the chosen prompts, numbered within their prompt.
 
     Chosen and numbered on keys and order alone; the texts of these few rows are
-    looked up last. ``order`` is unique within a prompt.
+    looked up last. ``order`` is unique within a prompt. The chosen keys are
+    written to the shared folder at once, since numbering reads them several times.
     """
     keys = [*step_keys, prompt_key]
     narrow = completions.select(*keys, order)
-    chosen = equi_join(narrow, chosen_groups(narrow, step_keys, [prompt_key], order, n), keys, "left_semi")
+    shared_dir(completions.sparkSession)
+    chosen = equi_join(narrow, chosen_groups(narrow, step_keys, [prompt_key], order, n), keys, "left_semi").checkpoint()
     numbered = group_ordinal(chosen, keys, order, "completion_index")
     return equi_join(completions, numbered, [*keys, order], "inner")
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SPLITS = 1 << 16
 SPLIT_ROWS = 100_000
 
-BLOCK_BITS = 18
+BLOCK_BITS = 18  # rows of a block
+TOTAL_BITS = 23  # totals of blocks that are summed together: a key and two longs each
 LONG_BITS = 64
 
 
@@ -120,19 +121,19 @@ def sum_over_blocks(
     front of it, so that a single shuffle by group and block does. With
     ``block_bits``, the bits that block numbers may have, the totals of many
     blocks are summed in blocks themselves, so that no window ever holds more
-    than 2**BLOCK_BITS of them. Uses up ``_value`` and ``_block``.
+    than 2**TOTAL_BITS of them. Uses up ``_value`` and ``_block``.
     """
     keys = list(keys)
     totals = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
-    if block_bits > BLOCK_BITS:
+    if block_bits > TOTAL_BITS:
         above = totals.select(
             *keys,
             F.col("_block").alias("_number"),
             "_total",
             F.col("_total").alias("_value"),
-            F.shiftright("_block", BLOCK_BITS).alias("_block"),
+            F.shiftright("_block", TOTAL_BITS).alias("_block"),
         )
-        summed = sum_over_blocks(above, keys, ["_number"], "_sum", block_bits - BLOCK_BITS)
+        summed = sum_over_blocks(above, keys, ["_number"], "_sum", block_bits - TOTAL_BITS)
         before = summed.select(*keys, F.col("_number").alias("_block"), (F.col("_sum") - F.col("_total")).alias("_value"))
     else:
         earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,7 +172,7 @@ def running_sum(
     ``order`` is a whole number of any size and sign, a timestamp or a date, not
     null and unique within its group; ``ties`` name columns that order equals.
     Each group is cut into blocks of 2**block_bits consecutive numbers, and their
-    totals into blocks again, so that no window holds more rows than that.
+    totals into blocks again, so that no window grows with the group.
     """
     number = F.coalesce(arrival_number(rows, order), F.raise_error(F.lit(f"{order} must not be null")).cast("long"))
     blocked = rows.withColumn("_value", value).withColumn("_block", F.shiftright(number, block_bits))

@@ -36,8 +36,13 @@ def to_log_rows(rows: DataFrame) -> DataFrame:
 
 def append_log(rows: DataFrame, path: str | None) -> None:
     """B1. Append to the log folder, one object per line with explicit nulls; no path or no rows, no log."""
-    if path and not rows.isEmpty():
-        to_log_rows(rows).write.mode("append").option("ignoreNullFields", "false").json(path)
+    if path:
+        held = to_log_rows(rows).persist()  # samples are few; both looks at them cost one run
+        try:
+            if not held.isEmpty():
+                held.write.mode("append").option("ignoreNullFields", "false").json(path)
+        finally:
+            held.unpersist()
 
 
 def read_log(spark: SparkSession, path: str, broken: str = "fail") -> DataFrame:
