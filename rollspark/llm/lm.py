@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rollspark.llm.common import share, store
+from rollspark.llm.common import share, slices, store
 
 END = b""
 CLASSES = 16  # of words; the end token is a class of its own
@@ -36,7 +37,7 @@ SLOTS = 1 << 15
 BLOCK = 1 << 7  # rows of weights that travel together
 BUCKETS = 64  # of the words before a word, for its signature
 BATCH = 1 << 13  # tokens of a gradient step
-GROUP = 1 << 20  # letters of consecutive texts that are held as words at once
+GROUP = 1 << 19  # letters of consecutive texts that are held as words at once
 RATE = 0.3
 # Words with at least 1/HEAD of all tokens are looked up in memory; there are at most
 # HEAD of them, whatever the corpus. Classes are learnt for those with 1/SIGNED.
@@ -45,7 +46,7 @@ SIGNED = 1 << 15
 HELD_WORDS = 400_000  # distinct words a task counts before it hands them on
 
 
-def groups(texts: list[str | None]) -> Iterator[list[bytes]]:
+def groups(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
     """Consecutive texts in bytes, A-Z in lower case."""
     group, held = [], 0
     for text in texts:
@@ -76,7 +77,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        for group in groups(batch.column(0).to_pylist()):
+        for group in groups(t for part in slices(batch.column(0)) for t in part):
             counts.update(tokens_of(group)[0])
             if len(counts) > HELD_WORDS:
                 yield handed()
@@ -131,7 +132,7 @@ class Lexicon:
 
     def look_up(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place (-1 for words not held), hash and class of each token."""
-        places = np.fromiter(map(self.place.get, tokens, _nowhere), np.int64, len(tokens))
+        places = np.fromiter(map(self.place.get, tokens, repeat(-1)), np.int64, len(tokens))
         if len(self.classes):
             hashes, classes = self.hashes[places], self.classes[places]
         else:
@@ -143,19 +144,6 @@ class Lexicon:
         return places, hashes, classes
 
 
-class _Nowhere:
-    """Endless -1, the default for a mapped lookup."""
-
-    def __iter__(self):
-        return self
-
-    def __next__(self) -> int:
-        return -1
-
-
-_nowhere = _Nowhere()
-
-
 def features(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Rows of weights for each token: last word, the one before it, both. Row 0 is the bias of all."""
     start = np.uint64(0xFFFFFFFFFF)
@@ -189,10 +177,12 @@ class Steps:
             own, told = rows[:, at : at + BATCH], classes[at : at + BATCH]
             gradient = np.exp(log_softmax(self.weights, own))
             gradient[np.arange(len(told)), told] -= 1
-            flat = own.ravel()
+            flat = own.ravel().astype(np.uint16)  # SLOTS fit; numpy sorts small numbers by their digits
             order = np.argsort(flat, kind="stable")
-            used, first, times = np.unique(flat[order], return_index=True, return_counts=True)
-            sums = np.add.reduceat(gradient[order % len(told)], first, axis=0)
+            flat = flat[order]
+            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+            used, times = flat[first].astype(np.int64), np.diff(np.append(first, len(flat)))
+            sums = np.add.reduceat(np.take(gradient, order % len(told), axis=0), first, axis=0)
             self._step(used, sums / times[:, None], times)
             self._step(np.array([0]), gradient.mean(axis=0, keepdims=True), np.array([len(told)]))
 
@@ -231,7 +221,7 @@ class MaxentModel:
         self.weights = np.zeros((SLOTS, CLASSES + 1), np.float32)
         self.mass = np.full(CLASSES + 1, 0.5)
 
-    def score(self, texts: list[str | None]) -> dict[str, list]:
+    def score(self, texts: Iterable[str | None]) -> dict[str, list]:
         """For each text what needs no rare words, and its rare words with their numbers."""
         out: dict[str, list] = {"n_tokens": [], "held": [], "logs": [], "classes": [], "rare": []}
         lexicon, mass = self.lexicon, np.log10(self.mass)
@@ -284,11 +274,14 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         row = np.full(len(own.counts) + 1, -1)
         row[chosen] = np.arange(len(chosen))
         seen = np.zeros(len(chosen) * BUCKETS, np.int64)
+        of_word = np.array([zlib.crc32(w[-3:]) % BUCKETS for w in own.place] + [0])
         for batch in batches:
-            for group in groups(batch.column(0).to_pylist()):
+            for group in groups(t for part in slices(batch.column(0)) for t in part):
                 tokens, begins = tokens_of(group)
-                buckets = np.array([zlib.crc32(t[-3:]) % BUCKETS for t in tokens])
-                places = np.fromiter(map(own.place.get, tokens, _nowhere), np.int64, len(tokens))
+                places = np.fromiter(map(own.place.get, tokens, repeat(-1)), np.int64, len(tokens))
+                buckets = of_word[places]
+                for i in np.flatnonzero(places < 0).tolist():
+                    buckets[i] = zlib.crc32(tokens[i][-3:]) % BUCKETS
                 inner = np.ones(len(tokens), bool)
                 inner[begins[:-1]] = False
                 at = np.flatnonzero(inner & (row[places] >= 0))
@@ -321,7 +314,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
             own = current()
             made = Steps(own.weights)
             for batch in batches:
-                for group in groups(batch.column(0).to_pylist()):
+                for group in groups(t for part in slices(batch.column(0)) for t in part):
                     tokens, begins = tokens_of(group)
                     _, hashes, classes = own.lexicon.look_up(tokens)
                     made.learn(features(hashes, begins), classes)
@@ -349,7 +342,7 @@ def score(docs: DataFrame, model: MaxentModel, vocabulary: DataFrame, text: str
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared()
         for batch in batches:
-            out = own.score(batch.to_pylist())
+            out = own.score(t for part in slices(batch) for t in part)
             words = pa.array([w for c in out["rare"] for w in c], pa.binary())
             times = pa.array([n for c in out["rare"] for n in c.values()], pa.int32())
             ends = pa.array(np.cumsum([0, *map(len, out["rare"])]), pa.int32())
