@@ -8,14 +8,14 @@ words go into a trie, depth first; the state of a node is that last token, and
 what words share at their beginning is computed once.
 
 Nulls and empty texts have no tokens and decode to the empty text. Repeated rows
-are encoded alike; all columns of the input stay, the new one must not be there yet.
+are encoded alike. All columns of the input stay; one with the name of the new one is replaced.
 """
 
 from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,12 +24,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from rollspark.llm.common import share
+from rollspark.llm.common import share, slices
 
 # Fixed value: how byte-level BPE cuts a text before it merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHED_WORDS = 400_000  # words remembered per Python worker; on overflow the memory starts anew
+CACHED_WORDS = 300_000  # words remembered per Python worker; on overflow the memory starts anew
 CACHED_PAIRS = 300_000
 GROUP = 400_000  # letters of consecutive texts that are encoded together
 DECODED = 500_000  # ids that are decoded together
@@ -194,7 +194,7 @@ class Encoder:
         return tokens[at], np.diff(total[ends])
 
 
-def in_groups(texts: list[str], size: int = GROUP) -> Iterator[list[str]]:
+def in_groups(texts: Iterable[str], size: int = GROUP) -> Iterator[list[str]]:
     """Consecutive texts, as many as have about ``size`` letters together."""
     group, held = [], 0
     for text in texts:
@@ -233,15 +233,13 @@ class Decoder:
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """9. Adds the token ids of each whole text as an array. ``path``: vocabulary file, read by the driver alone."""
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out} already")
     shared = share(docs.sparkSession, Vocabulary(path))
 
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared())
         for batch in batches:
-            done = [encoder.encode(g) for g in in_groups([t or "" for t in batch.to_pylist()])]
+            done = [encoder.encode(g) for g in in_groups(t or "" for part in slices(batch) for t in part)]
             ids = np.concatenate([np.zeros(0, np.int32), *[x for x, _ in done]])
             offsets = np.cumsum(np.concatenate([[0], *[n for _, n in done]]))
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
@@ -251,8 +249,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """9. Adds the text of an array of token ids; bytes that are no UTF-8 become U+FFFD, unknown and null ids nothing."""
-    if out in rows.columns:
-        raise ValueError(f"there is a column {out} already")
     shared = share(rows.sparkSession, Decoder(Vocabulary(path)))
 
     @F.arrow_udf("string")

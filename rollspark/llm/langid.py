@@ -13,6 +13,7 @@ the whole text; equal lengths go to the first language in sorted order.
 The trees are fitted on a bounded sample, ``per_language`` documents of each
 language taken in the order of their keys' hashes. Null texts and texts without a
 letter are ``und`` with score 0, and so is everything if nothing can be learnt from.
+Repeated rows are judged alike; a column with the name of the new one is replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rollspark.llm.common import share, unused
+from rollspark.llm.common import share, slices, unused
 
 ORDER = 4
 UNKNOWN = "und"
-BLOCK = 1 << 20  # bytes of text that are scored at once
+SHORT = 64
+BLOCK = 1 << 19  # bytes of text that are scored at once
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -198,8 +200,13 @@ def train(
     ``per_language`` bounds the sample of each language; only the sample's counts reach the driver.
     """
     usable = docs.filter(learn & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
-    narrow = usable.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key")
+    narrow = usable.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.xxhash64(key).alias("_hash"))
+    # Hashes are even over all longs, so the least of a language's are below a bound that leaves about
+    # four times the sample: what is ranked does not grow with the table.
+    sizes = narrow.groupBy("_lang").agg((F.count(F.lit(1)) / (4 * per_language)).alias("_share"))
+    bound = F.when(F.col("_share") <= 1, F.lit((1 << 63) - 1)).otherwise(F.lit(-float(1 << 63)) + float(1 << 64) / F.col("_share"))
+    narrow = narrow.join(sizes, "_lang").filter(F.col("_hash") <= bound)
+    order = Window.partitionBy("_lang").orderBy("_hash", "_key")
     chosen = narrow.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= per_language)
     chosen = F.broadcast(chosen.select("_key").distinct())  # at most per_language rows of each language
     sample = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("_key"))
@@ -218,15 +225,15 @@ def train(
 
 def identify(docs: DataFrame, trees: Trees, text: str = "text", out: str = "language") -> DataFrame:
     """5. Adds a struct of ``lang``, ``score`` (the language's probability) and ``bits`` (a byte of the text) to each row."""
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out} already")
     shared = share(docs.sparkSession, trees)
 
     @F.arrow_udf("struct<lang: string, score: double, bits: double>")
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared()
         for batch in batches:
-            names, score, bits = model.judge(batch.to_pylist())
+            parts = [model.judge(texts) for texts in slices(batch)]
+            names = [name for part in parts for name in part[0]]
+            score, bits = (np.concatenate([np.zeros(0), *[part[i] for part in parts]]) for i in (1, 2))
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=["lang", "score", "bits"])
 
     return docs.withColumn(out, judged(text))
@@ -235,8 +242,9 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text", out: str = "lang
 def keep_known(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     """5. Rows in one of the languages: not ``und``, and coded in fewer bits than the text has.
 
-    A text that no tree codes better than as plain bytes is in none of the languages.
+    A text that no tree codes better than as plain bytes is in none of the languages. Texts of fewer than ``SHORT``
+    bytes prove nothing by that, as one rare name is enough, and stay.
     """
     out = unused(docs, "_language")
-    known = (F.col(f"{out}.lang") != UNKNOWN) & (F.col(f"{out}.bits") < 8)
+    known = (F.col(f"{out}.lang") != UNKNOWN) & ((F.col(f"{out}.bits") < 8) | (F.octet_length(text) < SHORT))
     return identify(docs, trees, text, out).filter(known).select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rollspark.llm.common import share
+from rollspark.llm.common import share, slices
 
 LINE = 8
 CUT = 6  # parts of long lines have about so many words
@@ -166,13 +166,11 @@ def sketches_of(digests: list[np.ndarray], cells: int = CELLS) -> list[bytes]:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "sketch") -> DataFrame:
     """10. Adds the sketch of each whole text: CELLS cells of count, sum of digests and sum of checks."""
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out} already")
 
     @F.arrow_udf("binary")
     def sketched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(sketches_of([paragraphs(t) for t in batch.to_pylist()]), pa.binary())
+            yield pa.array([s for texts in slices(batch) for s in sketches_of([paragraphs(t) for t in texts])], pa.binary())
 
     return docs.withColumn(out, sketched(text))
 
