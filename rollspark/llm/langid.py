@@ -202,10 +202,11 @@ def train(
     usable = docs.filter(learn & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
     narrow = usable.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.xxhash64(key).alias("_hash"))
     # Hashes are even over all longs, so the least of a language's are below a bound that leaves about
-    # four times the sample: what is ranked does not grow with the table.
+    # four times the sample: what is ranked does not grow with the table. The model holds a tree for each
+    # language, so their list fits wherever the model does.
     sizes = narrow.groupBy("_lang").agg((F.count(F.lit(1)) / (4 * per_language)).alias("_share"))
     bound = F.when(F.col("_share") <= 1, F.lit((1 << 63) - 1)).otherwise(F.lit(-float(1 << 63)) + float(1 << 64) / F.col("_share"))
-    narrow = narrow.join(sizes, "_lang").filter(F.col("_hash") <= bound)
+    narrow = narrow.join(F.broadcast(sizes), "_lang").filter(F.col("_hash") <= bound)
     order = Window.partitionBy("_lang").orderBy("_hash", "_key")
     chosen = narrow.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= per_language)
     chosen = F.broadcast(chosen.select("_key").distinct())  # at most per_language rows of each language
