@@ -22,7 +22,7 @@ key (null if there is none).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -192,9 +192,8 @@ def components(edges: DataFrame, name: str = "component") -> DataFrame:
         now, state = following, tuple(sums)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """8. Key, fingerprint (long), component_id (smallest key of the group) and group (its smallest fingerprint) of each row."""
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+def group(rows: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """Rows with ``_key`` and ``_text``: the other columns and ``fingerprint``, ``component_id`` and ``group``."""
     prints = store(fingerprints(rows, "_text", "fingerprint", width).drop("_text"), "prints")
     groups = store(prints.groupBy("fingerprint").agg(F.min("_key").alias("_least"), F.count(F.lit(1)).alias("_n")), "print-groups")
     found = components(links(groups.select("fingerprint")), "print-links")
@@ -203,28 +202,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     names = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
     # Members of a group are distinct fingerprints, far fewer than its rows.
     named = store(joined.join(names, "_root").select("fingerprint", "component_id", F.col("_root").alias("group"), "_n"), "print-names")
-    return attach(prints, named, "fingerprint", "_n").select(F.col("_key").alias(key), "fingerprint", "component_id", "group")
+    return attach(prints, named, "fingerprint", "_n")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
+    """8. Key, fingerprint (long), component_id (smallest key of the group) and group (its smallest fingerprint) of each row."""
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return group(rows, width).select(F.col("_key").alias(key), "fingerprint", "component_id", "group")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """8. One document of each group: that with the smallest key; of rows with that same key, one.
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE,
+    grouped: Callable[[DataFrame, int], DataFrame] = group,
+) -> DataFrame:
+    """8. One row of each group: that with the smallest key, then the least hash of its text, then the first as stored.
 
-    Rows with a null key stay only if their whole group has none, and then one of them.
+    Keys need not be distinct; rows with a null key come after all others of their
+    group. ``grouped`` adds ``group`` to rows with ``_row``, ``_key`` and ``_text``.
     """
-    groups = near_duplicates(docs, key, text, width)
-    name = unused(docs, "_first")
-    first = groups.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias(name)).agg(F.count(F.lit(1)).alias("_n"))
-    named = docs.join(first.select(name), F.col(key) == F.col(name), "left_semi")
-    nameless = docs.filter(F.col(key).isNull())
-    if not first.filter("_n > 1").limit(1).count() and not nameless.limit(1).count():
-        return named
-    # Of rows that share a key or a group without keys, the one with the least hash of its text and its place.
-    place, print_ = unused(docs, "_place"), unused(docs, "_print")
-    placed = fingerprints(named.unionByName(nameless), text, print_, width)
-    placed = store(placed.withColumn(place, F.struct(F.xxhash64(text), F.monotonically_increasing_id())), "repeated")
-    of_key = placed.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_of")).agg(F.min(place).alias("_chosen"))
-    roots = groups.filter(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_of"), F.col("group").alias("_root")).distinct()
-    alone = placed.filter(F.col(key).isNull()).select(F.col(print_).alias("_of"), F.col(place).alias("_chosen"))
-    of_group = alone.join(roots, "_of").groupBy("_root").agg(F.min("_chosen").alias("_chosen"))
-    chosen = of_key.select("_chosen").union(of_group.select("_chosen")).withColumnRenamed("_chosen", place + "_")
-    return placed.join(chosen, F.col(place) == F.col(place + "_"), "left_semi").select(*docs.columns)
+    row, kept = unused(docs, "_row"), unused(docs, "_kept")
+    numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    order = F.struct(F.col("_key").isNull().alias("_null"), "_key", "_hash", "_row")
+    chosen = grouped(rows, width).groupBy("group").agg(F.min(order).alias("_least")).select(F.col("_least._row").alias(kept))
+    return numbered.join(chosen, F.col(row) == F.col(kept), "left_semi").select(*docs.columns)

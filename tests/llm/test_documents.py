@@ -269,6 +269,15 @@ def test_frames_and_seek_table(monkeypatch):
         assert reader.record(e["frame"], e["offset"], e["length"]) == records[e["record_id"]]
 
 
+def test_one_row_of_each_group_stays_whatever_its_key(spark):
+    """Rows that share a key, in unlike groups; a row of the same key next to a near copy."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(80)) for w in "abc")
+    rows = [(5, a), (5, b), (3, b + " "), (7, c), (7, c), (None, "alone"), (None, "alone too"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = sorted([(5, a), (3, b + " "), (7, c), (None, "alone"), (None, "alone too")], key=str)
+    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=str) == expected
+
+
 # -- pipeline ----------------------------------------------------------------
 
 
