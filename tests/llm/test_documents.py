@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from rollspark.llm import common, queries, sharding, simhash, sketch, warc
+from rollspark.llm import alike, common, queries, sharding, simhash, sketch, warc
 
 # -- sharding ----------------------------------------------------------------
 
@@ -276,6 +276,7 @@ def test_one_row_of_each_group_stays_whatever_its_key(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     expected = sorted([(5, a), (3, b + " "), (7, c), (None, "alone"), (None, "alone too")], key=str)
     assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=str) == expected
+    assert sorted(map(tuple, simhash.keep_one(docs, width=5, grouped=alike.group).collect()), key=str) == expected
 
 
 # -- pipeline ----------------------------------------------------------------
@@ -296,6 +297,38 @@ def test_pipeline(spark, sf_dir):
     assert simhash.near_duplicates(docs).select("component_id").distinct().count() == before
 
 
+def test_duplicate_stage_finds_all_alike(spark):
+    """Equals brute force over all pairs: chains, near copies just above and below 0.8, texts far over three bits apart."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = ["", None, " ", "one two", "One  two"]
+    for g in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(8):
+            base = list(base) if rng.random() < 0.5 else texts[-1].split()
+            for _ in range(rng.randrange(1, max(2, len(base) // 40))):
+                base[rng.randrange(len(base))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(base))
+    line = [f"l{i}" for i in range(400)]
+    texts += [" ".join([*line[:-2], f"e{i}", "end"]) for i in range(150)]  # a large group
+    sets = [set(alike.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        before = list(root)
+        for i in range(len(texts)):
+            for j in range(i):
+                same = sets[i] == sets[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+                if same:
+                    root[i] = root[j] = min(root[i], root[j])
+        if before == root:
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.duplicate_stage(spark, docs, "").collect())
+    assert kept == sorted(set(root)) and 15 < len(kept) < 100
+
+
 def test_pipeline_of_odd_rows(spark, odd_docs, sf_dir):
     import corpus_pipeline
 
