@@ -38,6 +38,18 @@ def test_shards_of_odd_rows(spark, odd_docs):
     assert sharding.shard(odd_docs, 40).select("shard").distinct().count() == odd_docs.count()
 
 
+@pytest.mark.parametrize("key,text", [("7L", "concat('text ', id)"), ("cast(null as long)", "'the same'"), ("id", "'x'")])
+def test_hot_records_are_scattered(spark, key, text):
+    """One key, or one null key and text, on all rows; wide extra columns count. No bucket, here a file per shard, takes much more than its share."""
+    rows = spark.range(4000).selectExpr(f"{key} as doc_id", f"{text} as text", "repeat('w', 200) as wide").repartition(4)
+    path = sharding.fresh_dir(spark, "hot")
+    got = sharding.shard(rows, 1, bucket_bytes=40_000, path=path)
+    assert sorted(r["slot"] for r in got.select("slot").collect()) == list(range(4000))
+    assert got.select("record.*").exceptAll(rows).count() == 0
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 20 and max(sizes) < 400
+
+
 def test_shard_query(spark, sf_dir):
     rows = {r["doc_id"]: r for r in queries.sharded(spark, sf_dir).collect()}
     for d in common.load(spark, sf_dir, "documents").collect():
