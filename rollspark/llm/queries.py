@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollspark.llm import bpe, chat, decontam, langid, lm, quality, sharding, simhash, sketch, warc
+from rollspark.llm import bpe, chat, codes, decontam, langid, lm, minhash, prefixes, quality, sharding, simhash, sketch, warc
 from rollspark.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,87 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query("op11_minhash")
+def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+SQL["op11_minhash"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE {_WORDS} END AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) AS s
+      FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared z JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * z.n >= 80 * (x.n + y.n - z.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op12_vector_codes")
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(load(spark, sf_dir, "embeddings"))
+
+
+def _rounds() -> str:
+    """The codebooks b0 to b4 and the places a0 to a4 of the parts in them."""
+    steps = []
+    for i in range(codes.ROUNDS + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, p, min(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * {codes.ENTRIES} + e) AS best
+  FROM parts JOIN b{i} USING (p) GROUP BY r, p)""")
+        steps.append(f"""b{i + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN (
+    SELECT p, e, list(floor_div ORDER BY j) AS c FROM (
+      SELECT p, best % {codes.ENTRIES} AS e, j, CASE WHEN sum(v[j]) >= 0 THEN sum(v[j])::BIGINT // count(*) ELSE -((count(*) - 1 - sum(v[j])::BIGINT) // count(*)) END AS floor_div
+      FROM a{i} JOIN parts USING (r, p), range(1, len(v) + 1) t(j) GROUP BY ALL) GROUP BY p, e) m USING (p, e))""")
+    return ",\n".join(steps[:-1])
+
+
+SQL["op12_vector_codes"] = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // {codes.PARTS} + 1:(p + 1) * len(v) // {codes.PARTS}] AS v FROM kept, range({codes.PARTS}) t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v AS c FROM parts WHERE r <= {codes.ENTRIES}),
+{_rounds()},
+coded AS (SELECT r, string_agg(printf('%02x', best % {codes.ENTRIES}), '' ORDER BY p) AS code, sum(best // {codes.ENTRIES})::BIGINT AS error FROM a{codes.ROUNDS} GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{codes.ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), book
+"""
+
+
+@query("op13_prefix_trie")
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(load(spark, sf_dir, "conversations"))
+
+
+# crc32 by its bits: each byte of the text enters the state, then the state moves by eight bits.
+SQL["op13_prefix_trie"] = f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT conv_id, count(*) AS len, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])) AS steps
+    FROM turns GROUP BY conv_id),
+talks AS (SELECT conv_id, len, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, steps),
+    lambda s, e: CASE WHEN e >= 0 THEN xor(s, e) ELSE xor(s // 2, 3988292384 * (s % 2)) END)) % {prefixes.MOST} AS h FROM bits),
+got AS (SELECT t.conv_id, t.h, t.conv_id - t.conv_id % {prefixes.SHARED} AS base, least(t.h, coalesce(b.len, 0)) AS got
+    FROM talks t LEFT JOIN talks b ON b.conv_id = t.conv_id - t.conv_id % {prefixes.SHARED}),
+built AS (SELECT g.conv_id, pos, role, text FROM got g JOIN turns t ON t.conv_id = g.base AND t.pos <= g.h
+    UNION ALL SELECT conv_id, pos - h + got, role, text FROM got JOIN turns USING (conv_id) WHERE pos > h),
+prefix AS (SELECT conv_id, pos AS depth, length(text) AS chars, pos = max(pos) OVER (PARTITION BY conv_id) AS last,
+    sha256(to_json(list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY pos))::VARCHAR) AS id FROM built),
+path AS (SELECT conv_id, depth, chars, last, id, lag(id, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM prefix
+    UNION ALL SELECT conv_id, 0, 0, NOT EXISTS (FROM built b WHERE b.conv_id = talks.conv_id), '', NULL FROM talks),
+node AS (SELECT id, any_value(parent) AS parent, any_value(depth) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM path GROUP BY id),
+children AS (SELECT parent AS id, count(*) AS n_children FROM node GROUP BY parent),
+own AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN children USING (id)),
+sums AS (SELECT p.id, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.chars) AS saved_tokens
+    FROM own o JOIN path p ON p.conv_id = o.conv_id AND p.depth <= o.depth GROUP BY p.id)
+SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children::BIGINT AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, o.ends_sha256
+FROM own o JOIN sums s USING (id) LEFT JOIN node p ON p.id = o.parent
+"""
