@@ -39,7 +39,6 @@ MOST = 6  # fixed value: it takes fewer than this many
 PIECE_BITS = 12  # of the conversation ids that are joined at once
 FIRST = -(1 << 63)
 SUMS = ["_s0", "_s1", "_s2", "_s3"]
-ROOT = F.lit("root").cast("binary")
 
 
 def ordered(turns: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
@@ -77,6 +76,10 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return heads.unionByName(own), talks.select("conv_id")
 
 
+def _root() -> Column:
+    return F.lit("root").cast("binary")
+
+
 def _id(sums: list[Column]) -> Column:
     """128 bits of a prefix, from its four sums."""
     return F.unhex(F.md5(F.concat_ws(",", *sums)))
@@ -105,7 +108,7 @@ def paths(turns: DataFrame) -> DataFrame:
         "_block",
         F.col("pos").alias("depth"),
         _id([F.col(f"{s}t") for s in SUMS]).alias("id"),
-        F.when(F.col("pos") == 1, ROOT).otherwise(_id([F.col(f"{s}t") - F.col(s) for s in SUMS])).alias("parent"),
+        F.when(F.col("pos") == 1, _root()).otherwise(_id([F.col(f"{s}t") - F.col(s) for s in SUMS])).alias("parent"),
         "chars",
         (F.col("pos") == F.col("_end")).alias("last"),
     )
@@ -154,7 +157,7 @@ def _ends(steps: DataFrame, turnless: DataFrame) -> DataFrame:
     The ids of a node are joined piece by piece, each at most 2**``PIECE_BITS`` of them; only nodes of
     several pieces pass a digest that reads one piece after the other.
     """
-    ends = steps.filter("last").select("id", "conv_id").unionByName(turnless.select(ROOT.alias("id"), "conv_id"))
+    ends = steps.filter("last").select("id", "conv_id").unionByName(turnless.select(_root().alias("id"), "conv_id"))
     piece = F.shiftright("conv_id", PIECE_BITS).alias("_piece")
     joined = F.array_join(F.array_sort(F.collect_list("conv_id")).cast("array<string>"), ",")
     pieces = store(ends.groupBy("id", piece).agg(joined.alias("_ids")), "prefix-ends")
@@ -206,7 +209,7 @@ def trie(
     long = lambda value: F.lit(value).cast("long")
     members = talks.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).filter("n_convs > 0")
     root = members.select(
-        ROOT.alias("id"), F.lit(None).cast("binary").alias("parent"), "conv_id", long(0).alias("depth"), "n_convs",
+        _root().alias("id"), F.lit(None).cast("binary").alias("parent"), "conv_id", long(0).alias("depth"), "n_convs",
         long(first).alias("n_children"), long(leaves or 1).alias("n_leaves"), long(saved or 0).alias("saved_tokens"),
     )
     below = nodes.select("id", "parent", "conv_id", "depth", "n_convs", "n_children").join(totals, "id")
