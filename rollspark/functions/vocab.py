@@ -160,12 +160,18 @@ def _kept(matrix: np.ndarray, temperature: float, k: int) -> np.ndarray:
     return _log_softmax(scaled)
 
 
+def _without_law(matrix: np.ndarray) -> np.ndarray:
+    """Rows whose scores give no probabilities: with NaN or plus infinity, or with minus infinity alone."""
+    return np.isnan(matrix).any(axis=1) | (matrix == np.inf).any(axis=1) | (matrix == -np.inf).all(axis=1)
+
+
 def top_k_items(logits: Column, temperature: float, k: int) -> Column:
     """G6, G7. Array of the kept items with sampling probability and raw log-probability.
 
     Items below the k-th largest score are dropped, ties with it stay; k <= 0 keeps all.
-    The raw log-probability ignores temperature and top-k. A vector with NaN has
-    no order, so it gives null.
+    The raw log-probability ignores temperature and top-k. Items of minus infinity are
+    dropped. A vector with NaN or plus infinity, or of minus infinity alone, has no
+    probabilities and gives null.
     """
 
     @arrow_udf("array<struct<item:int,prob:double,logprob:double>>")
@@ -175,7 +181,7 @@ def top_k_items(logits: Column, temperature: float, k: int) -> Column:
         unordered = np.zeros(rows.length, dtype=bool)
         found = []
         for chosen, matrix in rows.matrices():
-            broken = np.isnan(matrix).any(axis=1)
+            broken = _without_law(matrix)
             unordered[chosen[broken]] = True
             chosen, matrix = chosen[~broken], matrix[~broken]
             kept, raw = _kept(matrix, temperature, k), _log_softmax(matrix)
@@ -200,7 +206,7 @@ def draw_item(logits: Column, u: Column, temperature: float, k: int) -> Column:
     """G8. Struct of the drawn item and its raw log-probability, for a uniform ``u``.
 
     Items are lined up by number; the first whose running probability exceeds
-    ``u`` is drawn, the last kept one if rounding leaves none. Null for a vector with NaN.
+    ``u`` is drawn, the last kept one if rounding leaves none. Null for vectors that ``top_k_items`` gives null for.
     """
 
     @arrow_udf("struct<item:int,logprob:double>")
@@ -210,7 +216,7 @@ def draw_item(logits: Column, u: Column, temperature: float, k: int) -> Column:
         item, raw = np.zeros(rows.length, dtype=np.int32), np.zeros(rows.length)
         known = np.zeros(rows.length, dtype=bool)
         for chosen, matrix in rows.matrices():
-            whole = ~np.isnan(matrix).any(axis=1)
+            whole = ~_without_law(matrix)
             chosen, matrix = chosen[whole], matrix[whole]
             if not len(chosen):
                 continue

@@ -17,9 +17,9 @@ from rollspark.operators.skew import equi_join, sum_over_blocks
 SHORT_HEAD = 10_000
 
 
-def _hashed(rows: DataFrame, key: str | Sequence[str], seed) -> tuple[DataFrame, list[str]]:
+def _hashed(rows: DataFrame, key: str | Sequence[str], seed, by: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     keys = [key] if isinstance(key, str) else list(key)
-    hashed = rows.withColumn("_hash", order_hash(seed, *[F.col(k) for k in keys]))
+    hashed = rows.withColumn("_hash", order_hash(seed, *[F.col(k) for k in by or keys]))
     return hashed.withColumn("_block", hash_block(F.col("_hash"))), ["_hash", *keys]
 
 
@@ -30,15 +30,18 @@ def hash_ordinal(
     out: str = "ordinal",
     upto: Column | int | None = None,
     only: Column | int | None = None,
+    hashed: Sequence[str] | None = None,
 ) -> DataFrame:
     """0-based position of each row in the seeded order of its unique ``key``.
 
+    ``hashed`` names the columns that are hashed if they are not the whole key.
+
     With ``upto`` only the first that many rows are returned, with ``only`` the
     row at that one position; rows of other blocks are gone before anything is
     shuffled.
     """
-    hashed, order = _hashed(rows, key, seed)
-    counts = hashed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    placed, order = _hashed(rows, key, seed, hashed)
+    counts = placed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     # One window over at most BLOCKS rows.
     earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("_block", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
@@ -49,7 +52,7 @@ def hash_ordinal(
     if upto is not None:
         upto = upto if isinstance(upto, Column) else F.lit(upto)
         shifts = shifts.filter(F.col("_shift") < upto)
-    placed = hashed.join(F.broadcast(shifts), "_block")
+    placed = placed.join(F.broadcast(shifts), "_block")
     inside = Window.partitionBy("_block").orderBy(*order)
     numbered = placed.withColumn(out, F.row_number().over(inside) - 1 + F.col("_shift"))
     if upto is not None:
@@ -87,18 +90,31 @@ def hash_ordinal_within(
     return numbered.withColumn(out, F.col(out) - 1).drop("_hash")
 
 
+def _tie(rows: DataFrame) -> Column:
+    """Orders rows of one key by what they hold; columns that cannot be hashed do not count."""
+    return F.xxhash64(*[F.col(f.name) for f in rows.schema.fields if "map" not in f.dataType.simpleString()])
+
+
 def seeded_head(rows: DataFrame, n: int, key: str | Sequence[str], seed, out: str = "position") -> DataFrame:
     """A8. First ``n`` rows of the seeded shuffle, with their position.
 
+    Rows of a repeated key follow one another, in the order of a hash of the whole row.
     A short head is a top-n of hashes and keys per task and a merge, and the
-    rows are looked up by key, so that whole rows never meet in one task; a
-    long one goes by blocks. Both give the same rows.
+    rows are looked up by key and place within the key, so that whole rows never meet
+    in one task; a long one goes by blocks. Both give the same rows.
     """
+    keys = [key] if isinstance(key, str) else list(key)
+    tied = rows.withColumn("_tie", _tie(rows))
     if n > SHORT_HEAD:
-        return hash_ordinal(rows, key, seed, out, upto=n)
-    hashed, order = _hashed(rows, key, seed)
-    head = hashed.select(*order).orderBy(*order).limit(max(n, 0))
-    # One window over at most SHORT_HEAD rows of hash and key.
+        return hash_ordinal(tied, [*keys, "_tie"], seed, out, upto=n, hashed=keys).drop("_tie")
+    order = ["_hash", *keys, "_tie"]
+    head = tied.select(order_hash(seed, *[F.col(k) for k in keys]).alias("_hash"), *keys, "_tie").orderBy(*order).limit(max(n, 0))
+    # Windows over at most SHORT_HEAD rows of hash and key.
     position = (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
-    placed = head.select(*order[1:], position.alias(out))
-    return equi_join(rows, F.broadcast(placed), order[1:], "inner")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_tie"))
+    placed = head.select(*keys, place.alias("_place"), position.alias(out))
+    # Only the rows of the head, and others that equal its last of a key in all columns, meet to be numbered.
+    lasts = head.groupBy(*keys).agg(F.max("_tie").alias("_last"))
+    wanted = equi_join(tied, F.broadcast(lasts), keys, "inner").filter(F.col("_tie") <= F.col("_last")).drop("_last")
+    numbered = wanted.withColumn("_place", place)
+    return equi_join(numbered, F.broadcast(placed), [*keys, "_place"], "inner").drop("_place", "_tie")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollspark.functions.vocab import distill_terms, entropy_weight, item_logprob
-from rollspark.operators.skew import pair_up, with_group_stats
+from rollspark.operators.skew import mark_pairs, pair_up, with_group_stats
 
 # Smallest spread that counts, and the term that keeps the quotient finite.
 SIGMA_FLOOR = 1e-8
@@ -19,6 +19,10 @@ CLIP_HIGH = 0.28
 ENTROPY_WEIGHT = 0.01
 
 
+# What a step's loss tells about rows that could not count as they should; carried into its metrics.
+PROBLEM_COUNTS = ("nan_sequences", "unpaired_sequences", "unpaired_positions")
+
+
 def standardized(reward: Column, mean: Column, sigma: Column) -> Column:
     return F.when(sigma >= SIGMA_FLOOR, (reward - mean) / (sigma + SIGMA_FLOOR)).otherwise(0.0)
 
@@ -152,21 +156,42 @@ def policy_loss(
     ``rows`` has one row per sequence: seq_lp, seq_lp_old, mask_total, advantage.
     Sequences without advantage still count in the denominator, empty ones as
     one token; a step of fewer than two sequences has loss 0. A NaN among the
-    surrogates makes the step's loss NaN; ``nan_sequences`` counts them.
+    surrogates makes the step's loss NaN; ``nan_sequences`` counts them. If the rows
+    have a column ``paired``, ``unpaired_sequences`` counts those where it is false.
     """
     rho = importance_ratio(F.col("seq_lp"), F.col("seq_lp_old"))
     surrogate = clipped_surrogate(rho, F.col("advantage"), low, high)
     total = F.sum(surrogate * F.col("mask_total"))
     tokens = F.greatest(F.sum(F.greatest("mask_total", F.lit(1.0))), F.lit(1.0))
     loss = F.when(F.count(F.lit(1)) < 2, F.lit(0.0)).otherwise(-total / tokens)
-    return rows.groupBy(*step_keys).agg(loss.alias("grpo_loss"), F.count_if(F.isnan(surrogate)).alias("nan_sequences"))
+    counts = [F.count_if(F.isnan(surrogate)).alias("nan_sequences")]
+    if "paired" in rows.columns:
+        counts.append(F.count_if(~F.col("paired")).alias("unpaired_sequences"))
+    return rows.groupBy(*step_keys).agg(loss.alias("grpo_loss"), *counts)
+
+
+def sequence_scores(
+    completions: DataFrame, tokens: DataFrame, row_key: str, values: Sequence[str] = ("lp", "lp_old"), strict: bool = False
+) -> DataFrame:
+    """F5. Every completion with the masked means of its token rows.
+
+    One without token rows is a sequence without tokens: means and ``mask_total``
+    are 0 and ``paired`` is false, or it raises if ``strict``.
+    """
+    means = sequence_logprobs(tokens, [row_key], values)
+    rows = mark_pairs(completions, means, [row_key], "paired", strict)
+    zero = F.lit(0.0)
+    filled = [F.when(F.col("paired"), F.col(c)).otherwise(zero).alias(c) for c in ("mask_total", *[f"seq_{v}" for v in values])]
+    return rows.select(*completions.columns, *filled, "paired")
 
 
 def distill_positions(
     pairs: DataFrame, weight: float = ENTROPY_WEIGHT, direction: str = "teacher_student"
 ) -> DataFrame:
-    """F11-F13 per position: kl, entropy, weight; null where masked out. Vectors are dropped."""
+    """F11-F13 per position: kl, entropy, weight; null where masked out or marked as not ``paired``. Vectors are dropped."""
     active = F.col("mask") > 0
+    if "paired" in pairs.columns:
+        active = active & F.col("paired")
     terms = distill_terms(
         F.when(active, F.col("logits")), F.when(active, F.col("teacher_logits")), direction
     )
@@ -185,10 +210,14 @@ def distill_loss(
     weight: float = ENTROPY_WEIGHT,
     direction: str = "teacher_student",
 ) -> DataFrame:
-    """F14. Mean of KL times weight over the active tokens of a step; 0 without any."""
+    """F14. Mean of KL times weight over the active tokens of a step; 0 without any.
+
+    With a column ``paired``, ``unpaired_positions`` counts the rows where it is false.
+    """
     scored = distill_positions(pairs, weight, direction)
+    counts = [F.count_if(~F.col("paired")).alias("unpaired_positions")] if "paired" in pairs.columns else []
     return scored.groupBy(*step_keys).agg(
-        F.coalesce(F.avg(F.col("kl") * F.col("weight")), F.lit(0.0)).alias("sdpo_loss")
+        F.coalesce(F.avg(F.col("kl") * F.col("weight")), F.lit(0.0)).alias("sdpo_loss"), *counts
     )
 
 
@@ -198,20 +227,25 @@ def step_distill_loss(
     step_keys: Sequence[str],
     weight: float = ENTROPY_WEIGHT,
     direction: str = "teacher_student",
+    strict: bool = False,
 ) -> DataFrame:
     """J5, F14. Distillation loss of two score tables, joining active positions only.
 
     Vectors of masked positions are filtered out on both sides before they
     could be shuffled: the teacher meets the narrow list of active positions,
     which Spark broadcasts or turns into a Bloom filter. Steps that have no
-    active position come back with 0.
+    active position come back with 0. Active positions without a teacher are no part of
+    the mean; ``unpaired_positions`` counts them, or they raise if ``strict``.
     """
     wanted = student.filter(F.col("mask") > 0)
-    active = pair_logits(wanted, teacher.join(wanted.select(*POSITION), list(POSITION), "left_semi"))
+    known = teacher.join(wanted.select(*POSITION), list(POSITION), "left_semi")
+    known = known.select(*POSITION, F.col("logits").alias("teacher_logits"))
+    active = mark_pairs(wanted, known, list(POSITION), "paired", strict)
     losses = distill_loss(active, step_keys, weight, direction)
     steps = student.select(*step_keys).distinct()
     # Only what is missing becomes 0: fillna would also turn NaN into 0.
-    return steps.join(losses, list(step_keys), "left").withColumn("sdpo_loss", F.coalesce("sdpo_loss", F.lit(0.0)))
+    filled = [F.coalesce(name, F.lit(zero)).alias(name) for name, zero in (("sdpo_loss", 0.0), ("unpaired_positions", 0))]
+    return steps.join(losses, list(step_keys), "left").select(*step_keys, *filled)
 
 
 def combine_means(chunks: DataFrame, step_keys: Sequence[str], mean: str = "mean", n: str = "n") -> DataFrame:
@@ -237,7 +271,7 @@ def reward_metrics(completions: DataFrame, step_keys: Sequence[str]) -> DataFram
 
 
 def total_loss(policy: DataFrame, distill: DataFrame, step_keys: Sequence[str]) -> DataFrame:
-    """F18. Sum of both losses; a branch missing for a step counts 0."""
+    """F18. Sum of both losses; a branch missing for a step counts 0. Counts of problem rows come along."""
     both = policy.join(distill, list(step_keys), "full")
     zero = F.lit(0.0)
     return both.select(
@@ -245,6 +279,7 @@ def total_loss(policy: DataFrame, distill: DataFrame, step_keys: Sequence[str])
         F.coalesce("grpo_loss", zero).alias("grpo_loss"),
         F.coalesce("sdpo_loss", zero).alias("sdpo_loss"),
         (F.coalesce("grpo_loss", zero) + F.coalesce("sdpo_loss", zero)).alias("loss"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in PROBLEM_COUNTS if c in both.columns],
     )
 
 
@@ -254,7 +289,10 @@ def step_metrics(
     depth: DataFrame,
     step_keys: Sequence[str],
 ) -> DataFrame:
-    """F17. Full metric rows: reward counts, losses, and depth and spectral radius given per step."""
+    """F17. Full metric rows: reward counts, losses, and depth and spectral radius given per step.
+
+    Counts of problem rows that ``losses`` has come last.
+    """
     keys = list(step_keys)
     counts = reward_metrics(completions, keys)
     joined = counts.join(losses, keys, "left").join(depth, keys, "left")
@@ -268,6 +306,7 @@ def step_metrics(
         "rho",
         "n_correct",
         "n_failed",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in PROBLEM_COUNTS if c in losses.columns],
     )
 
 

@@ -105,12 +105,15 @@ def chosen_groups(
     """G2. The keys of the first ``n`` prompts of each step: one rule for any ``n`` and any order column.
 
     Spark cuts a row number filter of up to WINDOW_LIMIT down before its shuffle;
-    more are numbered in blocks. Both rank by first appearance, then by prompt keys.
+    more are numbered in blocks. Both rank by first appearance, then by prompt keys. A
+    prompt none of whose rows has an order number raises.
     """
     keys = [*step_keys, *prompt_keys]
-    firsts = rows.groupBy(*keys).agg(F.min(order).alias("_first"))
+    arrival_number(rows, order)  # the same columns are accepted
+    missing = F.raise_error(F.lit(f"{order} must not be null in all rows of a prompt")).cast(rows.schema[order].dataType)
+    firsts = rows.groupBy(*keys).agg(F.min(order).alias("_least"))
+    firsts = firsts.withColumn("_first", F.coalesce("_least", missing)).drop("_least")
     if n <= WINDOW_LIMIT:
-        arrival_number(rows, order)  # the same columns are accepted
         rank = F.row_number().over(Window.partitionBy(*step_keys).orderBy("_first", *prompt_keys)) - 1
         ranked = firsts.withColumn("_rank", rank)
     else:
@@ -192,9 +195,9 @@ def mean_round(metrics: DataFrame, step_keys: Sequence[str], values: Sequence[st
     return metrics.groupBy(*step_keys).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def attach_metrics(samples: DataFrame, metrics: DataFrame, step_keys: Sequence[str]) -> DataFrame:
-    """J6. Each sample with the metrics of its step."""
-    return samples.join(metrics, list(step_keys))
+def attach_metrics(samples: DataFrame, metrics: DataFrame, step_keys: Sequence[str], strict: bool = False) -> DataFrame:
+    """J6. Each sample with the metrics of its step; those of unknown steps are left out, or raise if ``strict``."""
+    return pair_up(samples, metrics, step_keys, strict)
 
 
 def compare_tables(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

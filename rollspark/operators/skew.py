@@ -40,6 +40,13 @@ def pair_up(left: DataFrame, right: DataFrame, keys: Sequence[str], strict: bool
     return joined.filter(found).drop("_partner")
 
 
+def mark_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], mark: str, strict: bool = False) -> DataFrame:
+    """All rows of ``left`` with their partner's columns, null without one, and whether there is one in ``mark``."""
+    joined = left.join(right.withColumn(mark, F.lit(True)), list(keys), "left")
+    missing = F.raise_error(F.lit(f"a row has no partner by {', '.join(keys)}")).cast("boolean") if strict else F.lit(False)
+    return joined.withColumn(mark, F.coalesce(mark, missing))
+
+
 def heavy_keys(
     counts: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS, splits: int = SPLITS
 ) -> DataFrame:

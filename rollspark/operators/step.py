@@ -22,18 +22,23 @@ def step_losses(
     step_keys: Sequence[str],
     group_keys: Sequence[str],
     row_key: str = "seq_id",
+    strict: bool = False,
 ) -> DataFrame:
     """F3, F5-F9, J5, F11-F14, F18. Policy, distillation and total loss of each step.
 
     ``completions`` has the keys and ``reward``, ``tokens`` the row key, ``lp``,
     ``lp_old`` and ``mask``; ``student`` has (step keys, seq_id, pos, mask, logits)
     of the failed completions and ``teacher`` (seq_id, pos, logits).
+
+    No completion is lost: one without token rows is an empty sequence, which has an
+    advantage and counts as one token. Such sequences, active positions without a teacher
+    and sequences with NaN are counted per step beside the losses; with ``strict`` the first two raise.
     """
-    means = scoring.sequence_logprobs(tokens, [row_key], ["lp", "lp_old"])
-    rows = completions.select(*dict.fromkeys([row_key, *step_keys, *group_keys]), "reward").join(means, row_key)
+    narrow = completions.select(*dict.fromkeys([row_key, *step_keys, *group_keys]), "reward")
+    rows = scoring.sequence_scores(narrow, tokens, row_key, strict=strict)
     scored = scoring.group_advantage(rows, group_keys, spread_by=[row_key])
     policy = scoring.policy_loss(scored, step_keys)
-    distill = scoring.step_distill_loss(student, teacher, step_keys)
+    distill = scoring.step_distill_loss(student, teacher, step_keys, strict=strict)
     return scoring.total_loss(policy, distill, step_keys)
 
 
@@ -46,9 +51,10 @@ def step_metrics(
     step_keys: Sequence[str],
     group_keys: Sequence[str],
     row_key: str = "seq_id",
+    strict: bool = False,
 ) -> DataFrame:
-    """F17. Metric rows of each step; ``depth`` gives T, T_bwd and rho by step."""
-    losses = step_losses(completions, tokens, student, teacher, step_keys, group_keys, row_key)
+    """F17. Metric rows of each step with its counts of problem rows; ``depth`` gives T, T_bwd and rho by step."""
+    losses = step_losses(completions, tokens, student, teacher, step_keys, group_keys, row_key, strict)
     return scoring.step_metrics(completions, losses, depth, step_keys)
 
 
@@ -61,16 +67,18 @@ def step_samples(
     prompt_key: str = "prompt_index",
     order: str = "seq",
     every: int | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """G1, G2, G4, J3, J6. Log rows of the first ``n`` prompts of each step, with the step's metrics.
 
-    With ``every`` only of the steps at which samples are due.
+    With ``every`` only of the steps at which samples are due. Samples of unknown problems
+    or of steps without metrics are left out, or raise if ``strict``.
     """
     if every is None:
         chosen = selection.collect_samples(completions, [step], prompt_key, order, n)
     else:
         chosen = selection.due_samples(completions, step, prompt_key, order, n, every)
-    asked = selection.attach_prompt(chosen, problems, [prompt_key])
+    asked = selection.attach_prompt(chosen, problems, [prompt_key], strict)
     samples = asked.select(
         step,
         F.col(prompt_key).alias("prompt_index"),
@@ -81,4 +89,4 @@ def step_samples(
         "reward",
         "feedback",
     )
-    return to_log_rows(selection.attach_metrics(samples, metrics, [step]))
+    return to_log_rows(selection.attach_metrics(samples, metrics, [step], strict))

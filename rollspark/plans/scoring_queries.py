@@ -238,29 +238,39 @@ def f17(spark, sf_dir):
     return metrics.withColumn("reward_mean", V.r6("reward_mean"))
 
 
+# Sequences of which no tokens arrived and positions without a teacher stay in the step.
 ARRAY_LOSS_SQL = f"""
   SELECT step, CASE WHEN count(*) < 2 THEN 0.0 ELSE -sum(surrogate * mask_total) / sum(greatest(mask_total, 1)) END
-         AS grpo_loss
+         AS grpo_loss, count(*) FILTER (isnan(surrogate)) AS nan_sequences, count(*) FILTER (unpaired) AS unpaired_sequences
   FROM (SELECT *, least(rho * advantage, least(greatest(rho, 0.8), 1.28) * advantage) AS surrogate
         FROM (SELECT *, exp(seq_lp - seq_lp_old) AS rho, {advantage_sql("PARTITION BY group_id")} AS advantage
-              FROM ({ARRAY_SQL})))
+              FROM (SELECT * REPLACE (CASE WHEN seq_id % 11 = 5 THEN 0 ELSE mask_total END AS mask_total,
+                                      CASE WHEN seq_id % 11 = 5 THEN 0 ELSE seq_lp END AS seq_lp,
+                                      CASE WHEN seq_id % 11 = 5 THEN 0 ELSE seq_lp_old END AS seq_lp_old),
+                           seq_id % 11 = 5 AS unpaired FROM ({ARRAY_SQL}))))
   GROUP BY step"""
 STEP_DISTILL_SQL = """
-  SELECT seq_id % 4 AS step,
-         coalesce(avg(CASE WHEN mask > 0 THEN kl * (1 - 0.01 * entropy / ln(items)) END), 0.0) AS sdpo_loss
-  FROM distill_rows GROUP BY seq_id % 4"""
+  SELECT s.seq_id % 4 AS step,
+         coalesce(avg(CASE WHEN s.mask > 0 THEN kl * (1 - 0.01 * entropy / ln(items)) END), 0.0) AS sdpo_loss,
+         count(*) FILTER (s.mask > 0 AND d.vec_id IS NULL) AS unpaired_positions
+  FROM logit_rows s LEFT JOIN (SELECT * FROM distill_rows WHERE vec_id % 13 <> 4) d ON d.vec_id = s.vec_id
+  GROUP BY s.seq_id % 4"""
 TOTAL_SQL = f"""
   SELECT step, coalesce(grpo_loss, 0) AS grpo_loss, coalesce(sdpo_loss, 0) AS sdpo_loss,
-         coalesce(grpo_loss, 0) + coalesce(sdpo_loss, 0) AS loss
+         coalesce(grpo_loss, 0) + coalesce(sdpo_loss, 0) AS loss, coalesce(nan_sequences, 0) AS nan_sequences,
+         coalesce(unpaired_sequences, 0) AS unpaired_sequences, coalesce(unpaired_positions, 0) AS unpaired_positions
   FROM ({ARRAY_LOSS_SQL}) FULL JOIN ({STEP_DISTILL_SQL}) USING (step)"""
+PROBLEM_COUNTS = ", ".join(S.PROBLEM_COUNTS)
 
 
 def _step_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Completions, token rows, student and teacher scores."""
+    """Completions, token rows, student and teacher scores; some have no partner."""
     rows = V.array_rows(spark, sf_dir)
-    tokens = rows.select("seq_id", F.inline(F.arrays_zip("lp", "lp_old", "mask")))
+    arrived = rows.filter(F.pmod("seq_id", F.lit(11)) != 5)
+    tokens = arrived.select("seq_id", F.inline(F.arrays_zip("lp", "lp_old", "mask")))
     student = V.logit_rows(spark, sf_dir).withColumn("step", F.pmod("seq_id", F.lit(4)))
-    return rows, tokens, student, V.logit_rows(spark, sf_dir, shift=1)
+    teacher = V.logit_rows(spark, sf_dir, shift=1).filter(F.pmod(F.col("seq_id") * 16 + F.col("pos"), F.lit(13)) != 4)
+    return rows, tokens, student, teacher
 
 
 LOSSES = ("loss", "grpo_loss", "sdpo_loss")
@@ -269,11 +279,11 @@ ROUNDED_LOSSES = ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in LOSSES)
 
 @query(
     "f18_total_loss",
-    V.with_views("array_rows", "distill_rows", body=f"SELECT step, {ROUNDED_LOSSES} FROM ({TOTAL_SQL})"),
+    V.with_views("array_rows", "distill_rows", body=f"SELECT step, {ROUNDED_LOSSES}, {PROBLEM_COUNTS} FROM ({TOTAL_SQL})"),
 )
 def f18(spark, sf_dir):
     losses = step_losses(*_step_tables(spark, sf_dir), ["step"], ["group_id"])
-    return losses.select("step", *[V.r6(n).alias(n) for n in LOSSES])
+    return losses.select("step", *[V.r6(n).alias(n) for n in LOSSES], *S.PROBLEM_COUNTS)
 
 
 @query(
@@ -282,7 +292,8 @@ def f18(spark, sf_dir):
         "array_rows",
         "distill_rows",
         body=f"""
-  SELECT m.step, d.T, d.T_bwd, {ROUNDED_LOSSES}, round(reward_mean, 6) AS reward_mean, rho, n_correct, n_failed
+  SELECT m.step, d.T, d.T_bwd, {ROUNDED_LOSSES}, round(reward_mean, 6) AS reward_mean, rho, n_correct, n_failed,
+         {PROBLEM_COUNTS}
   FROM (SELECT step, avg(reward) AS reward_mean, count(*) FILTER (reward > 0) AS n_correct,
                count(*) FILTER (reward <= 0) AS n_failed
         FROM array_rows GROUP BY step) m
@@ -307,6 +318,7 @@ def f17_full(spark, sf_dir):
         "rho",
         "n_correct",
         "n_failed",
+        *S.PROBLEM_COUNTS,
     )
 
 

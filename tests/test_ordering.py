@@ -89,3 +89,15 @@ def test_depth_is_a_clamped_poisson(spark):
     assert min(share) == 1 and max(share) <= 8
     assert abs(share[1] - 0.406) < 0.015 and abs(share[2] - 0.2707) < 0.015
     assert got.filter("b != ceil(d / 2)").count() == 0
+
+
+def test_heads_of_repeated_keys_are_the_same_short_and_long(spark, monkeypatch):
+    rows = [(i % 3, i % 7, f"t{i % 5}") for i in range(60)] + [(1, 1, "same")] * 9
+    df = spark.createDataFrame(rows, "k int, v int, t string").repartition(4)
+    for n in (0, 1, 3, 20, 45, 69, 100):
+        short = sorted(tuple(r) for r in ordering.seeded_head(df, n, "k", 1).collect())
+        with monkeypatch.context() as patch:
+            patch.setattr(ordering, "SHORT_HEAD", -1)
+            long = sorted(tuple(r) for r in ordering.seeded_head(df, n, "k", 1).collect())
+        assert short == long
+        assert sorted(r[3] for r in short) == list(range(min(n, len(rows))))

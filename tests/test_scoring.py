@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollspark.operators import scoring as S
+from rollspark.operators.step import step_losses, step_metrics, step_samples
 
 ROOT3 = math.sqrt(3)
 
@@ -227,3 +228,55 @@ def test_missing_partners(spark):
     assert got[1] == pytest.approx(-math.log(1 + math.e)) and got[2] is None
     with pytest.raises(Exception, match="no score"):
         S.taken_logprobs(tokens, logits, strict=True).collect()
+
+
+STEP = dict(step_keys=["step"], group_keys=["step", "prompt"])
+
+
+def step_tables(spark):
+    """Four completions of one prompt, rewards 1, 1, 0, 0; only the first two have token rows."""
+    comps = spark.createDataFrame([(i, 0, 0, r) for i, r in enumerate([1.0, 1.0, 0.0, 0.0])], "seq_id int, step int, prompt int, reward double")
+    tokens = spark.createDataFrame([(0, -1.0, -1.0, 1), (1, -1.0, -1.0, 1)], "seq_id int, lp double, lp_old double, mask int")
+    student = spark.createDataFrame([(0, 2, 0, 1, [0.0, 1.0]), (0, 2, 1, 1, [1.0, 0.0]), (0, 3, 0, 0, [1.0, 0.0])], "step int, seq_id int, pos int, mask int, logits array<double>")
+    teacher = spark.createDataFrame([(2, 0, [0.0, 1.0])], "seq_id int, pos int, logits array<double>")
+    return comps, tokens, student, teacher
+
+
+def test_completions_without_tokens_count_as_empty_sequences(spark):
+    losses = step_losses(*step_tables(spark), **STEP).first()
+    assert losses["grpo_loss"] == pytest.approx(-0.5, abs=1e-6)
+    assert losses["sdpo_loss"] == pytest.approx(0.0, abs=1e-9)  # the one pair there is agrees
+    assert (losses["unpaired_sequences"], losses["unpaired_positions"], losses["nan_sequences"]) == (2, 1, 0)
+
+
+def test_problem_counts_reach_the_metrics(spark):
+    comps, tokens, student, teacher = step_tables(spark)
+    broken = tokens.withColumn("lp", F.when(F.col("seq_id") == 0, float("nan")).otherwise(F.col("lp")))
+    depth = spark.createDataFrame([(0, 2, 1, 0.5)], "step int, T int, T_bwd int, rho double")
+    row = step_metrics(comps, broken, student, teacher, depth, **STEP).first()
+    assert (row["nan_sequences"], row["unpaired_sequences"], row["unpaired_positions"]) == (1, 2, 1)
+    assert math.isnan(row["grpo_loss"]) and row["n_correct"] == 2
+
+
+@pytest.mark.parametrize("missing", ["tokens", "teacher"])
+def test_strict_steps_raise_on_unpaired_rows(spark, missing):
+    comps, tokens, student, teacher = step_tables(spark)
+    if missing == "teacher":
+        comps = comps.filter("seq_id < 2")
+    else:
+        student = student.filter("pos = 0")
+    with pytest.raises(Exception, match="no partner"):
+        step_losses(comps, tokens, student, teacher, **STEP, strict=True).collect()
+    whole = step_losses(comps.filter("seq_id < 2"), tokens, student.filter("pos = 0"), teacher, **STEP, strict=True).first()
+    assert (whole["unpaired_sequences"], whole["unpaired_positions"]) == (0, 0)
+
+
+def test_strict_samples_raise_without_prompt_or_metrics(spark):
+    comps = spark.createDataFrame([(0, 0, 0, "t", 1.0, "ok")], "step int, prompt_index int, seq long, text string, reward double, feedback string")
+    problems = spark.createDataFrame([(0, "p")], "prompt_index int, prompt string")
+    metrics = spark.createDataFrame([(0, 1.0)], "step int, loss double")
+    assert step_samples(comps, problems, metrics, 1, strict=True).count() == 1
+    for p, m in ((problems.limit(0), metrics), (problems, metrics.limit(0))):
+        assert step_samples(comps, p, m, 1).count() == 0
+        with pytest.raises(Exception, match="no partner"):
+            step_samples(comps, p, m, 1, strict=True).collect()

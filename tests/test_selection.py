@@ -135,3 +135,12 @@ def test_lookups(spark, completions):
     assert sorted(r["seq"] for r in got.collect()) == [10, 12, 13]
     metrics = spark.createDataFrame([(0, 0.5), (1, 0.7)], "step int, loss double")
     assert L.attach_metrics(completions, metrics, ["step"]).count() == 6
+
+
+@pytest.mark.parametrize("n", [2, 1001])
+def test_a_prompt_without_order_numbers_raises_at_any_size(spark, n):
+    df = spark.createDataFrame([(0, 1, None, "a"), (0, 2, 5, "b"), (0, 2, None, "c")], "step int, prompt int, seq long, text string")
+    with pytest.raises(Exception, match="seq must not be null"):
+        L.first_groups(df, ["step"], ["prompt"], "seq", n).collect()
+    kept = L.first_groups(df.filter("prompt = 2"), ["step"], ["prompt"], "seq", n)
+    assert {r["text"] for r in kept.collect()} == {"b", "c"}

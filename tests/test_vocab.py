@@ -164,3 +164,14 @@ def test_capped_log_softmax(spark):
     both = df.select(V.soft_capped_log_softmax(F.col("x"), 2.0).alias("a"), V.log_softmax(V.soft_cap(F.col("x"), 2.0)).alias("b"))
     for r in both.collect():
         assert r["a"] == r["b"] or r["a"] == pytest.approx(r["b"])
+
+
+def test_infinite_scores(spark):
+    inf = float("inf")
+    rows = [(0, [inf, 0.0, 1.0]), (1, [-inf, -inf]), (2, [-inf, 0.0, -inf, 0.0]), (3, [inf, -inf])]
+    df = spark.createDataFrame(rows, "i int, x array<double>")
+    for k in (0, 1, 2):
+        got = {r["i"]: r for r in df.select("i", V.top_k_items(F.col("x"), 1.0, k).alias("top"), V.draw_item(F.col("x"), F.lit(0.7), 1.0, k).alias("draw")).collect()}
+        assert all(got[i]["top"] is None and got[i]["draw"] is None for i in (0, 1, 3))
+        assert [(t["item"], round(t["prob"], 6)) for t in got[2]["top"]] == [(1, 0.5), (3, 0.5)]
+        assert got[2]["draw"]["item"] == 3 and got[2]["draw"]["logprob"] == pytest.approx(math.log(0.5))
