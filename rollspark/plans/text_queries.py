@@ -324,46 +324,52 @@ def b3(spark, sf_dir):
 
 @query("k1_follow_log", LOG_SQL)
 def k1(spark, sf_dir):
-    log, out = fresh_dir(spark, "samples"), fresh_dir(spark, "followed")
+    log, out, checkpoint = (fresh_dir(spark, n) for n in ("samples", "followed", "checkpoint"))
     rows = _sample_rows(spark, sf_dir)
-    for part in range(3):  # three appends, one file in a micro-batch
-        samplelog.append_log(rows.filter(F.pmod("step", F.lit(3)) == part).coalesce(1), log)
-    jobs.drain(jobs.follow_log(spark, log, files=1), out, fresh_dir(spark, "checkpoint"))
+    for part in range(3):
+        samplelog.append_log(rows.filter(F.pmod("step", F.lit(3)) == part), log)
+        jobs.drain(jobs.follow_log(spark, log), out, checkpoint)
     return _rounded(spark.read.schema(SAMPLE_LOG).parquet(out))
 
 
-def _arriving(rows: DataFrame, by, files: int = 3) -> DataFrame:
-    """The rows as a stream of one file per micro-batch, dealt by ``by`` modulo ``files``."""
+def _arrive(rows: DataFrame, part, parts: int, run) -> None:
+    """Rows come in ``parts`` lots, each as it is spread; after each the job runs over what is there and stops."""
     path = fresh_dir(rows.sparkSession, "arriving")
-    for part in range(files):
-        rows.filter(F.pmod(by, F.lit(files)) == part).coalesce(1).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for number in range(parts):
+        rows.filter(part == number).write.mode("append").parquet(path)
+        run(rows.sparkSession.readStream.schema(rows.schema).parquet(path))
 
 
 @query("k2_judge_stream", V.with_views("fenced", body=f"SELECT doc_id, code, reward, feedback FROM ({VERDICT_SQL})"))
 def k2(spark, sf_dir):
-    out = fresh_dir(spark, "judged")
-    arriving = V.as_fenced(_arriving(V.table(spark, sf_dir, "documents"), F.col("doc_id")))
-    jobs.drain(jobs.judge_stream(arriving), out, fresh_dir(spark, "checkpoint"))
+    out, checkpoint = fresh_dir(spark, "judged"), fresh_dir(spark, "checkpoint")
+    documents = V.table(spark, sf_dir, "documents")
+    _arrive(documents, F.pmod("doc_id", F.lit(3)), 3, lambda s: jobs.drain(jobs.judge_stream(V.as_fenced(s)), out, checkpoint))
     return spark.read.parquet(out).select("doc_id", "code", "reward", "feedback")
 
 
 @query(
     "k3_step_metrics_stream",
-    """SELECT user_id AS run_id, day(ts)::INTEGER AS step, count(*) FILTER (event_type = 'purchase') AS n_correct,
+    """WITH e AS (SELECT *, user_id AS run_id, day(ts)::INTEGER AS step, date_trunc('hour', ts) + INTERVAL 1 HOUR AS slot_end FROM events),
+       summed AS (SELECT *, slot_end <= (SELECT max(date_trunc('milliseconds', ts)) FROM events) AS passed FROM e)
+       SELECT run_id, step, count(*) FILTER (event_type = 'purchase') AS n_correct,
               count(*) FILTER (event_type <> 'purchase') AS n_failed,
-              round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END), 6) AS reward_mean
-       FROM events GROUP BY ALL""",
+              round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END), 6) AS reward_mean,
+              coalesce(max(slot_end) FILTER (passed) + INTERVAL 1 DAY < (SELECT max(slot_end) FROM summed WHERE passed), false) AS closed
+       FROM summed GROUP BY run_id, step""",
 )
 def k3(spark, sf_dir):
-    out, keys = fresh_dir(spark, "metrics"), ["run_id", "step"]
-    samples = _arriving(V.table(spark, sf_dir, "events"), F.col("event_id"), 5).select(
+    """Steps are days; each is given out a day after its last sample, those at the end are still open."""
+    out, checkpoint, keys = fresh_dir(spark, "metrics"), fresh_dir(spark, "checkpoint"), ["run_id", "step"]
+    samples = V.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"),
         F.dayofmonth("ts").alias("step"),
         F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0).alias("reward"),
+        F.col("ts").alias("arrived"),
     )
-    jobs.run_step_metrics(samples, keys, out, fresh_dir(spark, "checkpoint"), merge_every=2)
-    return jobs.read_step_metrics(spark, keys, out).withColumn("reward_mean", V.r6("reward_mean"))
+    third = F.least(F.expr("(step - 1) div 10"), F.lit(2))
+    _arrive(samples, third, 3, lambda s: jobs.run_step_metrics(s, keys, "arrived", 86_400, out, checkpoint, "1 hour"))
+    return jobs.read_step_metrics(spark, keys, out, flush=True).withColumn("reward_mean", V.r6("reward_mean"))
 
 
 @query(
@@ -371,9 +377,8 @@ def k3(spark, sf_dir):
     """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS reward FROM part""",
 )
 def k2_verify(spark, sf_dir):
-    out = fresh_dir(spark, "verified")
-    arriving = _arriving(verifiable(spark, sf_dir), F.col("p_partkey"), 2)
-    jobs.run_verification(arriving, out, fresh_dir(spark, "checkpoint"))
+    out, checkpoint = fresh_dir(spark, "verified"), fresh_dir(spark, "checkpoint")
+    _arrive(verifiable(spark, sf_dir), F.pmod("p_partkey", F.lit(2)), 2, lambda s: jobs.run_verification(s, out, checkpoint))
     return spark.read.parquet(out).select("p_partkey", "reward")
 
 
@@ -381,16 +386,28 @@ def k2_verify(spark, sf_dir):
     "k4_group_advantage_stream",
     V.with_views(
         "rollouts",
-        body=f"""SELECT doc_id, doc_id // 4 AS prompt, reward,
-                        round({advantage_sql("PARTITION BY doc_id // 4")}, 6) + 0.0 AS advantage FROM rollouts""",
+        body=f"""SELECT doc_id, prompt, reward, whole, round({advantage_sql("PARTITION BY prompt, gen")}, 6) + 0.0 AS advantage FROM (
+  WITH RECURSIVE arrived AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE doc_id // 16 END AS prompt, reward, doc_id // 8 AS slot FROM rollouts),
+  passed AS (SELECT prompt, slot, count(*) AS n, row_number() OVER (PARTITION BY prompt ORDER BY slot) AS rn
+             FROM arrived WHERE (slot + 1) * 8 <= (SELECT max(doc_id) FROM arrived) GROUP BY prompt, slot),
+  fold AS (SELECT prompt, slot, rn, 0 AS gen, n AS held FROM passed WHERE rn = 1
+           UNION ALL
+           SELECT p.prompt, p.slot, p.rn, CASE WHEN held >= 4 OR (p.slot - f.slot) * 8 > 100 THEN gen + 1 ELSE gen END,
+                  CASE WHEN held >= 4 OR (p.slot - f.slot) * 8 > 100 THEN n ELSE held + n END
+           FROM fold f JOIN passed p ON p.prompt = f.prompt AND p.rn = f.rn + 1),
+  gens AS (SELECT prompt, gen, max(held) >= 4 OR gen < (SELECT max(gen) FROM fold g WHERE g.prompt = fold.prompt)
+                  OR (max(slot) + 1) * 8 + 100 < (SELECT (max(slot) + 1) * 8 FROM passed) AS whole FROM fold GROUP BY prompt, gen)
+  SELECT doc_id, prompt, reward, coalesce(whole, false) AS whole, CASE WHEN whole THEN gen END AS gen
+  FROM arrived LEFT JOIN fold USING (prompt, slot) LEFT JOIN gens USING (prompt, gen))""",
     ),
 )
 def k4(spark, sf_dir):
-    """Groups of up to four, whose rows come in three micro-batches; groups that stay short are flushed."""
-    rows = V.rollouts(spark, sf_dir).select("doc_id", F.expr("doc_id div 4").alias("prompt"), "reward")
-    out = fresh_dir(spark, "advantages")
-    jobs.run_group_advantages(
-        _arriving(rows, F.col("doc_id")), ["prompt"], 4, "doc_id", 1 << 40, out, fresh_dir(spark, "checkpoint"), ["doc_id"]
-    )
-    emitted = jobs.read_group_advantages(spark, out, flush=True)
-    return emitted.select("doc_id", "prompt", "reward", V.r6("advantage").alias("advantage"))
+    """Groups of four and more, one with a third of all rows; what is short at the end comes as it is."""
+    prompt = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit(-1)).otherwise(F.expr("doc_id div 16"))
+    rows = V.rollouts(spark, sf_dir).select("doc_id", prompt.cast("long").alias("prompt"), "reward")
+    out, checkpoint = fresh_dir(spark, "advantages"), fresh_dir(spark, "checkpoint")
+    third = F.floor(F.col("doc_id") * 3 / (rows.agg(F.max("doc_id")).scalar() + 1))
+    _arrive(rows, third, 3, lambda s: jobs.run_group_advantages(s, ["prompt"], 4, "doc_id", 100, out, checkpoint, "8 seconds"))
+    whole = jobs.read_group_advantages(spark, ["prompt"], out).select("doc_id", F.lit(True).alias("whole"))
+    emitted = jobs.read_group_advantages(spark, ["prompt"], out, flush=True, spread_by=["doc_id"]).join(whole, "doc_id", "left")
+    return emitted.select("doc_id", "prompt", "reward", F.coalesce("whole", F.lit(False)).alias("whole"), V.r6("advantage").alias("advantage"))

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(**fields: T.DataType) -> T.StructType:
+def struct_of(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields.items()])
 
 
-MBPP_ROW = _struct(
+MBPP_ROW = struct_of(
     problem_id=T.StringType(), prompt=T.StringType(), code=T.StringType(), test_list=T.ArrayType(T.StringType())
 )
-FUNCTION_ROW = _struct(
+FUNCTION_ROW = struct_of(
     problem_id=T.StringType(), prompt=T.StringType(), test=T.StringType(), entry_point=T.StringType()
 )
-PROBLEM = _struct(
+PROBLEM = struct_of(
     problem_id=T.StringType(), source=T.StringType(), prompt=T.StringType(), test=T.StringType(), entry=T.StringType()
 )
 
-METRIC_FIELDS = _struct(
+METRIC_FIELDS = struct_of(
     step=T.IntegerType(),
     T=T.IntegerType(),
     loss=T.DoubleType(),
@@ -30,7 +30,7 @@ METRIC_FIELDS = _struct(
     n_failed=T.IntegerType(),
     rho=T.DoubleType(),
 )
-SAMPLE_FIELDS = _struct(
+SAMPLE_FIELDS = struct_of(
     prompt_index=T.IntegerType(),
     completion_index=T.IntegerType(),
     prompt=T.StringType(),

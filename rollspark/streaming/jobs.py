@@ -1,21 +1,34 @@
 """Structured Streaming jobs over arriving rollouts (K1-K4).
 
-Each job keeps what it needs in the shared folder, in one sub-folder per
-micro-batch that a repeated micro-batch overwrites: a restart or a lost
-executor changes nothing in the result, and no row is dropped for being late.
+K3 and K4 watch groups of rows (a step, a prompt) until they are whole. Each is three
+queries in a row, all of Spark's own state and file sinks, so that a restart or a lost
+executor changes nothing:
+
+1. Rows are landed as they come, with the slot of time they arrived in.
+2. Rows of a group and slot are reduced to sums, by a windowed aggregate with a watermark on
+   the arrival time, which gives each slot out once, when the watermark has passed it.
+3. A group's slots are gathered in state, in order of time, and given out once the group is
+   closed. The state holds sums and slot numbers: a group with a third of all rows is as small as
+   any other, and its rows never meet in a task.
+
+Nothing written is written again, so a micro-batch costs what came in with it. Slots are in
+order of time whichever micro-batch brought them, so results do not depend on how the
+input was cut, as long as no row comes later than ``delay`` behind the newest one. Rows
+that do are not lost: they are landed, and told apart when the results are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rollspark.functions.text import extract_code, verdict
 from rollspark.operators.scoring import standardized
-from rollspark.operators.skew import with_group_stats
+from rollspark.operators.skew import equi_join, with_group_stats
 from rollspark.operators.verify import SECONDS, verify_completions
-from rollspark.schemas import SAMPLE_LOG
+from rollspark.schemas import SAMPLE_LOG, struct_of
 from rollspark.sources.samplelog import read_lines
 
 
@@ -65,106 +78,202 @@ def run_verification(completions: DataFrame, path: str, checkpoint: str, seconds
     _drain_batches(completions, judge, checkpoint)
 
 
-COUNTS = ("n", "reward_sum", "n_correct", "n_failed")
+ARRIVED = "_arrived"
+SLOT, SLOT_END = "_slot", "_slot_end"
+# Of the rows of a slot or group: how many, and of their rewards the mean and the squared distances from it.
+SUMS = {"n": T.LongType(), "n_correct": T.LongType(), "n_failed": T.LongType(), "mean": T.DoubleType(), "apart": T.DoubleType()}
+STATE = struct_of(**SUMS, last=T.LongType(), slots=T.ArrayType(T.LongType()), closed=T.BooleanType())
+
+
+def _land(rows: DataFrame, arrival: str, slot: str, path: str, checkpoint: str) -> DataFrame:
+    """Append rows with their arrival time and slot; the landed table as a stream."""
+    spark = rows.sparkSession
+    kind = rows.schema[arrival].dataType
+    if isinstance(kind, (T.StringType, T.DateType, T.BooleanType)):
+        raise TypeError(f"{arrival} must be a timestamp or a number of seconds")
+    at = F.col(arrival).cast("timestamp")
+    landed = rows.withColumn(ARRIVED, F.coalesce(at, F.raise_error(F.lit(f"{arrival} must not be null")).cast("timestamp")))
+    landed = landed.withColumn(SLOT, F.window(ARRIVED, slot)["start"])
+    # An empty table that holds the schema, for readers that come before the first row.
+    spark.createDataFrame([], landed.schema).write.mode("ignore").parquet(f"{path}/shape")
+    drain(landed, f"{path}/rows", f"{checkpoint}/rows")
+    return spark.readStream.schema(landed.schema).parquet(f"{path}/rows")
+
+
+def _reduced(reward: str) -> list[Column]:
+    r = F.col(reward)
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(r > 0).alias("n_correct"),
+        F.count_if(r <= 0).alias("n_failed"),
+        F.avg(r).alias("mean"),
+        (F.var_pop(r) * F.count(r)).alias("apart"),
+    ]
+
+
+def _sum_slots(landed: DataFrame, keys: Sequence[str], reward: str, slot: str, delay: str, path: str, checkpoint: str) -> DataFrame:
+    """Append the sums of each group and slot once the watermark has passed the slot; that table as a stream."""
+    spark = landed.sparkSession
+    timed = landed.withWatermark(ARRIVED, delay).groupBy(*keys, F.window(ARRIVED, slot).alias("_window"))
+    sums = timed.agg(*_reduced(reward))
+    sums = sums.select(*keys, F.col("_window.start").alias(SLOT), F.col("_window.end").alias(SLOT_END), *SUMS)
+    drain(sums, f"{path}/slots", f"{checkpoint}/slots")
+    return spark.readStream.schema(sums.schema).parquet(f"{path}/slots")
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Sums of two lots of rows together; the mean is that of rewards that are not null."""
+    n, correct, failed, mean, apart = a
+    n2, correct2, failed2, mean2, apart2 = b
+    known, known2 = correct + failed, correct2 + failed2
+    if not known or not known2:
+        mean, apart = (mean, apart) if known else (mean2, apart2)
+    else:
+        gap, whole = mean2 - mean, known + known2
+        mean, apart = mean + gap * known2 / whole, apart + apart2 + gap * gap * known * known2 / whole
+    return n + n2, correct + correct2, failed + failed2, mean, apart
+
+
+def _gather(
+    slots: DataFrame, keys: Sequence[str], patience: float, enough: int | None, anew: bool, path: str, checkpoint: str
+) -> None:
+    """Append each group's sums when it is closed.
+
+    A group is closed by the slot that brings it to ``enough`` rows, or if its next slot ends more than
+    ``patience`` seconds after its last one, or none comes before the watermark is so far. With ``anew`` later slots
+    begin the group again, and its sums stand at every slot they were gathered from. Otherwise it is given out but
+    once, at its first slot, and later slots are left to the reader.
+    """
+    wait = int(patience * 1000)
+    kinds = [slots.schema[k] for k in keys]
+    out = T.StructType([*kinds, T.StructField(SLOT, T.LongType()), *STATE.fields[: len(SUMS)]])
+
+    def fold(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        given = []
+
+        def close(held):
+            given.extend((*key, at, *held[:5]) for at in held[6])
+
+        held = state.get if state.exists else None
+        if held is not None:
+            held = (*held[:6], list(held[6]), held[7])
+        if state.hasTimedOut:
+            close(held)
+            held = None if anew else (*held[:6], [], True)
+        else:
+            found = [row for batch in batches for row in zip(*(batch[c] for c in (SLOT, SLOT_END, *SUMS)))]
+            for at, end, *sums in sorted(found, key=lambda row: row[0]):
+                at, end = int(at), int(end)
+                sums = (*map(int, sums[:3]), *map(float, sums[3:]))
+                if held is not None and not held[7] and end - held[5] > wait:
+                    close(held)
+                    held = None if anew else (*held[:6], [], True)
+                if held is not None and held[7]:
+                    continue
+                if held is None:
+                    held = (*sums, end, [at], False)
+                else:
+                    held = (*_merged(held[:5], sums), end, [*held[6], at] if anew else held[6], False)
+                if enough is not None and held[0] >= enough:
+                    close(held)
+                    held = None if anew else (*held[:6], [], True)
+        if held is None:
+            state.remove() if state.exists else None
+        else:
+            state.update(held)
+            if not held[7]:
+                state.setTimeoutTimestamp(max(held[5] + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(given, columns=out.fieldNames())
+
+    timed = slots.withColumn("_end", F.col(SLOT_END)).withWatermark("_end", "0 seconds")
+    narrow = timed.select(*keys, "_end", F.unix_millis(SLOT).alias(SLOT), F.unix_millis(SLOT_END).alias(SLOT_END), *SUMS)
+    gathered = narrow.groupBy(*keys).applyInPandasWithState(fold, out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    drain(gathered.withColumn(SLOT, F.timestamp_millis(SLOT)), f"{path}/groups", f"{checkpoint}/groups")
+
+
+def _watch(
+    rows: DataFrame, keys: Sequence[str], arrival: str, patience: float, enough: int | None, anew: bool,
+    path: str, checkpoint: str, slot: str, delay: str,
+) -> None:
+    landed = _land(rows, arrival, slot, path, checkpoint)
+    slots = _sum_slots(landed, keys, "reward", slot, delay, path, checkpoint)
+    _gather(slots, keys, patience, enough, anew, path, checkpoint)
+
+
+def _landed(spark: SparkSession, path: str) -> DataFrame:
+    shape = spark.read.parquet(f"{path}/shape").schema
+    return spark.read.schema(shape).parquet(f"{path}/rows")
+
+
+def _groups(spark: SparkSession, keys: Sequence[str], path: str) -> DataFrame:
+    shape = spark.read.parquet(f"{path}/shape").schema
+    return spark.read.schema(T.StructType([*[shape[k] for k in keys], T.StructField(SLOT, T.TimestampType()), *STATE.fields[: len(SUMS)]])).parquet(f"{path}/groups")
 
 
 def run_step_metrics(
-    samples: DataFrame, keys: Sequence[str], path: str, checkpoint: str, merge_every: int = 32
-) -> None:
-    """K3. Fold arriving samples into partial step metrics, one small table per micro-batch.
+    samples: DataFrame, keys: Sequence[str], arrival: str, patience: float, path: str, checkpoint: str,
+    slot: str = "10 seconds", delay: str = "0 seconds",
+) -> None:
+    """K3. Metrics of each step, appended once, ``patience`` seconds after its last sample.
 
-    Counts and sums of different micro-batches add up, so there is no state to
-    keep and a step may go on receiving samples forever. Every ``merge_every``
-    micro-batches the partials so far are merged into one table, so that a
-    reader opens fewer than ``merge_every`` tables and the merged one.
+    ``arrival`` is a timestamp or a number of seconds, ``delay`` how far behind the newest one a sample may come.
     """
+    _watch(samples, keys, arrival, patience, None, False, path, checkpoint, slot, delay)
+
+
+def _metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.avg("reward").alias("reward_mean"), F.count_if(F.col("reward") > 0).alias("n_correct"), F.count_if(F.col("reward") <= 0).alias("n_failed"))
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        partial = batch.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("reward").alias("reward_sum"),
-            F.count_if(F.col("reward") > 0).alias("n_correct"),
-            F.count_if(F.col("reward") <= 0).alias("n_failed"),
-        )
-        partial.write.mode("overwrite").parquet(f"{path}/kind=partial/batch_id={batch_id}")
-        if batch_id % merge_every == merge_every - 1:
-            so_far = _partials(batch.sparkSession, path, batch_id)
-            merged = so_far.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS])
-            merged.write.mode("overwrite").parquet(f"{path}/kind=merged/batch_id={batch_id}")
-
-    _drain_batches(samples, fold, checkpoint)
-
-
-def _partials(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest merged table and the partials after it; with ``before`` only tables merged earlier count."""
-    rows = spark.read.parquet(path)
-    merged = F.col("kind") == "merged"
-    usable = merged if before is None else merged & (F.col("batch_id") < before)
-    # A scalar over folder names: no file is read for it.
-    last = F.coalesce(rows.filter(usable).agg(F.max("batch_id")).scalar(), F.lit(-1))
-    return rows.filter((usable & (F.col("batch_id") == last)) | (~merged & (F.col("batch_id") > last)))
-
-
-def read_step_metrics(spark: SparkSession, keys: Sequence[str], path: str) -> DataFrame:
-    """K3. Step metrics over everything folded so far."""
-    return _partials(spark, path).groupBy(*keys).agg(
-        (F.sum("reward_sum") / F.sum("n")).alias("reward_mean"),
-        F.sum("n_correct").alias("n_correct"),
-        F.sum("n_failed").alias("n_failed"),
-    )
+
+def read_step_metrics(spark: SparkSession, keys: Sequence[str], path: str, flush: bool = False) -> DataFrame:
+    """K3. The closed steps, each once; with ``flush`` also those still open, over all samples so far, ``closed`` is false for them."""
+    closed = _groups(spark, keys, path).select(*keys, F.col("mean").alias("reward_mean"), "n_correct", "n_failed", F.lit(True).alias("closed"))
+    if not flush:
+        return closed
+    open_ = equi_join(_landed(spark, path), closed.select(*keys), keys, "left_anti")
+    return closed.unionByName(_metrics(open_, keys).withColumn("closed", F.lit(False)))
+
+
+def read_late_samples(spark: SparkSession, keys: Sequence[str], path: str) -> DataFrame:
+    """K3. For each closed step how many of its samples came too late to count, ``n_late``; none for steps without any."""
+    landed = _landed(spark, path).groupBy(*keys).agg(F.count(F.lit(1)).alias("_landed"))
+    counted = _groups(spark, keys, path).select(*keys, F.col("n").alias("_counted"))
+    both = equi_join(landed, counted, keys, "inner")
+    return both.withColumn("n_late", F.col("_landed") - F.col("_counted")).filter("n_late > 0").select(*keys, "n_late")
 
 
 def run_group_advantages(
-    completions: DataFrame,
-    keys: Sequence[str],
-    group_size: int,
-    arrival: str,
-    patience: float | Column,
-    path: str,
-    checkpoint: str,
-    row_keys: Sequence[str] = (),
-) -> None:
-    """K4. Advantages of each prompt group as soon as ``group_size`` completions are there.
-
-    Each micro-batch joins the rows left waiting by the one before. Groups still
-    incomplete ``patience`` after their last arrival, measured against the
-    newest one of the micro-batch, are emitted as they are. The waiting rows are
-    a table, not operator state, so a group of any size stays distributed. A row
-    that comes after its group was emitted begins the group anew: it waits for
-    ``group_size`` rows of its own and is scored among those.
+    completions: DataFrame, keys: Sequence[str], group_size: int, arrival: str, patience: float, path: str, checkpoint: str,
+    slot: str = "1 second", delay: str = "0 seconds",
+) -> None:
+    """K4. Advantages of each prompt group, given out when it has ``group_size`` completions.
+
+    A group is whole at the end of the slot that brings it to that many, all of that slot included; one that stays short is given out as it is
+    ``patience`` seconds after its last completion. Completions that come after begin the group anew: they
+    wait for ``group_size`` of their own and are scored among those. ``arrival`` is a timestamp or a number of
+    seconds, ``delay`` how far behind the newest one a completion may come.
     """
+    _watch(completions, keys, arrival, patience, group_size, True, path, checkpoint, slot, delay)
 
-    def advance(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            before = batch.sparkSession.read.parquet(f"{path}/batch_id={batch_id - 1}")
-            # A folder of its own: emitted rows are not read again.
-            rows = batch.unionByName(before.filter(F.col("done").cast("string") == "false").select(*batch.columns))
-        reward = F.col("reward")
-        newest = rows.agg(F.max(arrival)).scalar()
-        stats = {
-            "_count": F.count(F.lit(1)),
-            "_mean": F.avg(reward),
-            "_sigma": F.stddev_pop(reward),
-            "_last": F.max(arrival),
-        }
-        scored = (
-            with_group_stats(rows, keys, stats, row_keys)
-            .withColumn("advantage", standardized(reward, F.col("_mean"), F.col("_sigma")))
-            .withColumn("done", (F.col("_count") >= group_size) | (F.col("_last") + patience < newest))
-            .withColumn("done", F.col("done").cast("string"))
-            .drop(*stats)
-        )
-        scored.write.mode("overwrite").partitionBy("done").parquet(f"{path}/batch_id={batch_id}")
-
-    _drain_batches(completions, advance, checkpoint)
-
-
-def read_group_advantages(spark: SparkSession, path: str, flush: bool = False) -> DataFrame:
-    """K4. All emitted rows; with ``flush`` also those the last micro-batch left waiting, as they are."""
-    rows = spark.read.parquet(path)
-    wanted = F.col("done").cast("string") == "true"
-    if flush:
-        last = rows.agg(F.max("batch_id")).scalar()
-        wanted = wanted | (F.col("batch_id") == last)
-    return rows.filter(wanted).drop("batch_id", "done")
+
+def read_group_advantages(spark: SparkSession, keys: Sequence[str], path: str, flush: bool = False, spread_by: Sequence[str] = ()) -> DataFrame:
+    """K4. All rows of groups that were given out; with ``flush`` also the others, each group's together as they are.
+
+    The latter are rows that wait and rows that came too late for their slot.
+    """
+    landed = _landed(spark, path)
+    columns = [c for c in landed.columns if c not in (ARRIVED, SLOT)]
+    # The sums of a group stand at each of its slots: a key of many rows has many slots.
+    groups = _groups(spark, keys, path).select(*keys, SLOT, "mean", F.sqrt(F.col("apart") / (F.col("n_correct") + F.col("n_failed"))).alias("_sigma"))
+    scored = equi_join(landed, groups, [*keys, SLOT], "inner")
+    reward = F.col("reward")
+    given = scored.withColumn("advantage", standardized(reward, F.col("mean"), F.col("_sigma"))).select(*columns, "advantage")
+    if not flush:
+        return given
+    rest = equi_join(landed, groups, [*keys, SLOT], "left_anti").select(*columns)
+    stats = {"_mean": F.avg(reward), "_sigma": F.stddev_pop(reward)}
+    rest = with_group_stats(rest, keys, stats, spread_by)
+    waiting = rest.withColumn("advantage", standardized(reward, F.col("_mean"), F.col("_sigma"))).drop("_mean", "_sigma")
+    return given.unionByName(waiting)
