@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rollspark.functions.determinism import int_div, uniform
 from rollspark.functions.tokens import loss_mask
 from rollspark.operators.ordering import hash_ordinal, hash_ordinal_within
-from rollspark.operators.skew import with_group_stats
+from rollspark.operators.skew import HeavyKeys, with_group_stats
 
 
 def micro_batches(problems: DataFrame, batch_size: int, seed, key="problem_id") -> DataFrame:
@@ -71,22 +71,22 @@ def fan_out(prompts: DataFrame, group_size: int) -> DataFrame:
 def pad_batch(
     rows: DataFrame,
     batch_keys: Sequence[str],
-    spread_by: Sequence[str] = (),
     pad_id: int | None = None,
     eos_id: int | None = None,
     ids: str = "ids",
     prompt_len: str = "prompt_len",
+    heavy: HeavyKeys | None = None,
 ) -> DataFrame:
     """C4. Right-pad ids to the longest row of the batch and add attention and loss masks.
 
-    Without a pad id the end id pads, without either 0.
+    Without a pad id the end id pads, without either 0. ``heavy`` are the heavy batches, if they are known already.
     """
     pad = pad_id if pad_id is not None else (eos_id or 0)
     longest = {"padded_len": F.max(F.size(ids))}
     length, missing = F.size(ids), F.col("padded_len") - F.size(ids)
     tail = F.array_repeat(F.lit(0), missing)
     return (
-        with_group_stats(rows, batch_keys, longest, spread_by)
+        with_group_stats(rows, batch_keys, longest, heavy)
         .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), length), tail))
         .withColumn("loss_mask", F.concat(loss_mask(length, F.col(prompt_len)), tail))
         .withColumn(ids, F.concat(ids, F.array_repeat(F.lit(pad), missing)))

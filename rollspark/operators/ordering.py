@@ -7,14 +7,18 @@ it; the table of shifts has at most ``BLOCKS`` rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from rollspark.functions.determinism import hash_block, order_hash
+from rollspark.functions.determinism import hash_block, int_div, order_hash
 from rollspark.operators.skew import equi_join, sum_over_blocks
 
 SHORT_HEAD = 10_000
+STORED_ROWS = 1 << 16  # of a block of a stored order
+STORED_BLOCKS = 1 << 14
 
 
 def _hashed(rows: DataFrame, key: str | Sequence[str], seed, by: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -118,3 +122,61 @@ def seeded_head(rows: DataFrame, n: int, key: str | Sequence[str], seed, out: st
     wanted = equi_join(tied, F.broadcast(lasts), keys, "inner").filter(F.col("_tie") <= F.col("_last")).drop("_last")
     numbered = wanted.withColumn("_place", place)
     return equi_join(numbered, F.broadcast(placed), [*keys, "_place"], "inner").drop("_place", "_tie")
+
+
+@dataclass(frozen=True)
+class StoredOrder:
+    """A9, A10, C1. A seeded order written once: rows with their ``position``, in a folder for each block of it.
+
+    ``first`` has the position of each block's first row, and ``size`` the number of
+    rows, so size, place and batches are known without a look at the rows.
+    """
+
+    spark: SparkSession
+    path: str
+    first: tuple[int, ...]
+    size: int
+
+    @classmethod
+    def write(
+        cls, rows: DataFrame, key: str | Sequence[str], seed, path: str, block_rows: int = STORED_ROWS, most: int = STORED_BLOCKS
+    ) -> StoredOrder:
+        """Blocks are runs of ``block_rows`` positions, or longer ones if there were more than ``most`` of them."""
+        spark = rows.sparkSession
+        size = rows.count()
+        length = max(block_rows, -(-size // most))
+        numbered = hash_ordinal(rows, key, seed, "position").withColumn("block", int_div(F.col("position"), length))
+        numbered.repartition("block").sortWithinPartitions("block", "position").write.partitionBy("block").parquet(f"{path}/rows")
+        first = tuple(range(0, size, length))
+        # The schema, for an order without rows too, and what the blocks are.
+        numbered.limit(0).write.parquet(f"{path}/shape")
+        _small(spark, first, size).write.parquet(f"{path}/blocks")
+        return cls(spark, path, first, size)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> StoredOrder:
+        found = spark.read.parquet(f"{path}/blocks").collect()  # one row for each block, and one for the size
+        return cls(spark, path, tuple(sorted(r["first"] for r in found if r["first"] >= 0)), next(r["size"] for r in found if r["first"] < 0))
+
+    def rows(self) -> DataFrame:
+        """All rows with ``position`` and ``block``."""
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.path}/shape").schema).parquet(f"{self.path}/rows")
+
+    def at(self, *positions: int) -> DataFrame:
+        """A9. The rows at these positions, negative ones from the end; none for one that is out of range. Reads their blocks alone."""
+        wanted = [p + self.size if p < 0 else p for p in positions]
+        blocks = sorted({bisect_right(self.first, p) - 1 for p in wanted if 0 <= p < self.size})
+        return self.rows().filter(F.col("block").isin(blocks) & F.col("position").isin(wanted)).drop("block")
+
+    def batches(self, batch_size: int, first: int = 0, upto: int | None = None) -> DataFrame:
+        """C1. The rows of batches ``first`` up to ``upto``, with ``batch_no`` and ``batch_idx``; reads the blocks that hold them."""
+        begin, end = first * batch_size, self.size if upto is None else min(upto * batch_size, self.size)
+        low, high = bisect_right(self.first, begin) - 1, bisect_right(self.first, max(end - 1, 0)) - 1
+        at = F.col("position")
+        inside = self.rows().filter(F.col("block").between(low, high) & (at >= begin) & (at < end))
+        batch_idx = F.pmod(at, F.lit(batch_size)).cast("int")
+        return inside.withColumn("batch_no", int_div(at, batch_size)).withColumn("batch_idx", batch_idx).drop("block", "position")
+
+
+def _small(spark: SparkSession, first: Sequence[int], size: int) -> DataFrame:
+    return spark.createDataFrame([(f, None) for f in first] + [(-1, size)], "first long, size long").coalesce(1)

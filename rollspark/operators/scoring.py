@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rollspark.functions.vocab import distill_terms, entropy_weight, item_logprob
-from rollspark.operators.skew import mark_pairs, pair_up, with_group_stats
+from rollspark.operators.skew import HeavyKeys, mark_pairs, pair_up, with_group_stats
 
 # Smallest spread that counts, and the term that keeps the quotient finite.
 SIGMA_FLOOR = 1e-8
@@ -28,13 +28,16 @@ def standardized(reward: Column, mean: Column, sigma: Column) -> Column:
 
 
 def group_advantage(
-    rows: DataFrame, group_keys: Sequence[str], reward: str = "reward", spread_by: Sequence[str] = ()
+    rows: DataFrame, group_keys: Sequence[str], reward: str = "reward", heavy: HeavyKeys | None = None
 ) -> DataFrame:
-    """F3. Reward relative to the row's group; 0 in groups of one and in groups of equal reward."""
+    """F3. Reward relative to the row's group; 0 in groups of one and in groups of equal reward.
+
+    ``heavy`` are the heavy groups, if they are known already.
+    """
     r = F.col(reward)
     stats = {"_mean": F.avg(r), "_sigma": F.stddev_pop(r)}
     # A group of one has no spread, so the floor covers it too.
-    joined = with_group_stats(rows, group_keys, stats, spread_by)
+    joined = with_group_stats(rows, group_keys, stats, heavy)
     return joined.withColumn("advantage", standardized(r, F.col("_mean"), F.col("_sigma"))).drop("_mean", "_sigma")
 
 

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rollspark.functions.determinism import int_div
 from rollspark.functions.text import build_feedback, teacher_prompt
-from rollspark.operators.skew import BLOCK_BITS, arrival_number, equi_join, group_ordinal, pair_up, skew_join
+from rollspark.operators.skew import BLOCK_ROWS, HeavyKeys, arrival_number, equi_join, group_ordinal, pair_up, skew_join
 from rollspark.session import shared_dir
 
 WINDOW_LIMIT = 1000
@@ -52,10 +53,10 @@ def attach_tests(completions: DataFrame, problems: DataFrame, keys: Sequence[str
 
 
 def attach_demo(
-    failed: DataFrame, demos: DataFrame, keys: Sequence[str], spread_by: Sequence[str] = ()
+    failed: DataFrame, demos: DataFrame, keys: Sequence[str], spread_by: Sequence[str] = (), heavy: HeavyKeys | None = None
 ) -> DataFrame:
     """J2. Each failed completion with its prompt's first demonstration, null without one."""
-    return skew_join(failed, demos, keys, "left", spread_by)
+    return skew_join(failed, demos, keys, "left", spread_by, heavy)
 
 
 def attach_prompt(failed: DataFrame, problems: DataFrame, keys: Sequence[str], strict: bool = False) -> DataFrame:
@@ -152,19 +153,18 @@ def trailing_mean(
     value: str,
     out: str = "trailing_mean",
     width: int = 10,
-    block_bits: int = BLOCK_BITS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """G3. Mean of the last ``width`` values of a run up to each row.
 
-    A run is cut into blocks of 2**block_bits rows; the last ``width - 1`` rows
+    A run is cut into blocks of ``block_rows`` rows; the last ``width - 1`` rows
     of a block are copied to the next one, where they only serve as history.
     """
-    size = 1 << block_bits
-    if size < width:
+    if block_rows < width:
         raise ValueError("a block must hold at least one window")
-    numbered = group_ordinal(rows, run_keys, order, "_at", block_bits)
-    home = F.shiftright("_at", block_bits)
-    near_end = F.pmod(F.col("_at"), F.lit(size)) > size - width
+    numbered = group_ordinal(rows, run_keys, order, "_at", block_rows)
+    home = int_div(F.col("_at"), block_rows)
+    near_end = F.pmod(F.col("_at"), F.lit(block_rows)) > block_rows - width
     blocks = F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))
     copied = numbered.withColumn("_block", F.explode(blocks))
     window = Window.partitionBy(*run_keys, "_block").orderBy("_at").rowsBetween(1 - width, 0)

@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Only keys with more than SPLIT_ROWS rows are worth splitting. Of these the SPLITS
-# largest are, so that no other key has more than 1/SPLITS of all rows; the number
-# bounds the broadcast list of heavy keys. Both are parameters below: with ``splits``
-# at 2**20 the list is some tens of MB and a key left whole has a millionth of the rows.
-SPLITS = 1 << 16
+from rollspark.session import fresh_dir
+
+# Only keys with more than SPLIT_ROWS rows are worth splitting, and of these only such with more than
+# 1/SPLITS of all rows, so that there are at most SPLITS of them.
+SPLITS = 1024
 SPLIT_ROWS = 100_000
+TRACKED = 16  # counters of the sketch for each of these: its error is 3.5/16 of such a key's rows
 
-BLOCK_BITS = 18  # rows of a block
-TOTAL_BITS = 23  # totals of blocks that are summed together: a key and two longs each
+BLOCK_ROWS = 1 << 18
+BLOCKS = 1 << 16  # blocks are made so large that about so many do
+SAMPLE_ROWS = 1 << 22
+DIGIT_BITS = 5
 LONG_BITS = 64
 
 
+def _local(spark, **columns: list[int]) -> DataFrame:
+    """A small table of longs."""
+    return spark.createDataFrame(pa.table({name: pa.array(values, pa.int64()) for name, values in columns.items()}))
+
+
 def equi_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, salt: Sequence[str] = ()
 ) -> DataFrame:
@@ -47,11 +57,38 @@ def mark_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], mark: str
     return joined.withColumn(mark, F.coalesce(mark, missing))
 
 
-def heavy_keys(
-    counts: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS, splits: int = SPLITS
-) -> DataFrame:
-    """The largest keys of a table with one row per key and its row count in ``_n``."""
-    return counts.filter(F.col("_n") > split_rows).orderBy(F.desc("_n"), *keys).limit(splits)
+@dataclass(frozen=True)
+class HeavyKeys:
+    """Keys with many rows by the hash of their columns, and about how many rows each has.
+
+    Taken once from a narrow table, it serves all joins of rows with these keys. Hashes that two keys share do no harm.
+    """
+
+    counts: dict[int, int]
+
+    def __bool__(self) -> bool:
+        return bool(self.counts)
+
+    def holds(self, hashed: Column) -> Column:
+        return hashed.isin(list(self.counts))
+
+
+def hash_of(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(k) for k in keys])
+
+
+def heavy_keys(rows: DataFrame, keys: Sequence[str], split_rows: int = SPLIT_ROWS, splits: int = SPLITS) -> HeavyKeys:
+    """The keys with more than ``split_rows`` rows and more than 1/``splits`` of all rows.
+
+    Each task keeps a sketch of its frequent keys, and the sketches are merged: one pass
+    over the key columns, no shuffle by key, at most ``splits`` hashes to the driver.
+    The counts are estimates, none of a heavy key is missed. This runs at once.
+    """
+    top = F.expr(f"approx_top_k(_key, {splits}, {splits * TRACKED})")
+    found = rows.select(hash_of(keys).alias("_key")).agg(top.alias("top"), F.count(F.lit(1)).alias("n")).first()
+    least = max(split_rows, found["n"] // splits)
+    # A count may be too low by the sketch's error.
+    return HeavyKeys({r["item"]: r["count"] for r in found["top"] or [] if r["count"] + 3.5 * found["n"] / (splits * TRACKED) > least})
 
 
 def skew_join(
@@ -60,7 +97,7 @@ def skew_join(
     keys: Sequence[str],
     how: str = "inner",
     spread_by: Sequence[str] = (),
-    counts: DataFrame | None = None,
+    heavy: HeavyKeys | None = None,
     split_rows: int = SPLIT_ROWS,
     splits: int = SPLITS,
 ) -> DataFrame:
@@ -70,18 +107,21 @@ def skew_join(
     when one side comes straight out of an aggregate or a window. Here rows of a
     heavy key are spread over pieces of about ``split_rows`` by a hash of
     ``spread_by`` (the row key; all columns if not given), and its one lookup
-    row is copied to each piece. Every other key joins as usual in piece 0.
+    row is copied to each piece. Every other key joins as usual in piece 0, and
+    without heavy keys it is a plain join. ``heavy`` saves the look for them.
     """
     keys = list(keys)
-    if counts is None:
-        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = heavy_keys(counts, keys, split_rows, splits)
-    pieces = F.broadcast(heavy.select(*keys, F.ceil(F.col("_n") / split_rows).cast("int").alias("_pieces")))
+    if heavy is None:
+        heavy = heavy_keys(rows, keys, split_rows, splits)
+    if not heavy:
+        return equi_join(rows, lookup, keys, how)
+    # At most ``splits`` rows.
+    pieces = F.broadcast(_local(rows.sparkSession, _hash=list(heavy.counts), _pieces=[-(-n // split_rows) for n in heavy.counts.values()]))
     spread = F.xxhash64(*[F.col(c) for c in (spread_by or rows.columns)])
     salt = F.when(F.col("_pieces").isNotNull(), F.pmod(spread, F.col("_pieces"))).otherwise(0).cast("int")
-    salted = equi_join(rows, pieces, keys, "left").select(*rows.columns, salt.alias("_salt"))
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1))
-    copied = equi_join(lookup, pieces, keys, "left").select(*lookup.columns, copies.alias("_salt"))
+    salted = rows.withColumn("_hash", hash_of(keys)).join(pieces, "_hash", "left").select(*rows.columns, salt.alias("_salt"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)).cast("int") - 1))
+    copied = lookup.withColumn("_hash", hash_of(keys)).join(pieces, "_hash", "left").select(*lookup.columns, copies.alias("_salt"))
     return equi_join(salted, copied, keys, how, ["_salt"]).drop("_salt")
 
 
@@ -89,62 +129,40 @@ def with_group_stats(
     rows: DataFrame,
     keys: Sequence[str],
     aggregates: dict[str, Column],
-    spread_by: Sequence[str] = (),
+    heavy: HeavyKeys | None = None,
     split_rows: int = SPLIT_ROWS,
     splits: int = SPLITS,
 ) -> DataFrame:
     """Attach aggregates (fixed-size values) of each row's group to the row.
 
-    Aggregate and join back instead of a window: the aggregate combines before
-    its shuffle, while a window would put a whole group into one task. Rows of
-    heavy groups get their values from a broadcast and pass the shuffle join
-    scattered by a salt that matches nothing, over pieces of about
-    ``split_rows``. Both uses of the statistics read
-    one exchange.
+    A window over the group, which reads and shuffles the rows once. Rows of heavy groups are
+    not shuffled at all: their few aggregates combine before the shuffle and come back to
+    them as a broadcast of at most ``splits`` rows. ``heavy`` saves the look for them.
     """
     keys = list(keys)
-    stats = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[column.alias(name) for name, column in aggregates.items()]
-    )
-    heavy = heavy_keys(stats, keys, split_rows, splits)
-    known = F.broadcast(heavy.select(*keys, F.col("_n").alias("_heavy"), *[F.col(n).alias(f"_h_{n}") for n in aggregates]))
-    spread = F.xxhash64(*[F.col(c) for c in (spread_by or rows.columns)])
-    scatter = 1 + F.pmod(spread, F.ceil(F.col("_heavy") / split_rows))
-    salt = F.when(F.col("_heavy").isNotNull(), scatter).otherwise(0).cast("long")
-    tagged = equi_join(rows, known, keys, "left").withColumn("_salt", salt)
-    # Always 0, but read from the count: a literal would be folded out of the join
-    # keys, and without the count the two statistics would not share an exchange.
-    unsalted = stats.withColumn("_salt", F.least("_n", F.lit(0)).cast("long"))
-    joined = equi_join(tagged, unsalted, keys, "left", ["_salt"])
-    return joined.select(*rows.columns, *[F.coalesce(n, f"_h_{n}").alias(n) for n in aggregates])
-
-
-def sum_over_blocks(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, block_bits: int = 0
-) -> DataFrame:
+    if heavy is None:
+        heavy = heavy_keys(rows, keys, split_rows, splits)
+    window = Window.partitionBy(*keys)
+    windowed = {name: column.over(window) for name, column in aggregates.items()}
+    if not heavy:
+        return rows.withColumns(windowed)
+    is_hot = heavy.holds(hash_of(keys))
+    hot = rows.filter(is_hot)
+    stats = hot.groupBy(*keys).agg(*[column.alias(name) for name, column in aggregates.items()])
+    return rows.filter(~is_hot).withColumns(windowed).unionByName(equi_join(hot, F.broadcast(stats), keys, "left"))
+
+
+def sum_over_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Running sum of ``_value`` within ``keys``, over rows cut into ordered pieces by ``_block``.
 
     The total of a group's earlier blocks enters each block as one more row in
-    front of it, so that a single shuffle by group and block does. With
-    ``block_bits``, the bits that block numbers may have, the totals of many
-    blocks are summed in blocks themselves, so that no window ever holds more
-    than 2**TOTAL_BITS of them. Uses up ``_value`` and ``_block``.
+    front of it, so that a single shuffle by group and block does. Totals of a
+    group's blocks meet in one window. Uses up ``_value`` and ``_block``.
     """
     keys = list(keys)
     totals = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
-    if block_bits > TOTAL_BITS:
-        above = totals.select(
-            *keys,
-            F.col("_block").alias("_number"),
-            "_total",
-            F.col("_total").alias("_value"),
-            F.shiftright("_block", TOTAL_BITS).alias("_block"),
-        )
-        summed = sum_over_blocks(above, keys, ["_number"], "_sum", block_bits - TOTAL_BITS)
-        before = summed.select(*keys, F.col("_number").alias("_block"), (F.col("_sum") - F.col("_total")).alias("_value"))
-    else:
-        earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        before = totals.select(*keys, "_block", F.sum("_total").over(earlier).alias("_value"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "_block", F.sum("_total").over(earlier).alias("_value"))
     carried = before.filter(F.col("_value").isNotNull()).withColumn("_row", F.lit(0))
     both = rows.withColumn("_row", F.lit(1)).unionByName(carried, allowMissingColumns=True)
     inside = (
@@ -165,25 +183,85 @@ def arrival_number(rows: DataFrame, order: str) -> Column:
     raise TypeError(f"{order} must be a whole number, a timestamp or a date, not {kind}")
 
 
+def _prefix(level: int) -> Column:
+    """Leading ``level`` digits of a number; no digit is the whole group."""
+    bits = max(LONG_BITS - DIGIT_BITS * level, 0)
+    return F.shiftright("_number", bits) if level else F.lit(0).cast("long")
+
+
+def crowded_ranges(numbers: DataFrame, block_rows: int = BLOCK_ROWS, sample_rows: int = SAMPLE_ROWS) -> list[list[tuple[int, int]]] | None:
+    """Which ranges of a group's numbers hold more than a block of rows, level by level; none if the whole table is one block.
+
+    ``numbers`` has the group's hash ``_group`` and ``_number``. Ranges are those of
+    equal leading digits; a crowded one is looked into by its next digit. They are
+    found on a sample of at most about ``sample_rows`` rows, chosen by hash, and
+    there are at most BLOCKS of them in a level. This runs at once.
+    """
+    total = numbers.count()
+    if total <= block_rows:
+        return None
+    block_rows = max(block_rows, total // BLOCKS)
+    stride = max(1, total // sample_rows)
+    sample = numbers.filter(F.pmod(F.xxhash64("_number", "_group"), F.lit(stride)) == 0) if stride > 1 else numbers
+    spark = numbers.sparkSession
+    path = fresh_dir(spark, "numbers")
+    sample.write.parquet(path)
+    left = spark.read.schema(sample.schema).parquet(path)
+    levels = []
+    for level in range(-(-LONG_BITS // DIGIT_BITS) + 1):
+        counts = left.groupBy("_group", _prefix(level).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+        found = counts.filter(F.col("_n") * stride > block_rows).collect()  # at most BLOCKS and what the sample errs
+        if not found:
+            break
+        levels.append([(r["_group"], r["_prefix"]) for r in found])
+        left = left.withColumn("_prefix", _prefix(level)).join(F.broadcast(_ranges(spark, levels[-1])), ["_group", "_prefix"]).drop("_prefix")
+    return levels
+
+
+def _ranges(spark, ranges: list[tuple[int, int]]) -> DataFrame:
+    groups, prefixes = zip(*ranges)
+    return _local(spark, _group=list(groups), _prefix=list(prefixes))
+
+
+def in_blocks(rows: DataFrame, keys: Sequence[str], number: Column, levels: list[list[tuple[int, int]]]) -> DataFrame:
+    """Adds ``_block``, the least number of the row's block. A block is the widest range that is not crowded."""
+    spark = rows.sparkSession
+    placed = rows.withColumn("_group", hash_of(keys)).withColumn("_number", number)
+    block = F.lit(-(1 << (LONG_BITS - 1))).cast("long")
+    for level, ranges in enumerate(levels):
+        crowded = F.broadcast(_ranges(spark, ranges).withColumnRenamed("_prefix", f"_p{level}").withColumn(f"_crowded{level}", F.lit(True)))
+        placed = placed.withColumn(f"_p{level}", _prefix(level)).join(crowded, ["_group", f"_p{level}"], "left")
+        bits = max(LONG_BITS - DIGIT_BITS * (level + 1), 0)
+        block = F.when(F.col(f"_crowded{level}"), F.shiftleft(F.shiftright("_number", bits), bits)).otherwise(block)
+    return placed.withColumn("_block", block).select(*rows.columns, "_block")
+
+
 def running_sum(
     rows: DataFrame,
     keys: Sequence[str],
     order: str,
     value: Column,
     out: str,
-    block_bits: int = BLOCK_BITS,
+    block_rows: int = BLOCK_ROWS,
     ties: Sequence[str] = (),
 ) -> DataFrame:
     """Inclusive running sum of ``value`` within ``keys`` in the order of ``order``.
 
     ``order`` is a whole number of any size and sign, a timestamp or a date, not
-    null and unique within its group; ``ties`` name columns that order equals.
-    Each group is cut into blocks of 2**block_bits consecutive numbers, and their
-    totals into blocks again, so that no window grows with the group.
+    null and unique within its group; ``ties`` name columns that order equals. A table of
+    more than ``block_rows`` rows is cut: each group into ranges of numbers that hold about that many
+    rows at most, however the numbers lie, so that no window grows with the group. (Rows of one
+    and the same number stay together.) Rows are counted, and a sample looked at, at once.
     """
+    keys = list(keys)
     number = F.coalesce(arrival_number(rows, order), F.raise_error(F.lit(f"{order} must not be null")).cast("long"))
-    blocked = rows.withColumn("_value", value).withColumn("_block", F.shiftright(number, block_bits))
-    return sum_over_blocks(blocked, keys, [order, *ties], out, LONG_BITS - block_bits)
+    levels = crowded_ranges(rows.select(hash_of(keys).alias("_group"), number.alias("_number")), block_rows)
+    if not levels:
+        checked = rows.withColumn("_number", number)
+        window = Window.partitionBy(*keys).orderBy("_number", *ties).rowsBetween(Window.unboundedPreceding, 0)
+        return checked.withColumn(out, F.sum(value).over(window)).drop("_number")
+    blocked = in_blocks(rows.withColumn("_value", value), keys, number, levels)
+    return sum_over_blocks(blocked, keys, [order, *ties], out)
 
 
 def group_ordinal(
@@ -191,9 +269,9 @@ def group_ordinal(
     keys: Sequence[str],
     order: str,
     out: str,
-    block_bits: int = BLOCK_BITS,
+    block_rows: int = BLOCK_ROWS,
     ties: Sequence[str] = (),
 ) -> DataFrame:
     """G1. 0-based position of each row within its group, in arrival order."""
-    counted = running_sum(rows, keys, order, F.lit(1).cast("long"), out, block_bits, ties)
+    counted = running_sum(rows, keys, order, F.lit(1).cast("long"), out, block_rows, ties)
     return counted.withColumn(out, F.col(out) - 1)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rollspark.functions.text import render_prompt
 from rollspark.operators import scoring, selection
+from rollspark.operators.skew import heavy_keys
 from rollspark.sources.samplelog import to_log_rows
 
 
@@ -36,7 +37,7 @@ def step_losses(
     """
     narrow = completions.select(*dict.fromkeys([row_key, *step_keys, *group_keys]), "reward")
     rows = scoring.sequence_scores(narrow, tokens, row_key, strict=strict)
-    scored = scoring.group_advantage(rows, group_keys, spread_by=[row_key])
+    scored = scoring.group_advantage(rows, group_keys, heavy=heavy_keys(narrow, group_keys))
     policy = scoring.policy_loss(scored, step_keys)
     distill = scoring.step_distill_loss(student, teacher, step_keys, strict=strict)
     return scoring.total_loss(policy, distill, step_keys)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollspark.operators import batching
-from rollspark.operators.ordering import seeded_head
+from rollspark.operators.ordering import StoredOrder, seeded_head
 from rollspark.plans import views as V
 from rollspark.plans.registry import query
+from rollspark.session import fresh_dir
 from rollspark.sources import problems as P
 
 
@@ -122,6 +123,15 @@ def a6_fallback(spark, sf_dir):
     return P.load_problems(spark, "misspelled", {"builtin": _pool(spark, sf_dir)}, n, on_error="fallback")
 
 
+@query("a6_broken_source_fallback", POOL_SQL)
+def a6_broken(spark, sf_dir):
+    """Some rows have no assertion in their first test, which shows only when they are read."""
+    n = V.table(spark, sf_dir, "documents").count()
+    rows = V.mbpp_rows(spark, sf_dir)
+    without = F.when(F.col("problem_id").cast("int") % 50 == 7, F.array(F.lit("print(1)"))).otherwise(F.col("test_list"))
+    return P.load_problems(spark, "mbpp", {"mbpp": rows.withColumn("test_list", without), "builtin": _pool(spark, sf_dir)}, n, on_error="fallback")
+
+
 @query(
     "a8_seeded_head",
     f"""SELECT doc_id, text, row_number() OVER (ORDER BY {by_hash("doc_id")}) - 1 AS position
@@ -145,6 +155,19 @@ def a9_last(spark, sf_dir):
     return P.problem_at(V.table(spark, sf_dir, "documents").select("doc_id", "text"), -1, 42, "doc_id")
 
 
+@query(
+    "a9_stored_problems",
+    f"""SELECT doc_id, text, row_number() OVER (ORDER BY {by_hash("doc_id")}) - 1 AS position
+        FROM documents QUALIFY position IN (0, 77, (SELECT count(*) FROM documents) // 2, (SELECT count(*) FROM documents) - 1)""",
+)
+def a9_stored(spark, sf_dir):
+    """Four rows of a stored order, of which only their blocks are read."""
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = StoredOrder.write(docs, "doc_id", 42, fresh_dir(spark, "order"), block_rows=256)
+    again = StoredOrder.open(spark, order.path)
+    return again.at(0, 77, again.size // 2, -1)
+
+
 @query(
     "a10_reshuffle",
     f"SELECT doc_id, lang, row_number() OVER (ORDER BY {by_hash('doc_id', '42:again')}) - 1 AS position FROM documents",
@@ -191,6 +214,18 @@ def c2_rank(spark, sf_dir):
     return _schedule(spark, sf_dir, 1)
 
 
+@query(
+    "c1_stored_batches",
+    f"""SELECT doc_id, lang, (rn - 1) // 8 AS batch_no, ((rn - 1) % 8)::INTEGER AS batch_idx
+        FROM (SELECT *, row_number() OVER (ORDER BY {by_hash("doc_id")}) AS rn FROM documents)""",
+)
+def c1_stored(spark, sf_dir):
+    """All batches of a stored order, in two reads."""
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    order = StoredOrder.write(docs, "doc_id", 42, fresh_dir(spark, "order"), block_rows=100)
+    return order.batches(8, 0, 15).unionByName(order.batches(8, 15))
+
+
 @query(
     "c3_fan_out",
     "SELECT doc_id, text, g::INTEGER AS completion_idx FROM documents, (SELECT unnest(range(4)) AS g)",
@@ -215,7 +250,7 @@ def c3(spark, sf_dir):
     ),
 )
 def c4(spark, sf_dir):
-    padded = batching.pad_batch(V.id_rows(spark, sf_dir), ["batch_no"], ["seq_id"], pad_id=7)
+    padded = batching.pad_batch(V.id_rows(spark, sf_dir), ["batch_no"], pad_id=7)
     arrays = [V.to_text(F.col(c)).alias(c) for c in ("ids", "attention_mask", "loss_mask")]
     return padded.select("seq_id", "batch_no", "padded_len", *arrays)
 

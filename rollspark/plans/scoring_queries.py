@@ -65,7 +65,7 @@ def advantage_sql(window: str) -> str:
     ),
 )
 def f3(spark, sf_dir) -> DataFrame:
-    scored = S.group_advantage(V.rollouts(spark, sf_dir).drop("text"), PROMPT, spread_by=["doc_id"])
+    scored = S.group_advantage(V.rollouts(spark, sf_dir).drop("text"), PROMPT)
     return scored.select("doc_id", *PROMPT, "reward", V.r6("advantage").alias("advantage"))
 
 
@@ -78,7 +78,7 @@ def f3(spark, sf_dir) -> DataFrame:
     ),
 )
 def f3_orders(spark, sf_dir):
-    scored = S.group_advantage(V.sequences(spark, sf_dir), ["prompt_id"], spread_by=["seq_id"])
+    scored = S.group_advantage(V.sequences(spark, sf_dir), ["prompt_id"])
     return scored.select("seq_id", "prompt_id", V.r6("advantage").alias("advantage"))
 
 
@@ -151,7 +151,7 @@ def _scored_sequences(spark, sf_dir) -> DataFrame:
     """Orders with sequence log-probs and group advantage."""
     means = S.sequence_logprobs(V.token_rows(spark, sf_dir), ["seq_id"], ["lp", "lp_old"])
     rows = V.sequences(spark, sf_dir).join(means, "seq_id")
-    return S.group_advantage(rows, ["prompt_id"], spread_by=["seq_id"])
+    return S.group_advantage(rows, ["prompt_id"])
 
 
 SCORED_SQL = f"""

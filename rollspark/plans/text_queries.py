@@ -258,9 +258,10 @@ def j6(spark, sf_dir):
     V.with_views(*LOG_VIEWS, body=f"SELECT {LOG_COLUMNS} FROM ({SAMPLE_SQL}) WHERE step % 4 = 0 OR step < 5"),
 )
 def b1(spark, sf_dir):
-    """The log of the steps at which samples are due."""
+    """The log of the steps at which samples are due, appended again after it was there already."""
     path = fresh_dir(spark, "samples")
-    samplelog.append_log(_sample_rows(spark, sf_dir, every=4), path)
+    for _ in range(2):
+        samplelog.append_log(_sample_rows(spark, sf_dir, every=4), path, "run-1")
     return _rounded(samplelog.read_log(spark, path))
 
 
@@ -327,7 +328,8 @@ def k1(spark, sf_dir):
     log, out, checkpoint = (fresh_dir(spark, n) for n in ("samples", "followed", "checkpoint"))
     rows = _sample_rows(spark, sf_dir)
     for part in range(3):
-        samplelog.append_log(rows.filter(F.pmod("step", F.lit(3)) == part), log)
+        for _ in range(2):  # the second is a retry
+            samplelog.append_log(rows.filter(F.pmod("step", F.lit(3)) == part), log, f"part-{part}")
         jobs.drain(jobs.follow_log(spark, log), out, checkpoint)
     return _rounded(spark.read.schema(SAMPLE_LOG).parquet(out))
 
@@ -409,5 +411,5 @@ def k4(spark, sf_dir):
     third = F.floor(F.col("doc_id") * 3 / (rows.agg(F.max("doc_id")).scalar() + 1))
     _arrive(rows, third, 3, lambda s: jobs.run_group_advantages(s, ["prompt"], 4, "doc_id", 100, out, checkpoint, "8 seconds"))
     whole = jobs.read_group_advantages(spark, ["prompt"], out).select("doc_id", F.lit(True).alias("whole"))
-    emitted = jobs.read_group_advantages(spark, ["prompt"], out, flush=True, spread_by=["doc_id"]).join(whole, "doc_id", "left")
+    emitted = jobs.read_group_advantages(spark, ["prompt"], out, flush=True).join(whole, "doc_id", "left")
     return emitted.select("doc_id", "prompt", "reward", F.coalesce("whole", F.lit(False)).alias("whole"), V.r6("advantage").alias("advantage"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollspark.functions.determinism import uniform
@@ -109,6 +109,30 @@ def sample_pool(pool: DataFrame, n: int, seed: int = 42, key="problem_id") -> Da
     return draws.join(numbered, ["_pick", "_piece"]).drop("_pick", "_piece")
 
 
+def broken_mbpp(rows: DataFrame) -> Column:
+    """A6. Whether a row cannot be normalised by A1."""
+    first = F.get("test_list", F.lit(0))
+    missing = F.col("prompt").isNull() | F.col("code").isNull() | F.col("test_list").isNull()
+    return missing | F.exists("test_list", lambda t: t.isNull()) | ((F.size("test_list") > 0) & (F.instr(first, ASSERT_MARK) == 0))
+
+
+def broken_humaneval(rows: DataFrame) -> Column:
+    """A6. Whether a row cannot be normalised by A2: its test is there, but null."""
+    return F.col("test").isNull() if "test" in rows.columns else F.lit(False)
+
+
+class BrokenSource(ValueError):
+    """A source some of whose rows cannot be normalised."""
+
+
+def validated(rows: DataFrame, broken: Column, name: str) -> DataFrame:
+    """A6. The rows, if none of them is broken; reads the columns that tell, of the whole source, at once."""
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(broken).alias("broken")).first()
+    if counts["broken"]:
+        raise BrokenSource(f"{counts['broken']} of {counts['n']} rows of {name} are broken")
+    return rows
+
+
 def read_rows(spark: SparkSession, path: str, schema, broken: str = "fail", null_defaults: bool = True) -> DataFrame:
     """Raw source rows from parquet or JSON lines.
 
@@ -140,18 +164,27 @@ def load_problems(
     """A6. Named problem set, shuffled and cut to ``n`` problems.
 
     ``sources`` maps mbpp, humaneval, bigcodebench to raw rows or paths and
-    builtin to a normalised pool. An unknown name or an unreadable source raises;
-    ``on_error="fallback"`` samples the builtin pool instead. Reads are lazy, so
-    the fallback covers what shows while the plan is built, not bad rows.
+    builtin to a normalised pool. An unknown name, an unreadable source or a broken row raises, the
+    last when the rows are read. ``on_error="fallback"`` samples the builtin pool instead: the
+    whole source is looked through first, and one broken row or line of it is enough.
     """
+    fallback = on_error == "fallback"
+
+    def raw(source: str, schema, broken=None) -> DataFrame:
+        rows = _source(spark, sources, source, schema)
+        if not fallback:
+            return rows
+        # Any row will do for a source without a rule of its own, but its lines must be readable.
+        return validated(rows, broken(rows) if broken else F.length("prompt") < 0, source)
+
     def builtin() -> DataFrame:
         return sample_pool(_source(spark, sources, "builtin", PROBLEM), n)
 
     def mbpp() -> DataFrame:
-        return normalize_mbpp(_source(spark, sources, "mbpp", MBPP_ROW))
+        return normalize_mbpp(raw("mbpp", MBPP_ROW, broken_mbpp))
 
     def humaneval() -> DataFrame:
-        return normalize_humaneval(_source(spark, sources, "humaneval", FUNCTION_ROW))
+        return normalize_humaneval(raw("humaneval", FUNCTION_ROW, broken_humaneval))
 
     try:
         match name:
@@ -162,14 +195,14 @@ def load_problems(
             case "humaneval_mbpp_mix" | "mix":
                 return weighted_mix(humaneval(), mbpp(), n, seed)
             case "bigcodebench":
-                problems = normalize_plain(_source(spark, sources, "bigcodebench", FUNCTION_ROW))
+                problems = normalize_plain(raw("bigcodebench", FUNCTION_ROW))
             case "builtin":
                 return builtin()
             case _:
                 raise ValueError(f"unknown problem set {name!r}")
         return seeded_head(problems, n, PROBLEM_KEY, seed)
-    except (ValueError, KeyError, AnalysisException):
-        if on_error != "fallback":
+    except (ValueError, KeyError, PySparkException):
+        if not fallback:
             raise
         return builtin()
 

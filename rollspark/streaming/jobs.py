@@ -258,7 +258,7 @@ def run_group_advantages(
     _watch(completions, keys, arrival, patience, group_size, True, path, checkpoint, slot, delay)
 
 
-def read_group_advantages(spark: SparkSession, keys: Sequence[str], path: str, flush: bool = False, spread_by: Sequence[str] = ()) -> DataFrame:
+def read_group_advantages(spark: SparkSession, keys: Sequence[str], path: str, flush: bool = False) -> DataFrame:
     """K4. All rows of groups that were given out; with ``flush`` also the others, each group's together as they are.
 
     The latter are rows that wait and rows that came too late for their slot.
@@ -274,6 +274,6 @@ def read_group_advantages(spark: SparkSession, keys: Sequence[str], path: str, f
         return given
     rest = equi_join(landed, groups, [*keys, SLOT], "left_anti").select(*columns)
     stats = {"_mean": F.avg(reward), "_sigma": F.stddev_pop(reward)}
-    rest = with_group_stats(rest, keys, stats, spread_by)
+    rest = with_group_stats(rest, keys, stats)
     waiting = rest.withColumn("advantage", standardized(reward, F.col("_mean"), F.col("_sigma"))).drop("_mean", "_sigma")
     return given.unionByName(waiting)

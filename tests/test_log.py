@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from rollspark.operators import reports
 from rollspark.operators.selection import attach_metrics, collect_samples
 from rollspark.schemas import SAMPLE_LOG
 from rollspark.sources import samplelog
+from rollspark.streaming import jobs
 
 PROMPT = 'def solve(x):\n    """Return x unchanged, naïvely."""\n'
 COMPLETION = "def solve(x):\n    return x\n# no cut at the end"
@@ -107,3 +109,34 @@ def test_reports_are_read_back(spark, rows, tmp_path):
     for _ in range(2):
         reports.write_reports(told, "report", path)
     assert [r["report"] for r in reports.read_reports(spark, path, "report").collect()] == [told.first()["report"]] * 2
+
+
+def test_an_append_that_is_tried_again_counts_once(spark, tmp_path):
+    log, out, checkpoint = (str(tmp_path / n) for n in ("log", "out", "checkpoint"))
+    seen = []
+    for step, tries in ((1, 2), (2, 1), (1, 1), (3, 3)):
+        rows = spark.createDataFrame([(step, 2, 0.5, 0.25, 0.25, 1.0, 1, 0, None, 0, 0, "p", "mp", "t", 1, "ok")], SAMPLE_LOG)
+        for _ in range(tries):
+            samplelog.append_log(rows, log, f"run-7-step-{step}")
+        jobs.drain(jobs.follow_log(spark, log), out, checkpoint)
+        seen = sorted({*seen, step})
+        assert sorted(r["step"] for r in samplelog.read_log(spark, log).collect()) == seen
+        assert sorted(r["step"] for r in spark.read.schema(SAMPLE_LOG).parquet(out).collect()) == seen
+    assert not [n for n in os.listdir(log) if n.startswith("_staged")]
+    samplelog.append_log(rows.limit(0), log, "nothing")
+    assert "nothing" not in os.listdir(log)
+    samplelog.append_log(rows, log)  # plain appends go beside
+    assert sorted(r["step"] for r in samplelog.read_log(spark, log).collect()) == [*seen, 3]
+    for name in ("", "_x", ".x", "a/b"):
+        with pytest.raises(ValueError, match="cannot name"):
+            samplelog.append_log(rows, log, name)
+
+
+def test_a_torn_append_is_not_read(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, 2, 0.5, 0.25, 0.25, 1.0, 1, 0, None, 0, 0, "p", "mp", "t", 1, "ok")], SAMPLE_LOG)
+    samplelog.append_log(rows, log, "a")
+    os.makedirs(f"{log}/_staged-x")
+    with open(f"{log}/_staged-x/part-0.json", "w") as f:
+        f.write('{"step": 9}\n')
+    assert [r["step"] for r in samplelog.read_log(spark, log).collect()] == [1]

@@ -75,11 +75,11 @@ def test_pad_batch(spark):
     rows = spark.createDataFrame(
         [(0, 0, [1, 2, 3], 1), (1, 0, [4], 0), (2, 1, [5, 6], 4)], "seq int, b int, ids array<int>, prompt_len int"
     )
-    got = {r["seq"]: r for r in batching.pad_batch(rows, ["b"], ["seq"], eos_id=9).collect()}
+    got = {r["seq"]: r for r in batching.pad_batch(rows, ["b"], eos_id=9).collect()}
     assert [got[i]["ids"] for i in range(3)] == [[1, 2, 3], [4, 9, 9], [5, 6]]
     assert [got[i]["attention_mask"] for i in range(3)] == [[1, 1, 1], [1, 0, 0], [1, 1]]
     assert [got[i]["loss_mask"] for i in range(3)] == [[0, 1, 1], [0, 0, 0], [0, 0]]
-    assert batching.pad_batch(rows, ["b"], ["seq"]).filter("seq = 1").first()["ids"] == [4, 0, 0]
+    assert batching.pad_batch(rows, ["b"]).filter("seq = 1").first()["ids"] == [4, 0, 0]
 
 
 def test_depth_is_a_clamped_poisson(spark):
@@ -101,3 +101,29 @@ def test_heads_of_repeated_keys_are_the_same_short_and_long(spark, monkeypatch):
             long = sorted(tuple(r) for r in ordering.seeded_head(df, n, "k", 1).collect())
         assert short == long
         assert sorted(r[3] for r in short) == list(range(min(n, len(rows))))
+
+
+def files_read(df):
+    return df.select(F.input_file_name()).distinct().count()
+
+
+def test_a_stored_order_is_read_by_blocks(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.concat(F.lit("t"), "id").alias("t")).repartition(5)
+    order = ordering.StoredOrder.write(rows, "k", 7, str(tmp_path / "order"), block_rows=100)
+    ids = ordered(range(2000), 7)
+    again = ordering.StoredOrder.open(spark, order.path)
+    assert again == order and order.size == 2000 and len(order.first) == 20
+    got = again.at(5, -1, 0, 2000, -2001)
+    assert {r["position"]: r["k"] for r in got.collect()} == {0: ids[0], 5: ids[5], 1999: ids[-1]}
+    assert files_read(again.at(5)) == 1
+    plan = again.at(5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(block" in plan or "PartitionFilters: [block" in plan
+    batch = {(r["batch_no"], r["batch_idx"]): r["k"] for r in again.batches(8, 3, 30).collect()}
+    assert batch == {(i // 8, i % 8): ids[i] for i in range(24, 240)}
+    assert files_read(again.batches(8, 3, 30)) == 3
+    assert again.batches(8).count() == 2000 and again.batches(3000).count() == 2000
+    few = ordering.StoredOrder.write(rows, "k", 7, str(tmp_path / "few"), block_rows=1, most=4)
+    assert len(few.first) == 4 and few.at(1500).first()["k"] == ids[1500]
+    none = ordering.StoredOrder.write(rows.limit(0), "k", 7, str(tmp_path / "none"))
+    assert none.size == 0 and none.at(0).count() == 0 and none.batches(8).count() == 0
+    assert ordering.StoredOrder.open(spark, none.path) == none

@@ -138,3 +138,33 @@ def test_broken_lines_of_a_source(spark, tmp_path):
     assert [r["test"] for r in P.read_rows(spark, str(path), schema, "skip", null_defaults=False).collect()] == [None]
     kept = P.read_rows(spark, str(path), schema, "keep").collect()
     assert [r["broken_line"] is None for r in kept] == [True, False]
+
+
+def test_broken_rows_fall_back_when_they_are_read(spark, tmp_path):
+    pool = P.normalize_plain(spark.createDataFrame([("a", "pa"), ("b", "pb")], "problem_id string, prompt string"), "builtin")
+    good = [(str(i), f"p{i}", "def f():\n  pass", ["assert f() == 1"]) for i in range(30)]
+    kind = "problem_id string, prompt string, code string, test_list array<string>"
+    load = lambda rows, how, name="mbpp": P.load_problems(spark, name, {"mbpp": rows, "humaneval": fine, "builtin": pool}, 5, on_error=how)
+    fine = spark.createDataFrame([("h", "p", "assert x", "f")], "problem_id string, prompt string, test string, entry_point string")
+    for broken in ([("x", "p", "c", ["print()"])], [("x", None, "c", [])], [("x", "p", None, [])], [("x", "p", "c", None)], [("x", "p", "c", ["assert f()", None])]):
+        rows = spark.createDataFrame(good + broken, kind)
+        got = load(rows, "fallback")
+        assert got.count() == 5 and {r["source"] for r in got.collect()} == {"builtin"}
+        assert {r["source"] for r in load(rows, "fallback", "mix").collect()} == {"builtin"}
+    whole = spark.createDataFrame(good + [("x", "p", "c", [])], kind)
+    assert {r["source"] for r in load(whole, "fallback").collect()} == {"mbpp"}
+    with pytest.raises(Exception, match="holds no assertion"):
+        P.normalize_mbpp(spark.createDataFrame(good + [("x", "p", "c", ["print()"])], kind)).collect()
+    null_test = spark.createDataFrame([("h", "p", None, "f")], "problem_id string, prompt string, test string, entry_point string")
+    assert {r["source"] for r in P.load_problems(spark, "humaneval", {"humaneval": null_test, "builtin": pool}, 3, on_error="fallback").collect()} == {"builtin"}
+
+
+def test_broken_lines_fall_back(spark, tmp_path):
+    pool = P.normalize_plain(spark.createDataFrame([("a", "pa")], "problem_id string, prompt string"), "builtin")
+    path = tmp_path / "rows.jsonl"
+    path.write_text('{"problem_id": "1", "prompt": "p", "test": "t", "entry_point": "f"}\n{"problem_id": "2", "pro')
+    for name in ("humaneval", "bigcodebench"):
+        got = P.load_problems(spark, name, {name: str(path), "builtin": pool}, 3, on_error="fallback")
+        assert {r["source"] for r in got.collect()} == {"builtin"} and got.count() == 3
+        with pytest.raises(Exception, match="MALFORMED|alformed"):
+            P.load_problems(spark, name, {name: str(path), "builtin": pool}, 3).collect()

@@ -12,7 +12,7 @@ ROOT3 = math.sqrt(3)
 
 def advantages(spark, rewards):
     df = spark.createDataFrame([(i, g, r) for i, (g, r) in enumerate(rewards)], "id int, g int, reward double")
-    return [r["advantage"] for r in S.group_advantage(df, ["g"], spread_by=["id"]).orderBy("id").collect()]
+    return [r["advantage"] for r in S.group_advantage(df, ["g"]).orderBy("id").collect()]
 
 
 def test_one_pass_in_four(spark):

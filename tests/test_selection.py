@@ -100,7 +100,7 @@ def test_trailing_mean(spark, bits):
     data = {r: [(s * 3, rng.random()) for s in range(n)] for r, n in runs.items()}
     rows = [(r, s, v) for r, steps in data.items() for s, v in steps]
     df = spark.createDataFrame(rows, "run int, step long, sec double").repartition(5)
-    got = L.trailing_mean(df, ["run"], "step", "sec", block_bits=bits).collect()
+    got = L.trailing_mean(df, ["run"], "step", "sec", block_rows=1 << bits).collect()
     assert len(got) == len(rows)
     for r in got:
         values = [v for s, v in data[r["run"]] if s <= r["step"]][-10:]

@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from rollspark.operators import skew
 
@@ -29,7 +29,7 @@ def grouped(rows):
 def test_group_stats(rows, split_rows):
     joined = skew.with_group_stats(
         rows, ["k"], {"n": F.count(F.lit(1)), "total": F.sum("v"), "nothing": F.max(F.lit(None).cast("int"))},
-        ["id"], split_rows,
+        split_rows=split_rows,
     )
     assert joined.columns == ["id", "k", "v", "seq", "n", "total", "nothing"]
     got = joined.collect()
@@ -41,6 +41,19 @@ def test_group_stats(rows, split_rows):
         assert r["nothing"] is None
 
 
+def test_heavy_keys_are_found_and_no_others(spark, rows):
+    one = skew.heavy_keys(rows, ["k"], 100)
+    hashed = {r["h"]: r["k"] for r in rows.select("k", skew.hash_of(["k"]).alias("h")).distinct().collect()}
+    assert [hashed[h] for h in one.counts] == [None]
+    many = spark.range(200_000).select((F.col("id") % 50_000).alias("k"), F.lit("x").alias("s"))
+    skewed = many.unionAll(many.limit(30_000).select(F.lit(-1).cast("long"), "s")).unionAll(many.limit(900).select(F.lit(-2).cast("long"), "s"))
+    hashed = {r["h"]: r["k"] for r in skewed.select("k", skew.hash_of(["k", "s"]).alias("h")).distinct().collect()}
+    found = skew.heavy_keys(skewed.repartition(8), ["k", "s"], 100)
+    assert sorted(hashed[h] for h in found.counts) == [-2, -1]
+    assert all(n <= 31_000 for n in found.counts.values())
+    assert not skew.heavy_keys(many, ["k"], 100) and not skew.heavy_keys(many.limit(0), ["k"], 100)
+
+
 @pytest.mark.parametrize("split_rows", [10, 100, skew.SPLIT_ROWS])
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_join(spark, rows, split_rows, how):
@@ -70,33 +83,50 @@ def plain_shuffles(spark):
 
 
 def largest_partition(df):
-    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max(df.columns[-1]))
+    return sizes.agg(F.max("n")).first()[0]
 
 
 def test_heavy_rows_are_spread(rows, plain_shuffles):
     """No partition of the join holds the hot key, with its 1,200 rows, as a whole."""
-    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
-    assert [r["k"] for r in skew.heavy_keys(counts, ["k"], 100).collect()] == [None]
     lookup = rows.groupBy("k").agg(F.max("v").alias("top"))
     assert largest_partition(skew.skew_join(rows, lookup, ["k"], "inner", ["id"])) > 1100
     assert largest_partition(skew.skew_join(rows, lookup, ["k"], "inner", ["id"], split_rows=100)) < 500
     stats = {"m": F.avg("v")}
-    assert largest_partition(skew.with_group_stats(rows, ["k"], stats, ["id"])) > 1100
-    assert largest_partition(skew.with_group_stats(rows, ["k"], stats, ["id"], split_rows=100)) < 500
-    assert largest_partition(skew.group_ordinal(rows, ["k"], "seq", "at", block_bits=12)) < 500
+    assert largest_partition(skew.with_group_stats(rows, ["k"], stats)) > 1100
+    assert largest_partition(skew.with_group_stats(rows, ["k"], stats, split_rows=100)) < 500
+    assert largest_partition(skew.group_ordinal(rows, ["k"], "seq", "at", block_rows=200)) < 500
+
+
+def scans(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return len([line for line in plan.splitlines() if "FileScan" in line])
+
+
+def test_rows_are_read_once(rows, spark, tmp_path):
+    rows.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    stats = {"m": F.avg("v"), "s": F.stddev_pop("v")}
+    assert scans(skew.with_group_stats(stored, ["k"], stats)) == 1
+    # Rows of heavy groups are read twice, by themselves.
+    assert scans(skew.with_group_stats(stored, ["k"], stats, split_rows=100)) <= 3
+    lookup = spark.range(40).select(F.col("id").cast("int").alias("k"))
+    assert scans(skew.skew_join(stored, lookup, ["k"], "left", ["id"])) == 1
+    assert scans(skew.skew_join(stored, lookup, ["k"], "left", ["id"], split_rows=100)) == 1
 
 
-def test_statistics_share_one_exchange(rows, spark):
-    joined = skew.with_group_stats(rows, ["k"], {"m": F.avg("v"), "s": F.stddev_pop("v")}, ["id"], split_rows=100)
-    joined.collect()
-    plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in plan
+def test_heavy_keys_are_handed_on(rows, spark, monkeypatch):
+    heavy = skew.heavy_keys(rows, ["k"], 100)
+    monkeypatch.setattr(skew, "heavy_keys", None)  # not looked for again
+    assert skew.with_group_stats(rows, ["k"], {"n": F.count(F.lit(1))}, heavy).count() == 3000
+    assert skew.skew_join(rows, rows.groupBy("k").agg(F.max("v").alias("top")), ["k"], "inner", ["id"], heavy).count() == 3000
 
 
-@pytest.mark.parametrize("bits", [0, 4, 9, 20])
+@pytest.mark.parametrize("bits", [0, 9, 20])
 def test_running_sum_and_ordinal(rows, bits):
-    summed = skew.running_sum(rows, ["k"], "seq", F.col("v"), "total", bits)
-    got = skew.group_ordinal(summed, ["k"], "seq", "at", bits)
+    summed = skew.running_sum(rows, ["k"], "seq", F.col("v"), "total", 1 << bits)
+    got = skew.group_ordinal(summed, ["k"], "seq", "at", 1 << bits)
     assert got.columns == ["id", "k", "v", "seq", "total", "at"]
     by_id = {r["id"]: r for r in got.collect()}
     assert len(by_id) == 3000
@@ -107,14 +137,14 @@ def test_running_sum_and_ordinal(rows, bits):
             assert (by_id[r["id"]]["at"], by_id[r["id"]]["total"]) == (at, total)
 
 
-@pytest.mark.parametrize("bits", [3, 18])
-def test_order_may_be_any_whole_number_or_time(spark, bits):
+@pytest.mark.parametrize("block_rows", [1, 3, 1 << 18])
+def test_order_may_be_any_whole_number_or_time(spark, block_rows):
     numbers = [-(1 << 63), -(1 << 40), -1, 0, 5, 1 << 40, 1_760_000_000_000_000, (1 << 63) - 1]
     df = spark.createDataFrame([(1, n) for n in numbers], "k int, seq long")
-    got = {r["seq"]: r["at"] for r in skew.group_ordinal(df, ["k"], "seq", "at", bits).collect()}
+    got = {r["seq"]: r["at"] for r in skew.group_ordinal(df, ["k"], "seq", "at", block_rows).collect()}
     assert got == {n: i for i, n in enumerate(numbers)}
     times = df.filter("seq between 0 and 1760000000000000").withColumn("t", F.timestamp_micros("seq"))
-    got = {r["seq"]: r["at"] for r in skew.group_ordinal(times, ["k"], "t", "at", bits).collect()}
+    got = {r["seq"]: r["at"] for r in skew.group_ordinal(times, ["k"], "t", "at", block_rows).collect()}
     assert got == {0: 0, 5: 1, 1 << 40: 2, 1_760_000_000_000_000: 3}
 
 
@@ -125,11 +155,32 @@ def test_order_of_another_kind_is_an_error(spark):
         skew.group_ordinal(spark.createDataFrame([(1, None)], "k int, seq long"), ["k"], "seq", "at").collect()
 
 
-def test_scatter_follows_the_size_of_the_group(spark):
-    rows = spark.range(1000).select("id", F.lit(1).alias("k"))
-    joined = skew.with_group_stats(rows, ["k"], {"n": F.count(F.lit(1))}, ["id"], split_rows=100)
-    assert "/ 100" in joined._jdf.queryExecution().optimizedPlan().toString().replace(".0", "")
-    assert {r["n"] for r in joined.collect()} == {1000}
+@pytest.mark.parametrize("kind", ["random", "micros", "dense", "clustered"])
+def test_blocks_hold_rows_not_numbers(spark, kind):
+    """Totals of blocks are few, and no block is much larger than asked for, however the numbers lie."""
+    n, block_rows = 200_000, 4096
+    i = F.col("id")
+    number = {
+        "random": F.xxhash64("id"),
+        "micros": F.lit(1_760_000_000_000_000) + i * 1_000_003,
+        "dense": i,
+        "clustered": F.when(i % 2 == 0, i).otherwise((i % 7) * F.lit(1 << 50) + i),
+    }[kind]
+    rows = spark.range(n).select(F.when(i % 3 == 0, 0).otherwise(i % 50).cast("int").alias("k"), number.cast("long").alias("seq"))
+    numbers = rows.select(skew.hash_of(["k"]).alias("_group"), F.col("seq").alias("_number"))
+    for sample_rows in (1 << 22, 50_000):
+        levels = skew.crowded_ranges(numbers, block_rows, sample_rows)
+        blocks = skew.in_blocks(rows, ["k"], F.col("seq"), levels).groupBy("k", "_block").count()
+        counted, largest = blocks.agg(F.count(F.lit(1)), F.max("count")).first()
+        assert counted - 50 < 40 * n / block_rows and largest < 1.5 * block_rows
+    got = skew.group_ordinal(rows, ["k"], "seq", "at", block_rows)
+    wrong = got.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("seq")) - 1).filter("rn <> at")
+    assert wrong.count() == 0 and got.count() == n
+
+
+def test_a_table_of_one_block_is_not_cut(rows):
+    plan = skew.group_ordinal(rows, ["k"], "seq", "at")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Window") < 3
 
 
 def test_plain_join_of_a_hot_key_is_split_by_adaptive_execution(spark):

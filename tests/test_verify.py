@@ -1,6 +1,6 @@
 import time
 
-from rollspark.operators.verify import judge_script, verify_completions
+from rollspark.operators.verify import ForkServer, judge_script, verify_completions
 
 CASES = [
     ("pass", "```python\ndef f(x):\n    return x\n```", "assert f(1) == 1", 1.0),
@@ -65,3 +65,19 @@ def test_children_do_not_outlive_the_script(tmp_path):
 def test_long_output_is_cut_from_the_end_of_the_feedback():
     reward, feedback = judge_script("print('x' * 5000)", "absent", 5.0)
     assert (reward, feedback) == (0.0, "x" * 600)
+
+
+def test_one_interpreter_runs_many_scripts():
+    """Scripts leave nothing behind for one another; one that kills the interpreter costs only itself."""
+    with ForkServer() as server:
+        first = None
+        for i in range(300):
+            assert judge_script(f"import sys\nassert not hasattr(sys, 'mark')\nsys.mark = {i}\nprint('done')", "done", 5.0, server=server)[0] == 1.0
+            first = first or server.process.pid
+        assert server.process.pid == first
+        assert judge_script("import os, signal\nos.kill(os.getppid(), signal.SIGKILL)\nimport time\ntime.sleep(20)", "done", 5.0, server=server)[0] == 0.0
+        assert judge_script("while True: pass", "done", 0.5, server=server) == (0.0, "Timed out.")
+        assert judge_script("print('done')", "done", 5.0, server=server)[0] == 1.0
+        assert judge_script("import atexit\natexit.register(print, 'done')", "done", 5.0, server=server)[0] == 1.0
+        assert judge_script("import threading, time\nthreading.Timer(0.2, print, ['done']).start()", "done", 5.0, server=server)[0] == 1.0
+    assert server.process is None
