@@ -5,7 +5,8 @@ a Python closure; rendering runs closures only. The language is sandboxed: names
 those given to it, attributes are keys of mappings, and only the filters below can
 be called. It has ``{{ value }}``, ``{# note #}``, ``{% for x in xs %}``, ``{% if %}``
 with ``elif`` and ``else``, ``{% set x = value %}`` and ``{% generation %}``, which
-marks what a model should learn to write.
+marks what a model should learn to write. A minus sign inside a tag's border, as in ``{%- if x -%}``, drops the white
+space of the template on that side. What cannot be computed, as a remainder by zero, is an error where it is rendered.
 
 ``escape`` makes text safe for a template's control strings: a backslash before
 every backslash and one inside every control string, so that none is left in the
@@ -79,7 +80,7 @@ BINARY: dict[str, tuple[int, Callable]] = {
 }
 
 WORD = re.compile(r"\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<sign>==|!=|<=|>=|[-+~%<>.|()\[\]=]))")
-TAG = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.DOTALL)
+TAG = re.compile(r"\{\{(?P<a>-?)(?P<show>.*?)(?P<x>-?)\}\}|\{%(?P<b>-?)(?P<tag>.*?)(?P<y>-?)%\}|\{#(?P<c>-?).*?(?P<z>-?)#\}", re.DOTALL)
 CONSTANTS = {"true": True, "false": False, "none": None}
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -180,7 +181,10 @@ def fold(tree):
     if kind == "call":
         parts = [fold(x) for x in tree[2:]]
         if all(x[0] == "const" for x in parts):
-            return ("const", tree[1](*[x[1] for x in parts]))
+            try:
+                return ("const", tree[1](*[x[1] for x in parts]))
+            except (ArithmeticError, TypeError, ValueError):
+                pass  # an error only where it is rendered
         return ("call", tree[1], *parts)
     left, right = fold(tree[1]), fold(tree[2])
     if kind == "get":
@@ -219,14 +223,21 @@ def parse(source: str) -> list:
     top: list = []
     stack: list[tuple[str, object]] = []
     body, at = top, 0
+    trim = False  # the tag before asks for no white space behind it
+
+    def put_text(text: str, before: bool) -> None:
+        text = text.lstrip() if trim else text
+        text = text.rstrip() if before else text
+        if text:
+            body.append(("text", text))
+
     for m in TAG.finditer(source):
-        if m.start() > at:
-            body.append(("text", source[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            body.append(("show", _Expression(m[1]).whole()))
-        elif m[2] is not None:
-            word, _, rest = m[2].strip().partition(" ")
+        put_text(source[at : m.start()], bool(m["a"] or m["b"] or m["c"]))
+        at, trim = m.end(), bool(m["x"] or m["y"] or m["z"])
+        if m["show"] is not None:
+            body.append(("show", _Expression(m["show"]).whole()))
+        elif m["tag"] is not None:
+            word, _, rest = m["tag"].strip().partition(" ")
             if word == "for":
                 name, found, things = rest.strip().partition(" in ")
                 if not found or not name.strip().isidentifier():
@@ -263,8 +274,7 @@ def parse(source: str) -> list:
                 raise TemplateError(f"cannot read {m[0]!r}")
     if stack:
         raise TemplateError(f"{stack[-1][0]} has no end")
-    if at < len(source):
-        body.append(("text", source[at:]))
+    put_text(source[at:], False)
     return top
 
 

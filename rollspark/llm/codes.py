@@ -151,11 +151,12 @@ def fit(vectors: DataFrame, key: str = "_key") -> np.ndarray:
     """Codebooks side by side, a row for each entry, from stored ``vectors`` with ``_v`` and a key; no rows without keys."""
     first = vectors.filter(F.col(key).isNotNull()).select(key, "_v").orderBy(key, "_v").limit(ENTRIES).toArrow().column("_v").to_pylist()
     length = len(first[0]) if first else 0
-    books = np.array([v for v in first if len(v) == length and max(map(abs, v), default=0) < greatest(length)], np.int64).reshape(-1, length)
+    kept = [v for v in first if len(v) == length and max(map(abs, v), default=0) < greatest(length)]
+    books = np.array(kept, np.int64).reshape(len(kept), length)
     if len(books):
-        kept = vectors.filter(fits("_v", length))
+        within = vectors.filter(fits("_v", length))
         for _ in range(ROUNDS):
-            books = _moved(kept, books)
+            books = _moved(within, books)
     return books
 
 

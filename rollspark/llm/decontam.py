@@ -9,11 +9,11 @@ a document that holds the item lacks fewer than k of its shingles, so at least o
 of the signature stands in it, and no held item is missed. Candidates are verified
 by exact containment on the shingles themselves.
 
-Words are runs of non-space characters, A-Z in lower case. A text of fewer than
-SHINGLE words is one shingle, the whole sequence: such an item is held only by a
-document that consists of it. Items and documents without a word, or null, match
-nothing. Rows that share a key count as one document, and null is a key like any
-other. Extra columns are ignored.
+Words are runs of non-space characters, A-Z in lower case. An item of fewer than
+SHINGLE words is one shingle, the whole sequence; documents are then cut at its width
+too, for the widths that occur, so it is found wherever it stands. Items and
+documents without a word, or null, match nothing. Rows that share a key count as one document, and null is a key like any
+other; items that share a key are one item for each width. Extra columns are ignored.
 
 Only DataFrame and SQL functions: texts are tokenised and hashed where they are
 read, and what meets there is the signatures. They are broadcast if counted to be
@@ -71,13 +71,8 @@ def signatures(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return ranked.select("_item", F.explode(F.slice("_hashes", F.lit(1), F.greatest(k, F.lit(1)).cast("int"))).alias("_hash"))
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE,
-) -> DataFrame:
-    """3. Pairs of document key and item with ``shared`` and ``shingles`` (distinct, of the item) and their ratio ``containment``."""
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    items = benchmark.select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
+def _held(rows: DataFrame, items: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Pairs of ``_key`` and ``_item`` with ``_shared`` and ``_n``, for items (_item, _text) of at least ``width`` words."""
     of_items = shingled(items, ["_item"], "_text", width).select("_item", _text(width).alias("_shingle"), _hash(width).alias("_hash")).distinct()
     sizes = of_items.groupBy("_item").agg(F.count(F.lit(1)).alias("_n"))
     of_items = store(of_items.join(sizes, of_items["_item"].eqNullSafe(sizes["_item"])).drop(sizes["_item"]), "items")
@@ -97,7 +92,23 @@ def contaminated(
     found = again.join(F.broadcast(sure) if few else sure, "_shingle").distinct()
     counted = found.groupBy("_key", "_item", "_n").agg(F.count(F.lit(1)).alias("_shared")).filter(F.col("_shared") >= F.col("_n") * threshold - 1e-9)
     pairs = candidates.withColumnsRenamed({"_key": "_k", "_item": "_i"})
-    verified = counted.join(pairs, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_item").eqNullSafe(F.col("_i")), "left_semi")
+    return counted.join(pairs, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_item").eqNullSafe(F.col("_i")), "left_semi")
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE,
+) -> DataFrame:
+    """3. Pairs of document key and item with ``shared`` and ``shingles`` (distinct, of the item) and their ratio ``containment``."""
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    items = benchmark.select(F.col(item).alias("_item"), F.col(item_text).alias("_text"))
+    n = F.least(F.size(words(F.col("_text"))), F.lit(width))
+    # At most ``width`` numbers. Items of one width and more go together.
+    widths = sorted({r["n"] for r in items.select(n.alias("n")).distinct().collect()} - {0}) or [width]
+    verified = None
+    for own in widths:
+        found = _held(rows, items.filter(n == own), own, threshold)
+        verified = found if verified is None else verified.unionByName(found)
     return verified.select(
         F.col("_key").alias(key),
         F.col("_item").alias(item),

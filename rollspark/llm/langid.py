@@ -10,8 +10,9 @@ its last ``ORDER`` bytes is a constant, kept in one table per order for all
 languages. A text's language is the one with the shortest exact code length over
 the whole text; equal lengths go to the first language in sorted order.
 
-The trees are fitted on a bounded sample, ``per_language`` documents of each
-language taken in the order of their keys' hashes. Null texts and texts without a
+The trees are fitted on a bounded sample, ``per_language`` distinct rows (key and text) of each
+language taken in the order of their hashes; a text of more than ``TEXT_BYTES`` teaches by slices
+spread evenly over it. Null texts and texts without a
 letter are ``und`` with score 0, and so is everything if nothing can be learnt from.
 Repeated rows are judged alike; a column with the name of the new one is replaced.
 """
@@ -31,12 +32,14 @@ ORDER = 4
 UNKNOWN = "und"
 SHORT = 64
 BLOCK = 1 << 19  # bytes of text that are scored at once
+TEXT_BYTES = 1 << 18  # that one text of the sample teaches
+SLICES = 16
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, each behind ORDER zero bytes, and where each text with its zero bytes begins (and the end)."""
-    parts = [bytes(ORDER) + (t or "").encode() for t in texts]
+    parts = [bytes(ORDER) + t for t in texts]
     begins = np.cumsum([0, *map(len, parts)])
     return np.frombuffer(b"".join(parts), np.uint8), begins
 
@@ -138,7 +141,7 @@ class Trees:
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
         """Code length in bits of each whole text in each language."""
-        data, begins = joined(texts)
+        data, begins = joined([(t or "").encode() for t in texts])
         total = np.zeros((len(texts), len(self.languages)))
         for begin in range(0, len(data), BLOCK):
             end = min(begin + BLOCK, len(data))
@@ -167,14 +170,21 @@ class Trees:
         return names, np.where(lettered, score, 0.0), np.where(lettered, least / size, 0.0)
 
 
+def taught(text: str) -> list[bytes]:
+    """What is learnt of a text of the sample: all of it, or slices spread evenly over a long one."""
+    data = text.encode()
+    if len(data) <= TEXT_BYTES:
+        return [data]
+    size = TEXT_BYTES // SLICES
+    return [data[begin : begin + size] for begin in np.linspace(0, len(data) - size, SLICES).astype(np.int64).tolist()]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of context and byte in each language and order, for the rows of a task."""
-    texts: dict[str, list[str]] = {}
-    for batch in batches:
-        for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            texts.setdefault(language, []).append(text)
-    for language, own in texts.items():
-        data, begins = joined(own)
+    """Counts of context and byte in each language and order, for the rows of a task, some at a time."""
+    held: dict[str, list[bytes]] = {}
+
+    def counted(language: str) -> Iterator[pa.RecordBatch]:
+        data, begins = joined(held.pop(language))
         inside = np.ones(len(data), bool)
         for begin in begins[:-1]:
             inside[begin : begin + ORDER] = False
@@ -191,27 +201,40 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["lang", "k", "gram", "n"],
             )
 
+    for batch in batches:
+        for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.setdefault(language, []).extend(taught(text))
+            if sum(map(len, held[language])) >= 8 * TEXT_BYTES:
+                yield from counted(language)
+    for language in list(held):
+        yield from counted(language)
+
+
+def sampled(docs: DataFrame, learn: Column, key: str, text: str, lang: str, per_language: int) -> DataFrame:
+    """``lang`` and ``text`` of at most ``per_language`` rows of each language, distinct by key and text, in the order of their hashes."""
+    usable = docs.filter(learn & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
+    usable = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("_hash"))
+    narrow = usable.select("lang", "_hash")
+    # Hashes are even over all longs, so the least of a language's are below a bound that leaves about
+    # four times the sample: what is ranked does not grow with the table, nor with repeats of a row. The model
+    # holds a tree for each language, so their list fits wherever the model does.
+    sizes = narrow.groupBy("lang").agg((F.approx_count_distinct("_hash") / (4 * per_language)).alias("_share"))
+    bound = F.when(F.col("_share") <= 1, F.lit((1 << 63) - 1)).otherwise(F.lit(-float(1 << 63)) + float(1 << 64) / F.col("_share"))
+    least = narrow.join(F.broadcast(sizes), "lang").filter(F.col("_hash") <= bound).select("lang", "_hash").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
+    chosen = least.withColumn("_at", place).filter(F.col("_at") <= per_language).drop("_at")  # so many rows of each language at most
+    return usable.join(F.broadcast(chosen), ["lang", "_hash"], "left_semi").groupBy("lang", "_hash").agg(F.first("text").alias("text")).drop("_hash")
+
 
 def train(
     docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400
 ) -> Trees:
-    """5. Context trees from a sample of the rows where ``learn`` holds and text and language are not null.
+    """5. Context trees from a sample of the rows where ``learn`` holds and key, text and language are not null.
 
-    ``per_language`` bounds the sample of each language; only the sample's counts reach the driver.
+    ``per_language`` bounds the sample of each language, ``TEXT_BYTES`` what one text adds to it; only the sample's
+    counts reach the driver.
     """
-    usable = docs.filter(learn & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
-    narrow = usable.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.xxhash64(key).alias("_hash"))
-    # Hashes are even over all longs, so the least of a language's are below a bound that leaves about
-    # four times the sample: what is ranked does not grow with the table. The model holds a tree for each
-    # language, so their list fits wherever the model does.
-    sizes = narrow.groupBy("_lang").agg((F.count(F.lit(1)) / (4 * per_language)).alias("_share"))
-    bound = F.when(F.col("_share") <= 1, F.lit((1 << 63) - 1)).otherwise(F.lit(-float(1 << 63)) + float(1 << 64) / F.col("_share"))
-    narrow = narrow.join(F.broadcast(sizes), "_lang").filter(F.col("_hash") <= bound)
-    order = Window.partitionBy("_lang").orderBy("_hash", "_key")
-    chosen = narrow.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= per_language)
-    chosen = F.broadcast(chosen.select("_key").distinct())  # at most per_language rows of each language
-    sample = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("_key"))
-    sample = sample.join(chosen, "_key", "left_semi").select("lang", "text")
+    sample = sampled(docs, learn, key, text, lang, per_language)
     counted = sample.mapInArrow(_count, "lang string, k int, gram long, n long")
     rows = counted.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
     languages, ks = np.array(rows["lang"].to_pylist(), object), rows["k"].to_numpy()

@@ -29,6 +29,7 @@ CODE = 16
 GATE = 8
 GROUP = 1 << 19  # bytes of consecutive texts that are encoded at once
 THRESHOLD = 0.3
+SPREAD = 32  # passages that one document of the sample teaches
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -108,10 +109,7 @@ class AttentionModel:
 
     def codes(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Codes and attention of passages, with both halves of the gate."""
-        w = self.weights
-        code = np.tanh((features - self.mean) / self.scale @ w["encode"] + w["encode_0"])
-        t, s = np.tanh(code @ w["gate_t"]), sigmoid(code @ w["gate_s"])
-        return code, (t * s) @ w["attend"], t, s
+        return self._encoded((features - self.mean) / self.scale)
 
     def pooled(self, code: np.ndarray, attention: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weighted mean code of each document, and the weights."""
@@ -132,6 +130,38 @@ class AttentionModel:
             out.append(sigmoid((z @ self.weights["score"] + self.weights["score_0"]).astype(np.float64)))
         return np.concatenate(out)
 
+    def loss(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> float:
+        """Mean log loss of documents, given the standardised features of their passages."""
+        code, attention = self._encoded(x)[:2]
+        z, _ = self.pooled(code, attention, first)
+        p = sigmoid(z @ self.weights["score"] + self.weights["score_0"])
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    def _encoded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        w = self.weights
+        code = np.tanh(x @ w["encode"] + w["encode_0"])
+        t, s = np.tanh(code @ w["gate_t"]), sigmoid(code @ w["gate_s"])
+        return code, (t * s) @ w["attend"], t, s
+
+    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of ``loss`` by all weights."""
+        w = self.weights
+        owner = np.repeat(np.arange(len(first)), np.diff([*first, len(x)]))
+        code, attention, t, s = self._encoded(x)
+        z, weight = self.pooled(code, attention, first)
+        d_score = (sigmoid(z @ w["score"] + w["score_0"]) - y) / len(y)
+        d_z = (d_score[:, None] * w["score"])[owner]
+        d_weight = (d_z * code).sum(axis=1)
+        d_attention = weight * (d_weight - np.add.reduceat(weight * d_weight, first)[owner])
+        d_t = d_attention[:, None] * w["attend"] * s * (1 - t * t)
+        d_s = d_attention[:, None] * w["attend"] * t * s * (1 - s)
+        d_code = weight[:, None] * d_z + d_t @ w["gate_t"].T + d_s @ w["gate_s"].T
+        d_in = d_code * (1 - code * code)
+        return {
+            "encode": x.T @ d_in, "encode_0": d_in.sum(axis=0), "gate_t": code.T @ d_t, "gate_s": code.T @ d_s,
+            "attend": (d_attention[:, None] * t * s).sum(axis=0), "score": z.T @ d_score, "score_0": d_score.sum(keepdims=True),
+        }
+
     def fit(self, texts: list[str | None], labels: np.ndarray, epochs: int = 150, rate: float = 0.01, decay: float = 1e-3) -> None:
         """Adam on the mean log loss of all documents; gradients of all weights from the document labels alone."""
         if not len(texts):
@@ -145,29 +175,13 @@ class AttentionModel:
         self.scale = x.std(axis=0) + 0.05  # rare bytes must not count for more than they show
         x -= self.mean
         x /= self.scale
-        owner = np.repeat(np.arange(len(first)), np.diff([*first, len(x)]))
         y = labels.astype(np.float32)
         w = self.weights
         first_moment = {k: np.zeros_like(v) for k, v in w.items()}
         second_moment = {k: np.zeros_like(v) for k, v in w.items()}
         self.fitted = True
         for step in range(1, epochs + 1):
-            code = np.tanh(x @ w["encode"] + w["encode_0"])
-            t, s = np.tanh(code @ w["gate_t"]), sigmoid(code @ w["gate_s"])
-            z, weight = self.pooled(code, (t * s) @ w["attend"], first)
-            d_score = (sigmoid(z @ w["score"] + w["score_0"]) - y) / len(y)
-            d_z = (d_score[:, None] * w["score"])[owner]
-            d_weight = (d_z * code).sum(axis=1)
-            d_attention = weight * (d_weight - np.add.reduceat(weight * d_weight, first)[owner])
-            d_t = d_attention[:, None] * w["attend"] * s * (1 - t * t)
-            d_s = d_attention[:, None] * w["attend"] * t * s * (1 - s)
-            d_code = weight[:, None] * d_z + d_t @ w["gate_t"].T + d_s @ w["gate_s"].T
-            d_in = d_code * (1 - code * code)
-            gradient = {
-                "encode": x.T @ d_in, "encode_0": d_in.sum(axis=0), "gate_t": code.T @ d_t, "gate_s": code.T @ d_s,
-                "attend": (d_attention[:, None] * t * s).sum(axis=0), "score": z.T @ d_score, "score_0": d_score.sum(keepdims=True),
-            }
-            for k, g in gradient.items():
+            for k, g in self.gradient(x, first, y).items():
                 g = g + decay * w[k] * (k != "score_0")
                 first_moment[k] = 0.9 * first_moment[k] + 0.1 * g
                 second_moment[k] = 0.999 * second_moment[k] + 0.001 * g * g
@@ -176,21 +190,40 @@ class AttentionModel:
                 ).astype(np.float32)
 
 
+def spread(text: str | None) -> str | None:
+    """What a document of the sample teaches: all of it, or of a long one ``SPREAD`` passages spread evenly over it."""
+    words = (text or "").encode().split()
+    if len(words) <= SPREAD * WORDS:
+        return text
+    begins = np.linspace(0, len(words) // WORDS - 1, SPREAD).astype(np.int64) * WORDS
+    return b" ".join(b" ".join(words[b : b + WORDS]) for b in begins.tolist()).decode()
+
+
+def _spread():
+    @F.arrow_udf("string")
+    def spread_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([spread(text) for texts in slices(batch) for text in texts], pa.string())
+
+    return spread_texts
+
+
 def train(
     docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     label: str = "quality", max_documents: int = 3000,
 ) -> AttentionModel:
     """4. Fit on labelled documents, ``max_documents`` at most, taken in the order of their keys' hashes.
 
-    ``learn`` is a condition on the label table. Several labels of one key count by their majority. The bound is
-    the only one here: what is fitted is a model of fixed size, and its sample is all that reaches the driver.
+    ``learn`` is a condition on the label table. Several labels of one key count by their majority. What is
+    fitted is a model of fixed size; all that reaches the driver is its sample, of long texts ``SPREAD`` passages.
     """
     usable = labels.filter(learn & F.col(label).isNotNull() & F.col(key).isNotNull())
     voted = usable.groupBy(F.col(key).alias("_key")).agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
     there = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     chosen = voted.orderBy(F.xxhash64("_key"), "_key").limit(max_documents)
     rows = there.join(F.broadcast(chosen), "_key").select("_text", "_label", "_key")
-    rows = rows.orderBy(F.xxhash64("_key"), "_key", F.xxhash64("_text")).limit(max_documents).toArrow()
+    rows = rows.orderBy(F.xxhash64("_key"), "_key", F.xxhash64("_text")).limit(max_documents)
+    rows = rows.select(_spread()("_text").alias("_text"), "_label").toArrow()
     model = AttentionModel()
     model.fit(rows["_text"].to_pylist(), rows["_label"].to_numpy())
     return model

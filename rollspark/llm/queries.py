@@ -55,8 +55,9 @@ _WORDS = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRS
 SQL["op3_decontamination"] = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-       FROM d WHERE len(w) > 0),
+k AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - k + 1, 0) + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+       FROM d, k),
 bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
        FROM b WHERE len(w) > 0),
 n AS (SELECT item_id, count(*) AS shingles FROM bs GROUP BY item_id)
@@ -148,8 +149,8 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.md5("sketch").alias("fingerprint"),
-        F.md5("edited_sketch").alias("edited_fingerprint"),
+        F.base64("sketch").alias("fingerprint"),
+        F.base64("edited_sketch").alias("edited_fingerprint"),
         "near_edited",
         "near_next",
     )

@@ -7,7 +7,9 @@ is added to one cell in each third of the sketch; a cell has a count, a sum of
 digests and a sum of their checks. The difference of two sketches holds what only
 one of the texts has. Peeling recovers it: a cell with one digest left gives it
 away and it is taken from its other cells. If cells remain, both sketches are built
-anew, larger by ``GROWTH``, until all is recovered.
+anew, larger by ``GROWTH``, until all is recovered. (Digests that never peel, as two equal
+ones of unequal paragraphs, are told by the lists of digests, once a sketch has ``AMPLE``
+times as many cells as there are digests.)
 
 White space within lines does not count. Null and empty texts have no paragraphs
 and the empty sketch; two such texts are alike. Repeated rows have equal sketches.
@@ -31,6 +33,7 @@ LINE = 8
 CUT = 6  # parts of long lines have about so many words
 CELLS = 48
 GROWTH = 4
+AMPLE = 64
 WINDOW = 1 << 20  # letters of consecutive texts that are compared at once
 PARTITION_BYTES = 32 << 20
 
@@ -100,6 +103,11 @@ class Sketches:
         out["count"], out["digests"], out["checks"] = self.count, self.digests, self.checks
         return [row.tobytes() for row in out.reshape(-1, self.cells)]
 
+    def subtract(self, other: Sketches) -> None:
+        self.count -= other.count
+        self.digests -= other.digests
+        self.checks -= other.checks
+
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Owner, digest and sign of all that can be recovered, and which sketches are empty after that."""
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -127,16 +135,30 @@ class Sketches:
         return *parts, empty
 
 
+def _sketches(digests: list[np.ndarray], cells: int) -> Sketches:
+    made = Sketches(len(digests), cells)
+    owner = np.repeat(np.arange(len(digests)), [len(d) for d in digests])
+    made.add(owner, np.concatenate([np.zeros(0, np.uint64), *digests]), np.ones(len(owner), np.int64))
+    return made
+
+
+def subtracted(left: bytes, right: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+    """Digests that only the left, or only the right of two packed sketches has; None if they hold too few cells for that."""
+    one, two = (np.frombuffer(x, CELL) for x in (left, right))
+    sketches = Sketches(1, len(one))
+    sketches.count = one["count"].astype(np.int64) - two["count"]
+    sketches.digests, sketches.checks = one["digests"] - two["digests"], one["checks"] - two["checks"]
+    _, digest, sign, empty = sketches.peel()
+    return (digest[sign > 0], digest[sign < 0]) if empty[0] else None
+
+
 def differences(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Digests that only the left, or only the right text of each pair has, recovered from sketches."""
     only: tuple[list, list] = ([np.zeros(0, np.uint64)] * len(left), [np.zeros(0, np.uint64)] * len(left))
     open_ = np.arange(len(left))
     while len(open_):
-        sketches = Sketches(len(open_), cells)
-        for side, sign in ((left, 1), (right, -1)):
-            own = [side[i] for i in open_]
-            owner = np.repeat(np.arange(len(own)), [len(d) for d in own])
-            sketches.add(owner, np.concatenate([np.zeros(0, np.uint64), *own]), np.full(len(owner), sign))
+        sketches = _sketches([left[i] for i in open_], cells)
+        sketches.subtract(_sketches([right[i] for i in open_], cells))
         owner, digest, sign, empty = sketches.peel()
         order = np.argsort(owner, kind="stable")
         owner, digest, sign = owner[order], digest[order], sign[order]
@@ -146,6 +168,9 @@ def differences(left: list[np.ndarray], right: list[np.ndarray], cells: int = CE
             only[0][open_[place]] = digest[mine][sign[mine] > 0]
             only[1][open_[place]] = digest[mine][sign[mine] < 0]
         open_ = open_[~empty]
+        for i in [i for i in open_.tolist() if cells > AMPLE * (len(left[i]) + len(right[i]) + 1)]:
+            only[0][i], only[1][i] = np.setdiff1d(left[i], right[i]), np.setdiff1d(right[i], left[i])
+            open_ = open_[open_ != i]
         cells *= GROWTH
     return only
 
@@ -158,10 +183,7 @@ def likeness(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches_of(digests: list[np.ndarray], cells: int = CELLS) -> list[bytes]:
-    made = Sketches(len(digests), cells)
-    owner = np.repeat(np.arange(len(digests)), [len(d) for d in digests])
-    made.add(owner, np.concatenate([np.zeros(0, np.uint64), *digests]), np.ones(len(owner), np.int64))
-    return made.packed()
+    return _sketches(digests, cells).packed()
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "sketch") -> DataFrame:

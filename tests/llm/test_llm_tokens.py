@@ -148,3 +148,25 @@ def test_conversations(spark):
     pieces = chat.render(df).filter("conversation = 1").orderBy("piece").collect()
     assert got[1]["formatted_chars"] == sum(len(p["text"]) for p in pieces)
     assert chat.read_back(chat.render(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("source", "shown"),
+    [
+        ("a {%- if true -%} b {%- endif -%} c", "abc"),
+        ("a {{- x -}} b", "aXb"),
+        ("a {{- x }} b", "aX b"),
+        ("a\n {# note -#}\n b", "a\n b"),
+        ("{%- for y in 'pq' -%} {{ y }} {%- endfor -%}\n", "pq"),
+        ("  {{- -1 -}}  ", "-1"),
+        ("{% if false %}{{ 1 % 0 }}{% endif %}z", "z"),
+    ],
+)
+def test_trim_marks(source, shown):
+    assert "".join(t for t, _ in rendered(source, x="X")) == shown
+
+
+def test_a_zero_divisor_is_an_error_only_where_it_is_rendered():
+    made = chat.compile_template("a{{ 1 % 0 }}")
+    with pytest.raises(ZeroDivisionError):
+        list(made())
