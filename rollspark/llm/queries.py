@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollspark.llm import bpe, chat, codes, decontam, langid, lm, minhash, prefixes, quality, sharding, simhash, sketch, warc
@@ -127,6 +126,8 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Digests of the token ids of each document and of the text they decode to."""
+    import public_tokenizers  # the vocabulary files; only this query needs them
+
     path = public_tokenizers.path("byte_bpe_50k.json")
     decoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
     return decoded.select(
