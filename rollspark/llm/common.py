@@ -14,6 +14,7 @@ from rollspark.session import fresh_dir
 # A key with more than 1/HEAVY of all rows is heavy. By that definition there are
 # fewer than HEAVY such keys, whatever the size of the table.
 HEAVY = 2048
+TASK_ROWS = 1 << 18
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +28,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """Narrow rows of numbers in as many tasks as their number asks for, which may be far fewer than a shuffle has."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def remainder(key: str, modulus: int) -> Column:
     """crc32 of the key's decimal text, modulo; a null key counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(modulus))

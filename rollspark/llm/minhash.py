@@ -1,21 +1,26 @@
 """Near-duplicate groups by one-permutation MinHash, optimal densification, banded buckets and stars of candidates.
 
 A text's set is that of its distinct word shingles, by their 64-bit hashes. One hash
-serves all minima: its upper half says in which of ``BANDS * ROWS`` bins a shingle
-falls, the least lower half of a bin is its value. An empty bin takes the value of the
-first filled bin in an order of its own, a fixed random permutation of all bins, so it
+serves all minima: its upper half says in which bin a shingle falls, the least lower
+half of a bin is its value. An empty bin takes the value of the filled bin that comes
+first in an order of its own, a fixed random permutation of all bins, so it
 picks evenly among the filled ones and independently of other empty bins (optimal
 densification). Each ``ROWS`` bins make a bucket; two sets of similarity s share none
-of the ``BANDS`` buckets with probability (1 - s**ROWS)**BANDS, 1.3e-7 at 0.8.
-
-Equal sets are one node. A bucket gives a star, not its pairs: each member meets the
-bucket's hub, a member that the same order of all nodes picks in every bucket, so near
-copies of one text mostly have the same few hubs. Pairs are confirmed on the full sets;
-what links becomes one group. Then the hub leaves its buckets, as it has met all of
-them, and a bucket stays open while it has members of several groups. Stars go on
-until the pairs across groups that are left in open buckets are few for its members (or
-after ``STARS`` of them); those are then all confirmed. So no pair that shares a bucket
-goes unseen, unless its two sets are in one group already.
+of the ``BANDS`` buckets with probability (1 - s**ROWS)**BANDS, 3e-7 at 0.8.
+
+Equal sets are one node. A bucket gives a star, not its pairs: each node meets one hub,
+the member of its buckets that comes first in one order of all nodes, so near copies
+of one text mostly meet the same few hubs. Nodes that links lead to belong together. A
+bucket stays open while it has members that do not. Members of open buckets are
+compared by sketches, the lowest byte of each bin: sets of similarity s agree in
+a share s of them, and pairs that agree in fewer than six standard deviations below
+that cannot be alike (sets of fewer than ``SMALL`` shingles, which may share a bin by
+chance: in fewer than half). Sets of up to ``PRINTED`` shingles are compared by 16 bits of each
+as well, which shows at least what two of them share, so that nothing that is alike is left out. First each member meets the one of another group that its
+sketch agrees with best, again and again while the pairs left are many for their
+members (at most ``TURNS`` times); then all pairs that are left do. Large buckets are cut into
+blocks that are compared two by two. All pairs that meet are confirmed on the full sets. So no
+pair that shares a bucket goes unseen, unless its two sets belong together already.
 
 Null and blank texts have the empty set, which links with nothing, not even another
 one. Repeated rows link. Keys may repeat or be null: rows are told apart by a stored
@@ -25,21 +30,24 @@ number; a group is named by its least non-null key, null if it has none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rollspark.llm.common import attach, slices, store
+from rollspark.llm.common import attach, sized, slices, store
 from rollspark.llm.simhash import components, shingle_hashes
 
 WIDTH = 4  # words
 PERCENT = 80
-BANDS, ROWS = 40, 5
-STARS = 8
-FEW = 4  # pairs left for each member
+BANDS, ROWS = 64, 7
+SMALL = 64
+PRINTED = 1024
+TURNS = 4
+FEW = 256  # pairs left for each member
+BLOCK = 1024  # members that are held and compared at once
+DEVIATIONS = 6
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -47,35 +55,56 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width), np.uint64))
 
 
-@lru_cache(1)
-def _probes() -> np.ndarray:
-    """For each bin the order in which it looks for a filled one."""
-    return np.random.default_rng(7).permuted(np.tile(np.arange(BANDS * ROWS, dtype=np.int16), (BANDS * ROWS, 1)), axis=1)
-
-
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """A value for each bin, of a set that is not empty and sorted."""
-    bins = ((shingles >> np.uint64(32)) * np.uint64(BANDS * ROWS)) >> np.uint64(32)
-    begins = np.concatenate([[0], np.flatnonzero(bins[1:] != bins[:-1]) + 1])
-    values = np.zeros(BANDS * ROWS, np.uint32)
-    filled = np.zeros(BANDS * ROWS, bool)
-    values[bins[begins]] = np.minimum.reduceat(shingles.astype(np.uint32), begins)
-    filled[bins[begins]] = True
-    if filled.all():
+class Bins:
+    """The bins of one permutation, and the order in which each looks for a filled one."""
+
+    def __init__(self):
+        self.n = BANDS * ROWS
+        self.order = np.random.default_rng(7).permuted(np.tile(np.arange(self.n, dtype=np.int16), (self.n, 1)), axis=1)
+        self.rank = np.empty_like(self.order)  # of a bin, for each bin that looks
+        np.put_along_axis(self.rank, self.order.astype(np.int64), np.arange(self.n, dtype=np.int16)[None, :], axis=1)
+
+    def values(self, shingles: np.ndarray) -> np.ndarray:
+        """A value for each bin, of a set that is not empty and sorted."""
+        bins = ((shingles >> np.uint64(32)) * np.uint64(self.n)) >> np.uint64(32)
+        begins = np.concatenate([[0], np.flatnonzero(bins[1:] != bins[:-1]) + 1])
+        filled = bins[begins].astype(np.int64)
+        least = np.minimum.reduceat(shingles.astype(np.uint32), begins)
+        values, known = np.zeros(self.n, np.uint32), np.zeros(self.n, bool)
+        values[filled], known[filled] = least, True
+        empty = np.flatnonzero(~known)
+        if len(filled) * 8 > self.n:  # most find one soon
+            near = self.order[empty, :8]
+            met = known[near]
+            found = met.any(axis=1)
+            values[empty[found]] = values[near[found, met[found].argmax(axis=1)]]
+            empty = empty[~found]
+        if len(empty):
+            values[empty] = least[self.rank[empty[:, None], filled[None, :]].argmin(axis=1)]
         return values
-    probes = _probes()
-    empty = np.flatnonzero(~filled)
-    first = filled[probes[empty]].argmax(axis=1)
-    values[empty] = values[probes[empty, first]]
-    return values
 
 
-def buckets(shingles: np.ndarray) -> np.ndarray:
+def buckets(shingles: np.ndarray, bins: Bins) -> np.ndarray:
     """The bucket of each band; none for the empty set."""
     if not len(shingles):
         return np.zeros(0, np.int64)
-    bands = signature(shingles).reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(bands)], np.uint64).view(np.int64)
+    bands = bins.values(shingles).reshape(BANDS, ROWS).astype(np.uint64)
+    mixed = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for row in range(ROWS):
+        mixed = (mixed ^ bands[:, row]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed.view(np.int64)
+
+
+def sketch(shingles: np.ndarray, bins: Bins) -> bytes:
+    return bins.values(shingles).astype(np.uint8).tobytes()
+
+
+def least_agreement(percent: int) -> int:
+    """Bins in which sketches of sets of this similarity agree at least."""
+    s, n = percent / 100, BANDS * ROWS
+    # Bins are a sample of the shingles, which adds up to as much again as a third of the bins' own variance.
+    return int(n * (s - DEVIATIONS * (s * (1 - s) * 4 / 3 / n) ** 0.5))
 
 
 def _signatures(width: int):
@@ -83,6 +112,7 @@ def _signatures(width: int):
 
     @F.arrow_udf("struct<digest: binary, n_shingles: long, buckets: array<long>>")
     def signatures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bins = Bins()
         for batch in batches:
             digests, sizes, found = [], [], []
             for texts in slices(batch, 256):
@@ -90,7 +120,7 @@ def _signatures(width: int):
                     own = shingle_set(text, width)
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                     sizes.append(len(own))
-                    found.append(buckets(own))
+                    found.append(buckets(own, bins))
             ends = np.cumsum([0, *map(len, found)])
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
             columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
@@ -100,57 +130,147 @@ def _signatures(width: int):
 
 
 def _sets(width: int):
-    @F.arrow_udf("array<long>")
+    kind = pa.struct([("set", pa.list_(pa.int64())), ("sketch", pa.binary()), ("prints", pa.binary())])
+
+    @F.arrow_udf("struct<set: array<long>, sketch: binary, prints: binary>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bins = Bins()
         for batch in batches:
-            found = [shingle_set(text, width).view(np.int64) for texts in slices(batch, 256) for text in texts]
+            found = [shingle_set(text, width) for texts in slices(batch, 256) for text in texts]
             ends = np.cumsum([0, *map(len, found)])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
+            prints = [own.astype(np.uint16).tobytes() if len(own) <= PRINTED else b"" for own in found]
+            columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([sketch(own, bins) for own in found], pa.binary()), pa.array(prints, pa.binary())]
+            yield pa.StructArray.from_arrays(columns, fields=list(kind))
 
     return sets
 
 
+def _compared(percent: int, best: bool):
+    """Pairs of members of a bucket, of different groups, that may be alike by their sketches and sizes; with ``best`` one for a member.
+
+    Rows come sorted by bucket, and the two blocks that are compared there.
+    """
+    least, half = least_agreement(percent), BANDS * ROWS // 2
+
+    def shared(row: int, other: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """At most how many shingles each of the other sets shares with that of the row."""
+        known = np.zeros(1 << 16, bool)
+        known[np.frombuffer(prints[row], np.uint16)] = True
+        flat = np.frombuffer(b"".join(prints[other].tolist()), np.uint16)
+        ends = np.cumsum([len(x) // 2 for x in prints[other].tolist()])
+        return np.diff(np.concatenate([[0], np.cumsum(known[flat])[ends - 1]]))
+
+    def pairs_of(nodes, groups, sides, sizes, bins, prints) -> pa.RecordBatch:
+        left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)  # 2: a block with itself
+        printed = sizes <= PRINTED
+        a, b = [], []
+        for row in left:
+            other = right[(groups[right] != groups[row]) & (best | (sides[right] == 1) | (right > row))]
+            fewer, more = np.minimum(sizes[other], sizes[row]), np.maximum(sizes[other], sizes[row])
+            other = other[fewer * 100 >= more * percent]
+            agree = (bins[other] == bins[row]).sum(axis=1)
+            near = agree >= np.where(np.minimum(sizes[other], sizes[row]) < SMALL, half, least)
+            other, like = other[near], agree[near] / bins.shape[1]
+            told = np.flatnonzero(printed[other]) if printed[row] else np.zeros(0, np.int64)
+            if len(told):
+                both = shared(row, other[told], prints)
+                like[told] = both / (sizes[row] + sizes[other[told]] - both)
+                near = np.ones(len(other), bool)
+                near[told] = like[told] * 100 >= percent - 1e-6
+                other, like = other[near], like[near]
+            if best and len(other):
+                other = other[[like.argmax()]]
+            a.append(np.full(len(other), row))
+            b.append(other)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (a, b))
+        swap = nodes[a] > nodes[b]
+        return pa.RecordBatch.from_arrays([pa.array(np.where(swap, nodes[b], nodes[a])), pa.array(np.where(swap, nodes[a], nodes[b]))], names=["a", "b"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
+        for batch in batches:
+            bucket, one, two, side, node, group, size = (batch.column(i).to_numpy() for i in range(7))
+            bins = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(len(batch), -1)
+            prints = np.array([*batch.column(8).to_pylist(), None], object)[:-1]
+            new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
+            cuts = [0, *new.tolist(), len(batch)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if begin == end:
+                    continue
+                here = (int(bucket[begin]), int(one[begin]), int(two[begin]))
+                if here != at and held:
+                    yield pairs_of(*(np.concatenate(x) for x in zip(*held)))
+                    held.clear()
+                at = here
+                held.append((node[begin:end], group[begin:end], side[begin:end], size[begin:end], bins[begin:end], prints[begin:end]))
+        if held:
+            yield pairs_of(*(np.concatenate(x) for x in zip(*held)))
+
+    return compared
+
+
+def _in_blocks(open_: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) left in open buckets: rows of bucket, node, group and the bucket's size ``_n``."""
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    copied = open_.select("bucket", "node", "group", own.alias("_own"), other.alias("_other"))
+    side = F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
+    placed = copied.select("bucket", F.least("_own", "_other").alias("one"), F.greatest("_own", "_other").alias("two"), side.alias("side"), "node", "group")
+    sketches = sets.select("node", F.size("set").alias("size"), "sketch", "prints")
+    shown = placed.join(sketches, "node").select("bucket", "one", "two", "side", "node", "group", "size", "sketch", "prints")
+    dealt = shown.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
+    return dealt.mapInArrow(_compared(percent, best), "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The stored pairs (a, b) whose sets are alike. Both sides are stored tables, so Spark splits the pairs of a common hub."""
+    """The pairs (a, b) whose sets are alike. All sides are stored tables, so Spark splits the pairs of a common hub."""
     for end in ("a", "b"):
-        pairs = pairs.join(sets.withColumnsRenamed({"node": end, "_set": f"_{end}"}), end)
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"_{end}")), end)
     both = F.size(F.array_intersect("_a", "_b")).cast("long")
-    return pairs.filter(both * 100 >= (F.size("_a") + F.size("_b") - both) * percent).select("la", "lb")
-
-
-def _grouped(members: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Node and group of nodes that share buckets; ``members`` are stored pairs of bucket and node, ``rows`` hold the texts."""
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-    open_ = store(members.join(store(shared, "minhash-shared"), "bucket"), "minhash-open")
-    groups = store(open_.select("node").distinct().withColumn("group", F.col("node")), "minhash-groups")
-    texts = rows.join(groups.select(F.col("node").alias("_row")), "_row").select(F.col("_row").alias("node"), _sets(width)("_text").alias("_set"))
-    sets = store(texts, "minhash-sets")
-    for number in range(STARS + 1):
-        now = open_.join(groups, "node")
-        rank = F.struct(F.xxhash64("node", F.lit(number)).alias("rank"), F.col("node").alias("hub"), F.col("group").alias("hub_group"))
-        of_group = now.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("_c"), F.min(rank).alias("_hub"))
-        n, hub = F.col("_n"), F.min("_hub")
-        sums = of_group.groupBy("bucket").agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_c")).alias("_q"), hub.alias("_hub"))
-        cross = ((n * n - F.col("_q")) / 2).cast("long").alias("_cross")
-        sums = store(sums.select("bucket", "_n", cross, "_hub.hub", "_hub.hub_group").filter("_cross > 0"), "minhash-buckets")
-        left, size = sums.agg(F.sum("_cross"), F.sum("_n")).first()
-        if not left:
-            break
-        now = store(now.join(sums.select("bucket", "hub", "hub_group"), "bucket"), "minhash-met")
-        last = number == STARS or (number > 0 and left <= FEW * size)
-        if last:
-            other = now.select("bucket", F.col("node").alias("hub"), F.col("group").alias("hub_group"))
-            met = now.select("bucket", "node", "group").join(other, "bucket").filter(F.col("group") < F.col("hub_group"))
-        else:
-            met = now.filter(F.col("group") != F.col("hub_group"))
-        pairs = met.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_group").alias("la"), F.col("group").alias("lb")).distinct()
-        links = store(_confirmed(store(pairs, "minhash-pairs"), sets, percent), "minhash-links")
-        joined = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), "minhash-components")
-        joined = joined.select(F.col("node").alias("group"), "component")
-        groups = store(groups.join(joined, "group", "left").select("node", F.coalesce("component", "group").alias("group")), "minhash-groups")
+    return pairs.filter(both * 100 >= (F.size("_a") + F.size("_b") - both) * percent).select("a", "b")
+
+
+def _linked(members: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Node and ``group`` of nodes that share a bucket; ``members`` are stored pairs of bucket and node, ``rows`` hold the texts."""
+    n = members.count()
+    # Numbers alone, so that Spark aggregates by hashing.
+    rank = F.xxhash64("node")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min(rank).alias("_rank"), F.min_by("node", rank).alias("_hub"))
+    shared = store(sized(shared.filter("_n > 1"), n), "minhash-shared")
+    open_ = store(sized(members.join(shared, "bucket"), n), "minhash-open")
+    n = open_.count()
+    star = store(sized(open_.groupBy("node").agg(F.min_by("_hub", "_rank").alias("_hub")), n), "minhash-star")
+    texts = rows.join(star.select(F.col("node").alias("_row")), "_row").select(F.col("_row").alias("node"), _sets(width)("_text").alias("_made"))
+    sets = store(texts.select("node", "_made.*"), "minhash-sets")
+    pairs = star.filter("node <> _hub").select(F.col("_hub").alias("a"), F.col("node").alias("b"))
+    groups = star.select("node", F.col("node").alias("group"))
+    last = False
+    for turn in range(TURNS + 2):
+        links = store(_confirmed(pairs, sets, percent), "minhash-links")
+        if not links.isEmpty():
+            named = links
+            for end in ("a", "b"):
+                named = named.join(groups.select(F.col("node").alias(end), F.col("group").alias(f"_{end}")), end)
+            joined = components(named.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "minhash-components")
+            joined = joined.withColumnsRenamed({"node": "group", "component": "_to"})
+            groups = groups.join(joined, "group", "left").select("node", F.coalesce("_to", "group").alias("group"))
+            groups = store(sized(groups, n), "minhash-groups")
         if last:
             break
-        open_ = now.filter(F.col("node") != F.col("hub")).select("bucket", "node")
+        now = store(sized(open_.join(groups, "node").select("bucket", "node", "group"), n), "minhash-now")
+        of_group = now.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("_c"))
+        members_, squares = F.sum("_c"), F.sum(F.col("_c") * F.col("_c"))
+        cross = ((members_ * members_ - squares) / 2).cast("long").alias("_cross")
+        still = store(sized(of_group.groupBy("bucket").agg(members_.alias("_n"), cross).filter("_cross > 0"), n), "minhash-still")
+        left, size = still.agg(F.sum("_cross"), F.sum("_n")).first()
+        if not left:
+            break
+        last = turn == TURNS or (turn > 0 and left <= FEW * size)
+        met = sized(now.join(still.select("bucket", "_n"), "bucket"), n)
+        pairs = store(_in_blocks(met, sets, percent, not last), "minhash-pairs")
     return groups
 
 
@@ -161,10 +281,11 @@ def group(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFr
     """
     signed = rows.select("*", _signatures(width)("_text").alias("_made")).drop("_text")
     signed = store(signed.select("*", "_made.*").drop("_made"), "minhash-signatures")
-    nodes = store(signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("node"), F.count(F.lit(1)).alias("_n")), "minhash-nodes")
-    firsts = signed.join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi")
-    members = store(firsts.select(F.explode("buckets").alias("bucket"), F.col("_row").alias("node")), "minhash-members")
-    found = _grouped(members, rows.select("_row", "_text"), width, percent)
+    # Rows of one digest have the same buckets.
+    nodes = signed.filter("n_shingles > 0").groupBy("digest", "buckets").agg(F.min("_row").alias("node"), F.count(F.lit(1)).alias("_n"))
+    nodes = store(nodes, "minhash-nodes")
+    members = store(nodes.select(F.explode("buckets").alias("bucket"), "node"), "minhash-members")
+    found = _linked(members, rows.select("_row", "_text"), width, percent)
     named = nodes.join(found, "node", "left").select("digest", "_n", F.coalesce("group", "node").alias("group"))
     return attach(signed.drop("buckets"), store(named, "minhash-names"), "digest", "_n").drop("digest")
 

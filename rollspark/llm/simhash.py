@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rollspark.llm.common import attach, slices, store, unused
+from rollspark.llm.common import attach, sized, slices, store, unused
 
 DISTANCE = 3
 SHINGLE = 3
@@ -175,17 +175,19 @@ def components(edges: DataFrame, name: str = "component") -> DataFrame:
     all its neighbours, to the smallest of them, so that paths shrink by half.
     Rounds are written to the shared folder; nothing but a count comes to the driver.
     """
-    now = store(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    n = edges.count()
+    now = store(sized(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n), name)
     state = None
     while True:
+        n = now.count()
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = store(both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("_n")), name)
+        least = store(sized(both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("_n")), 2 * n), name)
         # Large star: neighbours greater than the node go to the least of node and neighbours.
-        large = attach(now, least, "b", "_n").select("a", F.least("least", "b").alias("b")).distinct()
+        large = store(sized(attach(now, least, "b", "_n").select("a", F.least("least", "b").alias("b")).distinct(), n), name)
         # Small star: the node and its smaller neighbours go to the least of those.
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        least = store(sized(large.groupBy("a").agg(F.min("b").alias("least")), n), name)
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
-        following = store(small.filter("a != b").distinct(), name)
+        following = store(sized(small.filter("a != b").distinct(), n), name)
         sums = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == state:
             return following.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -220,9 +222,13 @@ def keep_one(
     Keys need not be distinct; rows with a null key come after all others of their
     group. ``grouped`` adds ``group`` to rows with ``_row``, ``_key`` and ``_text``.
     """
-    row, kept = unused(docs, "_row"), unused(docs, "_kept")
+    row, gone = unused(docs, "_row"), unused(docs, "_gone")
     numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     rows = numbered.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     order = F.struct(F.col("_key").isNull().alias("_null"), "_key", "_hash", "_row")
-    chosen = grouped(rows, width).groupBy("group").agg(F.min(order).alias("_least")).select(F.col("_least._row").alias(kept))
-    return numbered.join(chosen, F.col(row) == F.col(kept), "left_semi").select(*docs.columns)
+    grouped = store(grouped(rows, width).select("group", "_row", order.alias("_order")), "grouped")
+    firsts = grouped.groupBy("group").agg(F.min("_order").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    firsts = store(firsts.select("group", F.col("_least._row").alias("_first"), "_n"), "firsts")
+    # Only numbers of rows that go meet the table, far fewer than its rows; null for rows alone in their group.
+    others = attach(grouped.drop("_order"), firsts, "group", "_n").filter(F.col("_row") != F.col("_first"))
+    return numbered.join(others.select(F.col("_row").alias(gone)), F.col(row) == F.col(gone), "left_anti").select(*docs.columns)

@@ -51,9 +51,10 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize(("few", "block"), [(64, 1024), (0, 16)])
-def test_groups_are_those_of_brute_force(spark, monkeypatch, few, block):
-    monkeypatch.setattr(minhash, "FEW", few)  # 0: stars as long as there may be
+@pytest.mark.parametrize(("few", "block", "printed"), [(256, 1024, 1024), (0, 16, 30)])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, few, block, printed):
+    monkeypatch.setattr(minhash, "FEW", few)  # 0: as many turns as there may be
+    monkeypatch.setattr(minhash, "PRINTED", printed)
     monkeypatch.setattr(minhash, "BLOCK", block)
     texts = near_texts()
     sizes, root = brute_groups(texts)
