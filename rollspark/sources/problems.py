@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -201,7 +202,7 @@ def load_problems(
             case _:
                 raise ValueError(f"unknown problem set {name!r}")
         return seeded_head(problems, n, PROBLEM_KEY, seed)
-    except (ValueError, KeyError, PySparkException):
+    except (ValueError, KeyError, PySparkException, Py4JJavaError):
         if not fallback:
             raise
         return builtin()

@@ -126,7 +126,7 @@ def test_an_empty_first_micro_batch(spark, tmp_path, arriving):
     assert {r["id"] for r in jobs.read_group_advantages(spark, ["prompt"], out).collect()} == {3, 4}
 
 
-@pytest.mark.parametrize("lots", [1, 3, 9])
+@pytest.mark.parametrize("lots", [1, 4])
 def test_each_step_is_given_out_once(spark, tmp_path, arriving, lots):
     put, stream = arriving
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
@@ -163,7 +163,7 @@ def test_samples_behind_the_watermark_are_late_not_lost(spark, tmp_path, arrivin
 def test_delay_lets_rows_be_late(spark, tmp_path, arriving):
     put, stream = arriving
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
-    for lot in ([(0, 0, 0, 1.0, 0.0), (1, 0, 0, 1.0, 8.0)], [(2, 0, 0, 0.0, 0.1)], [(3, 9, 9, 0.0, 60.0)]):
+    for lot in ([(0, 0, 0, 1.0, 0.0), (1, 0, 0, 1.0, 8.0)], [(2, 0, 0, 0.0, 0.1)], [(3, 9, 9, 0.0, 60.0)], [(4, 8, 8, 0.0, 90.0)]):
         put(lot)
         jobs.run_step_metrics(stream(), ["step"], "arrived", 10, out, checkpoint, slot="1 second", delay="20 seconds")
     got = {r["step"]: (r["n_correct"], r["n_failed"]) for r in jobs.read_step_metrics(spark, ["step"], out).collect()}
