@@ -150,8 +150,8 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.base64("sketch").alias("fingerprint"),
-        F.base64("edited_sketch").alias("edited_fingerprint"),
+        # Without the line ends that Spark puts in.
+        *[F.translate(F.base64(sketch_), "\r\n", "").alias(name) for sketch_, name in (("sketch", "fingerprint"), ("edited_sketch", "edited_fingerprint"))],
         "near_edited",
         "near_next",
     )
