@@ -1,6 +1,6 @@
 """Structured Streaming jobs over arriving rollouts (K1-K4).
 
-K3 and K4 watch groups of rows (a step, a prompt) until they are whole. Each is three
+K3 and K4 watch groups of rows (a step, a prompt) until they are whole. Each is some
 queries in a row, all of Spark's own state and file sinks, so that a restart or a lost
 executor changes nothing:
 
@@ -9,7 +9,9 @@ executor changes nothing:
    the arrival time, which gives each slot out once, when the watermark has passed it.
 3. A group's slots are gathered in state, in order of time, and given out once the group is
    closed. The state holds sums and slot numbers: a group with a third of all rows is as small as
-   any other, and its rows never meet in a task.
+   any other, and its rows never meet in a task. K3 closes a group by time alone, so its slots
+   are the sessions of Spark's session windows, and a further aggregate knows the
+   groups that had one; no group costs a call of Python. K4 also counts, which takes a function of its own.
 
 Nothing written is written again, so a micro-batch costs what came in with it. Slots are in
 order of time whichever micro-batch brought them, so results do not depend on how the
@@ -45,10 +47,11 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     )
 
 
-def _drain_batches(stream: DataFrame, step, checkpoint: str) -> None:
+def _drain_batches(stream: DataFrame, step, checkpoint: str, mode: str = "append") -> None:
     (
         stream.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
+        .outputMode(mode)
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
@@ -82,7 +85,8 @@ ARRIVED = "_arrived"
 SLOT, SLOT_END = "_slot", "_slot_end"
 # Of the rows of a slot or group: how many, and of their rewards the mean and the squared distances from it.
 SUMS = {"n": T.LongType(), "n_correct": T.LongType(), "n_failed": T.LongType(), "mean": T.DoubleType(), "apart": T.DoubleType()}
-STATE = struct_of(**SUMS, last=T.LongType(), slots=T.ArrayType(T.LongType()), closed=T.BooleanType())
+STEP_SUMS = ("n", "n_correct", "n_failed", "mean")  # what K3 gives out
+STATE = struct_of(**SUMS, last=T.LongType(), slots=T.ArrayType(T.LongType()))
 
 
 def _land(rows: DataFrame, arrival: str, slot: str, path: str, checkpoint: str) -> DataFrame:
@@ -134,15 +138,45 @@ def _merged(a: tuple, b: tuple) -> tuple:
     return n + n2, correct + correct2, failed + failed2, mean, apart
 
 
-def _gather(
-    slots: DataFrame, keys: Sequence[str], patience: float, enough: int | None, anew: bool, path: str, checkpoint: str
-) -> None:
-    """Append each group's sums when it is closed.
+def _sessions(slots: DataFrame, keys: Sequence[str], patience: float, path: str, checkpoint: str) -> DataFrame:
+    """Append the sums of each group's slots that follow one another by ``patience`` seconds at most, when that time is over; that table as a stream."""
+    spark = slots.sparkSession
+    # Half a millisecond more, as slots end at whole ones: a slot that ends just then still belongs to its session.
+    gap = f"{int(patience * 1000) * 1000 + 500} microseconds"
+    timed = slots.withColumn("_end", F.col(SLOT_END)).withWatermark("_end", "0 seconds")
+    known = F.col("n_correct") + F.col("n_failed")
+    mean = F.try_divide(F.sum(F.col("mean") * known), F.sum(known))
+    sums = [F.sum(c).alias(c) for c in ("n", "n_correct", "n_failed")]
+    runs = timed.groupBy(*keys, F.session_window("_end", gap)).agg(F.min(SLOT).alias(SLOT), *sums, mean.alias("mean"))
+    runs = runs.select(*keys, SLOT, *STEP_SUMS)
+    drain(runs, f"{path}/sessions", f"{checkpoint}/sessions")
+    return spark.readStream.schema(runs.schema).parquet(f"{path}/sessions")
+
+
+def _first_sessions(sessions: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> None:
+    """Append the first session of each group, once.
+
+    Sessions of a group come in order of time, but some may come together. A group is new if the time
+    of the micro-batch, which is the same after a retry, is that of all its sessions.
+    """
+    timed = sessions.withColumn("_now", F.current_timestamp())
+    held = timed.groupBy(*keys).agg(F.min(F.struct(SLOT, *STEP_SUMS)).alias("_first"), F.min("_now").alias("_since"), F.max("_now").alias("_now"))
+    firsts = held.filter("_since = _now").select(*keys, "_first.*")
+    # An empty table, for readers that come before the first group.
+    sessions.sparkSession.createDataFrame([], firsts.schema).write.mode("ignore").parquet(f"{path}/groups/batch_id=-1")
+
+    def give(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/groups/batch_id={batch_id}")
+
+    _drain_batches(firsts, give, f"{checkpoint}/groups", "update")
+
+
+def _gather(slots: DataFrame, keys: Sequence[str], patience: float, enough: int, path: str, checkpoint: str) -> None:
+    """Append each group's sums when it is closed, at every slot they were gathered from.
 
     A group is closed by the slot that brings it to ``enough`` rows, or if its next slot ends more than
-    ``patience`` seconds after its last one, or none comes before the watermark is so far. With ``anew`` later slots
-    begin the group again, and its sums stand at every slot they were gathered from. Otherwise it is given out but
-    once, at its first slot, and later slots are left to the reader.
+    ``patience`` seconds after its last one, or none comes before the watermark is so far. Later slots
+    begin the group again.
     """
     wait = int(patience * 1000)
     kinds = [slots.schema[k] for k in keys]
@@ -158,33 +192,30 @@ def _gather(
 
         held = state.get if state.exists else None
         if held is not None:
-            held = (*held[:6], list(held[6]), held[7])
+            held = (*held[:6], list(held[6]))
         if state.hasTimedOut:
             close(held)
-            held = None if anew else (*held[:6], [], True)
+            held = None
         else:
             found = [row for batch in batches for row in zip(*(batch[c] for c in (SLOT, SLOT_END, *SUMS)))]
             for at, end, *sums in sorted(found, key=lambda row: row[0]):
                 at, end = int(at), int(end)
                 sums = (*map(int, sums[:3]), *map(float, sums[3:]))
-                if held is not None and not held[7] and end - held[5] > wait:
+                if held is not None and end - held[5] > wait:
                     close(held)
-                    held = None if anew else (*held[:6], [], True)
-                if held is not None and held[7]:
-                    continue
+                    held = None
                 if held is None:
-                    held = (*sums, end, [at], False)
+                    held = (*sums, end, [at])
                 else:
-                    held = (*_merged(held[:5], sums), end, [*held[6], at] if anew else held[6], False)
-                if enough is not None and held[0] >= enough:
+                    held = (*_merged(held[:5], sums), end, [*held[6], at])
+                if held[0] >= enough:
                     close(held)
-                    held = None if anew else (*held[:6], [], True)
+                    held = None
         if held is None:
             state.remove() if state.exists else None
         else:
             state.update(held)
-            if not held[7]:
-                state.setTimeoutTimestamp(max(held[5] + wait, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(held[5] + wait, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(given, columns=out.fieldNames())
 
     timed = slots.withColumn("_end", F.col(SLOT_END)).withWatermark("_end", "0 seconds")
@@ -193,15 +224,6 @@ def _gather(
     drain(gathered.withColumn(SLOT, F.timestamp_millis(SLOT)), f"{path}/groups", f"{checkpoint}/groups")
 
 
-def _watch(
-    rows: DataFrame, keys: Sequence[str], arrival: str, patience: float, enough: int | None, anew: bool,
-    path: str, checkpoint: str, slot: str, delay: str,
-) -> None:
-    landed = _land(rows, arrival, slot, path, checkpoint)
-    slots = _sum_slots(landed, keys, "reward", slot, delay, path, checkpoint)
-    _gather(slots, keys, patience, enough, anew, path, checkpoint)
-
-
 def _landed(spark: SparkSession, path: str) -> DataFrame:
     shape = spark.read.parquet(f"{path}/shape").schema
     return spark.read.schema(shape).parquet(f"{path}/rows")
@@ -220,7 +242,9 @@ def run_step_metrics(
 
     ``arrival`` is a timestamp or a number of seconds, ``delay`` how far behind the newest one a sample may come.
     """
-    _watch(samples, keys, arrival, patience, None, False, path, checkpoint, slot, delay)
+    landed = _land(samples, arrival, slot, path, checkpoint)
+    slots = _sum_slots(landed, keys, "reward", slot, delay, path, checkpoint)
+    _first_sessions(_sessions(slots, keys, patience, path, checkpoint), keys, path, checkpoint)
 
 
 def _metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -255,7 +279,9 @@ def run_group_advantages(
     wait for ``group_size`` of their own and are scored among those. ``arrival`` is a timestamp or a number of
     seconds, ``delay`` how far behind the newest one a completion may come.
     """
-    _watch(completions, keys, arrival, patience, group_size, True, path, checkpoint, slot, delay)
+    landed = _land(completions, arrival, slot, path, checkpoint)
+    slots = _sum_slots(landed, keys, "reward", slot, delay, path, checkpoint)
+    _gather(slots, keys, patience, group_size, path, checkpoint)
 
 
 def read_group_advantages(spark: SparkSession, keys: Sequence[str], path: str, flush: bool = False) -> DataFrame:

@@ -149,6 +149,33 @@ def test_each_step_is_given_out_once(spark, tmp_path, arriving, lots):
     assert late == {0: 3}
 
 
+@pytest.mark.parametrize("lots", [1, 5])
+def test_steps_close_by_time_without_a_python_call_for_each(spark, tmp_path, arriving, monkeypatch, lots):
+    """A gap of just the patience belongs to a step, one of a millisecond more does not; keys and rewards may be null."""
+    from pyspark.sql.group import GroupedData
+
+    def refused(*_):
+        raise AssertionError("a Python function for each step")
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", refused)
+    put, stream = arriving
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    run = lambda: jobs.run_step_metrics(stream(), ["step"], "arrived", 5, out, checkpoint, slot="1 millisecond")
+    put([])
+    run()
+    assert jobs.read_step_metrics(spark, ["step"], out, flush=True).count() == 0
+    rows = [(0, 0, 0, 1.0, 0.0), (1, 0, 0, 0.0, 5.0), (2, 0, 0, 1.0, 10.001), (3, 0, 0, 1.0, 30.0)]  # three sessions of step 0
+    rows += [(4, 1, 0, None, 2.0), (5, 1, 0, 3.0, 4.0), (6, None, 0, None, 1.0), (7, 2, 0, 1.0, 60.0), (8, 2, 0, 1.0, 61.0)]
+    for lot in pieces(rows, lots):
+        put(lot)
+        run()
+    sink = spark.read.parquet(f"{out}/groups").collect()
+    assert sorted(str(r["step"]) for r in sink) == ["0", "1", "None"]
+    got = {r["step"]: tuple(r)[1:] for r in jobs.read_step_metrics(spark, ["step"], out, flush=True).collect()}
+    assert got == {0: (0.5, 1, 1, True), 1: (3.0, 1, 0, True), None: (None, 0, 0, True), 2: (1.0, 2, 0, False)}
+    assert [tuple(r) for r in jobs.read_late_samples(spark, ["step"], out).collect()] == [(0, 2)]
+
+
 def test_samples_behind_the_watermark_are_late_not_lost(spark, tmp_path, arriving):
     put, stream = arriving
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
