@@ -25,7 +25,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; two are linked if the Jaccard of their five-word shingles is 0.8 or more."""
+    """One document of each group stays; two are linked if the Jaccard of their five-word shingles is 0.8 or more.
+
+    Pairs come from SimHash fingerprints by tables of distances to pivots, and from MinHash buckets where 64 bits tell too little.
+    """
     return simhash.keep_one(docs, width=alike.SHINGLE, grouped=alike.group)
 
 

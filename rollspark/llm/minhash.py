@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from rollspark.llm.common import attach, sized, slices, store
-from rollspark.llm.simhash import components, shingle_hashes
+from rollspark.llm.simhash import components, links, print_of, shingle_hashes
 
 WIDTH = 4  # words
 PERCENT = 80
@@ -107,23 +107,26 @@ def least_agreement(percent: int) -> int:
     return int(n * (s - DEVIATIONS * (s * (1 - s) * 4 / 3 / n) ** 0.5))
 
 
-def _signatures(width: int):
-    kind = pa.struct([("digest", pa.binary()), ("n_shingles", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+def _signatures(width: int, printed: bool):
+    kind = pa.struct([("digest", pa.binary()), ("n_shingles", pa.int64()), ("buckets", pa.list_(pa.int64())), ("_print", pa.int64())])
 
-    @F.arrow_udf("struct<digest: binary, n_shingles: long, buckets: array<long>>")
+    @F.arrow_udf("struct<digest: binary, n_shingles: long, buckets: array<long>, _print: long>")
     def signatures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bins = Bins()
         for batch in batches:
-            digests, sizes, found = [], [], []
+            digests, sizes, found, prints = [], [], [], []
             for texts in slices(batch, 256):
                 for text in texts:
-                    own = shingle_set(text, width)
+                    hashes = shingle_hashes(text, width)
+                    own = np.unique(np.array(hashes, np.uint64))
+                    prints.append(print_of(hashes) if printed else 0)
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                     sizes.append(len(own))
                     found.append(buckets(own, bins))
             ends = np.cumsum([0, *map(len, found)])
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
             columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            columns.append(pa.array(np.array(prints, np.uint64).view(np.int64)))
             yield pa.StructArray.from_arrays(columns, fields=list(kind))
 
     return signatures
@@ -233,8 +236,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(both * 100 >= (F.size("_a") + F.size("_b") - both) * percent).select("a", "b")
 
 
-def _linked(members: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Node and ``group`` of nodes that share a bucket; ``members`` are stored pairs of bucket and node, ``rows`` hold the texts."""
+def _by_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints ``_print`` link by the pivot tables of 8: the first nodes of two fingerprints, and that of each with the others."""
+    prints = store(nodes.groupBy("_print").agg(F.min("node").alias("_hub"), F.count(F.lit(1)).alias("_n")), "minhash-prints")
+    near = links(prints.select("_print"), "_print")
+    for end in ("a", "b"):
+        near = near.join(prints.select(F.col("_print").alias(end), F.col("_hub").alias(f"_{end}")), end)
+    near = near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    equal = attach(nodes.select("_print", "node"), prints, "_print", "_n").filter("node <> _hub").select(F.col("_hub").alias("a"), F.col("node").alias("b"))
+    return store(near.unionByName(equal).distinct(), "minhash-near")
+
+
+def _linked(members: DataFrame, rows: DataFrame, width: int, percent: int, near: DataFrame | None = None) -> DataFrame:
+    """Node and ``group`` of nodes that share a bucket or are in a stored pair of ``near``.
+
+    ``members`` are stored pairs of bucket and node, ``rows`` hold the texts.
+    """
     n = members.count()
     # Numbers alone, so that Spark aggregates by hashing.
     rank = F.xxhash64("node")
@@ -243,10 +260,16 @@ def _linked(members: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
     open_ = store(sized(members.join(shared, "bucket"), n), "minhash-open")
     n = open_.count()
     star = store(sized(open_.groupBy("node").agg(F.min_by("_hub", "_rank").alias("_hub")), n), "minhash-star")
-    texts = rows.join(star.select(F.col("node").alias("_row")), "_row").select(F.col("_row").alias("node"), _sets(width)("_text").alias("_made"))
+    met = star.select("node")
+    if near is not None:
+        met = met.union(near.select("a")).union(near.select("b")).distinct()
+    texts = rows.join(met.select(F.col("node").alias("_row")), "_row").select(F.col("_row").alias("node"), _sets(width)("_text").alias("_made"))
     sets = store(texts.select("node", "_made.*"), "minhash-sets")
     pairs = star.filter("node <> _hub").select(F.col("_hub").alias("a"), F.col("node").alias("b"))
-    groups = star.select("node", F.col("node").alias("group"))
+    groups = met.select("node", F.col("node").alias("group"))
+    if near is not None:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(near).distinct()
+        groups = store(groups, "minhash-groups")
     last = False
     for turn in range(TURNS + 2):
         links = store(_confirmed(pairs, sets, percent), "minhash-links")
@@ -269,25 +292,29 @@ def _linked(members: DataFrame, rows: DataFrame, width: int, percent: int) -> Da
         if not left:
             break
         last = turn == TURNS or (turn > 0 and left <= FEW * size)
-        met = sized(now.join(still.select("bucket", "_n"), "bucket"), n)
-        pairs = store(_in_blocks(met, sets, percent, not last), "minhash-pairs")
+        left_open = sized(now.join(still.select("bucket", "_n"), "bucket"), n)
+        pairs = store(_in_blocks(left_open, sets, percent, not last), "minhash-pairs")
     return groups
 
 
-def group(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def group(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT, printed: bool = False) -> DataFrame:
     """Stored ``rows`` with number ``_row`` and ``_text``: the other columns, ``n_shingles`` and ``group``.
 
-    ``group`` is the number of a row of the group; null for empty sets.
+    ``group`` is the number of a row of the group; null for empty sets. With ``printed``, nodes whose SimHash
+    fingerprints link are candidates too, confirmed with the others.
     """
-    signed = rows.select("*", _signatures(width)("_text").alias("_made")).drop("_text")
-    signed = store(signed.select("*", "_made.*").drop("_made"), "minhash-signatures")
+    signed = rows.select("*", _signatures(width, printed)("_text").alias("_made")).drop("_text")
+    signed = signed.select("*", "_made.*").drop("_made", *([] if printed else ["_print"]))
+    signed = store(signed, "minhash-signatures")
     # Rows of one digest have the same buckets.
-    nodes = signed.filter("n_shingles > 0").groupBy("digest", "buckets").agg(F.min("_row").alias("node"), F.count(F.lit(1)).alias("_n"))
+    of_node = [F.min("_row").alias("node"), F.count(F.lit(1)).alias("_n"), *([F.min("_print").alias("_print")] if printed else [])]
+    nodes = signed.filter("n_shingles > 0").groupBy("digest", "buckets").agg(*of_node)
     nodes = store(nodes, "minhash-nodes")
     members = store(nodes.select(F.explode("buckets").alias("bucket"), "node"), "minhash-members")
-    found = _linked(members, rows.select("_row", "_text"), width, percent)
+    near = _by_prints(nodes) if printed else None
+    found = _linked(members, rows.select("_row", "_text"), width, percent, near)
     named = nodes.join(found, "node", "left").select("digest", "_n", F.coalesce("group", "node").alias("group"))
-    return attach(signed.drop("buckets"), store(named, "minhash-names"), "digest", "_n").drop("digest")
+    return attach(signed.drop("buckets", "_print"), store(named, "minhash-names"), "digest", "_n").drop("digest")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -58,17 +58,20 @@ def shingle_hashes(text: str | None, width: int = SHINGLE) -> list[int]:
     return [hashed(line[b:e], 42) for b, e in zip(begins, (ends[width - 1 :] - 1).tolist())]
 
 
+def print_of(shingles: list[int]) -> int:
+    """Fingerprint of the hashes of a text's shingles. Bits of a text of any length are counted in pieces."""
+    hashes = np.array(shingles, ">u8")
+    if not len(hashes):
+        return 0
+    set_ = np.zeros(64, np.int64)
+    for begin in range(0, len(hashes), GROUP):
+        set_ += np.unpackbits(hashes[begin : begin + GROUP].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
+    return int(np.packbits(set_ * 2 > len(hashes)).view(">u8")[0])
+
+
 def fingerprint_of(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
-    """Fingerprints of whole texts. Bits of a text of any length are counted in pieces."""
-    out = np.zeros(len(texts), np.uint64)
-    for i, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text, width), ">u8")
-        if len(hashes):
-            set_ = np.zeros(64, np.int64)
-            for begin in range(0, len(hashes), GROUP):
-                set_ += np.unpackbits(hashes[begin : begin + GROUP].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
-            out[i] = np.packbits(set_ * 2 > len(hashes)).view(">u8")[0]
-    return out
+    """Fingerprints of whole texts."""
+    return np.array([print_of(shingle_hashes(text, width)) for text in texts], np.uint64)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", width: int = SHINGLE) -> DataFrame:

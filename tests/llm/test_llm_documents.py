@@ -341,6 +341,24 @@ def test_duplicate_stage_finds_all_alike(spark):
     assert kept == sorted(set(root)) and 15 < len(kept) < 100
 
 
+def test_duplicate_stage_links_by_fingerprints(spark, monkeypatch):
+    """Near copies are found by fingerprints and their pivot tables even if no bucket is shared; the exact Jaccard decides."""
+    import corpus_pipeline
+
+    lone = iter(range(1 << 40))
+    monkeypatch.setattr(minhash, "buckets", lambda shingles, bins: np.array([hash(shingles.tobytes()) + next(lone)] * bool(len(shingles)), np.int64))
+    base = [f"w{i}" for i in range(400)]
+    near, far = " ".join([*base[:-1], "end"]), " ".join(reversed(base))
+    # Shingles that repeat rule a fingerprint, not a set: equal fingerprints, Jaccard below 0.8.
+    loop = " ".join(["a", "b", "c", "d", "e"] * 400)
+    texts = [" ".join(base), near, far, loop, " ".join([loop, "f", "g", "h"])]
+    prints = simhash.fingerprint_of(texts, alike.SHINGLE)
+    assert np.bitwise_count(prints[0] ^ prints[1]) <= 3 and np.bitwise_count(prints[3] ^ prints[4]) <= 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.duplicate_stage(spark, docs, "").collect())
+    assert kept == [0, 2, 3, 4]
+
+
 def test_pipeline_of_odd_rows(spark, odd_docs, sf_dir):
     import corpus_pipeline
 
