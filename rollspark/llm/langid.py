@@ -31,7 +31,7 @@ from rollspark.llm.common import share, slices, unused
 ORDER = 4
 UNKNOWN = "und"
 SHORT = 64
-BLOCK = 1 << 19  # bytes of text that are scored at once
+BLOCK = 1 << 17  # bytes of text that are scored at once
 TEXT_BYTES = 1 << 18  # that one text of the sample teaches
 SLICES = 16
 LETTER = re.compile(r"[^\W\d_]")
