@@ -33,6 +33,7 @@ CACHED_WORDS = 300_000  # words remembered per Python worker; on overflow the me
 CACHED_PAIRS = 300_000
 GROUP = 400_000  # letters of consecutive texts that are encoded together
 DECODED = 500_000  # ids that are decoded together
+ROWS = 1024  # whose decoded texts are given out together
 
 
 def byte_letters() -> dict[str, int]:
@@ -239,10 +240,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared())
         for batch in batches:
-            done = [encoder.encode(g) for g in in_groups(t or "" for part in slices(batch) for t in part)]
-            ids = np.concatenate([np.zeros(0, np.int32), *[x for x, _ in done]])
-            offsets = np.cumsum(np.concatenate([[0], *[n for _, n in done]]))
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            for texts in slices(batch):  # given out one by one, so that ids of a whole batch are never held
+                done = [encoder.encode(g) for g in in_groups(t or "" for t in texts)]
+                ids = np.concatenate([np.zeros(0, np.int32), *[x for x, _ in done]])
+                offsets = np.cumsum(np.concatenate([[0], *[n for _, n in done]]))
+                yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
     return docs.withColumn(out, ids_of(text))
 
@@ -254,7 +256,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     @F.arrow_udf("string")
     def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = shared()
-        for batch in batches:
+        for batch in (whole.slice(begin, ROWS) for whole in batches for begin in range(0, len(whole), ROWS)):
             flat = batch.flatten().fill_null(-1).to_numpy()
             counts = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
             offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])

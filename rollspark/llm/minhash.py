@@ -48,6 +48,7 @@ TURNS = 4
 FEW = 256  # pairs left for each member
 BLOCK = 1024  # members that are held and compared at once
 DEVIATIONS = 6
+GIVEN = 256  # texts whose buckets or sets a Python worker gives out together; sets are larger than their texts
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -113,16 +114,15 @@ def _signatures(width: int, printed: bool):
     @F.arrow_udf("struct<digest: binary, n_shingles: long, buckets: array<long>, _print: long>")
     def signatures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bins = Bins()
-        for batch in batches:
+        for texts in (texts for batch in batches for texts in slices(batch, GIVEN)):
             digests, sizes, found, prints = [], [], [], []
-            for texts in slices(batch, 256):
-                for text in texts:
-                    hashes = shingle_hashes(text, width)
-                    own = np.unique(np.array(hashes, np.uint64))
-                    prints.append(print_of(hashes) if printed else 0)
-                    digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                    sizes.append(len(own))
-                    found.append(buckets(own, bins))
+            for text in texts:
+                hashes = shingle_hashes(text, width)
+                own = np.unique(np.array(hashes, np.uint64))
+                prints.append(print_of(hashes) if printed else 0)
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                sizes.append(len(own))
+                found.append(buckets(own, bins))
             ends = np.cumsum([0, *map(len, found)])
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
             columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
@@ -138,8 +138,8 @@ def _sets(width: int):
     @F.arrow_udf("struct<set: array<long>, sketch: binary, prints: binary>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bins = Bins()
-        for batch in batches:
-            found = [shingle_set(text, width) for texts in slices(batch, 256) for text in texts]
+        for texts in (texts for batch in batches for texts in slices(batch, GIVEN)):
+            found = [shingle_set(text, width) for text in texts]
             ends = np.cumsum([0, *map(len, found)])
             flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))
             prints = [own.astype(np.uint16).tobytes() if len(own) <= PRINTED else b"" for own in found]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollspark.llm import bpe, chat, codes, decontam, langid, lm, minhash, prefixes, quality, sharding, simhash, sketch, warc
-from rollspark.llm.common import load, remainder
+from rollspark.llm.common import load, remainder, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,7 +129,9 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers  # the vocabulary files; only this query needs them
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    # Stored in between, so that a task has one Python worker at a time, not two.
+    ids = store(bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), "bpe-ids")
+    decoded = bpe.decode(ids, path)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -65,6 +65,15 @@ def test_bpe(spark, sf_dir, documents):
         assert r["decoded_sha256"] == hexed(library.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_has_one_python_worker_in_a_task(spark):
+    docs = spark.createDataFrame([(1, "a text"), (None, None), (1, "a text")], "doc_id long, text string")
+    digests = queries.bpe_digests(docs)
+    assert digests._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    none = (None, 0, hexed(""), hexed(""))
+    rows = sorted(map(tuple, digests.collect()), key=str)
+    assert rows[0] == rows[1] and rows[0][3] == hexed("a text") and rows[2] == none
+
+
 def test_fingerprints(spark, sf_dir, documents):
     keys = sorted(documents, reverse=True)
     rows = {r["doc_id"]: r for r in queries.QUERIES["op10_fingerprints"](spark, sf_dir).collect()}

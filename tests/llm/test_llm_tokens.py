@@ -6,6 +6,7 @@ import random
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rollspark.llm import bpe, chat
@@ -72,6 +73,17 @@ def test_frames(spark, odd_docs):
     assert texts[1:] == ["", ""] and texts[0].endswith(VOCABULARY.bytes[233].decode("utf-8", "replace"))
 
 
+def test_frames_of_many_rows(spark):
+    """More rows in a batch than are given out together, with null and odd arrays among them."""
+    texts = [None if i % 50 == 0 else f"row {i} wörd" * (i % 4) for i in range(5000)]
+    rows = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "n int, text string").coalesce(1), PATH)
+    rows = rows.withColumn("ids", F.expr("if(n % 77 = 3, null, ids)"))
+    for r in bpe.decode(rows, PATH).collect():
+        none = r["n"] % 77 == 3
+        assert r["ids"] == (None if none else REFERENCE.encode(texts[r["n"]] or "", add_special_tokens=False).ids)
+        assert r["decoded"] == ("" if none else texts[r["n"]] or "")
+
+
 # -- chat --------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rollspark.llm import codes, minhash, prefixes
@@ -14,6 +15,16 @@ from rollspark.llm import codes, minhash, prefixes
 # -- 11 ----------------------------------------------------------------------
 
 
+def test_sets_are_given_out_some_at_a_time():
+    some = [f"{i} " * (1 + i % 7) for i in range(1000)]
+    for made, texts in ((minhash._sets(4), some), (minhash._signatures(4, True), [*some, "", None])):
+        parts = list(made.func(iter([pa.array(texts), pa.array(texts[:3])])))
+        assert max(map(len, parts)) <= 256
+        whole = [x for part in parts for x in part.to_pylist()]
+        alone = [next(made.func(iter([pa.array([t], pa.string())]))).to_pylist()[0] for t in texts]
+        assert whole == alone + alone[:3]
+
+
 def brute_groups(texts, width=4, percent=80):
     """Number of shingles of each text and the least place that links lead to."""
     sets = []
